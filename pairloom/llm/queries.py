@@ -6,14 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, decontaminate, mixing, ngram_join, quality_rules, token_counts
+from . import (
+    chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts, token_output, toxicity,
+)
 from .common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_rows(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_rows(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_rows(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -34,13 +48,21 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rows(table(spark, sf_dir, "documents"))
 
 
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.training_order(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
+    "op3_license_scan": op3_license_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_chat_format": op6_chat_format,
     "op7_token_counts": op7_token_counts,
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_output": op10_token_output,
 }
 
 
@@ -57,6 +79,25 @@ e AS (SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p
 r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.c = e.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
+    "op4_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, coalesce(length(text), 0) AS n_chars, text, string_split(text, chr(10)) AS lines FROM documents),
+u AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS unit, lines FROM l),
+v AS (
+  SELECT doc_id, unit, lines[unit] AS line,
+    trim(regexp_replace(translate(lines[unit], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
+    coalesce(length(array_to_string(lines[1:unit - 1], chr(10))), 0) + CASE WHEN unit > 1 THEN 1 ELSE 0 END AS start FROM u),
+r AS (
+  SELECT *, len(string_split(norm, ' ')) >= 5 AND norm <> '' AS counts,
+    row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) AS k FROM v),
+g AS (
+  SELECT doc_id, coalesce(count(*) FILTER (WHERE counts AND k > 1), 0) AS n_removed, coalesce(sum(length(line)) FILTER (WHERE counts AND k > 1), 0) AS removed_chars,
+    coalesce(string_agg(CAST(start AS VARCHAR) || '-' || CAST(start + length(line) AS VARCHAR), ',' ORDER BY unit) FILTER (WHERE counts AND k > 1), '') AS removed_spans,
+    coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (WHERE NOT (counts AND k > 1)), '') AS text
+  FROM r GROUP BY doc_id)
+SELECT l.doc_id, CAST(l.n_chars AS BIGINT) AS n_chars, CAST(coalesce(g.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(g.removed_chars, 0) AS BIGINT) AS removed_chars,
+  coalesce(g.removed_spans, '') AS removed_spans, CASE WHEN l.text IS NULL THEN NULL ELSE g.text END AS text
+FROM l LEFT JOIN g USING (doc_id)""",
     "op5_decontamination": r"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
