@@ -7,9 +7,11 @@ Feistel network with cycle-walking permutes the numbers to global slots, and
 slots are cut into shards of equal length.  A record has a fixed stride, so
 slot -> (shard, byte offset) is arithmetic and a reader can resume anywhere.
 
-Pass one counts tokens (lengths only) and a two-level running sum turns them
-into first numbers; pass two encodes again and knows the slot of every
-sequence at once, so token payloads are shuffled exactly once.
+Texts are encoded once and the ids written to the shared folder, two bytes a
+token.  A two-level running sum over the lengths gives first numbers, the
+slots follow, and the ids are shuffled once to their shards.  The first numbers
+are broadcast if counted as few; beyond that the ids are shuffled once more,
+to meet them.
 
 Defined results: a null or empty text has no sequence; rows with the same id
 and text are copies and get sequences each; null ids come first; an empty
@@ -21,6 +23,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import os
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -50,13 +54,17 @@ def _encoding(name: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def encode(text: str | None, name: str) -> np.ndarray:
-    """Ids of a text, the end token last; none for an empty text."""
+def encode(text: str | None, name: str) -> bytes:
+    """Little-endian ids of a text, the end token last; empty for an empty text."""
     if not text:
-        return np.zeros(0, np.uint16)
-    ids = _encoding(name)
-    parts = [np.asarray(ids.encode_ordinary(p), dtype=np.uint16) for p in pieces(text)]
-    return np.concatenate([*parts, np.array([END], np.uint16)])
+        return b""
+    ids = array("H")
+    for p in pieces(text):
+        ids.extend(_encoding(name).encode_ordinary(p))
+    ids.append(END)
+    if sys.byteorder == "big":
+        ids.byteswap()
+    return ids.tobytes()
 
 
 def feistel(numbers: np.ndarray, domain: int, key: str = KEY, rounds: int = ROUNDS) -> np.ndarray:
@@ -102,15 +110,27 @@ def first_numbers(lengths: DataFrame) -> tuple[DataFrame, int, int]:
     return starts.select("_id", "_hash", (F.col("_offset") + F.col("_before")).alias("start"), "copies"), int(size["all"] or 0), int(size["most"] or 0)
 
 
-def _sequences(name: str, length: int, total: int, key: str):
+def _encoded(name: str, length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = [encode(t, name) for t in batch.column(3).to_pylist()]
+            seqs = [-(-len(t) // (length * ID_BYTES)) for t in tokens]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(seqs, pa.int64()), pa.array(tokens, pa.binary())],
+                names=["doc_id", "_id", "_hash", "n_seqs", "ids"])
+
+    return run
+
+
+def _sequences(length: int, total: int, key: str):
     names = ["slot", "doc_id", "seq", "n_tokens", "tokens"]
+    step = length * ID_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, seqs, counts, payload, numbers = [], [], [], [], []
-            for id_, text, start, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = encode(text, name)
-                parts = [tokens[at : at + length].astype("<u2").tobytes() for at in range(0, len(tokens), length)]
+            for id_, tokens, start, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                parts = [tokens[at : at + step] for at in range(0, len(tokens), step)]
                 for copy in range(copies):
                     numbers.extend(range(start + copy * len(parts), start + (copy + 1) * len(parts)))
                     ids.extend([id_] * len(parts))
@@ -130,22 +150,18 @@ def training_order(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", le
     (little-endian ids, without the padding), partitioned by shard and sorted by slot."""
     small_batches(docs.sparkSession)
 
-    @F.arrow_udf("long")
-    def sequences_of(texts: pa.Array) -> pa.Array:
-        return pa.array([-(-len(encode(t, tokenizer)) // length) for t in texts.to_pylist()], pa.int64())
-
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"),
         F.xxhash64("text").alias("_hash"), "text").filter("text <> ''")
-    lengths = rows.select("_id", "_hash", sequences_of("text").alias("n")).groupBy("_id", "_hash").agg(
-        F.max("n").alias("n_seqs"), F.count(F.lit(1)).alias("copies"))
+    rows = materialize(rows.mapInArrow(_encoded(tokenizer, length), "doc_id long, _id long, _hash long, n_seqs long, ids binary"))
+    lengths = rows.groupBy("_id", "_hash").agg(F.max("n_seqs").alias("n_seqs"), F.count(F.lit(1)).alias("copies"))
     starts, total, most = first_numbers(lengths)
     starts, _ = size_checked(starts, 500_000)
     once = rows.dropDuplicates(["_id", "_hash"]) if most > 1 else rows
-    numbered = once.join(starts, ["_id", "_hash"]).select("doc_id", "text", "start", "copies")
+    numbered = once.join(starts, ["_id", "_hash"]).select("doc_id", "ids", "start", "copies")
     per_shard = max(1, min(shard_sequences, -(-total // MIN_SHARDS)))
     stride = length * ID_BYTES
-    out = numbered.mapInArrow(_sequences(tokenizer, length, max(total, 1), key), "slot long, doc_id long, seq long, n_tokens long, tokens binary")
+    out = numbered.mapInArrow(_sequences(length, max(total, 1), key), "slot long, doc_id long, seq long, n_tokens long, tokens binary")
     out = out.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long")).withColumn("byte_offset", (F.col("slot") % per_shard) * stride)
     return out.select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "tokens").repartition("shard").sortWithinPartitions("slot")
 
