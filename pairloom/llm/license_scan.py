@@ -7,8 +7,8 @@ anchors are aligned in the same way.  Gaps without anchors take their common
 head and tail.  Coverage is the share of template words that are matched.
 
 A text is looked at only where a template's words stand close together:
-windows of about twice the template's length, half overlapping, that hold
-``NEAR`` of its distinct words.  That is a filter on position lists, so most
+windows somewhat longer than the template that begin with one of its words and
+hold ``NEAR`` of its distinct words.  That is a filter on position lists, so most
 texts cost one set intersection.
 
 Defined results: a null or empty text has no match; overlapping matches of a
@@ -110,20 +110,13 @@ def align(template: list[str], text: list[str], a: int, b: int, c: int, d: int)
 
 
 def windows(positions: list[int], words: list[str], size: int, distinct: int, total: int):
-    """(start, end) word ranges that hold ``distinct`` different template words."""
-    step = max(1, size // 2)
-    done = -1
-    for p in positions:
-        start = max(0, (p // step) * step - step)
-        if start <= done:
-            continue
-        for at in (start, start + step):
-            if at <= done:
-                continue
-            done = at
-            lo, hi = bisect_left(positions, at), bisect_left(positions, at + size)
-            if len({words[k] for k in positions[lo:hi]}) >= distinct:
-                yield at, min(total, at + size)
+    """(start, end) word ranges that begin with a template word and hold ``distinct`` different ones."""
+    hi = 0
+    for lo, p in enumerate(positions):
+        while hi < len(positions) and positions[hi] < p + size:
+            hi += 1
+        if hi - lo >= distinct and len({words[k] for k in positions[lo:hi]}) >= distinct:
+            yield p, min(total, p + size)
 
 
 class Scanner:
@@ -143,19 +136,18 @@ class Scanner:
         words = _WORD.findall(lower)
         vocabulary = set(words)
         found = []
-        spans: list[tuple[int, int]] = []
         for name, template, known in self.templates:
             need = -(-len(known) * int(NEAR * 100) // 100)
             if len(known & vocabulary) < need:
                 continue
             positions = [i for i, w in enumerate(words) if w in known]
             best = []
-            for lo, hi in windows(positions, words, 2 * len(template) + 8, need, len(words)):
+            for lo, hi in windows(positions, words, len(template) + len(template) // 4 + 3, need, len(words)):
                 pairs = align(template, words, 0, len(template), lo, hi)
                 if len(pairs) >= self.coverage * len(template):
-                    best.append((-len(pairs), pairs[0][1], pairs[-1][1]))
+                    best.append((-len(pairs), pairs[-1][1] - pairs[0][1], pairs[0][1], pairs[-1][1]))
             taken: list[tuple[int, int]] = []
-            for missed, first, last in sorted(best):
+            for missed, _, first, last in sorted(best):
                 if all(last < x or first > y for x, y in taken):
                     taken.append((first, last))
                     found.append((name, -missed, len(template), first, last))

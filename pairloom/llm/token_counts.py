@@ -58,7 +58,7 @@ def pieces(text: str, size: int = PIECE_CHARS) -> list[str]:
     """``text`` in parts of about ``size`` characters, cut at safe boundaries only."""
     out, at = [], 0
     while len(text) - at > size:
-        found = _CUT.search(text, at + size - 1)
+        found = _CUT.search(text, at + max(size, 2) - 1)
         if not found:
             break
         out.append(text[at : found.start()])
