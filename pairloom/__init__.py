@@ -1,0 +1 @@
+"""Text-pair analytics on PySpark: cleaning, pairing, lexicons, audits and scores."""

@@ -1,0 +1 @@
+"""Column functions: text normalisation, tokenizers, rules and similarities."""

@@ -1,4 +1,16 @@
-"""All registered queries of the engine and their SQL twins."""
+"""All registered queries of the engine and their DuckDB twins.
 
-QUERIES = {}
-SQL = {}
+Roles of the driver tables: ``documents`` are comments or news (group: source),
+``benchmark`` is held-out text, ``labels`` are reviewed labels, ``part`` and
+``customer`` names are vocabularies, ``events`` is an append-only log.
+"""
+
+from __future__ import annotations
+
+from . import evaluation, lexicons, selection, texts
+
+QUERIES: dict = {}
+SQL: dict = {}
+for _module in (texts, selection, lexicons, evaluation):
+    QUERIES.update(_module.QUERIES)
+    SQL.update(_module.SQL)
