@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import fuzzy, generate, lexicon
+from ..operators import annotation, fuzzy, generate, lexicon, linguistic, suggest
 from .registry import registry, sql_alpha, table
 
 QUERIES, SQL, query = registry()
@@ -180,3 +180,51 @@ def vector_similarity(spark, sf_dir):
     a = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"), (F.col("vec_id") + F.col("label") + 1).alias("b"))
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
     return a.join(b, ["b", "label"]).select("a", "b", S.cosine(F.col("x"), F.col("y")).alias("similarity"))
+
+
+@query()
+def token_suggestions(spark, sf_dir):
+    """The suggestion ladder over the held-out texts' tokens."""
+    tokens = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"), "alpha")).alias("token")).distinct()
+    counted = lexicon.term_counts(_words(spark, sf_dir).filter("lang = 'en'"), F.col("w")).filter("count >= 20").select(F.col("token").alias("word"))
+    foreign = lexicon.term_counts(_words(spark, sf_dir).filter("lang = 'fr'"), F.col("w")).filter("count >= 20").select(F.col("token").alias("word"))
+    out = suggest.suggest(tokens, counted, foreign, spark.createDataFrame([], "word string"))
+    return out.select("token", "category", "suggestion", "accepted", F.size(F.coalesce("candidates", F.array().cast("array<struct<score:double,word:string>>"))).alias("n_candidates"))
+
+
+_LISTED = f"SELECT w, count(*) AS n, lang FROM (SELECT lang, unnest({sql_alpha('text')}) AS w FROM documents) GROUP BY ALL"
+
+
+@query(f"""
+WITH c AS ({_LISTED}), a AS (SELECT w FROM c WHERE lang = 'en' AND n >= 20), b AS (SELECT w FROM c WHERE lang = 'fr' AND n >= 20), r AS (SELECT w FROM c WHERE lang = 'fr' AND n >= 60),
+t AS (SELECT DISTINCT unnest({sql_alpha('text')}) AS token FROM benchmark)
+SELECT token, CASE WHEN token IN (SELECT w FROM a) AND token NOT IN (SELECT w FROM b) THEN 'formal' WHEN token IN (SELECT w FROM b) AND token NOT IN (SELECT w FROM a) AND token IN (SELECT w FROM r) THEN 'foreign_substituted'
+  WHEN token IN (SELECT w FROM b) AND token NOT IN (SELECT w FROM a) THEN 'foreign_native' WHEN token IN (SELECT w FROM a) AND token IN (SELECT w FROM b) THEN 'ambiguous_cognate' ELSE 'informal' END AS category FROM t""")
+def token_categories(spark, sf_dir):
+    tokens = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"), "alpha")).alias("token")).distinct()
+    counted = _words(spark, sf_dir).select("lang", F.explode("w").alias("word")).groupBy("lang", "word").count()
+    pick = lambda lang, n: counted.filter((F.col("lang") == lang) & (F.col("count") >= n)).select("word")
+    return suggest.classify(tokens, pick("en", 20), pick("fr", 20), pick("fr", 60).withColumnRenamed("word", "src"))
+
+
+@query()
+def reversed_sentences(spark, sf_dir):
+    """Spelled-down names mapped back towards the vocabulary."""
+    made = generate.rule_pairs(generate.formal_sources(table(spark, sf_dir, "part"), "p_name", "p_partkey"))
+    words, _ = _vocabulary(spark, sf_dir)
+    nothing = spark.createDataFrame([], "src string, tgt string, p double")
+    return suggest.reverse_sentences(made, "source_row", "informal", words, spark.createDataFrame([], "word string"), nothing)
+
+
+@query()
+def evidence_pairs(spark, sf_dir):
+    """Learned mappings and templates put into sentences within their budgets."""
+    made = generate.rule_pairs(generate.formal_sources(table(spark, sf_dir, "part"), "p_name", "p_partkey"))
+    both = made.select("source_row", F.arrays_zip(F.split("formal", " ").alias("f"), F.split("informal", " ").alias("i")).alias("z"), "error_types").select("source_row", F.explode("z").alias("z"), "error_types")
+    evidence = both.select("source_row", F.col("z.f").alias("formal_token"), F.col("z.i").alias("informal_token"), F.lit("X").alias("pos"), "error_types").filter("formal_token is not null and informal_token is not null")
+    sentences = made.select("source_id", "source_row", "formal", F.split("formal", " ").alias("tokens"))
+    tagged = sentences.select("source_id", F.posexplode("tokens").alias("at", "token")).withColumn("pos", F.lit("X"))
+    found = linguistic.mapping_candidates(sentences, annotation.learn_mappings(evidence, "source_row", 2)).unionByName(
+        linguistic.template_candidates(tagged, annotation.learn_templates(evidence, 2)))
+    budgets = sentences.select("source_id", F.lit(1).alias("budget"))
+    return linguistic.evidence_pairs(sentences, found, budgets).drop("applied_rules")
