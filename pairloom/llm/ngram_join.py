@@ -9,15 +9,19 @@ linked with nothing).  Two documents link when ``100 * intersection >= percent
 2. Routing: a class goes to the shingles of its prefix, the part that any link
    must share under one order of all shingles.  The order puts the corpus's
    frequent shingles last, so shared lines and passages bring nobody together.
-   Shingles with the same classes keep one of them.
+   A shingle's classes fall into runs of sizes that can link, and of the groups
+   with the same classes one is kept.
 3. Inside each routed group stands a signature tree: nodes hold the
    OR-combined shingle bitmaps and the size range of their members.  A dual
    traversal prunes node pairs by the largest possible overlap, by sizes, and
-   where both sides are connected already; leaves are verified on whole sets.
-   A group of more than ``TILE`` classes is split into tiles, and each pair of
-   tiles is a task of its own, so no group has to fit into one.
-4. A group answers with at most one edge a member, never with all pairs, and
-   components come from alternating star contractions.
+   where both sides are connected already.  Pairs that stay open connect into
+   candidate clusters.
+4. Each class's whole set travels once, to its cluster, where a second tree
+   verifies the open pairs of its leaves exactly.
+5. A group of more than ``TILE`` classes is split into tiles, and each pair of
+   tiles is a task of its own, so no group has to fit into one.  A group
+   answers with at most one edge a member, never with all pairs, and components
+   come from alternating star contractions.
 
 Shingles and sets are 64-bit keys.  For equal keys of different sets among
 n classes the odds are n*n / 2**65.
@@ -32,7 +36,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -40,13 +43,30 @@ from pyspark.sql import functions as F
 
 from .common import materialize, salted_left_join, size_checked, small_batches
 
-#: Most classes of a group that one task holds; bits of a member's bitmap; leaf size.
-TILE, BITS, LEAF = 1024, 1024, 8
+#: Most classes of a group that one task holds; least bits of a bitmap; leaf size.
+TILE, BITS, LEAF = 512, 512, 8
 #: Frequent shingles that the order puts last: at most so many, the most frequent.
-HEAVY = 100_000
-#: A shingle is reported by a task if at least so many of its documents have it, and one in SHARE.
-LOCAL, SHARE = 4, 1000
-_MULT, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+HEAVY = 500_000
+#: A shingle is reported by a task if at least so many of its classes have it, and one in SHARE.
+LOCAL, SHARE = 3, 4000
+_BASE = 0x9E3779B97F4A7C15
+_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, ``n`` of each at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        _POWERS[:] = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            table = np.ones(size, np.uint64)
+            done = 1
+            while done < size:
+                table[done : 2 * done] = table[:done] * np.uint64(pow(base, done, 1 << 64))
+                done *= 2
+            _POWERS.append(table)
+    return _POWERS[0], _POWERS[1]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -55,46 +75,69 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], n: int, chunk: int = 4 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], n: int, chunk: int = 2 << 20) -> Iterator[np.ndarray]:
     """Sorted distinct shingle keys of each text."""
-    held: list[list[bytes]] = []
+    held: list[bytes] = []
     size = 0
     for text in texts:
-        held.append((text or "").encode("utf-8", "surrogatepass").lower().split())
-        size += len(text or "")
+        held.append(b" ".join((text or "").encode("utf-8", "surrogatepass").lower().split()))
+        size += len(held[-1]) + 1
         if size >= chunk:
             yield from _sets(held, n)
             held, size = [], 0
     yield from _sets(held, n)
 
 
-def _sets(docs: list[list[bytes]], n: int) -> Iterator[np.ndarray]:
-    lengths = [len(d) for d in docs]
-    flat = np.empty(sum(lengths), dtype=object)
-    at = 0
-    for d in docs:
-        flat[at : at + len(d)] = d
-        at += len(d)
-    codes, unique = pd.factorize(flat)
-    keys = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in unique), dtype=np.uint64, count=len(unique))
-    words = keys[codes] if len(unique) else np.zeros(0, np.uint64)
-    rolled = np.zeros(max(0, len(words) - n + 1), np.uint64)
+def _sets(docs: list[bytes], n: int) -> Iterator[np.ndarray]:
+    """A shingle is a stretch of bytes; its key comes from running sums of byte * base**position."""
+    if not docs:
+        return
+    raw = np.frombuffer(b" ".join(docs) + b" ", np.uint8)
+    powers, inverse = _powers(len(raw) + 1)
     with np.errstate(over="ignore"):
-        for k in range(n):
-            rolled = rolled * _MULT + words[k : k + len(rolled)]
-        rolled = _mix(rolled + np.uint64(n))
-        at = 0
-        for length in lengths:
-            if not length:
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[: len(raw)], out=sums[1:])
+        ends = np.flatnonzero(raw == 32)
+        at = word = 0
+        for doc in docs:
+            stop = at + len(doc)
+            if not doc:
+                word += 1  # the blank that follows an empty text ends no word
+                at = stop + 1
                 yield np.zeros(0, np.uint64)
-            elif length < n:
-                short = np.uint64(0)
-                for w in words[at : at + length]:
-                    short = short * _MULT + w
-                yield _mix(np.array([short + np.uint64(length)], np.uint64))
+                continue
+            count = doc.count(b" ") + 1
+            mine = ends[word : word + count]
+            starts = np.empty(count, np.int64)
+            starts[0] = at
+            starts[1:] = mine[:-1] + 1
+            if count < n:
+                starts, mine = starts[:1], mine[-1:]
             else:
-                yield np.unique(rolled[at : at + length - n + 1])
-            at += length
+                starts, mine = starts[: count - n + 1], mine[n - 1 :]
+            keys = np.sort(_mix((sums[mine] - sums[starts]) * inverse[starts] + np.uint64(min(count, n))))
+            fresh = np.ones(len(keys), bool)
+            fresh[1:] = keys[1:] != keys[:-1]
+            yield keys[fresh]
+            word += count
+            at = stop + 1
+
+
+def width(n: int) -> int:
+    """Bits of a bitmap: a power of two of at least the set's size."""
+    return max(BITS, 1 << (n - 1).bit_length())
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    bits = width(len(shingles))
+    row = np.zeros(bits, np.uint8)
+    row[(shingles & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(row, bitorder="little").view(np.uint64)
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """A wider bitmap as the narrower one of the same set."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
 
 
 def class_key(shingles: np.ndarray) -> int:
@@ -109,11 +152,15 @@ def _texts(batch: pa.RecordBatch) -> list[str | None]:
     return batch.column(1).to_pylist()
 
 
+NAMES = ["id", "n_shingles", "cls", "bits", "token", "docs"]
+
+
 def _describe(n: int):
     """Arrow pass: (id, n_shingles, cls) of every document, and the shingles frequent in the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: list[np.ndarray] = []
+        met: set[int] = set()
         docs = held = 0
 
         def frequent() -> pa.RecordBatch:
@@ -121,27 +168,32 @@ def _describe(n: int):
             often = counts >= max(LOCAL, docs // SHARE)
             m = int(often.sum())
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(keys[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))],
-                names=["id", "n_shingles", "cls", "token", "docs"])
+                [pa.nulls(m, kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(keys[often].astype(np.int64)), pa.array(counts[often].astype(np.int64))],
+                names=NAMES)
 
         kind = pa.int64()
         for batch in batches:
             kind = batch.schema.field(0).type
-            sizes, classes = [], []
+            sizes, classes, bits = [], [], []
             for s in shingle_sets(_texts(batch), n):
                 sizes.append(len(s))
                 classes.append(class_key(s) if len(s) else None)
+                bits.append(bitmap(s).tobytes() if len(s) else None)
+                if classes[-1] in met:
+                    continue
+                met.add(classes[-1])
                 seen.append(s)
                 docs += 1
                 held += len(s)
                 if held >= 4 << 20:
                     yield frequent()
                     seen.clear()
+                    met.clear()
                     docs = held = 0
             m = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
-                names=["id", "n_shingles", "cls", "token", "docs"])
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.int64()), pa.array(bits, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
+                names=NAMES)
         if seen:
             yield frequent()
 
@@ -149,12 +201,12 @@ def _describe(n: int):
 
 
 def _postings(n: int, percent: int, heavy: np.ndarray):
-    """Arrow pass: (token, cls, heavy) for the prefix of every class that the task meets."""
+    """Arrow pass: (token, cls, n_shingles, heavy) for the prefix of every class that the task meets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
         for batch in batches:
-            tokens, owners, often = [], [], []
+            tokens, owners, often, sizes = [], [], [], []
             for s in shingle_sets(_texts(batch), n):
                 if not len(s):
                     continue
@@ -169,10 +221,11 @@ def _postings(n: int, percent: int, heavy: np.ndarray):
                 tokens.append(s[order])
                 often.append(flag[order])
                 owners.append(np.full(len(order), key, np.int64))
+                sizes.append(np.full(len(order), len(s), np.int32))
             if tokens:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(often))],
-                    names=["token", "cls", "heavy"])
+                    [pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(often))],
+                    names=["token", "cls", "n", "heavy"])
 
     return run
 
@@ -182,26 +235,27 @@ def _whole_sets(n: int):
         for batch in batches:
             sets = list(shingle_sets(_texts(batch), n))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([class_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "keys"])
+                [pa.array([class_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "data"])
 
     return run
 
 
 class SignatureTree:
-    """Members sorted by size; a node is a range of them with an OR bitmap and a size range."""
+    """Members sorted by size; a node is a range of them with an OR bitmap and a size range.
 
-    def __init__(self, sets: list[np.ndarray], percent: int):
+    With ``sets`` the leaves verify pairs exactly; without, every pair that the
+    bitmaps leave open counts as linked, which gives candidate clusters.
+    """
+
+    def __init__(self, n: list[int], bits: np.ndarray, percent: int, sets: list[np.ndarray] | None = None):
         self.percent = percent
-        self.order = sorted(range(len(sets)), key=lambda i: (len(sets[i]), int(sets[i][0])))
-        self.sets = [sets[i] for i in self.order]
-        self.n = np.array([len(s) for s in self.sets], np.int64)
-        self.bits = np.zeros((len(sets), BITS // 64), np.uint64)
-        for row, s in zip(self.bits, self.sets, strict=True):
-            bit = s & np.uint64(BITS - 1)
-            np.bitwise_or.at(row, (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
+        self.order = sorted(range(len(n)), key=lambda i: (n[i], bits[i].tobytes()))
+        self.sets = None if sets is None else [sets[i] for i in self.order]
+        self.n = np.array([n[i] for i in self.order], np.int64)
+        self.bits = bits[self.order]
         self.slack = self.n - np.bitwise_count(self.bits).sum(1).astype(np.int64)
         self.nodes: dict[tuple[int, int], tuple] = {}
-        self.root = list(range(len(sets)))
+        self.root = list(range(len(n)))
 
     def node(self, lo: int, hi: int) -> tuple:
         if (lo, hi) not in self.nodes:
@@ -226,14 +280,14 @@ class SignatureTree:
         most = min(a[2], b[2], a[3] + both, b[3] + both)
         return most * (100 + self.percent) < self.percent * (a[1] + b[1])
 
-    def links(self, side: list[int] | None = None) -> list[int]:
+    def links(self, *side: list[int]) -> list[int]:
         """Roots of the members, in the callers' order, after the dual traversal.
 
-        With ``side``, only pairs of different sides are compared.
+        Only pairs that differ in every given ``side`` are compared.
         """
-        sides = None if side is None else np.array([side[i] for i in self.order])
-        whole = (0, len(self.sets))
-        stack = [(whole, whole)] if len(self.sets) > 1 else []
+        sides = [np.array([x[i] for i in self.order]) for x in side]
+        whole = (0, len(self.n))
+        stack = [(whole, whole)] if len(self.n) > 1 else []
         while stack:
             a, b = stack.pop()
             if self.hopeless(self.node(*a), self.node(*b)) or self.joined(a, b):
@@ -249,18 +303,18 @@ class SignatureTree:
                 wide, other = (a, b) if a[1] - a[0] >= b[1] - b[0] else (b, a)
                 mid = (wide[0] + wide[1]) // 2
                 stack += [((wide[0], mid), other), ((mid, wide[1]), other)]
-        out = [0] * len(self.sets)
+        out = [0] * len(self.n)
         for at, i in enumerate(self.order):
             out[i] = self.order[self.find(at)]
         return out
 
-    def leaves(self, a: tuple[int, int], b: tuple[int, int], sides: np.ndarray | None) -> None:
+    def leaves(self, a: tuple[int, int], b: tuple[int, int], sides: list[np.ndarray]) -> None:
         both = np.bitwise_count(self.bits[a[0] : a[1], None] & self.bits[None, b[0] : b[1]]).sum(2).astype(np.int64)
         na, nb = self.n[a[0] : a[1], None], self.n[None, b[0] : b[1]]
         most = np.minimum(self.slack[a[0] : a[1], None] + both, self.slack[None, b[0] : b[1]] + both)
         open_ = most * (100 + self.percent) >= self.percent * (na + nb)
-        if sides is not None:
-            open_ &= sides[a[0] : a[1], None] != sides[None, b[0] : b[1]]
+        for x in sides:
+            open_ &= x[a[0] : a[1], None] != x[None, b[0] : b[1]]
         for i, j in zip(*np.nonzero(open_), strict=True):
             i, j = int(i) + a[0], int(j) + b[0]
             if i == j:
@@ -268,31 +322,55 @@ class SignatureTree:
             x, y = self.find(i), self.find(j)
             if x == y:
                 continue
-            shared = len(np.intersect1d(self.sets[i], self.sets[j], assume_unique=True))
-            if 100 * shared >= self.percent * (len(self.sets[i]) + len(self.sets[j]) - shared):
+            if self.sets is None or linked(self.sets[i], self.sets[j], self.percent):
                 self.root[max(x, y)] = min(x, y)
 
 
-def group_edges(keys: list[int], sets: list[np.ndarray], percent: int, side: list[int] | None = None) -> list[tuple[int, int]]:
-    """At most one edge a member that together connect what the group's links connect."""
-    if len(sets) == 2:
-        x, y = sets
-        shared = len(np.intersect1d(x, y, assume_unique=True))
-        return [(keys[0], keys[1])] if 100 * shared >= percent * (len(x) + len(y) - shared) else []
-    roots = SignatureTree(sets, percent).links(side)
-    return [(keys[i], keys[r]) for i, r in enumerate(roots) if r != i]
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    at = np.searchsorted(large, small)
+    shared = int((large[np.minimum(at, len(large) - 1)] == small).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def group_edges(keys: list[int], n: list[int], bits: list[np.ndarray], percent: int, side: list[int] | None = None, sets: list[np.ndarray] | None = None) -> list[tuple[int, int]]:
+    """Edges that together connect what the group's pairs connect, at most two a member.
 
+    Members with bitmaps of one width share a tree.  Sizes of linked sets
+    differ by less than half where ``percent`` is above 50, so only
+    neighbouring widths are compared too, the wider folded to the narrower.
+    """
+    by_width: dict[int, list[int]] = {}
+    for i, b in enumerate(bits):
+        by_width.setdefault(len(b), []).append(i)
+    out = []
+    widths = sorted(by_width)
+    for k, w in enumerate(widths):
+        reach = [v for v in widths[k + 1 :] if v == 2 * w or percent <= 50]
+        for v in [w, *reach]:
+            mine = by_width[w] + (by_width[v] if v != w else [])
+            if len(mine) < 2:
+                continue
+            table = np.stack([bits[i] if len(bits[i]) == w else folded(bits[i], w) for i in mine])
+            sides = [[len(bits[i]) for i in mine]] if v != w else []
+            if side is not None:
+                sides.append([side[i] for i in mine])
+            tree = SignatureTree([n[i] for i in mine], table, percent, None if sets is None else [sets[i] for i in mine])
+            out += [(keys[mine[i]], keys[mine[r]]) for i, r in enumerate(tree.links(*sides)) if r != i]
+    return out
 
-def _group_links(percent: int):
-    """Arrow pass over rows sorted by (token, tile_a, tile_b): the edges of each group."""
+
+def _group_links(percent: int, exact: bool):
+    """Arrow pass over rows sorted by (grp, tile_a, tile_b): the edges of each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, sets, sides = None, [], [], []
+        now, held = None, []
         out: list[tuple[int, int]] = []
 
         def close() -> None:
-            if len(keys) > 1:
-                out.extend(group_edges(keys, sets, percent, None if now[1] == now[2] else sides))
+            if len(held) > 1:
+                keys, tiles, n, bits, sets = zip(*held, strict=True)
+                out.extend(group_edges(list(keys), list(n), list(bits), percent, None if now[1] == now[2] else list(tiles), list(sets) if exact else None))
 
         def emit() -> pa.RecordBatch:
             batch = pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], names=["a", "b"])
@@ -300,14 +378,17 @@ def _group_links(percent: int):
             return batch
 
         for batch in batches:
-            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("token", "tile_a", "tile_b", "cls", "tile", "keys")]
-            for token, ta, tb, key, tile, raw in zip(*cols, strict=True):
-                if (token, ta, tb) != now:
+            names = ("grp", "tile_a", "tile_b", "cls", "tile", "data") + (() if exact else ("n_shingles",))
+            cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
+            for group, ta, tb, key, tile, data, *n in zip(*cols, strict=True):
+                if (group, ta, tb) != now:
                     close()
-                    now, keys, sets, sides = (token, ta, tb), [], [], []
-                keys.append(key)
-                sets.append(np.frombuffer(raw, np.uint64))
-                sides.append(tile)
+                    now, held = (group, ta, tb), []
+                if exact:
+                    keys = np.frombuffer(data, np.uint64)
+                    held.append((key, tile, len(keys), bitmap(keys), keys))
+                else:
+                    held.append((key, tile, n[0], np.frombuffer(data, np.uint64), None))
             if out:
                 yield emit()
         close()
@@ -317,6 +398,19 @@ def _group_links(percent: int):
     return run
 
 
+def _tiled(members: DataFrame) -> DataFrame:
+    """(grp, cls, members) -> one row for every pair of tiles that a member takes part in."""
+    placed = members.withColumn("tiles", F.ceil(F.col("members") / F.lit(TILE)).cast("int"))
+    placed = placed.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
+    return placed.select("grp", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), "cls", "tile")
+
+
+def _edges(placed: DataFrame, percent: int, exact: bool) -> DataFrame:
+    groups = placed.repartition("grp", "tile_a", "tile_b").sortWithinPartitions("grp", "tile_a", "tile_b", "cls")
+    return materialize(groups.mapInArrow(_group_links(percent, exact), "a long, b long").distinct())
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component, by alternating large and small stars.
 
@@ -347,43 +441,64 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def frequent_shingles(described: DataFrame) -> np.ndarray:
+    """The most frequent shingles, ``HEAVY`` at most: all above the count that so many reach.
+
+    A histogram of the counts finds that count, so nothing is sorted.
+    """
+    totals = materialize(described.filter("token is not null").groupBy("token").agg(F.sum("docs").alias("docs")))
+    room, least = HEAVY, None
+    for r in totals.groupBy("docs").count().orderBy(F.desc("docs")).limit(100_000).toLocalIterator():
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["docs"]
+    if least is None:
+        return np.zeros(0, np.uint64)
+    return np.sort(totals.filter(F.col("docs") >= least).select("token").toArrow().column(0).to_numpy().astype(np.uint64))
+
+
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    described = materialize(plain.mapInArrow(_describe(words), "id long, n_shingles long, cls long, token long, docs long"))
+    described = materialize(plain.mapInArrow(_describe(words), "id long, n_shingles long, cls long, bits binary, token long, docs long"))
     rows = described.filter("token is null").select("id", "n_shingles", "cls")
-    often = described.filter("token is not null").groupBy("token").agg(F.sum("docs").alias("docs")).orderBy(F.desc("docs"), "token").limit(HEAVY)
-    heavy = np.sort(np.array([r["token"] for r in often.collect()], np.int64).astype(np.uint64))
+    heavy = frequent_shingles(described)
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("docs"))
-
-    postings = materialize(plain.mapInArrow(_postings(words, percent, heavy), "token long, cls long, heavy boolean"))
-    # rare shingles: their groups are small, so one exchange by shingle serves the distinct and the counts
-    rare = postings.filter("not heavy").select("token", "cls").repartition("token").groupBy("token", "cls").agg(F.lit(1).alias("_one"))
-    near = Window.partitionBy("token")
+    signatures = described.filter("cls is not null").select("cls", "n_shingles", F.col("bits").alias("data")).dropDuplicates(["cls"])
+
+    postings = materialize(plain.mapInArrow(_postings(words, percent, heavy), "token long, cls long, n int, heavy boolean"))
+    # rare shingles: their groups are small, so one exchange by shingle serves all that
+    # follows; a group falls into runs of sizes that can link
+    rare = postings.filter("not heavy").select("token", "cls", "n").repartition("token").groupBy("token", "cls").agg(F.max("n").alias("n"))
+    gap = F.lag("n").over(Window.partitionBy("token").orderBy("n", "cls")) * 100 < percent * F.col("n")
+    rare = rare.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int"))
+    rare = rare.withColumn("run", F.sum("_gap").over(Window.partitionBy("token").orderBy("n", "cls").rowsBetween(Window.unboundedPreceding, 0)))
+    near = Window.partitionBy("token", "run")
     sums = [F.count(F.lit(1)), F.sum(F.xxhash64("cls", F.lit(1)) % (1 << 40)), F.sum(F.xxhash64("cls", F.lit(2)) % (1 << 40))]
     names = ["members", "sum_a", "sum_b"]
-    rare = rare.select("token", "cls", *[c.over(near).alias(n) for c, n in zip(sums, names, strict=True)]).filter("members > 1")
+    rare = rare.select(F.xxhash64("token", "run").alias("grp"), "cls", *[c.over(near).alias(n) for c, n in zip(sums, names, strict=True)]).filter("members > 1")
     # frequent shingles: pre-aggregated, and joined back with salts
-    full = postings.filter("heavy").select("token", "cls").distinct()
-    totals = full.groupBy("token").agg(*[c.alias(n) for c, n in zip(sums, names, strict=True)])
-    full = salted_left_join(full, totals, "token", F.col("cls")).filter("members > 1").select("token", "cls", *names)
+    full = postings.filter("heavy").select(F.col("token").alias("grp"), "cls").distinct()
+    totals = full.groupBy("grp").agg(*[c.alias(n) for c, n in zip(sums, names, strict=True)])
+    full = salted_left_join(full, totals, "grp", F.col("cls")).filter("members > 1").select("grp", "cls", *names)
     members = materialize(rare.unionByName(full))
-    # of the shingles that bring the same classes together, one is enough
-    kept = members.groupBy(*names).agg(F.min("token").alias("token")).select("token", F.lit(True).alias("kept"))
-    members = salted_left_join(members, kept, "token", F.col("cls")).filter("kept").select("token", "cls", "members")
-    members = materialize(members)
-
-    wanted = members.select("cls").distinct().join(classes, "cls").select(F.col("rep").alias("id"))
+    # of the groups that bring the same classes together, one is enough
+    kept = members.groupBy(*names).agg(F.min("grp").alias("grp")).select("grp", F.lit(True).alias("kept"))
+    members = salted_left_join(members, kept, "grp", F.col("cls")).filter("kept").select("grp", "cls", "members")
+
+    # candidate clusters from bitmaps alone; each set then travels once, to its cluster
+    placed = _tiled(members).join(signatures, "cls")
+    clusters = components(_edges(placed, percent, exact=False))
+    clusters = clusters.select(F.col("node").alias("cls"), F.col("root").alias("grp")).unionByName(clusters.select(F.col("root").alias("cls"), F.col("root").alias("grp")).distinct())
+    sizes = clusters.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+    clusters = materialize(salted_left_join(clusters, sizes, "grp", F.col("cls")))
+    wanted = clusters.select("cls").join(classes, "cls").select(F.col("rep").alias("id"))
     wanted, _ = size_checked(materialize(wanted), 500_000)
-    sets = plain.join(wanted, "id", "left_semi").mapInArrow(_whole_sets(words), "cls long, keys binary")
-    tiles = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
-    placed = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    placed = placed.select("token", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), "cls", "tile")
-    groups = placed.join(sets, "cls").repartition("token", "tile_a", "tile_b").sortWithinPartitions("token", "tile_a", "tile_b", "cls")
-    links = materialize(groups.mapInArrow(_group_links(percent), "a long, b long").distinct())
+    sets = plain.join(wanted, "id", "left_semi").mapInArrow(_whole_sets(words), "cls long, data binary")
+    links = _edges(_tiled(clusters).join(sets, "cls"), percent, exact=True)
 
     by_class = classes.select("cls", "rep")
     ends = links.join(by_class.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(by_class.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b")
