@@ -220,7 +220,9 @@ def reconstruct(payload: Column) -> Column:
 
 
 def suggestion_action(source: Column, suggestion: Column, final: Column) -> Column:
-    return F.when(collapse(final) == collapse(source), "kept_source").when(collapse(final) == collapse(suggestion), "accepted_suggestion").otherwise("edited")
+    """What an annotator did with a suggestion; case and blanks do not count."""
+    same = lambda a, b: casefold(collapse(a)) == casefold(collapse(b))
+    return F.when(same(final, source), "kept_source").when(same(final, suggestion), "accepted_suggestion").otherwise("edited")
 
 
 def strict_boolean(text: Column) -> Column:

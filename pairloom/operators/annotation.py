@@ -10,7 +10,7 @@ from ..functions import text as T
 from . import audit, order
 
 #: Closed vocabularies of the annotation schema.
-STATUSES = ("keep", "skip", "unsure", "todo")
+STATUSES = ("keep", "discard_false_positive", "discard_uninteresting", "skip_uncertain")
 TOKEN = "array<struct<token:string,category:string,selected_candidate:string,final_correction:string,sentence_target:string>>"
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import annotation, audit, generate, order, report
+from ..operators import annotation, audit, corpus, generate, order, report
 from ..sources import writers
 from ..streaming import log
 from .registry import registry, sql_canonical, sql_compact, sql_key, sql_usable, table
@@ -219,3 +219,54 @@ def learned_corrections(spark, sf_dir):
 @query("SELECT lang, source, count(*) AS rows, count(DISTINCT doc_id) AS documents, CAST(sum(length(text)) AS BIGINT) AS characters FROM documents GROUP BY lang, source")
 def corpus_summary(spark, sf_dir):
     return report.corpus_summary(table(spark, sf_dir, "documents"), ["lang", "source"], "doc_id", "text")
+
+
+def _corpus_parts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row"), "text", F.col("source").alias("document"))
+    return docs.filter("row % 4 <> 0"), docs.filter("row % 4 = 0"), table(spark, sf_dir, "benchmark").select("text"), spark.createDataFrame([("src3",)], "document string")
+
+
+@query()
+def pretraining_corpus(spark, sf_dir):
+    """Segments of comments and news without leaks and repeats, split by document."""
+    return corpus.build_corpus(*_corpus_parts(spark, sf_dir))
+
+
+@query("SELECT 0 AS repeated, 0 AS crossing, 0 AS leaked, true AS short")
+def corpus_invariants(spark, sf_dir):
+    """No repeated text, no document in two splits, no held-out text, no long segment."""
+    made = pretraining_corpus(spark, sf_dir)
+    gold = table(spark, sf_dir, "benchmark").select(T.canonical_text(F.col("text")).alias("canonical"))
+    repeated = made.groupBy("canonical").count().filter("count > 1").agg(F.count(F.lit(1)).alias("repeated"))
+    crossing = made.groupBy("domain", "document_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("crossing"))
+    leaked = made.join(gold.distinct(), "canonical", "left_semi").agg(F.count(F.lit(1)).alias("leaked"))
+    short = made.agg((F.max(F.length("text")) <= 240).alias("short"))
+    parts = [x.withColumn("_k", F.lit(1)) for x in (repeated, crossing, leaked, short)]
+    return parts[0].join(parts[1], "_k").join(parts[2], "_k").join(parts[3], "_k").drop("_k")
+
+
+@query()
+def selector_scores(spark, sf_dir):
+    """A content selector fitted on labelled texts, scoring all texts."""
+    docs = table(spark, sf_dir, "documents")
+    labelled = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("toxic").alias("label"))
+    return docs.select("doc_id", F.round(corpus.select_score(F.col("text"), corpus.fit_selector(labelled)), 4).alias("score"))
+
+
+@query("SELECT lang AS method, text AS target_text FROM (SELECT lang, text, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) AS r FROM documents) WHERE r = 1 AND text IN (SELECT text FROM documents GROUP BY text HAVING count(DISTINCT lang) = 2)")
+def matched_sets(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("method"), F.col("text").alias("target_text"), F.col("doc_id").alias("source_id"))
+    return corpus.matched_sets(docs, 2, 1000).select("method", "target_text")
+
+
+@query("SELECT 'documents' AS method, count(*) AS rows, count(DISTINCT doc_id) AS distinct_ids, true AS ready FROM documents UNION ALL SELECT 'events', count(*), count(DISTINCT user_id), false FROM events")
+def dataset_status(spark, sf_dir):
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("source_id"))
+    return corpus.dataset_status({"documents": table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id")), "events": events})
+
+
+@query(r"""
+WITH w AS (SELECT doc_id, unnest(string_split(trim(regexp_replace(lower(regexp_replace(text, '[^a-zA-ZÀ-ÿ\s]', '', 'g')), '[\s\p{Z}]+', ' ', 'g')), ' ')) AS w FROM documents)
+SELECT doc_id, CASE WHEN count(*) FILTER (WHERE w IN ('les', 'des', 'que')) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE w IN ('les', 'des', 'que')) / count(*) FILTER (WHERE w <> '') END AS ratio FROM w GROUP BY doc_id""")
+def foreign_ratio(spark, sf_dir):
+    return corpus.foreign_ratio(table(spark, sf_dir, "documents"), "doc_id", "text", spark.createDataFrame([("les",), ("des",), ("que",)], "word string"))

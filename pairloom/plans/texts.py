@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import errors as E
 from ..functions import rules as R
 from ..functions import similarity as S
 from ..functions import text as T
@@ -172,3 +173,19 @@ SELECT p_partkey, array_to_string(list_filter([CASE WHEN contains(lower(p_type),
 def tag_keywords(spark, sf_dir):
     tags = annotation.map_pos(F.col("p_type"), {"steel": "NOUN", "polished": "ADJ", "plated": "VERB"})
     return table(spark, sf_dir, "part").select("p_partkey", F.array_join(tags, ",").alias("tags"))
+
+
+@query()
+def error_hints(spark, sf_dir):
+    """Error types of every rule-made pair, and the primary one."""
+    pairs = generate.rule_pairs(generate.formal_sources(table(spark, sf_dir, "part"), "p_name", "p_partkey"))
+    out = pairs.select("source_row", E.error_types(F.col("informal"), F.col("formal")).alias("types"))
+    return out.select("source_row", F.array_join("types", ",").alias("types"), E.primary_error(F.col("types"), ["identity", "substitution", "insertion"]).alias("primary_type"))
+
+
+@query("SELECT p_partkey, p_type AS sentence FROM part")
+def slot_alignment(spark, sf_dir):
+    """A sentence put at another sentence's token places reads back as itself."""
+    part = table(spark, sf_dir, "part")
+    slots = E.align_to_source(F.split("p_name", " "), F.col("p_type"))
+    return part.select("p_partkey", F.array_join(F.filter(slots, lambda s: s != ""), " ").alias("sentence"))

@@ -120,3 +120,29 @@ def test_booleans(spark):
 def test_nfkc_matches_python(spark):
     text = "ﬁ ① é́ ½"
     assert value(spark, T.unicode_form(F.col("text"), "NFKC"), text) == unicodedata.normalize("NFKC", text)
+
+
+@pytest.mark.parametrize(("informal", "formal", "want"), [
+    ("xam", "xam", ["identity"]), ("XAM", "xam", ["capitalization"]), ("nu", "ñu", ["diacritic"]), ("mangi dem", "mangidem", ["spacing_split"]),
+    ("khol", "xol", ["substitution"]), ("xaaam", "xam", ["repetition", "insertion"]), ("bjr", "bonjour", ["abbreviation", "deletion"]), ("dem!", "dem", ["insertion", "punctuation"]),
+])
+def test_error_types(informal, formal, want):
+    from pairloom.functions.errors import error_types_of
+
+    assert error_types_of(informal, formal) == want
+
+
+def test_slots_read_back():
+    from pairloom.functions.errors import slots_of, spread
+
+    got = slots_of(["dama", "bagn", "ko"], "man dama bañ ko léegi")
+    assert " ".join(got) == "man dama bañ ko léegi" and got[0].startswith("man ") and got[-1].endswith(" léegi")
+    assert spread(3, ["a"]) == ["a", "", ""] and spread(2, ["a", "b", "c"]) == ["a b", "c"] and spread(2, []) == ["", ""]
+
+
+@pytest.mark.parametrize(("response", "want"), [
+    ('```json\n[{"id": 1, "label": true}, {"id": 2, "label": false}]\n```', {1: True, 2: False}), ('[{"id": 1, "label": true}]', None), ('[{"id": "1", "label": true}]', None), ("no", None), (None, None)])
+def test_model_responses(response, want):
+    from pairloom.functions.errors import labels_of
+
+    assert labels_of(response, [1, 2]) == want

@@ -312,3 +312,42 @@ def test_apply_if_unchanged(spark):
     assert rows(annotation.apply_if_unchanged(base, ok, "k", "o", "v")) == [(1, 2, "new")]
     with pytest.raises(ValueError, match="changed"):
         annotation.apply_if_unchanged(base, spark.createDataFrame([(2, "x", "y")], "k long, expected string, value string"), "k", "o", "v")
+
+
+# -- corpus ------------------------------------------------------------------
+
+
+def test_corpus_drops_gold_and_repeats(spark):
+    from pairloom.operators import corpus
+
+    news = spark.createDataFrame([(i, f"sentence number {i} of the news text", f"n{i % 30}") for i in range(90)] + [(150, "GOLD line is here", "n1"), (151, "Sentence number 3 of the news text", "n2")], "row long, text string, document string")
+    comments = spark.createDataFrame([(i, f"comment {i} with words enough", f"v{i % 30}") for i in range(90)] + [(190, "sentence number 1 of the news text", "v1"), (191, "kept out entirely here", "gold")], "row long, text string, document string")
+    gold, documents = spark.createDataFrame([("gold  line, is here",)], "text string"), spark.createDataFrame([("gold",)], "document string")
+    made = corpus.build_corpus(comments, news, gold, documents).collect()
+    assert len(made) == 180 and len({r["canonical"] for r in made}) == 180
+    assert {r["domain"] for r in made} == {"formal", "informal"} and {r["split"] for r in made} == {"train", "dev", "test"}
+    places = {}
+    for r in made:
+        assert places.setdefault((r["domain"], r["document_id"]), r["split"]) == r["split"]
+
+
+def test_selector_separates(spark):
+    from pairloom.operators import corpus
+
+    data = [(f"waaw jàmm rekk {i}", True, f"d{i % 3}") for i in range(15)] + [(f"bonjour merci beaucoup {i}", False, f"d{i % 3}") for i in range(15)]
+    df = spark.createDataFrame(data, "text string, label boolean, document_id string")
+    model = corpus.fit_selector(df)
+    assert model.probability("jàmm rekk") > 0.5 > model.probability("merci")
+    assert corpus.word_grams("ab") == [" ab", "ab ", " ab "]
+    assert corpus.selector_audit(df).first()["precision"] == 1.0
+
+
+def test_training_regimes(spark):
+    from pairloom.operators import corpus
+
+    row = "source_id string, method string, source_text string, target_text string, source_type string"
+    gold = spark.createDataFrame([("g", "gold", "a", "b", "gold")], row)
+    made = spark.createDataFrame([("s", "m", "A ", "b", "synthetic"), ("t", "m", "c", "d", "synthetic")], row)
+    assert sorted(rows(corpus.assemble_training(made, gold, "synthetic_plus_gold"), "source_id")) == [("g",), ("t",)]
+    with pytest.raises(ValueError, match="regime"):
+        corpus.assemble_training(None, gold, "synthetic_only")
