@@ -53,6 +53,58 @@ def apply_labels(labels: Column) -> Column:
     return F.filter(F.flatten(parts), lambda t: t != END)
 
 
+def boundary_labels(source: str, target: str) -> tuple[list[str], list[int], list[str]]:
+    """Labels of one character alignment: (boundaries, word numbers, word labels).
+
+    A blank of the source is kept or deleted; another character may have a
+    blank inserted before it.  A word is edited if any of its characters is
+    changed, or one is inserted into or after it.
+    """
+    pieces: list[list[str]] = [[] for _ in range(len(source) + 1)]
+    words, inside = [], False
+    for c in source:
+        if c == " ":
+            words.append(-1)
+        else:
+            words.append(max(words, default=-1) + 1 if not inside else words[-1])
+        inside = c != " "
+    edited: set[int] = set()
+
+    def touch(at: int) -> None:
+        for k in (at, at - 1):
+            if 0 <= k < len(words) and words[k] >= 0:
+                edited.add(words[k])
+                return
+
+    at = 0
+    for op, s, t in backtrace(list(source), list(target)):
+        if op == "insert":
+            pieces[at].append(t)
+            if t != " ":
+                touch(at)
+            continue
+        if op != "delete":
+            pieces[at].append(t)
+        if op == "delete" and s != " " or op == "substitute" and not s == t == " ":
+            touch(at)
+        at += 1
+    marks = [
+        ("keep" if " " in p else "delete") if c == " " else ("insert_before" if p[:1] == [" "] else "none")
+        for c, p in zip(source, pieces, strict=False)]
+    return marks, words, ["edit" if w in edited else "keep" for w in range(max(words, default=-1) + 1)]
+
+
+def hybrid_labels(source: Column, target: Column) -> Column:
+    """struct<boundaries, word_ids, word_labels> of a string pair."""
+    kind = pa.struct([("boundaries", pa.list_(pa.string())), ("word_ids", pa.list_(pa.int32())), ("word_labels", pa.list_(pa.string()))])
+
+    @F.arrow_udf("struct<boundaries:array<string>,word_ids:array<int>,word_labels:array<string>>")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([dict(zip(("boundaries", "word_ids", "word_labels"), boundary_labels(x or "", y or ""), strict=True)) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], kind)
+
+    return run(source, target)
+
+
 def mask_spans(tokens: Column, key: Column, seed: int = 2026, share: float = 0.15) -> Column:
     """array<struct<token, target>>: keyed choice of positions; 80 % masked, 10 %
     swapped for another token of the row, 10 % kept."""

@@ -351,3 +351,70 @@ def test_training_regimes(spark):
     assert sorted(rows(corpus.assemble_training(made, gold, "synthetic_plus_gold"), "source_id")) == [("g",), ("t",)]
     with pytest.raises(ValueError, match="regime"):
         corpus.assemble_training(None, gold, "synthetic_only")
+
+
+# -- automatic rows ----------------------------------------------------------
+
+
+LOOKUP = "key string, lemma string, pos string, lookup_source string, review_status string, target_language string, entity_type string, protected string, ambiguous_pos boolean, language_ambiguous boolean"
+NOTE = "occurrence_id string, source_index string, token_position int, informal_token string, formal_token string, lemma string, pos string, source_language string, target_language string, entity_type string, protected string, error_type string, review_status string, notes string, lookup_source string"
+
+
+def test_automatic_identities(spark):
+    from pairloom.operators import refresh
+
+    occ = spark.createDataFrame([("1:0", "1", 0, "dem", "dem"), ("1:1", "1", 1, "Fatou", "Fatou"), ("1:2", "1", 2, "bi", "bii"), ("1:3", "1", 3, "la", "la"), ("1:4", "1", 4, "dem", "dem")], "occurrence_id string, source_index string, token_position int, informal_token string, formal_token string")
+    lookup = spark.createDataFrame([
+        ("dem", "dem", "VERB", "seed_lookup", None, "wo", "", "", False, False), ("fatou", "", "PROPN", "name_seed_lookup", None, "unknown", "", "", False, False),
+        ("la", "la", "DET", "seed_lookup", None, "wo", "", "", True, False)], LOOKUP)
+    done = spark.createDataFrame([("1:4",)], "occurrence_id string")
+    got = {r["occurrence_id"]: r for r in refresh.automatic_identities(occ, done, lookup).collect()}
+    assert set(got) == {"1:0", "1:1"} and got["1:0"]["protected"] == "no"
+    assert (got["1:1"]["entity_type"], got["1:1"]["notes"], got["1:1"]["lemma"]) == ("PERSON", "AUTO_IDENTITY_NAME_LOOKUP", "Fatou")
+
+
+def test_refresh_classes(spark):
+    from pairloom.operators import refresh
+
+    row = lambda i, token, pos, language, source, notes="AUTO_IDENTITY_LOOKUP", entity="UNKNOWN", protected="no": (str(i), "1", i, token, token, token, pos, language, language, entity, protected, "identity", "reviewed", notes, source)
+    notes = spark.createDataFrame([
+        row(0, "dem", "VERB", "wo", "seed_lookup"), row(1, "dem", "NOUN", "wo", "seed_lookup"), row(2, "bonjour", "INTJ", "fr", "french_seed_lookup", protected="yes"),
+        row(3, "jàmm", "NOUN", "wo", "curated_lookup"), row(4, "dem", "NOUN", "wo", "seed_lookup", notes="by hand"), row(5, "Awa", "PROPN", "unknown", "french_seed_lookup", protected="yes")], NOTE)
+    lookup = spark.createDataFrame([
+        ("dem", "dem", "VERB", "seed_lookup", None, "wo", "", "", False, False), ("bonjour", "bonjour", "INTJ", "french_seed_lookup", None, "fr", "", "", False, False),
+        ("awa", "Awa", "NOUN", "french_seed_lookup", None, "fr", "", "", False, False)], LOOKUP)
+    names = words(spark, "awa", name="key")
+    made = refresh.classify_refresh(notes, lookup, names)
+    got = dict(rows(made, "occurrence_id", "refresh"))
+    assert got == {"0": "keep", "1": "modified", "2": "remove", "3": "remove", "4": "keep", "5": "modified"}
+    done = {r["occurrence_id"]: r for r in refresh.complete_names(made, names).collect()}
+    assert done["5"]["migrated"] and done["5"]["entity_type"] == "PERSON" and not done["1"]["migrated"]
+    assert all(r["p"] == [] for r in notes.select(refresh.save_problems().alias("p")).collect())
+
+
+def test_confirmed_mappings_spread(spark):
+    from pairloom.operators import refresh
+
+    occ = spark.createDataFrame([("9:0", "9", 0, "kham", "xam")], "occurrence_id string, source_index string, token_position int, informal_token string, formal_token string")
+    human = [(str(i), "1", i, "kham", "xam", "xam", "VERB", "wo", "wo", "NONE", "no", "substitution", "reviewed", "", "", i) for i in range(2)]
+    notes = spark.createDataFrame(human, NOTE + ", o int")
+    r = refresh.automatic_mappings(occ, notes, "o", ["lemma", "pos", "error_type"]).first()
+    assert (r["pos"], r["error_type"], r["notes"]) == ("VERB", "substitution", "AUTO_CONFIRMED_MAPPING_DEFAULT") and r["transformation_steps"][0]["new"] == "kh"
+
+
+def test_features(spark):
+    from pairloom.operators import refresh
+
+    notes = spark.createDataFrame([("bonjour", "bonjour", "fr", "fr", "none", "yes"), ("salu", "salut", "fr", "fr", "", "yes"), ("salu", "salu", "wo", "wo", "", "yes")],
+                                  "informal_token string, formal_token string, source_language string, target_language string, entity_type string, protected string")
+    made = refresh.feature_lookup(notes, words(spark, "Diop", name="value"))
+    got = {r[0]: r[1:] for r in rows(made, "key", "is_french", "is_entity", "is_protected")}
+    assert got == {"bonjour": (True, False, True), "salut": (True, False, True), "salu": (True, False, False), "diop": (False, True, True)}
+    texts = spark.createDataFrame([(1, "Diop, bonjour xam")], "k long, text string")
+    assert [r["is_entity"] for r in refresh.word_features(texts, "k", "text", made).orderBy("position").collect()] == [True, False, False]
+
+
+def test_hybrid_labels():
+    assert labels.boundary_labels("ab cd", "abcd") == (["none", "none", "delete", "none", "none"], [0, 0, -1, 1, 1], ["keep", "keep"])
+    assert labels.boundary_labels("abcd", "ab cd") == (["none", "none", "insert_before", "none"], [0, 0, 0, 0], ["keep"])
+    assert labels.boundary_labels("ab cd", "ab xd")[2] == ["keep", "edit"]
