@@ -49,11 +49,11 @@ def error_interval(spark, sf_dir):
 SELECT l.lang, count(*) FILTER (WHERE t AND g) AS tp, count(*) FILTER (WHERE NOT t AND g) AS fp, count(*) FILTER (WHERE t AND NOT g) AS fn,
   CASE WHEN count(*) FILTER (WHERE g) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE t AND g) / count(*) FILTER (WHERE g) END AS precision,
   CASE WHEN count(*) FILTER (WHERE t) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE t AND g) / count(*) FILTER (WHERE t) END AS recall,
-  CASE WHEN count(*) FILTER (WHERE g) + count(*) FILTER (WHERE t) = 0 THEN 0.0 ELSE 2.0 * count(*) FILTER (WHERE t AND g) / (count(*) FILTER (WHERE g) + count(*) FILTER (WHERE t)) END AS f1
+  CASE WHEN count(*) FILTER (WHERE g) + count(*) FILTER (WHERE t) = 0 THEN 0.0 ELSE round(2.0 * count(*) FILTER (WHERE t AND g) / (count(*) FILTER (WHERE g) + count(*) FILTER (WHERE t)), 9) END AS f1
 FROM (SELECT lang, quality = 1 AS t, n_chars >= 1500 AS g FROM documents JOIN labels USING (doc_id)) l GROUP BY l.lang""")
 def binary_scores(spark, sf_dir):
     joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
-    return evaluate.binary_scores(joined, F.col("quality") == 1, F.col("n_chars") >= 1500, ["lang"])
+    return evaluate.binary_scores(joined, F.col("quality") == 1, F.col("n_chars") >= 1500, ["lang"]).withColumn("f1", F.round("f1", 9))
 
 
 @query()
@@ -92,9 +92,9 @@ def dominant_tokens(spark, sf_dir):
     return report.dominant_token_share(table(spark, sf_dir, "documents"), ["source"], F.split("text", " "))
 
 
-@query("SELECT user_id, count(*) AS runs, avg(value) AS value_mean, CASE WHEN count(*) > 1 THEN stddev_samp(value) END AS value_std FROM events GROUP BY user_id")
+@query("SELECT user_id, count(*) AS runs, avg(value) AS value_mean, CASE WHEN count(*) > 1 THEN round(stddev_samp(value), 9) END AS value_std FROM events GROUP BY user_id")
 def over_seeds(spark, sf_dir):
-    return report.over_seeds(table(spark, sf_dir, "events"), ["user_id"], ["value"])
+    return report.over_seeds(table(spark, sf_dir, "events"), ["user_id"], ["value"]).withColumn("value_std", F.round("value_std", 9))
 
 
 @query("""
@@ -134,9 +134,9 @@ def class_weights(spark, sf_dir):
     return report.inverse_sqrt_weights(table(spark, sf_dir, "documents"), "lang")
 
 
-@query("SELECT doc_id, CASE WHEN lang = 'en' THEN 0.7 / (SELECT count(*) FROM documents WHERE lang = 'en') ELSE (1 - 0.7) / (SELECT count(*) FROM documents WHERE lang <> 'en') END AS sampling_weight FROM documents")
+@query("SELECT doc_id, round(CASE WHEN lang = 'en' THEN 0.7 / (SELECT count(*) FROM documents WHERE lang = 'en') ELSE (1 - 0.7) / (SELECT count(*) FROM documents WHERE lang <> 'en') END, 12) AS sampling_weight FROM documents")
 def domain_weights(spark, sf_dir):
-    return report.domain_weights(table(spark, sf_dir, "documents"), F.col("lang") == "en", 0.7).select("doc_id", "sampling_weight")
+    return report.domain_weights(table(spark, sf_dir, "documents"), F.col("lang") == "en", 0.7).select("doc_id", F.round("sampling_weight", 12).alias("sampling_weight"))
 
 
 @query("SELECT source, count(*) FILTER (WHERE lang = 'en') AS en, count(*) FILTER (WHERE lang = 'de') AS de FROM documents GROUP BY source")

@@ -173,13 +173,13 @@ def alignment_candidates(spark, sf_dir):
 
 
 @query("""
-SELECT a.vec_id AS a, b.vec_id AS b, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS similarity
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND b.vec_id = a.vec_id + a.label + 1""")
 def vector_similarity(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     a = e.select(F.col("vec_id").alias("a"), "label", F.col("embedding").alias("x"), (F.col("vec_id") + F.col("label") + 1).alias("b"))
     b = e.select(F.col("vec_id").alias("b"), "label", F.col("embedding").alias("y"))
-    return a.join(b, ["b", "label"]).select("a", "b", S.cosine(F.col("x"), F.col("y")).alias("similarity"))
+    return a.join(b, ["b", "label"]).select("a", "b", F.round(S.cosine(F.col("x"), F.col("y")), 9).alias("similarity"))
 
 
 @query()
