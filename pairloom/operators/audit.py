@@ -139,3 +139,14 @@ def funnel(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
     names = ["input", *[n for n, _ in stages]]
     pairs = ", ".join(f"{i}, '{n}', `{n}`" for i, n in enumerate(names))
     return row.selectExpr(f"stack({len(names)}, {pairs}) as (step, stage, rows)")
+
+
+def audit_files(spark, folder: str, suffixes: tuple[str, ...] = (".py", ".md", ".txt", ".csv", ".json"), skip: str = "/(\\.git|__pycache__|node_modules)/") -> DataFrame:
+    """(path, line, issues) over all text files below a folder: invalid UTF-8, mojibake, control characters."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", "content")
+    files = files.filter(F.col("path").rlike("(" + "|".join(s.replace(".", "\\.") for s in suffixes) + ")$") & ~F.col("path").rlike(skip))
+    text = F.coalesce(F.try_validate_utf8(F.col("content").cast("string")), F.make_valid_utf8(F.col("content").cast("string")))
+    broken = ~F.is_valid_utf8(F.col("content").cast("string"))
+    whole = files.filter(broken).select("path", F.lit(0).alias("line"), F.array(F.lit("invalid_utf8")).alias("issues"))
+    lines = files.select("path", F.posexplode(F.split(text, "\n")).alias("line", "value"))
+    return whole.unionByName(audit_lines(lines).select("path", (F.col("line") + 1).alias("line"), "issues"))

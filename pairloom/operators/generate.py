@@ -143,3 +143,16 @@ def variant_pairs(sources: DataFrame, mappings: DataFrame, max_edits: int = 2, s
     swap = lambda w, i: F.when(F.map_contains_key("_e", i), F.regexp_replace(w, F.lit("(?iU)[\\p{L}\\p{M}]+(?:[-\\u2019'][\\p{L}\\p{M}]+)*"), F.try_element_at("_e", i)["informal_token"])).otherwise(w)
     informal = F.array_join(F.transform(F.split("formal", " "), swap), " ")
     return pair_rows(joined, "variants", informal, F.size(F.map_keys("_e")), F.when(F.size(F.map_keys("_e")) > 0, F.array(F.lit("mined_variant"))).otherwise(F.array().cast("array<string>")), F.expr("cast(map() as map<string,int>)"))
+
+
+def best_candidates(candidates: DataFrame) -> DataFrame:
+    """The best target of each place of a row; ties: the smaller target."""
+    item = F.struct("score", "end", "target")
+    best = F.min_by(item, F.struct((-F.col("score")).alias("s"), F.col("target").alias("t")))
+    return candidates.groupBy("source_id", "start").agg(best.alias("_b")).select("source_id", "start", "_b.score", "_b.end", "_b.target")
+
+
+def readable_alignment(aligned: DataFrame, key: str) -> DataFrame:
+    """(key, alignment): ``target<-source`` in target order, ``-`` where unaligned."""
+    shown = F.concat_ws("<-", "tgt", F.coalesce(F.nullif("src", F.lit("")), F.lit("-")))
+    return aligned.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("j", shown.alias("x")))), lambda s: s["x"]), " ").alias("alignment"))

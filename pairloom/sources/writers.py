@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -77,3 +78,22 @@ def markdown(df: DataFrame, rows: int = 1000, digits: int = 4) -> str:
     cells = [[f"{v:.{digits}f}" if isinstance(v, float) else "" if v is None else str(v) for v in r] for r in df.limit(rows).collect()]
     lines = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
     return "\n".join([*lines, *("| " + " | ".join(c) + " |" for c in cells)]) + "\n"
+
+
+def config_fingerprint(config: dict) -> str:
+    """The same for equal settings, whatever their order."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode("utf-8")).hexdigest()
+
+
+def lock_selection(spark: SparkSession, path: str, selection: dict) -> dict:
+    """Write a selection once; a later call must bring the same one."""
+    from .readers import _exists, read_manifest
+
+    locked = {"selection": selection, "fingerprint": config_fingerprint(selection)}
+    if _exists(spark, path):
+        found = read_manifest(spark, path)
+        if found["fingerprint"] != locked["fingerprint"]:
+            raise ValueError("another selection is locked already")
+        return found
+    write_text(spark, path, json.dumps(locked, sort_keys=True))
+    return locked

@@ -418,3 +418,24 @@ def test_hybrid_labels():
     assert labels.boundary_labels("ab cd", "abcd") == (["none", "none", "delete", "none", "none"], [0, 0, -1, 1, 1], ["keep", "keep"])
     assert labels.boundary_labels("abcd", "ab cd") == (["none", "none", "insert_before", "none"], [0, 0, 0, 0], ["keep"])
     assert labels.boundary_labels("ab cd", "ab xd")[2] == ["keep", "edit"]
+
+
+def test_file_audit_and_locks(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "ok.txt").write_text("fine\nbad Ã© here\n", encoding="utf-8")
+    (tmp_path / "a" / "broken.txt").write_bytes(b"caf\xe9\n")
+    (tmp_path / "a" / "x.bin").write_bytes(b"\xff")
+    got = sorted((p.rsplit("/", 1)[1], n, i[0]) for p, n, i in rows(audit.audit_files(spark, str(tmp_path / "a"))))
+    assert ("ok.txt", 2, "mojibake:Ã") in got and ("broken.txt", 0, "invalid_utf8") in got and not any(p == "x.bin" for p, _, _ in got)
+    path = str(tmp_path / "lock.json")
+    first = writers.lock_selection(spark, path, {"b": 1, "a": 2})
+    assert writers.lock_selection(spark, path, {"a": 2, "b": 1}) == first
+    with pytest.raises(ValueError, match="locked"):
+        writers.lock_selection(spark, path, {"a": 3})
+
+
+def test_best_candidates_and_readable_alignment(spark):
+    df = spark.createDataFrame([("s", 0.5, 0, 1, "b"), ("s", 0.5, 0, 1, "a"), ("s", 0.4, 1, 2, "c")], "source_id string, score double, start int, end int, target string")
+    assert sorted(rows(generate.best_candidates(df), "start", "target")) == [(0, "a"), (1, "c")]
+    al = spark.createDataFrame([(1, 1, "y", ""), (1, 0, "x", "a")], "k long, j int, tgt string, src string")
+    assert generate.readable_alignment(al, "k").first()["alignment"] == "x<-a y<--"
