@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 #: ASCII white space: the separators of the ``[^\x20\x09-\x0D]+`` words.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-#: Rows in one Arrow batch.  Texts may reach hundreds of KB, so the default of
-#: 10,000 rows would let a batch grow to gigabytes.
-ARROW_ROWS = 1000
+#: Rows in one Arrow batch.  Texts and shingle sets may reach hundreds of KB, so
+#: the default of 10,000 rows would let a batch grow to gigabytes.
+ARROW_ROWS = 256
 
 #: A table is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 200_000
@@ -54,7 +54,17 @@ def materialize(df: DataFrame) -> DataFrame:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no later plan reads."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_.written_to)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, salted_left_join, size_checked, small_batches
+from .common import discard, materialize, salted_left_join, size_checked, small_batches
 
 #: Most classes of a group that one task holds; least bits of a bitmap; leaf size.
 TILE, BITS, LEAF = 512, 512, 8
@@ -75,7 +75,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], n: int, chunk: int = 2 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], n: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
     """Sorted distinct shingle keys of each text."""
     held: list[bytes] = []
     size = 0
@@ -185,7 +185,7 @@ def _describe(n: int):
                 seen.append(s)
                 docs += 1
                 held += len(s)
-                if held >= 4 << 20:
+                if held >= 2 << 20:
                     yield frequent()
                     seen.clear()
                     met.clear()
@@ -378,17 +378,18 @@ def _group_links(percent: int, exact: bool):
             return batch
 
         for batch in batches:
-            names = ("grp", "tile_a", "tile_b", "cls", "tile", "data") + (() if exact else ("n_shingles",))
+            names = ("grp", "tile_a", "tile_b", "cls", "tile") + (() if exact else ("n_shingles",))
             cols = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in names]
-            for group, ta, tb, key, tile, data, *n in zip(*cols, strict=True):
+            raw = batch.column(batch.schema.get_field_index("data"))
+            for at, (group, ta, tb, key, tile, *n) in enumerate(zip(*cols, strict=True)):
                 if (group, ta, tb) != now:
                     close()
                     now, held = (group, ta, tb), []
+                data = np.frombuffer(raw[at].as_py(), np.uint64)
                 if exact:
-                    keys = np.frombuffer(data, np.uint64)
-                    held.append((key, tile, len(keys), bitmap(keys), keys))
+                    held.append((key, tile, len(data), bitmap(data), data))
                 else:
-                    held.append((key, tile, n[0], np.frombuffer(data, np.uint64), None))
+                    held.append((key, tile, n[0], data, None))
             if out:
                 yield emit()
         close()
@@ -436,8 +437,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if state == before or state[0] == 0:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = state
-        now = materialize(star(star(now, True), False))
+        before, old = state, now
+        now = materialize(star(star(old, True), False))
+        discard(old)
     raise RuntimeError("components did not settle")
 
 
@@ -485,6 +487,7 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     totals = full.groupBy("grp").agg(*[c.alias(n) for c, n in zip(sums, names, strict=True)])
     full = salted_left_join(full, totals, "grp", F.col("cls")).filter("members > 1").select("grp", "cls", *names)
     members = materialize(rare.unionByName(full))
+    discard(postings)
     # of the groups that bring the same classes together, one is enough
     kept = members.groupBy(*names).agg(F.min("grp").alias("grp")).select("grp", F.lit(True).alias("kept"))
     members = salted_left_join(members, kept, "grp", F.col("cls")).filter("kept").select("grp", "cls", "members")

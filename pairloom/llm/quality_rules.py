@@ -78,7 +78,7 @@ def repeated_words(docs: list[list[bytes]]) -> np.ndarray:
     return out
 
 
-def measure_texts(texts: list[str | None], chunk: int = 4 << 20) -> dict[str, np.ndarray]:
+def measure_texts(texts: list[str | None], chunk: int = 2 << 20) -> dict[str, np.ndarray]:
     """The measures of a list of texts, worked off in chunks of some MB."""
     out = {k: np.zeros(len(texts), dtype=np.int64) for k in MEASURES}
     words: list[list[bytes]] = []
@@ -163,44 +163,53 @@ def host_verdicts(measured: DataFrame, host: str, block_rate: float, strict_rate
     )
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", block_rate: float = 0.8, strict_rate: float = 0.5,
-          keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``docs`` (default: all) plus one struct ``quality``.
+def with_verdicts(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``measured`` (with ``_host`` and the measures) plus a struct ``quality``.
 
-    ``quality`` holds the measures, ``base_failed``, the host's shrunk rate and
-    ``kept``.  The measured columns are computed in one pass and written once;
-    the hosts' table is broadcast only if its counted rows allow it, else the
+    The hosts' table is broadcast only if its counted rows allow it, else the
     join is salted so that a host with a third of all rows meets many tasks.
     """
-    small_batches(docs.sparkSession)
-    keep = docs.columns if keep is None else keep
-    held = F.struct(*[F.col(c) for c in keep]).alias("_row")
-    measured = docs.select(held, F.col(host).cast("string").alias("_host"), _measure_column()(F.col(text)).alias("_m"))
-    measured = materialize(measured.select("_row", "_host", "_m.*"))
-    verdicts = host_verdicts(measured, "_host", block_rate, strict_rate)
     hosts, small = size_checked(verdicts)
     if small:
         joined = measured.join(hosts, "_host", "left")
     else:
         spread = verdicts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        joined = measured.withColumn("_salt", F.pmod(F.xxhash64("n_words", "word_chars", "_row"), F.lit(64)).cast("int")).join(spread, ["_host", "_salt"], "left")
+        joined = measured.withColumn("_salt", F.pmod(F.xxhash64(*MEASURES), F.lit(64)).cast("int")).join(spread, ["_host", "_salt"], "left").drop("_salt")
     failed = base_failed()
     strict = F.lit(False)
     for r in SOFT_RULES:
         strict = strict | (F.coalesce(F.col(f"strict_{r}"), F.lit(False)) & soft_failed(r))
     kept = ~failed & ~F.coalesce(F.col("host_blocked"), F.lit(False)) & ~strict
-    return joined.select("_row", F.struct(
-        *MEASURES, failed.alias("base_failed"), F.col("rate_base").alias("host_rate"), kept.alias("kept"),
-    ).alias("quality"))
+    return joined.withColumn("quality", F.struct(*MEASURES, failed.alias("base_failed"), F.col("rate_base").alias("host_rate"), kept.alias("kept")))
+
+
+def _measured(docs: DataFrame, text: str, host: str, keep: list[str]) -> DataFrame:
+    """``_row`` (the kept columns), ``_host`` and the measures."""
+    small_batches(docs.sparkSession)
+    held = F.struct(*[F.col(c) for c in keep]).alias("_row") if keep else F.lit(None).alias("_row")
+    measured = docs.select(held, F.col(host).cast("string").alias("_host"), _measure_column()(F.col(text)).alias("_m"))
+    return measured.select("_row", "_host", "_m.*")
+
+
+def judge(docs: DataFrame, text: str = "text", host: str = "source", block_rate: float = 0.8, strict_rate: float = 0.5) -> DataFrame:
+    """``_row`` (the columns of ``docs``) and a struct ``quality``: the measures,
+    ``base_failed``, the host's shrunk rate and ``kept``.
+
+    Texts are measured twice, once for the hosts and once for the verdicts, so
+    that no text has to be written down in between.
+    """
+    verdicts = host_verdicts(_measured(docs, text, host, []).drop("_row"), "_host", block_rate, strict_rate)
+    return with_verdicts(_measured(docs, text, host, docs.columns), verdicts).select("_row", "quality")
 
 
-def quality_rows(docs: DataFrame) -> DataFrame:
-    """The contract's columns, one row a document."""
-    out = judge(docs, keep=["doc_id"])
-    return out.select("_row.doc_id", *[f"quality.{k}" for k in MEASURES if k != "n_lines"], "quality.base_failed", "quality.kept", F.round("quality.host_rate", 9).alias("host_rate"))
+def quality_rows(docs: DataFrame, block_rate: float = 0.8, strict_rate: float = 0.5) -> DataFrame:
+    """The contract's columns, one row a document; numbers are written once and used twice."""
+    measured = materialize(_measured(docs, "text", "source", ["doc_id"]))
+    out = with_verdicts(measured, host_verdicts(measured, "_host", block_rate, strict_rate))
+    return out.select(
+        "_row.doc_id", *[f"quality.{k}" for k in MEASURES if k != "n_lines"], "quality.base_failed", "quality.kept", F.round("quality.host_rate", 9).alias("host_rate"))
 
 
-def keep_good(docs: DataFrame) -> DataFrame:
+def keep_good(docs: DataFrame, block_rate: float = 0.8, strict_rate: float = 0.5) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    out = judge(docs)
-    return out.filter("quality.kept").select("_row.*")
+    return judge(docs, block_rate=block_rate, strict_rate=strict_rate).filter("quality.kept").select("_row.*")

@@ -2,7 +2,7 @@ r"""Token-id output in training order.
 
 Texts are encoded with a public byte-level vocabulary, an end token is added,
 and each document is cut into sequences of ``SEQUENCE`` tokens.  Sequences are
-numbered densely in the order of (id, text digest, copy, position), a keyed
+numbered densely in the order of (id, text digest, row, position), a keyed
 Feistel network with cycle-walking permutes the numbers to global slots, and
 slots are cut into shards of equal length.  A record has a fixed stride, so
 slot -> (shard, byte offset) is arithmetic and a reader can resume anywhere.
@@ -92,22 +92,22 @@ def feistel(numbers: np.ndarray, domain: int, key: str = KEY, rounds: int = ROUN
     return out.astype(np.int64)
 
 
-def first_numbers(lengths: DataFrame) -> tuple[DataFrame, int, int]:
-    """Dense first number of each key in key order, the number of sequences, and the most copies.
+def first_numbers(lengths: DataFrame) -> tuple[DataFrame, int]:
+    """Dense first number of each row in (id, digest) order, and the number of sequences.
 
-    ``lengths``: _id, _hash, n_seqs, copies.  Range partitions are summed
-    first; inside one the running sum is a window over that partition alone.
+    ``lengths``: _id, _hash, _row, n_seqs.  Range partitions are summed first;
+    inside one the running sum is a window over that partition alone.  Equal
+    rows may trade places, which changes nothing.
     """
-    ordered = lengths.repartitionByRange("_id", "_hash").withColumn("_part", F.spark_partition_id())
-    ordered = materialize(ordered)
-    parts = ordered.groupBy("_part").agg(F.sum(F.col("n_seqs") * F.col("copies")).alias("_all"), F.max("copies").alias("_most"))
-    parts = materialize(parts)
-    size = parts.agg(F.sum("_all").alias("all"), F.max("_most").alias("most")).first()
+    keys = ["_id", "_hash", "_row"]
+    ordered = materialize(lengths.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
+    parts = materialize(ordered.groupBy("_part").agg(F.sum("n_seqs").alias("_all")))
+    total = parts.agg(F.sum("_all")).first()[0]
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets, _ = size_checked(parts.select("_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_offset")))
-    inside = Window.partitionBy("_part").orderBy("_id", "_hash").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ordered.withColumn("_before", F.coalesce(F.sum(F.col("n_seqs") * F.col("copies")).over(inside), F.lit(0))).join(offsets, "_part")
-    return starts.select("_id", "_hash", (F.col("_offset") + F.col("_before")).alias("start"), "copies"), int(size["all"] or 0), int(size["most"] or 0)
+    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ordered.withColumn("_before", F.coalesce(F.sum("n_seqs").over(inside), F.lit(0))).join(offsets, "_part")
+    return starts.select("_row", (F.col("_offset") + F.col("_before")).alias("start")), int(total or 0)
 
 
 def _encoded(name: str, length: int):
@@ -129,14 +129,13 @@ def _sequences(length: int, total: int, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, seqs, counts, payload, numbers = [], [], [], [], []
-            for id_, tokens, start, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for id_, tokens, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 parts = [tokens[at : at + step] for at in range(0, len(tokens), step)]
-                for copy in range(copies):
-                    numbers.extend(range(start + copy * len(parts), start + (copy + 1) * len(parts)))
-                    ids.extend([id_] * len(parts))
-                    seqs.extend(range(len(parts)))
-                    payload.extend(parts)
-                    counts.extend(len(p) // ID_BYTES for p in parts)
+                numbers.extend(range(start, start + len(parts)))
+                ids.extend([id_] * len(parts))
+                seqs.extend(range(len(parts)))
+                payload.extend(parts)
+                counts.extend(len(p) // ID_BYTES for p in parts)
             slots = feistel(np.array(numbers, np.uint64), total, key) if numbers else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(slots), pa.array(ids, pa.int64()), pa.array(seqs, pa.int64()), pa.array(counts, pa.int64()), pa.array(payload, pa.binary())], names=names)
@@ -153,12 +152,12 @@ def training_order(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", le
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"),
         F.xxhash64("text").alias("_hash"), "text").filter("text <> ''")
-    rows = materialize(rows.mapInArrow(_encoded(tokenizer, length), "doc_id long, _id long, _hash long, n_seqs long, ids binary"))
-    lengths = rows.groupBy("_id", "_hash").agg(F.max("n_seqs").alias("n_seqs"), F.count(F.lit(1)).alias("copies"))
-    starts, total, most = first_numbers(lengths)
+    rows = rows.mapInArrow(_encoded(tokenizer, length), "doc_id long, _id long, _hash long, n_seqs long, ids binary")
+    # the row number is frozen with the table, so repeated rows are told apart for good
+    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
+    starts, total = first_numbers(rows.select("_id", "_hash", "_row", "n_seqs"))
     starts, _ = size_checked(starts, 500_000)
-    once = rows.dropDuplicates(["_id", "_hash"]) if most > 1 else rows
-    numbered = once.join(starts, ["_id", "_hash"]).select("doc_id", "ids", "start", "copies")
+    numbered = rows.join(starts, "_row").select("doc_id", "ids", "start")
     per_shard = max(1, min(shard_sequences, -(-total // MIN_SHARDS)))
     stride = length * ID_BYTES
     out = numbered.mapInArrow(_sequences(length, max(total, 1), key), "slot long, doc_id long, seq long, n_tokens long, tokens binary")
