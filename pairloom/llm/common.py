@@ -11,19 +11,20 @@ from pyspark.sql import functions as F
 #: ASCII white space: the separators of the ``[^\x20\x09-\x0D]+`` words.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
-#: Rows in one Arrow batch.  Texts and shingle sets may reach hundreds of KB, so
-#: the default of 10,000 rows would let a batch grow to gigabytes.
-ARROW_ROWS = 256
+#: Rows in one Arrow batch, and in one batch of the Parquet reader.  Texts and
+#: shingle sets may reach hundreds of KB, so the defaults of 10,000 and 4,096
+#: rows would let a batch of long texts grow to gigabytes.
+ARROW_ROWS, READER_ROWS = 256, 512
 
 #: A table is broadcast only if it was counted and has at most so many rows.
 BROADCAST_ROWS = 200_000
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for the operators that leave the JVM."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bound the rows of Arrow and Parquet batches for the operators that read whole texts."""
+    for key, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        if int(spark.conf.get(key)) > rows:
+            spark.conf.set(key, str(rows))
 
 
 def shared_dir(spark: SparkSession) -> str:

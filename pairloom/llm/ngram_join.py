@@ -57,7 +57,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, ``n`` of each at least."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
+        size = 1 << max(18, (n - 1).bit_length())
         _POWERS[:] = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             table = np.ones(size, np.uint64)
@@ -75,7 +75,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: list[str | None], n: int, chunk: int = 1 << 20) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], n: int, chunk: int = 1 << 18) -> Iterator[np.ndarray]:
     """Sorted distinct shingle keys of each text."""
     held: list[bytes] = []
     size = 0
@@ -185,7 +185,7 @@ def _describe(n: int):
                 seen.append(s)
                 docs += 1
                 held += len(s)
-                if held >= 2 << 20:
+                if held >= 3 << 19:
                     yield frequent()
                     seen.clear()
                     met.clear()
