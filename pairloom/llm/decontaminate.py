@@ -165,5 +165,6 @@ def decontamination_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    return decontaminate(docs, benchmark).filter(~F.col("contamination.contaminated")).select(*[F.col(c) for c in docs.columns])
+    """The documents that are not contaminated, with their own columns, whatever their names."""
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text")
+    return decontaminate(held, benchmark).filter(~F.col("contamination.contaminated")).select("_row.*")
