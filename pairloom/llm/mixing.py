@@ -34,7 +34,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, size_checked, word_count
+from .common import materialize, size_checked, small_batches, word_count
 
 WEIGHTS = (5, 2, 1)
 SEED = "mix-1"
@@ -72,12 +72,16 @@ def source_targets(sized: DataFrame, budget: float = 1.5, max_passes: int = 2) -
         "source", "docs", "words", "weight", "target", "passes", (F.col("target") - F.col("passes") * F.col("words")).alias("rest"))
 
 
-def block_digits(docs: int, sources: int) -> int:
-    """Hex digits of the digest that number a source's blocks."""
-    digits = 0
-    while digits < 4 and max(sources, 1) * 16 ** (digits + 1) <= MAX_BLOCKS and docs / (max(sources, 1) * 16**digits) > BLOCK_DOCS:
-        digits += 1
-    return digits
+def block_digits(docs: Column, total: int) -> Column:
+    """Hex digits of the digest that number a source's blocks.
+
+    Each source has its own number, so a hot source has more blocks, not larger
+    ones.  Blocks are aimed at ``BLOCK_DOCS`` documents or more, as many as
+    keeps all sources' blocks within ``MAX_BLOCKS``.
+    """
+    aim = max(BLOCK_DOCS, -(-total * 16 // MAX_BLOCKS))
+    wanted = F.ceil(F.log(F.greatest(docs / aim, F.lit(1.0))) / F.log(F.lit(16.0)))
+    return F.least(F.lit(8), wanted).cast("int")
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -87,16 +91,23 @@ def _same(a: Column, b: Column) -> Column:
 class Plan:
     """What a mix takes: ``sources`` (one row each) and ``blocks`` (bounded)."""
 
-    def __init__(self, sources: DataFrame, blocks: DataFrame, digits: int, seed: str):
-        self.sources, self.blocks, self.digits, self.seed = sources, blocks, digits, seed
+    def __init__(self, sources: DataFrame, blocks: DataFrame, seed: str):
+        self.sources, self.blocks, self.seed = sources, blocks, seed
+
+
+def _blocks(docs: DataFrame, sources: DataFrame, id_col: str, source: str, seed: str) -> DataFrame:
+    """``docs`` plus ``_k``, the place in the source's permutation, and ``_block``, its leading digits."""
+    digits, _ = size_checked(sources.select(F.col("source").alias("_s"), F.col("digits").alias("_d")))
+    joined = docs.join(digits, _same(F.col(source).cast("string"), F.col("_s")), "left").withColumn("_k", _key(id_col, source, seed))
+    return joined.withColumn("_block", F.substring(F.col("_k"), F.lit(1), F.col("_d"))).drop("_s", "_d")
 
 
 def plan_mix(sized: DataFrame, levels: int = 4, budget: float = 1.5, max_passes: int = 2, seed: str = SEED) -> Plan:
     """Plan from ``sized`` (doc_id, source, size): targets, cuts, and the tree."""
     sources = materialize(source_targets(sized, budget, max_passes))
-    size = sources.agg(F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("n")).first()
-    digits = block_digits(size["docs"] or 0, size["n"])
-    keyed = sized.withColumn("_k", _key("doc_id", "source", seed)).withColumn("block", F.substring("_k", 1, digits))
+    total = sources.agg(F.sum("docs")).first()[0] or 0
+    sources = sources.withColumn("digits", block_digits(F.col("docs"), total))
+    keyed = _blocks(sized, sources, "doc_id", "source", seed).withColumnRenamed("_block", "block")
     blocks = materialize(keyed.groupBy("source", "block").agg(F.sum("size").alias("block_words"), F.count(F.lit(1)).alias("block_docs")))
     # where the partial pass ends: whole blocks before, then a cut inside one block
     sources_b, _ = size_checked(sources.withColumnRenamed("source", "_s"))
@@ -120,7 +131,7 @@ def plan_mix(sized: DataFrame, levels: int = 4, budget: float = 1.5, max_passes:
         "source", "block", F.when(F.col("_part") == 2, F.col("cut")).alias("cut"), (F.col("passes") + 1).alias("pass"))
     draws = split_tree(whole.unionByName(rest), levels, seed)
     table = draws.groupBy("source", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "cut"))).alias("draws"))
-    return Plan(sources, materialize(table), digits, seed)
+    return Plan(sources, materialize(table), seed)
 
 
 def split_tree(draws: DataFrame, levels: int, seed: str = SEED) -> DataFrame:
@@ -138,8 +149,7 @@ def split_tree(draws: DataFrame, levels: int, seed: str = SEED) -> DataFrame:
 def with_shards(docs: DataFrame, plan: Plan, id_col: str = "doc_id", source: str = "source", size: Column | None = None) -> DataFrame:
     """``docs`` plus ``_shards``: one (pass, shard) for every time a row is taken."""
     blocks, small = size_checked(plan.blocks.select(F.col("source").alias("_s"), F.col("block").alias("_b"), "draws"))
-    key = _key(id_col, source, plan.seed)
-    keyed = docs.withColumn("_k", key).withColumn("_block", F.substring(F.col("_k"), 1, plan.digits))
+    keyed = _blocks(docs, plan.sources, id_col, source, plan.seed)
     joined = keyed.join(blocks, _same(F.col(source).cast("string"), F.col("_s")) & (F.col("_block") == F.col("_b")), "left")
     mine = F.filter("draws", lambda d: d["cut"].isNull() | (F.col("_k") <= d["cut"]))
     filled = (word_count(F.col("text")) if size is None else size) > 0
@@ -149,16 +159,23 @@ def with_shards(docs: DataFrame, plan: Plan, id_col: str = "doc_id", source: str
 
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size of every document, written once."""
+    small_batches(docs.sparkSession)
     return materialize(docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")))
 
 
 def mix(docs: DataFrame, levels: int = 4, seed: str = SEED) -> DataFrame:
-    """The mix itself: rows of ``docs`` once for every time they are taken, with
-    ``mix_shard`` and ``mix_slot`` (the order inside the shard)."""
+    """The mix itself: ``_row`` (the columns of ``docs``, whatever their names) once for
+    every time it is taken, with ``mix_shard`` and ``mix_slot`` (the order inside the shard)."""
     plan = plan_mix(sizes(docs), levels=levels, seed=seed)
-    out = with_shards(docs, plan).withColumn("_draw", F.explode("_shards"))
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "doc_id", "source", "text")
+    out = with_shards(held, plan).withColumn("_draw", F.explode("_shards"))
     slot = F.md5(F.concat_ws("|", F.lit(seed), F.col("_draw.shard"), F.col("_draw.pass"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    return out.select(*docs.columns, F.col("_draw.shard").alias("mix_shard"), slot.alias("mix_slot"))
+    return out.select("_row", F.col("_draw.shard").alias("mix_shard"), slot.alias("mix_slot"))
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of the mix with the columns of ``docs`` only."""
+    return mix(docs).select("_row.*")
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:
