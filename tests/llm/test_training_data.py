@@ -352,7 +352,7 @@ def test_tree_splits_blocks_evenly_and_disjointly(spark):
 def test_mix_repeats_rows_and_writes_shards(spark, docs, tmp_path):
     mixed = mixing.mix(docs, levels=2)
     taken = {r["doc_id"]: r["taken"] // r["size"] for r in rows(mixing.mix_rows(docs)) if r["size"]}
-    counts = {r["doc_id"]: r["count"] for r in rows(mixed.groupBy("doc_id").count())}
+    counts = {r["doc_id"]: r["count"] for r in rows(mixed.groupBy("_row.doc_id").count())}
     repeated = {r["doc_id"] for r in rows(docs.groupBy("doc_id").count().filter("count > 1"))}
     for i, n in taken.items():
         assert counts.get(i, 0) == n * (2 if i in repeated else 1)
@@ -500,3 +500,28 @@ def test_token_output_round_trip(spark, docs, empty, tmp_path):
         want = by_slot[first + k]
         assert data[k * 128 : k * 128 + 2 * want["n_tokens"]] == bytes(want["tokens"]) and want["byte_offset"] == k * 128
     assert token_output.training_order(empty).count() == 0
+
+
+# -- clashing names, nulls, ties ---------------------------------------------
+
+
+CLASH = ", ".join(f"{c} string" for c in (
+    "_row", "_k", "_block", "_s", "_b", "draws", "block", "digits", "size", "target", "contamination", "_scan0", "quality", "kept", "n_words", "_host", "_m",
+    "component_id", "id", "cls", "token", "slot", "shard", "start", "copies", "score", "_y", "removed", "_id", "licenses", "toxicity", "n_tokens"))
+
+
+def test_operators_pass_clashing_columns_by(spark):
+    text = " ".join(f"q{i}" for i in range(60))
+    more = ["mine"] * len(CLASH.split(", "))
+    data = [(1, text, None, "a", None, *more), (2, text + " x", "en", None, 3, *more), (2, text + " x", "en", None, 3, *more), (None, "z " * 40, None, "a", 1, *more), (4, None, None, None, None, *more)]
+    df = spark.createDataFrame(data, DOCS + ", " + CLASH)
+    bench = spark.createDataFrame([(1, "nothing of this kind")], "item_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, None), (None, 1)], "doc_id long, toxic int")
+    for made in (quality_rules.keep_good(df), ngram_join.keep_one(df), decontaminate.keep_clean(df, bench), mixing.mixed_rows(df)):
+        assert made.columns == df.columns
+        assert all(r["kept"] == "mine" and r["draws"] == "mine" and r["contamination"] == "mine" for r in rows(made))
+    assert decontaminate.keep_clean(df, bench).count() == 5
+    for made in (quality_rules.quality_rows(df), mixing.mix_rows(df), token_counts.token_count_rows(df), decontaminate.decontamination_rows(df, bench),
+                 ngram_join.link_rows(df), toxicity.toxicity_rows(df, labels), license_scan.license_rows(df), line_dedup.dedup_rows(df)):
+        assert made.count() == 5
+    assert token_output.training_order(df).count() == 4
