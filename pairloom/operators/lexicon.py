@@ -33,11 +33,15 @@ def contexts(df: DataFrame, words: Column, targets: DataFrame, window: int = 2,
 
     Neighbours are taken by slicing inside the row, so no self join is made.
     """
-    at = df.select(words.alias("w")).select("w", F.posexplode("w").alias("i", "token"))
-    around = F.concat(
-        F.when(F.col("i") > 0, F.slice("w", F.greatest(F.col("i") + 1 - window, F.lit(1)), F.least(F.col("i"), F.lit(window)))).otherwise(F.array().cast("array<string>")),
-        F.slice("w", F.col("i") + 2, window))
-    hits = at.join(targets.select("token").distinct(), "token", "left_semi").select("token", F.explode(around).alias("context"))
+    w = F.col("w")
+
+    def around(token: Column, i: Column) -> Column:
+        before = F.when(i > 0, F.slice(w, F.greatest(i + 1 - window, F.lit(1)), F.least(i, F.lit(window)))).otherwise(F.array().cast("array<string>"))
+        return F.struct(token.alias("token"), F.concat(before, F.slice(w, i + 2, window)).alias("near"))
+
+    # windows are cut inside the row, so an exploded row does not carry the whole text
+    each = df.select(words.alias("w")).select(F.explode(F.transform("w", around)).alias("x")).select("x.token", "x.near")
+    hits = each.join(targets.select("token").distinct(), "token", "left_semi").select("token", F.explode("near").alias("context"))
     if fold:
         hits = hits.withColumn("context", T.signature(F.col("context"), None))
     counted = hits.groupBy("token", "context").count()
