@@ -42,7 +42,7 @@ def identity_metrics(spark, sf_dir):
 @query()
 def error_interval(spark, sf_dir):
     """Bootstrap interval of the error rate and of its change against the source."""
-    return evaluate.bootstrap_cer(_predictions(spark, sf_dir), "prediction", "reference", "source", "k", 200)
+    return evaluate.bootstrap_cer(_predictions(spark, sf_dir), "prediction", "reference", "source", "k")
 
 
 @query("""

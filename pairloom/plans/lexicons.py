@@ -101,7 +101,7 @@ def lexicon_agreement(spark, sf_dir):
 def ibm1_lexicon(spark, sf_dir):
     from ..sources.shared import cut
 
-    return lexicon.ibm1(_pairs(spark, sf_dir), "k", F.col("s"), F.col("t"), 3, cut).filter("p >= 0.01").withColumn("p", F.round("p", 8))
+    return lexicon.ibm1(_pairs(spark, sf_dir), "k", F.col("s"), F.col("t"), checkpoint=cut).withColumn("p", F.round("p", 8))
 
 
 @query(f"""
@@ -152,7 +152,7 @@ def mined_variants(spark, sf_dir):
     docs, held = table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark").select("text")
     formal = held.select(F.explode(T.tokens(F.col("text"), "alpha")).alias("word")).distinct()
     french = spark.createDataFrame([("les",), ("des",), ("que",)], "word string")
-    return fuzzy.mine_variants(docs, held, formal, french, lexicon.capitalized(docs, F.col("text")).select("token"), min_frequency=40).drop("candidate_count")
+    return fuzzy.mine_variants(docs, held, formal, french, lexicon.capitalized(docs, F.col("text")).select("token")).drop("candidate_count")
 
 
 @query()
