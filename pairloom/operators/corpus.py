@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -46,36 +47,52 @@ class Selector:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, z))))
 
 
-def fit_selector(labelled: DataFrame, max_rows: int = 100_000) -> Selector:
-    """Balanced logistic regression on (text, label); the labelled table is small and checked."""
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(gram, documents, total), summed up inside a batch."""
+    for batch in batches:
+        documents, total = Counter(), Counter()
+        for text in batch.column(0).to_pylist():
+            grams = Counter(word_grams(text))
+            total.update(grams)
+            documents.update(grams.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([documents[g] for g in total], pa.int64()), pa.array(list(total.values()), pa.int64())], names=["gram", "documents", "total"])
+
+
+def fit_selector(labelled: DataFrame) -> Selector:
+    """Balanced logistic regression on all rows of (text, label).
+
+    Grams are counted and vectors made in the executors; only the features
+    themselves (``MAX_FEATURES`` at most) come to the driver.
+    """
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.linalg import Vectors, VectorUDT
     from pyspark.sql.types import DoubleType, StructField, StructType
 
-    rows = labelled.select("text", F.col("label").cast("int").alias("label")).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} labelled rows")
-    positive = sum(r["label"] for r in rows)
-    if not 0 < positive < len(rows):
+    spark = labelled.sparkSession
+    rows = labelled.select("text", F.col("label").cast("int").alias("label"))
+    n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0))).first()
+    if not 0 < positive < n:
         raise ValueError("both classes are needed")
-    documents, total = Counter(), Counter()
-    for r in rows:
-        grams = word_grams(r["text"])
-        total.update(grams)
-        documents.update(set(grams))
-    known = sorted((g for g, n in documents.items() if n >= MIN_DOCS), key=lambda g: (-total[g], g))[:MAX_FEATURES]
-    n = len(rows)
-    selector = Selector({g: math.log((1 + n) / (1 + documents[g])) + 1 for g in known}, {}, 0.0)
-    index = {g: i for i, g in enumerate(known)}
-    data = []
-    for r in rows:
-        v = {index[g]: x for g, x in selector.vector(r["text"]).items()}
-        data.append((float(r["label"]), n / (2.0 * (positive if r["label"] else n - positive)), Vectors.sparse(len(known), v)))
+    counted = rows.select("text").mapInArrow(_gram_counts, "gram string, documents long, total long")
+    counted = counted.groupBy("gram").agg(F.sum("documents").alias("documents"), F.sum("total").alias("total")).filter(F.col("documents") >= MIN_DOCS)
+    known = counted.orderBy(F.desc("total"), "gram").limit(MAX_FEATURES).collect()
+    selector = Selector({r["gram"]: math.log((1 + n) / (1 + r["documents"])) + 1 for r in known}, {}, 0.0)
+    packed = spark.sparkContext.broadcast((selector.idf, {r["gram"]: i for i, r in enumerate(known)}))
+
+    def vectors(part):
+        idf, index = packed.value
+        made = Selector(idf, {}, 0.0)
+        for text, label in part:
+            v = {index[g]: x for g, x in made.vector(text).items()}
+            yield float(label), n / (2.0 * (positive if label else n - positive)), Vectors.sparse(len(index), v)
+
     schema = StructType([StructField("label", DoubleType()), StructField("weight", DoubleType()), StructField("features", VectorUDT())])
+    data = spark.createDataFrame(rows.rdd.mapPartitions(vectors), schema)
     # the reference objective sums losses and halves the norm; Spark averages by weight, whose sum is n
-    model = LogisticRegression(regParam=1.0 / (STRENGTH * n), standardization=False, weightCol="weight", maxIter=500, tol=1e-8).fit(labelled.sparkSession.createDataFrame(data, schema))
-    selector.weights = dict(zip(known, map(float, model.coefficients), strict=True))
+    model = LogisticRegression(regParam=1.0 / (STRENGTH * n), standardization=False, weightCol="weight", maxIter=500, tol=1e-8).fit(data)
+    selector.weights = dict(zip((r["gram"] for r in known), map(float, model.coefficients), strict=True))
     selector.bias = float(model.intercept)
+    packed.unpersist()
     return selector
 
 

@@ -100,29 +100,49 @@ def identity_scores(df: DataFrame, source: str, reference: str) -> DataFrame:
     return scores(df, source, reference, source)
 
 
+#: Rows of one bucket of the bootstrap at first, and most buckets; beyond them the buckets grow.
+BUCKET_ROWS, MAX_BUCKETS = 10_000, 256
+
+
 def bootstrap_cer(df: DataFrame, prediction: str, reference: str, baseline: str | None = None, key: str = "source_id",
-                  resamples: int = 5000, seed: int = 2026, max_rows: int = 100_000) -> DataFrame:
+                  resamples: int = 5000, seed: int = 2026, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Percentile interval of the error rate (and of its change against a baseline column).
 
-    Evaluation sets are small: their per-row counts (checked against
-    ``max_rows``) are resampled in one vectorised draw.
+    Rows are dealt by key to buckets.  How many of a resample's draws fall into
+    each bucket is one multinomial draw; inside a bucket they are uniform.  So
+    resamples are those of the whole table, and only their sums are collected.
     """
+    from ..sources.shared import cut
+
     counted = row_counts(df.select(key, prediction, reference), None, prediction, reference).select(key, "char_edits", "reference_chars")
+    counted = counted.withColumn("_e", F.lit(0).cast("long"))
     if baseline is not None:
         other = row_counts(df.select(key, F.col(baseline).alias("_b"), reference), None, "_b", reference).select(key, F.col("char_edits").alias("_e"))
-        counted = counted.join(other, key)
-    rows = counted.orderBy(key).limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows to resample")
-    edits, chars = np.array([r["char_edits"] for r in rows]), np.array([r["reference_chars"] for r in rows])
-    drawn = np.random.default_rng(seed).integers(0, len(rows), (resamples, len(rows)))
-    total = chars[drawn].sum(1)
-    rate = edits[drawn].sum(1) / total
-    out = [("cer", float(edits.sum() / chars.sum()), *map(float, np.percentile(rate, [2.5, 97.5])))]
+        counted = counted.drop("_e").join(other, key)
+    counted = cut(counted.select(F.xxhash64(key).alias("_h"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("char_edits", "reference_chars", "_e")]))
+    n, edits, chars, base = counted.agg(F.count(F.lit(1)), F.sum("char_edits"), F.sum("reference_chars"), F.sum("_e")).first()
+    buckets = max(1, min(MAX_BUCKETS, -(-n // bucket_rows)))
+    dealt = counted.withColumn("_bucket", F.pmod("_h", F.lit(buckets)).cast("int"))
+    sizes = np.zeros(buckets, np.int64)
+    for r in dealt.groupBy("_bucket").count().collect():
+        sizes[r[0]] = r[1]
+    takes = np.random.default_rng(seed).multinomial(n, sizes / max(n, 1), resamples)
+
+    def draw(table: pa.Table) -> pa.Table:
+        at = table["_bucket"][0].as_py()
+        rng = np.random.default_rng([seed, at])
+        values = np.stack([table[c].to_numpy() for c in ("_h", "char_edits", "reference_chars", "_e")], 1)
+        values = values[np.lexsort(values.T[::-1])][:, 1:]
+        sums = np.array([values[rng.integers(0, len(values), k)].sum(0) for k in takes[:, at]])
+        return pa.table({"_resample": np.arange(resamples), "e": sums[:, 0], "c": sums[:, 1], "b": sums[:, 2]})
+
+    drawn = dealt.groupBy("_bucket").applyInArrow(draw, "_resample long, e long, c long, b long")
+    sums = np.array(drawn.groupBy("_resample").agg(F.sum("e"), F.sum("c"), F.sum("b")).orderBy("_resample").collect())
+    rate = sums[:, 1] / sums[:, 2]
+    out = [("cer", float(edits / chars), *map(float, np.percentile(rate, [2.5, 97.5])))]
     if baseline is not None:
-        base = np.array([r["_e"] for r in rows])
-        change = rate - base[drawn].sum(1) / total
-        out.append(("delta", float((edits.sum() - base.sum()) / chars.sum()), *map(float, np.percentile(change, [2.5, 97.5]))))
+        change = rate - sums[:, 3] / sums[:, 2]
+        out.append(("delta", float((edits - base) / chars), *map(float, np.percentile(change, [2.5, 97.5]))))
     return df.sparkSession.createDataFrame(out, "measure string, value double, low double, high double")
 
 

@@ -45,3 +45,33 @@ def test_error_interval_draws_five_thousand(spark, tmp_path):
     got = query(spark, tmp_path, "error_interval", part=part).collect()
     want = evaluate.bootstrap_cer(evaluation._predictions(spark, str(tmp_path)), "prediction", "reference", "source", "k", 5000).collect()
     assert got == want
+
+
+def test_selector_fits_on_more_rows_than_the_driver_held(spark):
+    from pyspark.sql import functions as F
+
+    from pairloom.operators import corpus
+
+    df = spark.range(100_002).select(F.when(F.col("id") % 2 == 0, "waaw rekk").otherwise("merci bien").alias("text"), (F.col("id") % 2 == 0).alias("label"))
+    model = corpus.fit_selector(df)
+    assert model.probability("waaw rekk") > 0.9 and model.probability("merci bien") < 0.1
+
+
+def test_interval_of_more_rows_than_the_driver_held(spark):
+    from pyspark.sql import functions as F
+
+    from pairloom.operators import evaluate
+
+    df = spark.range(100_002).select("id", F.lit("abcd").alias("p"), F.when(F.col("id") % 4 == 0, "abcx").otherwise("abcd").alias("r"))
+    got = evaluate.bootstrap_cer(df, "p", "r", None, "id", 200).first()
+    error = (0.25 * 0.75 / 100_002) ** 0.5 / 4
+    assert abs(got["value"] - 0.0625) < 1e-5 and 3 * error < got["high"] - got["low"] < 5 * error
+
+
+def test_interval_does_not_hang_on_the_buckets(spark):
+    from pairloom.operators import evaluate
+
+    df = spark.createDataFrame([(i, "abcd", "abcx" if i % 3 else "abcd", "zzcd") for i in range(400)], "k long, p string, r string, b string")
+    one, many = ([tuple(r)[1:] for r in evaluate.bootstrap_cer(df.repartition(k), "p", "r", "b", "k", 2000, bucket_rows=size).collect()] for k, size in ((2, 1000), (5, 40)))
+    assert all(abs(x - y) < 0.01 for a, b in zip(one, many, strict=True) for x, y in zip(a, b, strict=True))
+    assert many == [tuple(r)[1:] for r in evaluate.bootstrap_cer(df, "p", "r", "b", "k", 2000, bucket_rows=40).collect()]
