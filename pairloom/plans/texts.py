@@ -33,6 +33,12 @@ def cleaned_comments(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.clean_comment(ascii_html).alias("cleaned"))
 
 
+@query()
+def whole_comments(spark, sf_dir):
+    """``cleaned_comments`` over the whole texts, which SQL cannot mirror."""
+    return table(spark, sf_dir, "pages").select("page_id", T.clean_comment(F.col("html")).alias("cleaned"))
+
+
 @query(f"SELECT doc_id, {sql_usable('text')} AS usable, n_chars > 0 AS filled FROM documents")
 def usable_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.usable_text(F.col("text")).alias("usable"), (F.col("n_chars") > 0).alias("filled"))
@@ -133,6 +139,14 @@ def neighbour_similarity(spark, sf_dir):
     return a.join(b, "item_id").select("item_id", F.levenshtein("t", "u").cast("long").alias("distance"), S.similarity(F.col("t"), F.col("u")).alias("similarity"))
 
 
+@query()
+def whole_neighbour_similarity(spark, sf_dir):
+    """``neighbour_similarity`` over the whole texts: DuckDB's distance counts bytes."""
+    a = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("t"))
+    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
+    return a.join(b, "item_id").select("item_id", F.levenshtein("t", "u").cast("long").alias("distance"), S.similarity(F.col("t"), F.col("u")).alias("similarity"))
+
+
 @query()
 def edit_scripts(spark, sf_dir):
     sources = generate.rule_pairs(generate.formal_sources(table(spark, sf_dir, "part"), "p_name", "p_partkey"))

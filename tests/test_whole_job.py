@@ -75,3 +75,25 @@ def test_interval_does_not_hang_on_the_buckets(spark):
     one, many = ([tuple(r)[1:] for r in evaluate.bootstrap_cer(df.repartition(k), "p", "r", "b", "k", 2000, bucket_rows=size).collect()] for k, size in ((2, 1000), (5, 40)))
     assert all(abs(x - y) < 0.01 for a, b in zip(one, many, strict=True) for x, y in zip(a, b, strict=True))
     assert many == [tuple(r)[1:] for r in evaluate.bootstrap_cer(df, "p", "r", "b", "k", 2000, bucket_rows=40).collect()]
+
+
+def test_whole_comments_keep_letters_and_word_limits(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "Été\nÀ Dakar 😀 https://x.y/é @me\tJÀMM!!! ok??"), (2, "naka\nnga\u00a0def"), (3, None)], "page_id long, html string")
+    got = {r["page_id"]: r["cleaned"] for r in query(spark, tmp_path, "whole_comments", pages=pages).collect()}
+    assert got == {1: "été à dakar jàmm! ok?", 2: "naka nga def", 3: ""}
+
+
+def test_whole_neighbours_count_every_character(spark, tmp_path):
+    texts = ["jàmm rekk", "jamm\nrekk", "ñaata 😀", "naata"]
+    got = query(spark, tmp_path, "whole_neighbour_similarity", benchmark=spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, last = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    want = {i: distance(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:], strict=False))}
+    assert {r["item_id"]: r["distance"] for r in got.collect()} == want
