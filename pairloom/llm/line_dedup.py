@@ -3,17 +3,23 @@ r"""Substring deduplication by line hashing.
 A unit is a line of a text.  It is normalised (A-Z lower-cased, runs of ASCII
 white space to one blank, ends stripped) and, with ``min_words`` words or
 more, hashed to 128 bits.  Digests are grouped over all documents; the
-occurrence ranked first by (id, line number) stays and all others are removed.
-Removed lines keep their offsets in the original text.
+occurrence ranked first by (id, text digest, line number) stays and all others
+are removed.  Removed lines keep their offsets in the original text.
+
+With ``runs``, shorter lines that follow each other without a blank line are
+one unit too, if they have ``min_words`` words together: each of its lines is
+hashed with the whole run, so the run goes or stays as a whole.
 
 The group step pre-aggregates, so a line that a third of all documents share
 is one row a task.  Only digests found twice or more travel back to the units:
 by broadcast if counted as few, else by a salted join.
 
 Defined results: a null text is empty and stays null; lines of fewer words
-always stay; a line repeated inside one document stays once; rows with the
-same id are one document, so equal rows keep the same lines; a null id ranks
-first; an empty table gives an empty table; extra columns are passed by.
+stay, with ``runs`` if their whole run has fewer words too; a line repeated
+inside one document stays once; rows with the same id and text are one
+document, so equal rows keep the same lines; rows with the same id and other
+texts are documents of their own; a null id ranks first; an empty table gives
+an empty table; extra columns are passed by.
 """
 
 from __future__ import annotations
@@ -31,75 +37,90 @@ MIN_WORDS = 5
 SALTS = 32
 
 
-def units(text: str | None, min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """(line number, start, end, normalised line) of the lines that count."""
-    at = 0
+def units(text: str | None, min_words: int, runs: bool = False) -> Iterator[tuple[int, int, int, bytes]]:
+    """(line number, start, end, what is hashed) of the lines that count."""
+    at, run = 0, []
     for i, line in enumerate((text or "").split("\n")):
         words = line.encode("utf-8", "surrogatepass").lower().split()
+        if runs and 0 < len(words) < min_words:
+            run.append((i, at, at + len(line), words))
+        elif run:
+            yield from _run_units(run, min_words)
+            run = []
         if len(words) >= min_words:
             yield i, at, at + len(line), b" ".join(words)
         at += len(line) + 1
+    yield from _run_units(run, min_words)
+
+
+def _run_units(run: list[tuple[int, int, int, list[bytes]]], min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
+    if sum(len(words) for *_, words in run) >= min_words:
+        # a digest keeps a long run from being repeated once a line; no line has a line break, so none is equal to it
+        whole = xxhash.xxh3_128_hexdigest(b"\n".join(b" ".join(words) for *_, words in run)).encode()
+        for k, (i, start, end, _) in enumerate(run):
+            yield i, start, end, b"\n%d\n%s" % (k, whole)
 
 
-def _unit_rows(min_words: int):
-    names = ["id", "unit", "start", "end", "high", "low"]
+def _unit_rows(min_words: int, runs: bool):
+    names = ["id", "hash", "unit", "start", "end", "high", "low"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], [], []]
+            out = [[], [], [], [], [], []]
             ids = []
-            for id_, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for unit, start, end, norm in units(text, min_words):
+            for id_, hash_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for unit, start, end, norm in units(text, min_words, runs):
                     digest = xxhash.xxh3_128_digest(norm)
                     ids.append(id_)
-                    for held, value in zip(out, (unit, start, end, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)), strict=True):
+                    for held, value in zip(out, (hash_, unit, start, end, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)), strict=True):
                         held.append(value)
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]], names=names)
 
     return run
 
 
-UNIT_ROW = "id long, unit int, start long, end long, high long, low long"
+UNIT_ROW = "id long, hash long, unit int, start long, end long, high long, low long"
 
 
-def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, unit, start, end, kept_id, kept_unit): every line that goes, and the one that stays for it."""
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", runs: bool = False) -> DataFrame:
+    """(id, hash, unit, start, end, kept_id, kept_unit): every line that goes, and the one that stays for it."""
     small_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).alias("text"))
-    rows = plain.mapInArrow(_unit_rows(min_words), UNIT_ROW)
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    rows = plain.mapInArrow(_unit_rows(min_words, runs), UNIT_ROW)
     # nulls sort first in a struct's minimum, which is the rank that null ids have
-    first = rows.groupBy("high", "low").agg(F.min(F.struct("id", "unit")).alias("kept"), F.count(F.lit(1)).alias("times"))
+    first = rows.groupBy("high", "low").agg(F.min(F.struct("id", "hash", "unit")).alias("kept"), F.count(F.lit(1)).alias("times"))
     again = materialize(first.filter("times > 1").select("high", "low", "kept"))
     few, small = size_checked(again)
     if small:
         found = rows.join(few, ["high", "low"])
     else:
         spread = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = rows.withColumn("_salt", F.pmod(F.xxhash64("id", "unit"), F.lit(SALTS)).cast("int")).join(spread, ["high", "low", "_salt"])
-    other = ~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("unit") == F.col("kept.unit")))
-    return found.filter(other).select("id", "unit", "start", "end", F.col("kept.id").alias("kept_id"), F.col("kept.unit").alias("kept_unit"))
+        found = rows.withColumn("_salt", F.pmod(F.xxhash64("id", "hash", "unit"), F.lit(SALTS)).cast("int")).join(spread, ["high", "low", "_salt"])
+    other = ~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("hash") == F.col("kept.hash")) & (F.col("unit") == F.col("kept.unit")))
+    return found.filter(other).select("id", "hash", "unit", "start", "end", F.col("kept.id").alias("kept_id"), F.col("kept.unit").alias("kept_unit"))
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", runs: bool = False) -> DataFrame:
     """``docs`` with the text left after removal, plus ``removed``: the removed
     lines as array<struct<unit, start, end, kept_id, kept_unit>> in order."""
-    gone = removals(docs, min_words, id_col, text)
+    gone = removals(docs, min_words, id_col, text, runs)
     line = F.struct("unit", "start", "end", "kept_id", "kept_unit")
-    per = materialize(gone.groupBy("id").agg(F.array_sort(F.collect_set(line)).alias("removed")))
+    per = materialize(gone.groupBy("id", "hash").agg(F.array_sort(F.collect_set(line)).alias("removed")))
     total = per.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("removed")).alias("lines")).first()
     # the bound holds for the lines too, as a row may hold many
     small = total["rows"] <= 200_000 and (total["lines"] or 0) <= 1_000_000
-    per = per.withColumnRenamed("id", "_id").withColumnRenamed("removed", "_removed")
-    out = docs.join(F.broadcast(per) if small else per, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left").drop("_id")
+    per = per.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("removed").alias("_removed"))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
+    out = docs.join(F.broadcast(per) if small else per, same, "left").drop("_id", "_hash")
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.transform("_removed", lambda r: r["unit"]), i))
     kept = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
     return out.withColumn(text, kept).withColumnRenamed("_removed", "removed")
 
 
-def dedup_rows(docs: DataFrame) -> DataFrame:
+def dedup_rows(docs: DataFrame, runs: bool = False) -> DataFrame:
     """One row a document: what went, where it stood, and the text that is left."""
-    out = dedup_lines(docs.select("doc_id", "text", F.length("text").cast("long").alias("n_chars")))
+    out = dedup_lines(docs.select("doc_id", "text", F.length("text").cast("long").alias("n_chars")), runs=runs)
     spans = F.array_join(F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",")
     return out.select(
         "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),

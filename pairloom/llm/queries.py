@@ -28,6 +28,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_rows(table(spark, sf_dir, "documents"))
 
 
+def op4_short_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``op4_line_dedup`` with runs of short lines as units too, which its SQL leaves out."""
+    return line_dedup.dedup_rows(table(spark, sf_dir, "documents"), runs=True)
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -57,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
+    "op4_short_line_runs": op4_short_line_runs,
     "op5_decontamination": op5_decontamination,
     "op6_chat_format": op6_chat_format,
     "op7_token_counts": op7_token_counts,

@@ -97,3 +97,18 @@ def test_whole_neighbours_count_every_character(spark, tmp_path):
 
     want = {i: distance(a, b) for i, (a, b) in enumerate(zip(texts, texts[1:], strict=False))}
     assert {r["item_id"]: r["distance"] for r in got.collect()} == want
+
+
+def test_line_dedup_takes_runs_of_short_lines(spark, tmp_path):
+    verse = "roses are red\nviolets are blue\nsugar"
+    docs = spark.createDataFrame([(1, f"one\n\n{verse}"), (2, f"  {verse.upper()}\n\none"), (3, f"{verse}\nmore")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in query(spark, tmp_path, "op4_short_line_runs", documents=docs).collect()}
+    assert got == {1: (f"one\n\n{verse}", 0), 2: ("\none", 3), 3: (f"{verse}\nmore", 0)}
+
+
+def test_line_dedup_keeps_documents_of_one_id_apart(spark, tmp_path):
+    a, b, c = "the same line of seven words here", "a line that only one document has", "another line that is found only once"
+    data = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (None, f"{b} too\n{c} too"), (7, f"{a}\n{c} again"), (7, f"{b} again\n{a}")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    left = [line for r in query(spark, tmp_path, "op4_line_dedup", documents=docs).collect() for line in r["text"].split("\n") if line]
+    assert sorted(left) == sorted({line for _, text in data for line in text.split("\n")})
