@@ -34,8 +34,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences at their slots in training order."""
-    return token_output.training_order(docs)
+    """Token sequences at their slots in training order, written to shards."""
+    return token_output.written_order(docs)
 
 
 STAGES = [

@@ -22,8 +22,10 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import os
 import sys
+import uuid
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, size_checked, small_batches
+from .common import materialize, shared_dir, size_checked, small_batches
 from .token_counts import pieces, tokenizer_path
 
 SEQUENCE = 512
@@ -162,7 +164,96 @@ def training_order(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", le
     stride = length * ID_BYTES
     out = numbered.mapInArrow(_sequences(length, max(total, 1), key), "slot long, doc_id long, seq long, n_tokens long, tokens binary")
     out = out.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long")).withColumn("byte_offset", (F.col("slot") % per_shard) * stride)
-    return out.select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "tokens").repartition("shard").sortWithinPartitions("slot")
+    out = out.select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "tokens").repartition("shard").sortWithinPartitions("slot")
+    out.layout = {"stride": stride, "per_shard": per_shard, "records": total}
+    return out
+
+
+def _store(folder: str):
+    """File system and path of a folder, which is a path or a URI."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+
+
+def _rename(store, old: str, new: str) -> None:
+    """Not every store renames over a file that an earlier attempt left."""
+    if store.type_name != "local" and store.get_file_info(new).is_file:
+        store.delete_file(new)
+    store.move(old, new)
+
+
+def _put(folder: str, name: str, held: dict) -> None:
+    store, path = _store(folder)
+    tmp = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with store.open_output_stream(tmp) as f:
+        f.write(json.dumps(held).encode())
+    _rename(store, tmp, f"{path}/{name}")
+
+
+def written_order(docs: DataFrame, folder: str | None = None, tokenizer: str = "byte_bpe_50k.tiktoken", length: int = SEQUENCE,
+                  key: str = KEY, shard_sequences: int = SHARD) -> DataFrame:
+    """``training_order``, whose rows are written to shards on their way.
+
+    The rows already stand by shard and slot, so they are not shuffled again.
+    Each shard is ``shard-N.bin`` (records of a fixed stride, padded with the
+    end token) and ``shard-N.json`` (records, sha256); ``layout.json`` has the
+    stride and the records of a shard.  ``folder``: by default a new one in the
+    shared folder; it is the result's ``written_to``.
+    """
+    ordered = training_order(docs, tokenizer, length, key, shard_sequences)
+    folder = folder or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
+    store, path = _store(folder)
+    store.create_dir(path, recursive=True)
+    _put(folder, "layout.json", ordered.layout)
+    stride = length * ID_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out, tmp, digest, records = None, None, None, None, 0
+        store, path = _store(folder)
+
+        def close() -> None:
+            if out is not None:
+                out.close()
+                name = f"shard-{now:08d}"
+                _rename(store, tmp, f"{path}/{name}.bin")
+                _put(folder, f"{name}.json", {"shard": now, "records": records, "sha256": digest.hexdigest()})
+
+        for batch in batches:
+            for shard, tokens in zip(batch.column(1).to_pylist(), batch.column(6).to_pylist(), strict=True):
+                if shard != now:
+                    close()
+                    now, digest, records = shard, hashlib.sha256(), 0
+                    tmp = f"{path}/.shard-{shard:08d}-{uuid.uuid4().hex}"
+                    out = store.open_output_stream(tmp, buffer_size=1 << 20)
+                record = tokens + END.to_bytes(ID_BYTES, "little") * ((stride - len(tokens)) // ID_BYTES)
+                out.write(record)
+                digest.update(record)
+                records += 1
+            yield batch
+        close()
+
+    made = ordered.mapInArrow(run, ordered.schema)
+    made.written_to = folder
+    return made
+
+
+def read_slots(folder: str, first: int = 0) -> Iterator[tuple[int, bytes]]:
+    """(slot, record) in training order, from slot ``first`` on."""
+    store, path = _store(folder)
+    with store.open_input_stream(f"{path}/layout.json") as f:
+        layout = json.loads(f.read())
+    stride, per_shard = layout["stride"], layout["per_shard"]
+    while first < layout["records"]:
+        shard, at = divmod(first, per_shard)
+        with store.open_input_file(f"{path}/shard-{shard:08d}.bin") as f:
+            f.seek(at * stride)
+            for slot in range(first, min((shard + 1) * per_shard, layout["records"])):
+                record = f.read(stride)
+                if len(record) != stride:
+                    raise ValueError(f"shard {shard} ends before slot {slot}")
+                yield slot, record
+        first = (shard + 1) * per_shard
 
 
 def write_shards(ordered: DataFrame, folder: str, length: int = SEQUENCE) -> DataFrame:

@@ -112,3 +112,22 @@ def test_line_dedup_keeps_documents_of_one_id_apart(spark, tmp_path):
     docs = spark.createDataFrame(data, "doc_id long, text string")
     left = [line for r in query(spark, tmp_path, "op4_line_dedup", documents=docs).collect() for line in r["text"].split("\n") if line]
     assert sorted(left) == sorted({line for _, text in data for line in text.split("\n")})
+
+
+def test_token_output_writes_shards_that_are_read_from_any_slot(spark, tmp_path):
+    import hashlib
+    import json
+
+    from pairloom.llm import token_output
+
+    docs = spark.createDataFrame([(i, "some words of a text " * (i * 40)) for i in range(1, 30)], "doc_id long, text string")
+    made = query(spark, tmp_path, "op10_token_output", documents=docs)
+    want = {r["slot"]: bytes(r["tokens"]) for r in made.collect()}
+    end = token_output.END.to_bytes(2, "little")
+    padded = [want[k] + end * (token_output.SEQUENCE - len(want[k]) // 2) for k in range(len(want))]
+    for first in (0, 1, len(want) // 2, len(want)):
+        assert list(token_output.read_slots(made.written_to, first)) == list(enumerate(padded))[first:]
+    folder = made.written_to.removeprefix("file://")
+    held = [json.load(open(f"{folder}/shard-{s:08d}.json")) for s in {r["shard"] for r in made.select("shard").collect()}]
+    assert sum(h["records"] for h in held) == len(want)
+    assert all(hashlib.sha256(open(f"{folder}/shard-{h['shard']:08d}.bin", "rb").read()).hexdigest() == h["sha256"] for h in held)
