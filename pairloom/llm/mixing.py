@@ -174,8 +174,9 @@ def mix(docs: DataFrame, levels: int = 4, seed: str = SEED) -> DataFrame:
 
 
 def mixed_rows(docs: DataFrame) -> DataFrame:
-    """The rows of the mix with the columns of ``docs`` only."""
-    return mix(docs).select("_row.*")
+    """The rows of the mix with the columns of ``docs`` only, in the order of shard and slot."""
+    order = ["mix_shard", "mix_slot"]
+    return mix(docs).repartitionByRange(*order).sortWithinPartitions(*order).select("_row.*")
 
 
 def write_shards(mixed: DataFrame, path: str) -> None:

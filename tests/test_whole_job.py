@@ -131,3 +131,11 @@ def test_token_output_writes_shards_that_are_read_from_any_slot(spark, tmp_path)
     held = [json.load(open(f"{folder}/shard-{s:08d}.json")) for s in {r["shard"] for r in made.select("shard").collect()}]
     assert sum(h["records"] for h in held) == len(want)
     assert all(hashlib.sha256(open(f"{folder}/shard-{h['shard']:08d}.bin", "rb").read()).hexdigest() == h["sha256"] for h in held)
+
+
+def test_mixed_rows_come_in_the_order_of_the_mix(spark):
+    from pairloom.llm import mixing
+
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "some words " * (1 + i % 5)) for i in range(300)], "doc_id long, source string, text string")
+    want = [r["doc_id"] for r in mixing.mix(docs).orderBy("mix_shard", "mix_slot").select("_row.doc_id").collect()]
+    assert [r["doc_id"] for r in mixing.mixed_rows(docs).collect()] == want
