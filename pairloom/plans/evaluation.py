@@ -180,6 +180,16 @@ def missing_runs(spark, sf_dir):
     return labels.missing_runs(grid, runs, ["p_partkey"])
 
 
+@query("SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0")
+def whole_missing_runs(spark, sf_dir):
+    """``missing_runs`` with all parts as the grid."""
+    from ..operators import labels
+
+    part = table(spark, sf_dir, "part")
+    runs = part.select("p_partkey", F.when(F.col("p_partkey") % 9 == 0, "completed").otherwise("failed").alias("status"))
+    return labels.missing_runs(part.select("p_partkey"), runs, ["p_partkey"])
+
+
 @query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) WHERE r <= 5")
 def longest_per_language(spark, sf_dir):
     return order.top_per_group(table(spark, sf_dir, "documents").select("lang", "doc_id", "n_chars"), ["lang"], [F.desc("n_chars"), F.col("doc_id")], 5).select("lang", "doc_id")

@@ -55,6 +55,18 @@ def token_contexts(spark, sf_dir):
     return lexicon.contexts(docs, F.col("w"), targets, 2, 50, fold=False)
 
 
+@query(f"""
+WITH d AS (SELECT doc_id, {sql_alpha('text')} AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d), t AS (SELECT doc_id, i, w[i] AS token, w FROM p WHERE w[i] IN ('las', 'los', 'de')),
+n AS (SELECT token, unnest(list_concat(w[greatest(i - 2, 1):i - 1], w[i + 1:i + 2])) AS context FROM t),
+c AS (SELECT token, context, count(*) AS count FROM n GROUP BY ALL)
+SELECT token, context, count FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY count DESC, context) AS r FROM c) WHERE r <= 50""")
+def whole_token_contexts(spark, sf_dir):
+    """``token_contexts`` over the documents of all languages."""
+    targets = spark.createDataFrame([("las",), ("los",), ("de",)], "token string")
+    return lexicon.contexts(_words(spark, sf_dir), F.col("w"), targets, 2, 50, fold=False)
+
+
 @query(f"""
 WITH b AS (SELECT lang AS token, w AS context, count(*) AS count FROM (SELECT lang, unnest({sql_alpha('text')}) AS w FROM documents) GROUP BY ALL),
 t AS (SELECT token, sum(count) AS n FROM b GROUP BY token),

@@ -139,3 +139,11 @@ def test_mixed_rows_come_in_the_order_of_the_mix(spark):
     docs = spark.createDataFrame([(i, "abc"[i % 3], "some words " * (1 + i % 5)) for i in range(300)], "doc_id long, source string, text string")
     want = [r["doc_id"] for r in mixing.mix(docs).orderBy("mix_shard", "mix_slot").select("_row.doc_id").collect()]
     assert [r["doc_id"] for r in mixing.mixed_rows(docs).collect()] == want
+
+
+def test_contexts_and_grid_leave_no_rows_out(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "fr", "vin de table"), (2, "es", "casa de campo")], "doc_id long, lang string, text string")
+    got = {(r["token"], r["context"], r["count"]) for r in query(spark, tmp_path, "whole_token_contexts", documents=docs).collect()}
+    assert got == {("de", w, 1) for w in ("vin", "table", "casa", "campo")}
+    part = spark.range(1, 20).withColumnRenamed("id", "p_partkey")
+    assert {r[0] for r in query(spark, tmp_path, "whole_missing_runs", part=part).collect()} == set(range(1, 20)) - {9, 18}
