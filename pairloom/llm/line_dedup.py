@@ -1,128 +1,159 @@
-r"""Substring deduplication by line hashing.
-
-A unit is a line of a text.  It is normalised (A-Z lower-cased, runs of ASCII
-white space to one blank, ends stripped) and, with ``min_words`` words or
-more, hashed to 128 bits.  Digests are grouped over all documents; the
-occurrence ranked first by (id, text digest, line number) stays and all others
-are removed.  Removed lines keep their offsets in the original text.
-
-With ``runs``, shorter lines that follow each other without a blank line are
-one unit too, if they have ``min_words`` words together: each of its lines is
-hashed with the whole run, so the run goes or stays as a whole.
-
-The group step pre-aggregates, so a line that a third of all documents share
-is one row a task.  Only digests found twice or more travel back to the units:
-by broadcast if counted as few, else by a salted join.
-
-Defined results: a null text is empty and stays null; lines of fewer words
-stay, with ``runs`` if their whole run has fewer words too; a line repeated
-inside one document stays once; rows with the same id and text are one
-document, so equal rows keep the same lines; rows with the same id and other
-texts are documents of their own; a null id ranks first; an empty table gives
-an empty table; extra columns are passed by.
+r"""Substring deduplication by hashing lines, grouped into paragraphs.
+
+Units: a text is cut after every line break and after every white-space
+character that follows ``.``, ``!`` or ``?``, so a line is one unit a sentence
+and prose that stands on one long line is cut too.  Units are normalised (A-Z
+lower-cased, words ``[^\x20\x09-\x0D]+`` joined by one blank) and hashed to
+128 bits.  Digests are grouped over all documents, and the occurrence ranked
+first by (id, text digest, unit) is the one that stays.
+
+A unit is a repeat if its first occurrence stands in another document.  Short
+units repeat by chance, so what goes is a paragraph: repeats that follow each
+other, of ``MIN_WORDS`` words together or more (units without words neither
+count nor interrupt).  Removed units keep their offsets in the original text;
+the white-space character that ends a unit goes with it.  With ``within``,
+later occurrences in the first occurrence's own document are repeats too.
+
+The group step pre-aggregates, so a unit that a third of all documents share
+is one row a task.  Digests of more than one document go back to the units in
+two ways: those with more than one in ``HOT_SHARE`` of all units, at most
+``HOT_SHARE`` digests, by broadcast; the rest by a join whose keys are rare.
+
+Defined results: a null text is empty and stays null; rows with the same id
+and text are one document, so equal rows keep the same units; rows with the
+same id and other texts are documents of their own; a null id ranks first; an
+empty table gives an empty table; extra columns of any name are passed by.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, size_checked, small_batches
-
-MIN_WORDS = 5
-SALTS = 32
-
-
-def units(text: str | None, min_words: int, runs: bool = False) -> Iterator[tuple[int, int, int, bytes]]:
-    """(line number, start, end, what is hashed) of the lines that count."""
-    at, run = 0, []
-    for i, line in enumerate((text or "").split("\n")):
-        words = line.encode("utf-8", "surrogatepass").lower().split()
-        if runs and 0 < len(words) < min_words:
-            run.append((i, at, at + len(line), words))
-        elif run:
-            yield from _run_units(run, min_words)
-            run = []
-        if len(words) >= min_words:
-            yield i, at, at + len(line), b" ".join(words)
-        at += len(line) + 1
-    yield from _run_units(run, min_words)
-
-
-def _run_units(run: list[tuple[int, int, int, list[bytes]]], min_words: int) -> Iterator[tuple[int, int, int, bytes]]:
-    if sum(len(words) for *_, words in run) >= min_words:
-        # a digest keeps a long run from being repeated once a line; no line has a line break, so none is equal to it
-        whole = xxhash.xxh3_128_hexdigest(b"\n".join(b" ".join(words) for *_, words in run)).encode()
-        for k, (i, start, end, _) in enumerate(run):
-            yield i, start, end, b"\n%d\n%s" % (k, whole)
-
-
-def _unit_rows(min_words: int, runs: bool):
-    names = ["id", "hash", "unit", "start", "end", "high", "low"]
+from .common import free_name, materialize, size_checked, small_batches
+
+#: Words that neighbouring repeats have together before they go.
+MIN_WORDS = 25
+#: A digest with more than one in so many units (and ``HOT_LEAST`` at least) is hot.
+HOT_SHARE, HOT_LEAST = 50_000, 5_000
+#: Documents with removals that may be broadcast.
+FEW_DOCS = 20_000
+_CUT = re.compile(r"\n|(?<=[.!?])[\x20\x09-\x0D]")
+
+
+def units(text: str | None) -> Iterator[tuple[int, int, bytes, int]]:
+    """(start, end, normal form, words) of the units that have words."""
+    at = 0
+    text = text or ""
+    for stop in [m.end() for m in _CUT.finditer(text)] + [len(text)]:
+        words = text[at:stop].encode("utf-8", "surrogatepass").lower().split()
+        if words:
+            yield at, stop, b" ".join(words), len(words)
+        at = stop
+
+
+def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts, places, digests = [], [], []
+        for text in batch.column(2).to_pylist():
+            before = len(digests)
+            for start, end, norm, words in units(text):
+                places.append((len(digests) - before, words, start, end))
+                digests.append(xxhash.xxh3_128_digest(norm))
+            counts.append(len(digests) - before)
+        table = np.array(places, np.int64).reshape(-1, 4)
+        pairs = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+        owner = pa.array(np.repeat(np.arange(len(counts)), counts))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).take(owner), batch.column(1).take(owner), *[pa.array(table[:, k].astype(np.int32)) for k in range(4)], pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
+            names=["id", "hash", "unit", "words", "start", "end", "high", "low"])
+
+
+UNIT_ROW = "id long, hash long, unit int, words int, start int, end int, high long, low long"
+REMOVED = "array<struct<unit:int,start:int,end:int,kept_id:bigint,kept_unit:int>>"
+
+
+def _paragraphs(min_words: int):
+    """Arrow pass: of every document's repeats, those in runs of ``min_words`` words."""
+    kind = pa.list_(pa.struct([("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("kept_id", pa.int64()), ("kept_unit", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], [], [], [], []]
-            ids = []
-            for id_, hash_, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for unit, start, end, norm in units(text, min_words, runs):
-                    digest = xxhash.xxh3_128_digest(norm)
+            ids, hashes, kept = [], [], []
+            for id_, hash_, repeats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out, held = [], []
+                for r in [*repeats, None]:
+                    if held and (r is None or r["unit"] != held[-1]["unit"] + 1):
+                        out += held if sum(h.pop("words") for h in held) >= min_words else []
+                        held = []
+                    if r is not None:
+                        held.append(r)
+                if out:
                     ids.append(id_)
-                    for held, value in zip(out, (hash_, unit, start, end, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)), strict=True):
-                        held.append(value)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(v, k) for v, k in zip(out, kinds, strict=True)]], names=names)
+                    hashes.append(hash_)
+                    kept.append(out)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(kept, kind)], names=["id", "hash", "removed"])
 
     return run
 
 
-UNIT_ROW = "id long, hash long, unit int, start long, end long, high long, low long"
-
-
-def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", runs: bool = False) -> DataFrame:
-    """(id, hash, unit, start, end, kept_id, kept_unit): every line that goes, and the one that stays for it."""
+def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", within: bool = False,
+             hot_share: int = HOT_SHARE, hot_least: int = HOT_LEAST) -> DataFrame:
+    """(id, hash, removed) of the documents that lose units; ``removed`` holds each
+    unit's number and offsets, and the document and unit that stay for it."""
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
-    rows = plain.mapInArrow(_unit_rows(min_words, runs), UNIT_ROW)
+    rows = materialize(plain.mapInArrow(_unit_rows, UNIT_ROW))
     # nulls sort first in a struct's minimum, which is the rank that null ids have
-    first = rows.groupBy("high", "low").agg(F.min(F.struct("id", "hash", "unit")).alias("kept"), F.count(F.lit(1)).alias("times"))
-    again = materialize(first.filter("times > 1").select("high", "low", "kept"))
-    few, small = size_checked(again)
-    if small:
-        found = rows.join(few, ["high", "low"])
-    else:
-        spread = again.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = rows.withColumn("_salt", F.pmod(F.xxhash64("id", "hash", "unit"), F.lit(SALTS)).cast("int")).join(spread, ["high", "low", "_salt"])
-    other = ~(F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("hash") == F.col("kept.hash")) & (F.col("unit") == F.col("kept.unit")))
-    return found.filter(other).select("id", "hash", "unit", "start", "end", F.col("kept.id").alias("kept_id"), F.col("kept.unit").alias("kept_unit"))
-
-
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", runs: bool = False) -> DataFrame:
-    """``docs`` with the text left after removal, plus ``removed``: the removed
-    lines as array<struct<unit, start, end, kept_id, kept_unit>> in order."""
-    gone = removals(docs, min_words, id_col, text, runs)
-    line = F.struct("unit", "start", "end", "kept_id", "kept_unit")
-    per = materialize(gone.groupBy("id", "hash").agg(F.array_sort(F.collect_set(line)).alias("removed")))
-    total = per.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("removed")).alias("lines")).first()
-    # the bound holds for the lines too, as a row may hold many
-    small = total["rows"] <= 200_000 and (total["lines"] or 0) <= 1_000_000
-    per = per.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), F.col("removed").alias("_removed"))
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    out = docs.join(F.broadcast(per) if small else per, same, "left").drop("_id", "_hash")
-    lines = F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.transform("_removed", lambda r: r["unit"]), i))
-    kept = F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(lines, "\n"))
-    return out.withColumn(text, kept).withColumnRenamed("_removed", "removed")
-
-
-def dedup_rows(docs: DataFrame, runs: bool = False) -> DataFrame:
-    """One row a document: what went, where it stood, and the text that is left."""
-    out = dedup_lines(docs.select("doc_id", "text", F.length("text").cast("long").alias("n_chars")), runs=runs)
+    place = F.struct("id", "hash", "unit")
+    first = rows.groupBy("high", "low").agg(F.min(place).alias("kept"), F.max(place).alias("_last"), F.count(F.lit(1)).alias("times"))
+    elsewhere = ~(F.col("kept.id").eqNullSafe(F.col("_last.id")) & (F.col("kept.hash") == F.col("_last.hash")))
+    again = materialize(first.filter(F.col("times") > 1 if within else elsewhere).select("high", "low", "kept", "times"))
+    limit = max(hot_least, rows.count() // hot_share)
+    hot, rare = again.filter(F.col("times") > limit).drop("times"), again.filter(F.col("times") <= limit).drop("times")
+    hot = F.broadcast(hot.withColumnsRenamed({"high": "_high", "low": "_low", "kept": "_kept"}))  # hot_share rows at most
+    marked = rows.join(hot, (F.col("high") == F.col("_high")) & (F.col("low") == F.col("_low")), "left").drop("_high", "_low")
+    found = marked.filter("_kept is not null").withColumnRenamed("_kept", "kept").unionByName(marked.filter("_kept is null").drop("_kept").join(rare, ["high", "low"]))
+    own = F.col("id").eqNullSafe(F.col("kept.id")) & (F.col("hash") == F.col("kept.hash"))
+    found = found.filter(~(own & (F.col("unit") == F.col("kept.unit"))) if within else ~own)
+    item = F.struct("unit", "words", "start", "end", F.col("kept.id").alias("kept_id"), F.col("kept.unit").alias("kept_unit"))
+    per = found.groupBy("id", "hash").agg(F.array_sort(F.collect_set(item)).alias("repeats"))
+    return per.mapInArrow(_paragraphs(min_words), f"id long, hash long, removed {REMOVED}")
+
+
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", within: bool = False,
+                few_docs: int = FEW_DOCS) -> DataFrame:
+    """``docs`` with the text left after removal, plus ``removed`` (null if nothing
+    went): array<struct<unit, start, end, kept_id, kept_unit>> in order.  If
+    ``docs`` has a column ``removed``, the new one is the first free ``removed_N``."""
+    gone = materialize(removals(docs, min_words, id_col, text, within))
+    gone, _ = size_checked(gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "removed"), few_docs)
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_i"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
+    out = held.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
+    # what stays are the stretches between the removed ones
+    none = F.array(F.lit(0))
+    starts, ends = F.transform("removed", lambda r: r["start"]), F.transform("removed", lambda r: r["end"])
+    gaps = F.arrays_zip(F.concat(none, ends).alias("a"), F.concat(starts, F.array(F.length("_text"))).alias("b"))
+    left = F.array_join(F.transform(F.filter(gaps, lambda g: g["a"] < g["b"]), lambda g: F.substring(F.col("_text"), g["a"] + 1, g["b"] - g["a"])), "")
+    kept = F.when(F.col("removed").isNull(), F.col("_text")).otherwise(left)
+    return out.select(*[(kept if c == text else F.col(f"_row.`{c}`")).alias(c) for c in docs.columns], F.col("removed").alias(free_name(docs, "removed")))
+
+
+def dedup_rows(docs: DataFrame) -> DataFrame:
+    """One row a document: what went, where it stood, and the text that is left.
+
+    ``n_chars`` is the length of the text left, ``n_chars_before`` of the original.
+    """
+    out = dedup_lines(docs.select("doc_id", "text", F.length("text").cast("long").alias("n_chars_before")))
     spans = F.array_join(F.transform("removed", lambda r: F.concat(r["start"].cast("string"), F.lit("-"), r["end"].cast("string"))), ",")
     return out.select(
-        "doc_id", F.coalesce("n_chars", F.lit(0)).alias("n_chars"), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
+        "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.coalesce("n_chars_before", F.lit(0)).alias("n_chars_before"),
+        F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"),
         F.coalesce(F.aggregate("removed", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"]), F.lit(0)).alias("removed_chars"),
         F.coalesce(spans, F.lit("")).alias("removed_spans"), "text")

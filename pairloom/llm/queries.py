@@ -28,11 +28,6 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_rows(table(spark, sf_dir, "documents"))
 
 
-def op4_short_line_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``op4_line_dedup`` with runs of short lines as units too, which its SQL leaves out."""
-    return line_dedup.dedup_rows(table(spark, sf_dir, "documents"), runs=True)
-
-
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontamination_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -62,7 +57,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_join": op2_ngram_join,
     "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
-    "op4_short_line_runs": op4_short_line_runs,
     "op5_decontamination": op5_decontamination,
     "op6_chat_format": op6_chat_format,
     "op7_token_counts": op7_token_counts,
@@ -86,24 +80,21 @@ r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)""",
     "op4_line_dedup": r"""
-WITH l AS (
-  SELECT doc_id, coalesce(length(text), 0) AS n_chars, text, string_split(text, chr(10)) AS lines FROM documents),
-u AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS unit, lines FROM l),
-v AS (
-  SELECT doc_id, unit, lines[unit] AS line,
-    trim(regexp_replace(translate(lines[unit], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm,
-    coalesce(length(array_to_string(lines[1:unit - 1], chr(10))), 0) + CASE WHEN unit > 1 THEN 1 ELSE 0 END AS start FROM u),
-r AS (
-  SELECT *, len(string_split(norm, ' ')) >= 5 AND norm <> '' AS counts,
-    row_number() OVER (PARTITION BY norm ORDER BY doc_id, unit) AS k FROM v),
-g AS (
-  SELECT doc_id, coalesce(count(*) FILTER (WHERE counts AND k > 1), 0) AS n_removed, coalesce(sum(length(line)) FILTER (WHERE counts AND k > 1), 0) AS removed_chars,
-    coalesce(string_agg(CAST(start AS VARCHAR) || '-' || CAST(start + length(line) AS VARCHAR), ',' ORDER BY unit) FILTER (WHERE counts AND k > 1), '') AS removed_spans,
-    coalesce(string_agg(line, chr(10) ORDER BY unit) FILTER (WHERE NOT (counts AND k > 1)), '') AS text
-  FROM r GROUP BY doc_id)
-SELECT l.doc_id, CAST(l.n_chars AS BIGINT) AS n_chars, CAST(coalesce(g.n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(g.removed_chars, 0) AS BIGINT) AS removed_chars,
-  coalesce(g.removed_spans, '') AS removed_spans, CASE WHEN l.text IS NULL THEN NULL ELSE g.text END AS text
-FROM l LEFT JOIN g USING (doc_id)""",
+WITH d AS (SELECT doc_id, text, coalesce(text, '') AS t FROM documents),
+p AS (SELECT doc_id, t, string_split(regexp_replace(t, '([.!?][\x20\x09-\x0D]|\n)', '\1' || chr(57344), 'g'), chr(57344)) AS pieces FROM d),
+u AS (SELECT doc_id, unnest(pieces) AS piece, unnest(range(len(pieces))) AS k FROM p),
+o AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    trim(regexp_replace(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+', ' ', 'g')) AS norm FROM u),
+w AS (SELECT *, len(string_split(norm, ' ')) AS words, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS unit, min(doc_id) OVER (PARTITION BY norm) < doc_id AS again FROM o WHERE norm <> ''),
+r AS (SELECT *, unit - row_number() OVER (PARTITION BY doc_id ORDER BY unit) AS run FROM w WHERE again),
+g AS (SELECT doc_id, k, start, length(piece) AS chars, sum(words) OVER (PARTITION BY doc_id, run) >= 25 AS gone FROM r),
+x AS (SELECT o.doc_id, count(*) FILTER (WHERE gone) AS n_removed, coalesce(sum(chars) FILTER (WHERE gone), 0) AS removed_chars,
+    coalesce(string_agg(CAST(g.start AS BIGINT) || '-' || CAST(g.start + chars AS BIGINT), ',' ORDER BY o.k) FILTER (WHERE gone), '') AS removed_spans,
+    string_agg(CASE WHEN coalesce(gone, false) THEN '' ELSE piece END, '' ORDER BY o.k) AS kept
+  FROM o LEFT JOIN g ON o.doc_id = g.doc_id AND o.k = g.k GROUP BY o.doc_id)
+SELECT d.doc_id, CAST(length(x.kept) AS BIGINT) AS n_chars, CAST(length(d.t) AS BIGINT) AS n_chars_before, CAST(n_removed AS BIGINT) AS n_removed, CAST(removed_chars AS BIGINT) AS removed_chars,
+  removed_spans, CASE WHEN d.text IS NULL THEN NULL ELSE x.kept END AS text
+FROM d JOIN x USING (doc_id)""",
     "op5_decontamination": r"""
 WITH item AS (
   SELECT CAST(item_id AS VARCHAR) AS item_id,
