@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,28 +31,49 @@ def small_batches(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (a local test session) a temporary folder
-    of this machine takes its place.
+    Only a local session without the setting (a test) gets a temporary folder
+    of this machine; elsewhere the setting's absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     context = spark.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return context._jsc.sc().getCheckpointDir().get().rstrip("/")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+#: Spark's switch for the removal of a query's shuffle files as soon as the query ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def without_leftovers(spark: SparkSession):
+    """Queries inside leave no shuffle files behind; the session's own setting comes back after them."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
+
+
+def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
     The result no longer depends on shuffle files or cached blocks, so the
-    loss of an executor costs a re-read only.  The folder goes when the driver
-    ends.
+    loss of an executor costs a re-read only, and the shuffle files go at once.
+    The folder goes when the driver ends, or with ``discard``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with without_leftovers(spark):
+        df.write.option("compression", codec).parquet(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

@@ -1,21 +1,27 @@
 r"""Token-id output in training order.
 
 Texts are encoded with a public byte-level vocabulary, an end token is added,
-and each document is cut into sequences of ``SEQUENCE`` tokens.  Sequences are
-numbered densely in the order of (id, text digest, row, position), a keyed
-Feistel network with cycle-walking permutes the numbers to global slots, and
-slots are cut into shards of equal length.  A record has a fixed stride, so
-slot -> (shard, byte offset) is arithmetic and a reader can resume anywhere.
+and each document is cut into sequences of ``SEQUENCE`` tokens.  A keyed
+Feistel network with cycle-walking permutes the sequences' dense numbers to
+global slots, and slots are cut into shards of equal length.  A record has a
+fixed stride, so slot -> (shard, byte offset) is arithmetic and a reader can
+resume anywhere.
 
 Texts are encoded once and the ids written to the shared folder, two bytes a
-token.  A two-level running sum over the lengths gives first numbers, the
-slots follow, and the ids are shuffled once to their shards.  The first numbers
-are broadcast if counted as few; beyond that the ids are shuffled once more,
-to meet them.
-
-Defined results: a null or empty text has no sequence; rows with the same id
-and text are copies and get sequences each; null ids come first; an empty
-table gives an empty table; extra columns are not read.
+token.  A task numbers its own sequences from zero; the tasks' totals, one row
+a task, give the first number of each.  So numbering moves no tokens, whatever
+the number of documents.  The sequences then go to their shards in ``ROUNDS``
+range partitions of the slots, one after the other: a round moves the tokens
+of its own shards only, each shard is one task, and the round's shuffle files
+go before the next one starts.
+
+The order is fixed by the key, the rows of the table and their order in it;
+another split of the same table among tasks is numbered alike if it keeps that
+order, else it gives another permutation of the same sequences.
+
+Defined results: a null or empty text has no sequence; equal rows get
+sequences each; null ids are allowed; an empty table gives an empty table and
+a layout of no records; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -23,7 +29,6 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
-import os
 import sys
 import uuid
 from array import array
@@ -32,10 +37,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, size_checked, small_batches
+from .common import discard, materialize, shared_dir, small_batches, without_leftovers
 from .token_counts import pieces, tokenizer_path
 
 SEQUENCE = 512
@@ -43,7 +49,9 @@ SEQUENCE = 512
 SHARD, MIN_SHARDS = 65_536, 64
 #: Fixed values of the vocabulary byte_bpe_50k: the free id that ends a document, bytes of an id.
 END, ID_BYTES = 50_256, 2
-KEY, ROUNDS = "training-order-1", 6
+KEY, FEISTEL = "training-order-1", 6
+#: Range partitions of the slots that are written one after the other.
+ROUNDS = 4
 
 
 @lru_cache(maxsize=2)
@@ -69,7 +77,7 @@ def encode(text: str | None, name: str) -> bytes:
     return ids.tobytes()
 
 
-def feistel(numbers: np.ndarray, domain: int, key: str = KEY, rounds: int = ROUNDS) -> np.ndarray:
+def feistel(numbers: np.ndarray, domain: int, key: str = KEY, rounds: int = FEISTEL) -> np.ndarray:
     """A keyed permutation of range(domain), applied to ``numbers``.
 
     A balanced network permutes the next power of four; values outside the
@@ -94,86 +102,58 @@ def feistel(numbers: np.ndarray, domain: int, key: str = KEY, rounds: int = ROUN
     return out.astype(np.int64)
 
 
-def first_numbers(lengths: DataFrame) -> tuple[DataFrame, int]:
-    """Dense first number of each row in (id, digest) order, and the number of sequences.
-
-    ``lengths``: _id, _hash, _row, n_seqs.  Range partitions are summed first;
-    inside one the running sum is a window over that partition alone.  Equal
-    rows may trade places, which changes nothing.
-    """
-    keys = ["_id", "_hash", "_row"]
-    ordered = materialize(lengths.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
-    parts = materialize(ordered.groupBy("_part").agg(F.sum("n_seqs").alias("_all")))
-    total = parts.agg(F.sum("_all")).first()[0]
-    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets, _ = size_checked(parts.select("_part", F.coalesce(F.sum("_all").over(before), F.lit(0)).alias("_offset")))
-    inside = Window.partitionBy("_part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    starts = ordered.withColumn("_before", F.coalesce(F.sum("n_seqs").over(inside), F.lit(0))).join(offsets, "_part")
-    return starts.select("_row", (F.col("_offset") + F.col("_before")).alias("start")), int(total or 0)
-
-
 def _encoded(name: str, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, first = TaskContext.get().partitionId(), 0
         for batch in batches:
-            tokens = [encode(t, name) for t in batch.column(3).to_pylist()]
-            seqs = [-(-len(t) // (length * ID_BYTES)) for t in tokens]
+            tokens = [encode(t, name) for t in batch.column(1).to_pylist()]
+            seqs = np.array([-(-len(t) // (length * ID_BYTES)) for t in tokens], np.int64)
+            firsts = first + np.cumsum(seqs) - seqs
+            first += int(seqs.sum())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(seqs, pa.int64()), pa.array(tokens, pa.binary())],
-                names=["doc_id", "_id", "_hash", "n_seqs", "ids"])
+                [batch.column(0), pa.array(np.full(len(seqs), task, np.int32)), pa.array(firsts), pa.array(seqs), pa.array(tokens, pa.binary())],
+                names=["doc_id", "task", "first", "n_seqs", "ids"])
 
     return run
 
 
-def _sequences(length: int, total: int, key: str):
+def _sequences(length: int, total: int, key: str, low: int, high: int):
+    """Arrow pass over (doc_id, start, n_seqs, ids): the sequences with slots in [low, high)."""
     names = ["slot", "doc_id", "seq", "n_tokens", "tokens"]
     step = length * ID_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, seqs, counts, payload, numbers = [], [], [], [], []
-            for id_, tokens, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                parts = [tokens[at : at + step] for at in range(0, len(tokens), step)]
-                numbers.extend(range(start, start + len(parts)))
-                ids.extend([id_] * len(parts))
-                seqs.extend(range(len(parts)))
-                payload.extend(parts)
-                counts.extend(len(p) // ID_BYTES for p in parts)
-            slots = feistel(np.array(numbers, np.uint64), total, key) if numbers else np.zeros(0, np.int64)
+            starts, counts = (batch.column(k).to_numpy() for k in (1, 2))
+            owner = np.repeat(np.arange(len(counts)), counts)
+            seq = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+            slots = feistel((starts[owner] + seq).astype(np.uint64), total, key) if len(owner) else np.zeros(0, np.int64)
+            mine = np.flatnonzero((slots >= low) & (slots < high))
+            owner, seq = owner[mine], seq[mine]
+            offsets = np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset :][: len(counts) + 1].astype(np.int64)
+            data = memoryview(batch.column(3).buffers()[2] or b"")
+            begin = offsets[:-1][owner] + seq * step
+            end = np.minimum(begin + step, offsets[1:][owner])
+            payload = [data[a:b].tobytes() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots), pa.array(ids, pa.int64()), pa.array(seqs, pa.int64()), pa.array(counts, pa.int64()), pa.array(payload, pa.binary())], names=names)
+                [pa.array(slots[mine]), batch.column(0).take(pa.array(owner)), pa.array(seq), pa.array((end - begin) // ID_BYTES), pa.array(payload, pa.binary())], names=names)
 
     return run
 
 
-def training_order(docs: DataFrame, tokenizer: str = "byte_bpe_50k.tiktoken", length: int = SEQUENCE, key: str = KEY,
-                   shard_sequences: int = SHARD) -> DataFrame:
-    """One row a sequence: slot, shard, byte_offset, doc_id, seq, n_tokens, tokens
-    (little-endian ids, without the padding), partitioned by shard and sorted by slot."""
-    small_batches(docs.sparkSession)
-
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"),
-        F.xxhash64("text").alias("_hash"), "text").filter("text <> ''")
-    rows = rows.mapInArrow(_encoded(tokenizer, length), "doc_id long, _id long, _hash long, n_seqs long, ids binary")
-    # the row number is frozen with the table, so repeated rows are told apart for good
-    rows = materialize(rows.withColumn("_row", F.monotonically_increasing_id()))
-    starts, total = first_numbers(rows.select("_id", "_hash", "_row", "n_seqs"))
-    starts, _ = size_checked(starts, 500_000)
-    numbered = rows.join(starts, "_row").select("doc_id", "ids", "start")
-    per_shard = max(1, min(shard_sequences, -(-total // MIN_SHARDS)))
-    stride = length * ID_BYTES
-    out = numbered.mapInArrow(_sequences(length, max(total, 1), key), "slot long, doc_id long, seq long, n_tokens long, tokens binary")
-    out = out.withColumn("shard", F.floor(F.col("slot") / per_shard).cast("long")).withColumn("byte_offset", (F.col("slot") % per_shard) * stride)
-    out = out.select("slot", "shard", "byte_offset", "doc_id", "seq", "n_tokens", "tokens").repartition("shard").sortWithinPartitions("slot")
-    out.layout = {"stride": stride, "per_shard": per_shard, "records": total}
-    return out
-
-
 def _store(folder: str):
-    """File system and path of a folder, which is a path or a URI."""
+    """File system and path of a folder: a local path, or a URI as ``qualified`` gives it."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+    if folder.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + folder.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(folder.replace("s3a://", "s3://", 1)) if ":/" in folder else (fs.LocalFileSystem(), folder)
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with the scheme that Spark would give it, so that executors and driver mean the same store."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
 
 
 def _rename(store, old: str, new: str) -> None:
@@ -191,22 +171,8 @@ def _put(folder: str, name: str, held: dict) -> None:
     _rename(store, tmp, f"{path}/{name}")
 
 
-def written_order(docs: DataFrame, folder: str | None = None, tokenizer: str = "byte_bpe_50k.tiktoken", length: int = SEQUENCE,
-                  key: str = KEY, shard_sequences: int = SHARD) -> DataFrame:
-    """``training_order``, whose rows are written to shards on their way.
-
-    The rows already stand by shard and slot, so they are not shuffled again.
-    Each shard is ``shard-N.bin`` (records of a fixed stride, padded with the
-    end token) and ``shard-N.json`` (records, sha256); ``layout.json`` has the
-    stride and the records of a shard.  ``folder``: by default a new one in the
-    shared folder; it is the result's ``written_to``.
-    """
-    ordered = training_order(docs, tokenizer, length, key, shard_sequences)
-    folder = folder or f"{shared_dir(docs.sparkSession)}/shards-{uuid.uuid4().hex}"
-    store, path = _store(folder)
-    store.create_dir(path, recursive=True)
-    _put(folder, "layout.json", ordered.layout)
-    stride = length * ID_BYTES
+def _shard_writer(folder: str, stride: int, per_shard: int):
+    """Arrow pass over rows sorted by slot: writes the shards, gives (slot, doc_id, seq, n_tokens)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, out, tmp, digest, records = None, None, None, None, 0
@@ -220,29 +186,120 @@ def written_order(docs: DataFrame, folder: str | None = None, tokenizer: str = "
                 _put(folder, f"{name}.json", {"shard": now, "records": records, "sha256": digest.hexdigest()})
 
         for batch in batches:
-            for shard, tokens in zip(batch.column(1).to_pylist(), batch.column(6).to_pylist(), strict=True):
-                if shard != now:
+            for slot, tokens in zip(batch.column(0).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                if slot // per_shard != now:
                     close()
-                    now, digest, records = shard, hashlib.sha256(), 0
-                    tmp = f"{path}/.shard-{shard:08d}-{uuid.uuid4().hex}"
+                    now, digest, records = slot // per_shard, hashlib.sha256(), 0
+                    # a name of its own, renamed when whole: a repeated task changes nothing
+                    tmp = f"{path}/.shard-{now:08d}-{uuid.uuid4().hex}"
                     out = store.open_output_stream(tmp, buffer_size=1 << 20)
                 record = tokens + END.to_bytes(ID_BYTES, "little") * ((stride - len(tokens)) // ID_BYTES)
                 out.write(record)
                 digest.update(record)
                 records += 1
-            yield batch
+            yield batch.select(["slot", "doc_id", "seq", "n_tokens"])
         close()
 
-    made = ordered.mapInArrow(run, ordered.schema)
-    made.written_to = folder
-    return made
+    return run
+
+
+INDEX = "slot long, doc_id long, seq long, n_tokens long"
+
+
+def write_order(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.tiktoken", length: int = SEQUENCE, key: str = KEY,
+                shard_sequences: int = SHARD, rounds: int = ROUNDS) -> dict:
+    """Write the documents' sequences to ``folder`` in training order; returns the layout.
+
+    ``shard-N.bin`` has records of a fixed stride, padded with the end token,
+    ``shard-N.json`` their number and sha256, ``index/`` the document, place
+    and length of every slot, and ``layout.json`` stride, records of a shard and
+    records; the layout is written last, when all shards stand.
+    """
+    spark = docs.sparkSession
+    small_batches(spark)
+    folder = qualified(spark, folder)
+    store, path = _store(folder)
+    store.create_dir(path, recursive=True)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text <> ''")
+    rows = materialize(rows.mapInArrow(_encoded(tokenizer, length), "doc_id long, task int, first long, n_seqs long, ids binary"), "zstd")
+    totals = rows.groupBy("task").agg(F.sum("n_seqs").alias("all"))
+    before = Window.partitionBy(F.lit(0)).orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("task").alias("_task"), F.coalesce(F.sum("all").over(before), F.lit(0)).alias("offset"))  # one row a task
+    total = totals.agg(F.coalesce(F.sum("all"), F.lit(0))).first()[0]
+    numbered = rows.join(F.broadcast(offsets), F.col("task") == F.col("_task")).select("doc_id", (F.col("offset") + F.col("first")).alias("start"), "n_seqs", "ids")
+    per_shard = max(1, min(shard_sequences, -(-total // MIN_SHARDS)))
+    stride, shards = length * ID_BYTES, -(-total // per_shard)
+    layout = {"stride": stride, "per_shard": per_shard, "records": total, "shards": shards}
+    for r in range(rounds):
+        first, last = shards * r // rounds, shards * (r + 1) // rounds
+        if first == last:
+            continue
+        part = numbered.mapInArrow(_sequences(length, total, key, first * per_shard, last * per_shard), f"{INDEX}, tokens binary")
+        part = part.repartitionById(last - first, (F.floor(F.col("slot") / per_shard) - first).cast("int")).sortWithinPartitions("slot")
+        with without_leftovers(spark):
+            part.mapInArrow(_shard_writer(folder, stride, per_shard), INDEX).write.mode("append").parquet(f"{folder}/index")
+    discard(rows)
+    _put(folder, "layout.json", layout)
+    return layout
+
+
+def read_layout(folder: str) -> dict:
+    store, path = _store(folder)
+    with store.open_input_stream(f"{path}/layout.json") as f:
+        return json.loads(f.read())
+
+
+ROW = "slot long, shard long, byte_offset long, doc_id long, seq long, n_tokens long, tokens binary"
+
+
+def read_order(spark: SparkSession, folder: str, first: int = 0) -> DataFrame:
+    """The sequences from slot ``first`` on, read back from the shards: slot, shard,
+    byte_offset, doc_id, seq, n_tokens, tokens (little-endian ids, without padding)."""
+    folder = qualified(spark, folder)
+    layout = read_layout(folder)
+    if not layout["records"]:
+        return spark.createDataFrame([], ROW)
+    stride, per_shard = layout["stride"], layout["per_shard"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = _store(folder)
+        now, file, at = None, None, 0
+        for batch in batches:
+            slots = batch.column(0).to_numpy()
+            payload = []
+            for slot, n in zip(slots.tolist(), batch.column(3).to_pylist(), strict=True):
+                if slot // per_shard != now:
+                    if file is not None:
+                        file.close()
+                    now, at = slot // per_shard, None
+                    file = store.open_input_file(f"{path}/shard-{now:08d}.bin")
+                if slot != at:
+                    file.seek(slot % per_shard * stride)
+                payload.append(file.read(stride)[: n * ID_BYTES])
+                at = slot + 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(slots // per_shard), pa.array(slots % per_shard * stride), *[batch.column(k) for k in (1, 2, 3)], pa.array(payload, pa.binary())],
+                names=[c.split(" ")[0] for c in ROW.split(", ")])
+
+    index = spark.read.schema(INDEX).parquet(f"{folder}/index")
+    return (index.filter(F.col("slot") >= first) if first else index).mapInArrow(run, ROW)
+
+
+def written_order(docs: DataFrame, folder: str | None = None, **settings) -> DataFrame:
+    """``write_order`` into ``folder`` (by default a new one in the shared folder), read back
+    with ``read_order``; the folder is the result's ``written_to``."""
+    spark = docs.sparkSession
+    folder = folder or f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}"
+    write_order(docs, folder, **settings)
+    out = read_order(spark, folder)
+    out.written_to = qualified(spark, folder)
+    return out
 
 
 def read_slots(folder: str, first: int = 0) -> Iterator[tuple[int, bytes]]:
     """(slot, record) in training order, from slot ``first`` on."""
     store, path = _store(folder)
-    with store.open_input_stream(f"{path}/layout.json") as f:
-        layout = json.loads(f.read())
+    layout = read_layout(folder)
     stride, per_shard = layout["stride"], layout["per_shard"]
     while first < layout["records"]:
         shard, at = divmod(first, per_shard)
@@ -254,39 +311,3 @@ def read_slots(folder: str, first: int = 0) -> Iterator[tuple[int, bytes]]:
                     raise ValueError(f"shard {shard} ends before slot {slot}")
                 yield slot, record
         first = (shard + 1) * per_shard
-
-
-def write_shards(ordered: DataFrame, folder: str, length: int = SEQUENCE) -> DataFrame:
-    """Write ``folder/shard-N.bin`` (records of a fixed stride, padded with the end token).
-
-    ``folder`` is a path that all executors mount.  A shard is written under a
-    name of its own and renamed when whole, so a repeated task changes nothing.
-    Returns one row a shard: shard, records, sha256, path.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done, now, out, tmp, digest, records = [], None, None, None, None, 0
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                os.replace(tmp, f"{folder}/shard-{now:08d}.bin")
-                done.append((now, records, digest.hexdigest(), f"{folder}/shard-{now:08d}.bin"))
-
-        for batch in batches:
-            for shard, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if shard != now:
-                    close()
-                    now, digest, records = shard, hashlib.sha256(), 0
-                    tmp = f"{folder}/.shard-{shard:08d}-{os.getpid()}"
-                    out = open(tmp, "wb")  # noqa: SIM115
-                record = tokens + END.to_bytes(ID_BYTES, "little") * (length - len(tokens) // ID_BYTES)
-                out.write(record)
-                digest.update(record)
-                records += 1
-        close()
-        yield pa.RecordBatch.from_pylist([dict(zip(("shard", "records", "sha256", "path"), d, strict=True)) for d in done], pa.schema(
-            [("shard", pa.int64()), ("records", pa.int64()), ("sha256", pa.string()), ("path", pa.string())]))
-
-    return ordered.select("shard", "tokens", "slot").repartition("shard").sortWithinPartitions("shard", "slot").mapInArrow(
-        run, "shard long, records long, sha256 string, path string")
