@@ -36,14 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, materialize, size_checked, small_batches
+from .common import free_name, materialize, small_batches
 
 #: Words that neighbouring repeats have together before they go.
 MIN_WORDS = 25
 #: A digest with more than one in so many units (and ``HOT_LEAST`` at least) is hot.
 HOT_SHARE, HOT_LEAST = 50_000, 5_000
-#: Documents with removals that may be broadcast.
-FEW_DOCS = 20_000
 _CUT = re.compile(r"\n|(?<=[.!?])[\x20\x09-\x0D]")
 
 
@@ -127,13 +125,11 @@ def removals(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id"
     return per.mapInArrow(_paragraphs(min_words), f"id long, hash long, removed {REMOVED}")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", within: bool = False,
-                few_docs: int = FEW_DOCS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text: str = "text", within: bool = False) -> DataFrame:
     """``docs`` with the text left after removal, plus ``removed`` (null if nothing
     went): array<struct<unit, start, end, kept_id, kept_unit>> in order.  If
     ``docs`` has a column ``removed``, the new one is the first free ``removed_N``."""
-    gone = materialize(removals(docs, min_words, id_col, text, within))
-    gone, _ = size_checked(gone.select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "removed"), few_docs)
+    gone = materialize(removals(docs, min_words, id_col, text, within)).select(F.col("id").alias("_id"), F.col("hash").alias("_hash"), "removed")
     held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(id_col).cast("long").alias("_i"), F.xxhash64(text).alias("_h"), F.col(text).alias("_text"))
     out = held.join(gone, F.col("_i").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_hash")), "left")
     # what stays are the stretches between the removed ones

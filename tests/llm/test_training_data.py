@@ -450,15 +450,76 @@ def test_patience_and_spans(spark):
 # -- line dedup --------------------------------------------------------------
 
 
-def test_line_dedup_keeps_the_first(spark, empty):
-    a, b = "the same line of seven words here", "another shared line that has enough words"
-    data = [(5, f"{a}\nshort one\n{b}"), (2, f"x\n{b}\nshort one\n  {a.upper()}  \n{b}"), (7, None), (8, ""), (9, "nothing shared in this line at all")]
-    df = spark.createDataFrame(data, "doc_id long, text string")
-    out = {r["doc_id"]: r for r in rows(line_dedup.dedup_lines(df))}
-    assert out[2]["text"] == f"x\n{b}\nshort one\n  {a.upper()}  "
-    assert out[5]["text"] == "short one"
-    assert [(data[0][1][m["start"] : m["end"]], m["kept_id"], m["kept_unit"]) for m in out[5]["removed"]] == [(a, 2, 3), (b, 2, 1)]
-    assert out[7]["text"] is None and out[8]["text"] == "" and out[9]["removed"] is None
+def brute_dedup(data, min_words, within=False):
+    """{(id, text): (text left, removed spans)} for rows with ids; documents rank by id."""
+    def cut(text):
+        out, at = [], 0
+        for i, c in enumerate(text):
+            if c == "\n" or c in " \t\x0b\x0c\r" and i and text[i - 1] in ".!?":
+                out.append((at, i + 1))
+                at = i + 1
+        out.append((at, len(text)))
+        norm = lambda a, b: " ".join(re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text[a:b])))
+        return [(a, b, norm(a, b)) for a, b in out if norm(a, b)]
+
+    docs = {r: cut(r[1] or "") for r in sorted(set(data), key=lambda r: r[0])}
+    first, out = {}, {}
+    for r, us in docs.items():
+        for k, (_, _, n) in enumerate(us):
+            first.setdefault(n, (r, k))
+    for r, us in docs.items():
+        repeat = [first[n] != (r, k) and (within or first[n][0] != r) for k, (_, _, n) in enumerate(us)]
+        gone, k = [], 0
+        while k < len(us):
+            j = k
+            while j < len(us) and repeat[j]:
+                j += 1
+            if sum(len(us[i][2].split(" ")) for i in range(k, j)) >= min_words and j > k:
+                gone += [us[i][:2] for i in range(k, j)]
+            k = max(j, k + 1)
+        text = r[1]
+        for a, b in reversed(gone):
+            text = text[:a] + text[b:]
+        out[r] = (text, gone)
+    return out
+
+
+@pytest.mark.parametrize(("within", "hot"), [(False, 5000), (True, 5000), (False, 1)])
+def test_line_dedup_matches_brute_force(spark, within, hot):
+    rng = random.Random(11)
+    sentence = lambda n: " ".join(rng.choice(WORDS) for _ in range(n)) + rng.choice(".!?")
+    passages = [rng.choice(" \n").join(sentence(rng.choice([1, 4, 9, 15])) for _ in range(5)) for _ in range(4)]
+    data = []
+    for i in range(60):
+        parts = [sentence(rng.choice([2, 8, 20])) for _ in range(6)]
+        for _ in range(rng.randrange(3)):
+            parts.insert(rng.randrange(7), rng.choice(passages).swapcase() if rng.random() < 0.3 else rng.choice(passages))
+        data.append((i, "".join(p + rng.choice([" ", "\n", "  ", "\r\n", "\n\n"]) for p in parts)))
+    data += [(100, None), (101, ""), (102, " \n. \n"), data[7], (103, "lone line without an end " * 4000)]
+    want = brute_dedup([r for r in data if r[1] is not None], 12, within)
+    df = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+    gone = {(r["id"], r["hash"]): r["removed"] for r in rows(line_dedup.removals(df, 12, within=within, hot_share=1, hot_least=hot))}
+    spans = {r["doc_id"]: [(x["start"], x["end"]) for x in gone.get((r["doc_id"], r["h"]), [])] for r in rows(df.selectExpr("doc_id", "xxhash64(text) as h"))}
+    out = rows(line_dedup.dedup_lines(df, 12, within=within))
+    assert len(out) == len(data)
+    for r in out:
+        before = next(t for i, t in data if i == r["doc_id"])
+        if before is None:
+            assert r["text"] is None and r["removed"] is None
+            continue
+        left, cut = want[r["doc_id"], before]
+        assert (r["text"], [(x["start"], x["end"]) for x in r["removed"] or []], spans[r["doc_id"]]) == (left, cut, cut)
+    assert any(cut for _, cut in want.values())
+
+
+def test_line_dedup_keeps_every_unit_once_and_short_repeats(spark, empty):
+    long = "the very same sentence of many words " * 4 + "ends."
+    data = [(None, f"A.\n{long}"), (None, f"{long} B."), (7, f"Own words. {long.upper()}\nMore."), (7, "Short. All rights reserved."), (8, "Short. All rights reserved.")]
+    out = rows(line_dedup.dedup_rows(spark.createDataFrame(data, "doc_id long, text string")))
+    assert sorted(r["text"] for r in out) == sorted([f"A.\n{long}", "B.", "Own words. More.", data[3][1], data[4][1]]) or sorted(r["text"] for r in out) == sorted(
+        ["A.\n", f"{long} B.", "Own words. More.", data[3][1], data[4][1]])
+    for r in out:
+        assert r["n_chars"] == len(r["text"]) and r["n_chars_before"] == r["n_chars"] + r["removed_chars"]
     assert line_dedup.dedup_rows(empty).count() == 0
 
 
@@ -473,10 +534,15 @@ def test_feistel_is_a_permutation(n):
 
 
 def test_token_output_round_trip(spark, docs, empty, tmp_path):
-    out = token_output.training_order(docs, length=64, shard_sequences=50)
+    import json
+
+    folder = str(tmp_path / "order")
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    out = token_output.written_order(docs, folder, length=64, shard_sequences=5)
     got = rows(out)
-    assert sorted(r["slot"] for r in got) == list(range(len(got)))
-    assert all(r["shard"] == r["slot"] // 50 or len(got) < 64 * 50 for r in got)
+    total = len(got)
+    assert sorted(r["slot"] for r in got) == list(range(total))
     encoding = token_output._encoding("byte_bpe_50k.tiktoken")
     texts = {r["doc_id"]: r["text"] for r in rows(docs)}
     copies = {r["doc_id"]: r["count"] for r in rows(docs.groupBy("doc_id").count())}
@@ -487,19 +553,35 @@ def test_token_output_round_trip(spark, docs, empty, tmp_path):
             assert not parts
             continue
         assert ids[-1] == token_output.END and encoding.decode(ids[:-1]) == text
-    again = {(r["slot"], r["doc_id"], r["seq"]) for r in rows(token_output.training_order(docs.repartition(6), length=64, shard_sequences=50))}
+    # every slot is the keyed permutation of the sequence's number in the table's order
+    numbers, at = {}, 0
+    for r in docs.select("doc_id", "text").collect():
+        n = -(-len(token_output.encode(r["text"], "byte_bpe_50k.tiktoken")) // 128)
+        for seq in range(n):
+            numbers.setdefault((r["doc_id"], seq), set()).add(int(token_output.feistel(np.array([at + seq]), total)[0]))
+        at += n
+    assert at == total
+    for key in numbers:
+        assert {r["slot"] for r in got if (r["doc_id"], r["seq"]) == key} == numbers[key]
+    # the files: fixed stride, padded, whole, and read from any slot
+    layout = token_output.read_layout(folder)
+    assert layout == {"stride": 128, "per_shard": layout["per_shard"], "records": total, "shards": -(-total // layout["per_shard"])}
+    end = token_output.END.to_bytes(2, "little")
+    by_slot = {r["slot"]: bytes(r["tokens"]) + end * (64 - r["n_tokens"]) for r in got}
+    for shard in range(layout["shards"]):
+        data = (tmp_path / "order" / f"shard-{shard:08d}.bin").read_bytes()
+        held = json.loads((tmp_path / "order" / f"shard-{shard:08d}.json").read_text())
+        mine = range(shard * layout["per_shard"], min(total, (shard + 1) * layout["per_shard"]))
+        assert data == b"".join(by_slot[s] for s in mine)
+        assert held == {"shard": shard, "records": len(mine), "sha256": hashlib.sha256(data).hexdigest()}
+    for first in (0, 1, total // 2, total):
+        assert list(token_output.read_slots(folder, first)) == [(s, by_slot[s]) for s in range(first, total)]
+        assert sorted(r["slot"] for r in rows(token_output.read_order(spark, folder, first))) == list(range(first, total))
+    assert not [p for p in (tmp_path / "order").iterdir() if p.name.startswith(".shard")]
+    again = {(r["slot"], r["doc_id"], r["seq"]) for r in rows(token_output.written_order(docs, length=64, shard_sequences=5, rounds=1))}
     assert again == {(r["slot"], r["doc_id"], r["seq"]) for r in got}
-    manifest = rows(token_output.write_shards(out, str(tmp_path), length=64))
-    assert sum(m["records"] for m in manifest) == len(got)
-    by_slot = {r["slot"]: r for r in got}
-    shard = manifest[0]
-    data = open(shard["path"], "rb").read()
-    first = min(r["slot"] for r in got if r["shard"] == shard["shard"])
-    assert len(data) == shard["records"] * 128
-    for k in range(shard["records"]):
-        want = by_slot[first + k]
-        assert data[k * 128 : k * 128 + 2 * want["n_tokens"]] == bytes(want["tokens"]) and want["byte_offset"] == k * 128
-    assert token_output.training_order(empty).count() == 0
+    none = token_output.written_order(empty)
+    assert none.count() == 0 and list(token_output.read_slots(none.written_to)) == []
 
 
 # -- clashing names, nulls, ties ---------------------------------------------
@@ -524,4 +606,4 @@ def test_operators_pass_clashing_columns_by(spark):
     for made in (quality_rules.quality_rows(df), mixing.mix_rows(df), token_counts.token_count_rows(df), decontaminate.decontamination_rows(df, bench),
                  ngram_join.link_rows(df), toxicity.toxicity_rows(df, labels), license_scan.license_rows(df), line_dedup.dedup_rows(df)):
         assert made.count() == 5
-    assert token_output.training_order(df).count() == 4
+    assert token_output.written_order(df).count() == 4
