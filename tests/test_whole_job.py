@@ -99,48 +99,6 @@ def test_whole_neighbours_count_every_character(spark, tmp_path):
     assert {r["item_id"]: r["distance"] for r in got.collect()} == want
 
 
-def test_line_dedup_takes_runs_of_short_lines(spark, tmp_path):
-    verse = "roses are red\nviolets are blue\nsugar"
-    docs = spark.createDataFrame([(1, f"one\n\n{verse}"), (2, f"  {verse.upper()}\n\none"), (3, f"{verse}\nmore")], "doc_id long, text string")
-    got = {r["doc_id"]: (r["text"], r["n_removed"]) for r in query(spark, tmp_path, "op4_short_line_runs", documents=docs).collect()}
-    assert got == {1: (f"one\n\n{verse}", 0), 2: ("\none", 3), 3: (f"{verse}\nmore", 0)}
-
-
-def test_line_dedup_keeps_documents_of_one_id_apart(spark, tmp_path):
-    a, b, c = "the same line of seven words here", "a line that only one document has", "another line that is found only once"
-    data = [(None, f"{a}\n{b}"), (None, f"{c}\n{a}"), (None, f"{b} too\n{c} too"), (7, f"{a}\n{c} again"), (7, f"{b} again\n{a}")]
-    docs = spark.createDataFrame(data, "doc_id long, text string")
-    left = [line for r in query(spark, tmp_path, "op4_line_dedup", documents=docs).collect() for line in r["text"].split("\n") if line]
-    assert sorted(left) == sorted({line for _, text in data for line in text.split("\n")})
-
-
-def test_token_output_writes_shards_that_are_read_from_any_slot(spark, tmp_path):
-    import hashlib
-    import json
-
-    from pairloom.llm import token_output
-
-    docs = spark.createDataFrame([(i, "some words of a text " * (i * 40)) for i in range(1, 30)], "doc_id long, text string")
-    made = query(spark, tmp_path, "op10_token_output", documents=docs)
-    want = {r["slot"]: bytes(r["tokens"]) for r in made.collect()}
-    end = token_output.END.to_bytes(2, "little")
-    padded = [want[k] + end * (token_output.SEQUENCE - len(want[k]) // 2) for k in range(len(want))]
-    for first in (0, 1, len(want) // 2, len(want)):
-        assert list(token_output.read_slots(made.written_to, first)) == list(enumerate(padded))[first:]
-    folder = made.written_to.removeprefix("file://")
-    held = [json.load(open(f"{folder}/shard-{s:08d}.json")) for s in {r["shard"] for r in made.select("shard").collect()}]
-    assert sum(h["records"] for h in held) == len(want)
-    assert all(hashlib.sha256(open(f"{folder}/shard-{h['shard']:08d}.bin", "rb").read()).hexdigest() == h["sha256"] for h in held)
-
-
-def test_mixed_rows_come_in_the_order_of_the_mix(spark):
-    from pairloom.llm import mixing
-
-    docs = spark.createDataFrame([(i, "abc"[i % 3], "some words " * (1 + i % 5)) for i in range(300)], "doc_id long, source string, text string")
-    want = [r["doc_id"] for r in mixing.mix(docs).orderBy("mix_shard", "mix_slot").select("_row.doc_id").collect()]
-    assert [r["doc_id"] for r in mixing.mixed_rows(docs).collect()] == want
-
-
 def test_contexts_and_grid_leave_no_rows_out(spark, tmp_path):
     docs = spark.createDataFrame([(1, "fr", "vin de table"), (2, "es", "casa de campo")], "doc_id long, lang string, text string")
     got = {(r["token"], r["context"], r["count"]) for r in query(spark, tmp_path, "whole_token_contexts", documents=docs).collect()}
