@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space: the separators of the ``[^\x20\x09-\x0D]+`` words.
@@ -117,6 +117,31 @@ def salted_left_join(left: DataFrame, right: DataFrame, key: str, by: Column, sa
     return dealt.join(spread, [key, "_salt"], "left").drop("_salt")
 
 
+def lookup(left: DataFrame, right: DataFrame, key: str, by: Column, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``left`` joined to the unique, non-null keys of ``right``: by broadcast if ``right``
+    was counted and is small, else salted by ``by``."""
+    few, small = size_checked(right, rows)
+    return left.join(few, key, "left") if small else salted_left_join(left, right, key, by)
+
+
+def running_totals(df: DataFrame, order: list[Column], sums: list[str]) -> DataFrame:
+    """``df`` plus ``before_rank`` and a ``before_<c>`` for each of ``sums``: the rows,
+    and the sum of ``c``, that stand before a row in ``order`` (which must be total).
+
+    Rows are range-partitioned and written; one row a partition gives the
+    offsets, so no task sees more than its own range.
+    """
+    parts = materialize(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    names = {"rank": F.lit(1).cast("long"), **{c: F.col(c) for c in sums}}
+    per = parts.groupBy("_part").agg(*[F.sum(c).alias(f"_all_{n}") for n, c in names.items()])
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per.select("_part", *[F.coalesce(F.sum(f"_all_{n}").over(earlier), F.lit(0)).alias(f"_from_{n}") for n in names])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = parts.withColumns({f"before_{n}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for n, c in names.items()})
+    out = out.join(F.broadcast(offsets), "_part")  # one row a task
+    return out.select(*df.columns, *[(F.col(f"before_{n}") + F.col(f"_from_{n}")).alias(f"before_{n}") for n in names])
+
+
 def word_count(text: Column) -> Column:
     r"""Number of ``[^\x20\x09-\x0D]+`` words of a text; null has none."""
     flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")

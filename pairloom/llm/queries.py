@@ -172,10 +172,37 @@ l AS (
     (1.5 * sum(words) OVER () - coalesce(sum(cap) OVER o, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0)) AS lvl
   FROM s WINDOW o AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 t AS (SELECT source, words, least(CAST(cap AS DOUBLE), weight * (SELECT arg_min(lvl, ratio) FROM l WHERE lvl * weight <= cap)) AS target FROM l),
-p AS (SELECT *, CASE WHEN words > 0 THEN floor(target / words) ELSE 0 END AS passes FROM t),
-k AS (SELECT d.*, p.words, p.target, p.passes, p.target - p.passes * p.words AS rest, md5('mix-1|' || d.source || '|' || coalesce(CAST(d.doc_id AS VARCHAR), '')) AS key FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
-r AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto FROM k)
-SELECT doc_id, size, CAST(words AS BIGINT) AS source_size, target,
-  CAST(size * (passes + CASE WHEN upto - size / 2.0 <= rest THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM r""",
+c AS (SELECT greatest(512, (count(*) * 16 + 65535) // 65536) AS aim FROM d),
+p AS (
+  SELECT t.*, CASE WHEN words > 0 THEN CAST(floor(target / words) AS INTEGER) ELSE 0 END AS passes, '=' || t.source AS name,
+    CAST(list_sum(list_transform(range(8), lambda k: CASE WHEN docs > aim * 16 ** k THEN 1 ELSE 0 END)) AS INTEGER) AS digits
+  FROM t, (SELECT source, count(*) AS docs FROM d GROUP BY source) n, c WHERE t.source = n.source),
+k AS (
+  SELECT d.*, p.words, p.target, p.passes, p.target - p.passes * p.words AS rest, name, md5('mix-1|' || name || '|' || coalesce(CAST(d.doc_id AS VARCHAR), '')) AS key, digits
+  FROM d JOIN p ON d.source = p.source),
+r AS (SELECT *, substring(key, 1, digits) AS block, sum(size) OVER (PARTITION BY source ORDER BY key) AS upto FROM k),
+g AS (
+  SELECT name, block, passes, rest, sum(size) AS bw, max(upto) AS upto, max(key) FILTER (WHERE upto - size / 2.0 <= rest) AS cut
+  FROM r GROUP BY name, block, passes, rest),
+w AS (
+  SELECT name, block, CAST(NULL AS VARCHAR) AS cut, unnest(range(1, passes + 1)) AS pass FROM g UNION ALL
+  SELECT name, block, CASE WHEN upto > rest THEN cut END, passes + 1 FROM g WHERE upto <= rest OR (upto - bw < rest AND cut IS NOT NULL)),
+s0 AS (SELECT *, 0 AS shard FROM w),
+s1 AS (
+  SELECT name, block, cut, pass, shard * 2 + CASE WHEN 2 * row_number() OVER (PARTITION BY shard ORDER BY md5('mix-1/0|' || shard || '|' || name || '|' || block || '|' || pass))
+    <= count(*) OVER (PARTITION BY shard) + 1 THEN 0 ELSE 1 END AS shard FROM s0),
+s2 AS (
+  SELECT name, block, cut, pass, shard * 2 + CASE WHEN 2 * row_number() OVER (PARTITION BY shard ORDER BY md5('mix-1/1|' || shard || '|' || name || '|' || block || '|' || pass))
+    <= count(*) OVER (PARTITION BY shard) + 1 THEN 0 ELSE 1 END AS shard FROM s1),
+s3 AS (
+  SELECT name, block, cut, pass, shard * 2 + CASE WHEN 2 * row_number() OVER (PARTITION BY shard ORDER BY md5('mix-1/2|' || shard || '|' || name || '|' || block || '|' || pass))
+    <= count(*) OVER (PARTITION BY shard) + 1 THEN 0 ELSE 1 END AS shard FROM s2),
+s4 AS (
+  SELECT name, block, cut, pass, shard * 2 + CASE WHEN 2 * row_number() OVER (PARTITION BY shard ORDER BY md5('mix-1/3|' || shard || '|' || name || '|' || block || '|' || pass))
+    <= count(*) OVER (PARTITION BY shard) + 1 THEN 0 ELSE 1 END AS shard FROM s3),
+y AS (
+  SELECT r.doc_id, count(s4.pass) AS n, coalesce(string_agg(CAST(s4.shard AS VARCHAR), ',' ORDER BY s4.pass), '') AS shards
+  FROM r LEFT JOIN s4 ON r.size > 0 AND s4.name = r.name AND s4.block = r.block AND (s4.cut IS NULL OR r.key <= s4.cut) GROUP BY r.doc_id)
+SELECT r.doc_id, size, CAST(words AS BIGINT) AS source_size, target, CAST(size * n AS BIGINT) AS taken, shards
+FROM r JOIN y USING (doc_id)""",
 }
