@@ -6,10 +6,12 @@ towards a beta prior fitted to all hosts by moments, and the host's verdicts
 are joined back:
 
 * a document that fails a base rule goes, on any host;
-* on a host whose shrunk base-failure rate reaches ``block_rate`` every
-  document goes;
-* on a host whose shrunk rate for a soft rule reaches ``strict_rate`` the
-  documents failing that soft rule go too.  Documents that fail no rule stay.
+* a host is strict for a soft rule if its posterior rate for that rule, or for
+  the base rules, lies above the prior's mean with a probability of 90 % (its
+  mean less ``QUANTILE`` standard deviations does); on a strict host the
+  documents that fail the soft rule go too;
+* with a ``block_rate``, a host whose shrunk base-failure rate reaches it goes
+  as a whole.  By default it is off, so documents that fail no rule stay.
 
 Defined results: a null or empty text has no words and fails the base rule; a
 null host has no verdict of its own, so its documents are judged by the base
@@ -32,6 +34,8 @@ WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
 SYMBOLS = "#*$%&|<>"
+#: Standard deviations between a mean and the bound that a normal variable exceeds with 90 %.
+QUANTILE = 1.2815515655446004
 #: Soft rules: name -> (percent limit, numerator, denominator).
 SOFT_RULES = {
     "symbols": (10, "n_symbols", "word_chars"),
@@ -139,7 +143,7 @@ def beta_prior(rates: list[tuple[float, float, int]]) -> tuple[float, float]:
     return mean * weight, (1 - mean) * weight
 
 
-def host_verdicts(measured: DataFrame, host: str, block_rate: float, strict_rate: float) -> DataFrame:
+def host_verdicts(measured: DataFrame, host: str, block_rate: float | None = None, quantile: float = QUANTILE) -> DataFrame:
     """One row a host: documents, shrunk failure rates, and the verdict of each rule."""
     rules = {"base": base_failed(), **{r: soft_failed(r) for r in SOFT_RULES}}
     counts = measured.filter(F.col(host).isNotNull()).groupBy(host).agg(
@@ -156,11 +160,13 @@ def host_verdicts(measured: DataFrame, host: str, block_rate: float, strict_rate
     ).first()
     for r in rules:
         a, b = beta_prior([(moments[f"mean_{r}"], moments[f"var_{r}"], moments["hosts"])])
-        counts = counts.withColumn(f"rate_{r}", (F.col(f"failed_{r}") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b)))
+        rate = (F.col(f"failed_{r}") + F.lit(a)) / (F.col("host_docs") + F.lit(a + b))
+        deviation = F.sqrt(rate * (1 - rate) / (F.col("host_docs") + F.lit(a + b + 1)))
+        counts = counts.withColumns({f"rate_{r}": rate, f"above_{r}": rate - F.lit(quantile) * deviation > F.lit(a / (a + b))})
     return counts.select(
         F.col(host).alias("_host"), "host_docs", *[f"rate_{r}" for r in rules],
-        (F.col("rate_base") >= block_rate).alias("host_blocked"),
-        *[(F.col(f"rate_{r}") >= strict_rate).alias(f"strict_{r}") for r in SOFT_RULES],
+        (F.lit(False) if block_rate is None else F.col("rate_base") >= block_rate).alias("host_blocked"),
+        *[(F.col("above_base") | F.col(f"above_{r}")).alias(f"strict_{r}") for r in SOFT_RULES],
     )
 
 
@@ -181,7 +187,8 @@ def with_verdicts(measured: DataFrame, verdicts: DataFrame) -> DataFrame:
     for r in SOFT_RULES:
         strict = strict | (F.coalesce(F.col(f"strict_{r}"), F.lit(False)) & soft_failed(r))
     kept = ~failed & ~F.coalesce(F.col("host_blocked"), F.lit(False)) & ~strict
-    return joined.withColumn("quality", F.struct(*MEASURES, failed.alias("base_failed"), F.col("rate_base").alias("host_rate"), kept.alias("kept")))
+    return joined.withColumn("quality", F.struct(
+        *MEASURES, failed.alias("base_failed"), F.col("rate_base").alias("host_rate"), kept.alias("kept"), (~failed & ~kept).alias("host_rejected")))
 
 
 def _measured(docs: DataFrame, text: str, host: str, keep: list[str]) -> DataFrame:
@@ -192,25 +199,26 @@ def _measured(docs: DataFrame, text: str, host: str, keep: list[str]) -> DataFra
     return measured.select("_row", "_host", "_m.*")
 
 
-def judge(docs: DataFrame, text: str = "text", host: str = "source", block_rate: float = 0.8, strict_rate: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, text: str = "text", host: str = "source", block_rate: float | None = None, quantile: float = QUANTILE) -> DataFrame:
     """``_row`` (the columns of ``docs``) and a struct ``quality``: the measures,
-    ``base_failed``, the host's shrunk rate and ``kept``.
+    ``base_failed``, the host's shrunk rate, ``kept`` and ``host_rejected``
+    (the host's verdict alone made it go).
 
     Texts are measured twice, once for the hosts and once for the verdicts, so
     that no text has to be written down in between.
     """
-    verdicts = host_verdicts(_measured(docs, text, host, []).drop("_row"), "_host", block_rate, strict_rate)
+    verdicts = host_verdicts(_measured(docs, text, host, []).drop("_row"), "_host", block_rate, quantile)
     return with_verdicts(_measured(docs, text, host, docs.columns), verdicts).select("_row", "quality")
 
 
-def quality_rows(docs: DataFrame, block_rate: float = 0.8, strict_rate: float = 0.5) -> DataFrame:
+def quality_rows(docs: DataFrame, block_rate: float | None = None, quantile: float = QUANTILE) -> DataFrame:
     """The contract's columns, one row a document; numbers are written once and used twice."""
     measured = materialize(_measured(docs, "text", "source", ["doc_id"]))
-    out = with_verdicts(measured, host_verdicts(measured, "_host", block_rate, strict_rate))
+    out = with_verdicts(measured, host_verdicts(measured, "_host", block_rate, quantile))
     return out.select(
-        "_row.doc_id", *[f"quality.{k}" for k in MEASURES if k != "n_lines"], "quality.base_failed", "quality.kept", F.round("quality.host_rate", 9).alias("host_rate"))
+        "_row.doc_id", *[f"quality.{k}" for k in MEASURES if k != "n_lines"], "quality.base_failed", "quality.kept", F.round("quality.host_rate", 9).alias("host_rate"), "quality.host_rejected")
 
 
-def keep_good(docs: DataFrame, block_rate: float = 0.8, strict_rate: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, block_rate: float | None = None, quantile: float = QUANTILE) -> DataFrame:
     """The documents that the rules keep, with their own columns."""
-    return judge(docs, block_rate=block_rate, strict_rate=strict_rate).filter("quality.kept").select("_row.*")
+    return judge(docs, block_rate=block_rate, quantile=quantile).filter("quality.kept").select("_row.*")

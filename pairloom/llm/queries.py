@@ -157,13 +157,16 @@ a AS (
   SELECT r, least(greatest(sum(k) / sum(n), 1e-4), 1 - 1e-4) AS mean, var_pop(k / n) AS v
   FROM (SELECT 0 AS r, k0 AS k, n FROM h UNION ALL SELECT 1, k1, n FROM h UNION ALL SELECT 2, k2, n FROM h) GROUP BY r),
 pw AS (SELECT r, mean, greatest(2.0, mean * (1 - mean) / least(greatest(v, 1e-6), mean * (1 - mean) * 0.99) - 1) AS wt FROM a),
+e AS (
+  SELECT source, r, (k + mean * wt) / (n + wt) AS rate, n + wt + 1 AS weight, mean
+  FROM (SELECT source, n, unnest([0, 1, 2]) AS r, unnest([k0, k1, k2]) AS k FROM h) JOIN pw USING (r)),
 v AS (
-  SELECT source, (k0 + p0.mean * p0.wt) / (n + p0.wt) AS r0, (k1 + p1.mean * p1.wt) / (n + p1.wt) AS r1, (k2 + p2.mean * p2.wt) / (n + p2.wt) AS r2
-  FROM h, (SELECT * FROM pw WHERE r = 0) p0, (SELECT * FROM pw WHERE r = 1) p1, (SELECT * FROM pw WHERE r = 2) p2)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT coalesce(r0 >= 0.8, false) AND NOT (coalesce(r1 >= 0.5, false) AND s1) AND NOT (coalesce(r2 >= 0.5, false) AND s2) AS kept,
-  round(r0, 9) AS host_rate
-FROM f LEFT JOIN v USING (source)""",
+  SELECT source, max(rate) FILTER (WHERE r = 0) AS r0, bool_or(above) FILTER (WHERE r <> 2) AS b1, bool_or(above) FILTER (WHERE r <> 1) AS b2
+  FROM (SELECT *, rate - 1.2815515655446004 * sqrt(rate * (1 - rate) / weight) > mean AS above FROM e) GROUP BY source),
+o AS (SELECT f.*, r0, coalesce(b1, false) AND s1 OR coalesce(b2, false) AND s2 AS strict FROM f LEFT JOIN v USING (source))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT strict AS kept, round(r0, 9) AS host_rate,
+  NOT base_failed AND strict AS host_rejected
+FROM o""",
     "op8_mixing": r"""
 WITH d AS (SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, sum(size) AS words, 2 * sum(size) AS cap, [5, 2, 1][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)] AS weight FROM d GROUP BY source),
