@@ -89,14 +89,48 @@ def test_host_verdict_takes_soft_failures_of_bad_hosts_only(spark):
     assert kept[100] and kept[900] and kept[901] and kept[200]
 
 
-def test_block_rate_rejects_a_whole_host(spark):
+def test_block_rate_rejects_a_whole_host_only_if_asked(spark):
     clean = " ".join(f"word{i}" for i in range(40))
     data = [(i, "junk", "en", "spam", 0) for i in range(200)] + [(500, clean, "en", "spam", 0)]
     data += [(1000 + i, clean, "en", f"h{i % 9}", 0) for i in range(300)]
-    kept = {r["doc_id"]: r["kept"] for r in rows(quality_rules.quality_rows(spark.createDataFrame(data, DOCS)))}
+    df = spark.createDataFrame(data, DOCS)
+    assert {r["doc_id"]: r["kept"] for r in rows(quality_rules.quality_rows(df))}[500]
+    kept = {r["doc_id"]: r["kept"] for r in rows(quality_rules.quality_rows(df, block_rate=0.8))}
     assert not kept[500] and kept[1000]
 
 
+@pytest.mark.parametrize("limit", [200_000, 2])
+def test_verdicts_follow_the_posterior(spark, monkeypatch, limit):
+    """Brute force over hosts, with the hosts' table broadcast and beyond the bound."""
+    monkeypatch.setattr(quality_rules.size_checked, "__defaults__", (limit,))
+    rng = random.Random(13)
+    clean = " ".join(f"word{i}" for i in range(40))
+    texts = {"clean": clean, "symbols": clean + " " + "#" * 90, "lines": "\n".join([clean, "one line", "one line", "one line"]), "base": "short"}
+    data = []
+    for h in range(12):
+        for i in range(rng.choice([5, 40, 120])):
+            kind = "clean" if rng.random() > (0.05, 0.4)[h % 6 == 0] else rng.choice(["symbols", "lines", "base"])
+            data.append((1000 * h + i, texts[kind], kind, f"h{h}", 0))
+    data += [(99_000, texts["symbols"], "symbols", None, 0)]
+    fails = {"base": lambda k: k == "base", "symbols": lambda k: k == "symbols", "lines": lambda k: k == "lines"}
+    hosts = sorted({r[3] for r in data if r[3]})
+    above = {}
+    for rule, failed in fails.items():
+        n = {h: sum(r[3] == h for r in data) for h in hosts}
+        k = {h: sum(r[3] == h and failed(r[2]) for r in data) for h in hosts}
+        mean = min(max(sum(k.values()) / sum(n.values()), 1e-4), 1 - 1e-4)
+        var = float(np.var([k[h] / n[h] for h in hosts]))
+        weight = max(2.0, mean * (1 - mean) / min(max(var, 1e-6), mean * (1 - mean) * 0.99) - 1)
+        for h in hosts:
+            p = (k[h] + mean * weight) / (n[h] + weight)
+            above[h, rule] = p - 1.2815515655446004 * (p * (1 - p) / (n[h] + weight + 1)) ** 0.5 > mean
+    got = {r["doc_id"]: (r["kept"], r["host_rejected"]) for r in rows(quality_rules.quality_rows(spark.createDataFrame(data, DOCS)))}
+    for id_, _, kind, host, _ in data:
+        gone = kind in ("symbols", "lines") and host is not None and (above[host, kind] or above[host, "base"])
+        assert got[id_] == (kind != "base" and not gone, gone)
+    assert any(g for _, g in got.values())
+
+
 def test_quality_keeps_columns_and_clashing_names(spark, empty):
     df = spark.createDataFrame([(1, " ".join(map(str, range(30))), "x", "s", 5, "mine")], DOCS + ", n_words string")
     assert quality_rules.keep_good(df).columns == df.columns
@@ -336,17 +370,43 @@ def test_mix_targets_and_takes(docs, empty):
         longest = max(r["size"] for r in got if texts[r["doc_id"]]["source"] == s)
         assert abs(taken[s] - t) <= longest
     again = rows(mixing.mix_rows(docs.repartition(7)))
-    key = lambda r: (r["doc_id"], r["taken"])
+    key = lambda r: (r["doc_id"], r["taken"], r["shards"])
     assert sorted(map(key, got)) == sorted(map(key, again))
+    assert all(len([x for x in r["shards"].split(",") if x]) * r["size"] == r["taken"] for r in got)
     assert mixing.mix_rows(empty).count() == 0
 
 
-def test_tree_splits_blocks_evenly_and_disjointly(spark):
-    draws = spark.createDataFrame([("s" if i % 3 else "t", f"{i:03x}", None, 1) for i in range(83)], "source string, block string, cut string, pass int")
-    got = rows(mixing.split_tree(draws, 3))
-    sizes = [sum(r["shard"] == s for r in got) for s in range(8)]
-    assert sum(sizes) == 83 and max(sizes) - min(sizes) <= 2
-    assert len({(r["source"], r["block"]) for r in got}) == 83
+@pytest.mark.parametrize("digits", [1, 3])
+def test_tree_splits_blocks_as_a_sort_of_the_marks_does(spark, monkeypatch, digits):
+    monkeypatch.setattr(mixing, "RANK_DIGITS", digits)
+    blocks = [("=s" if i % 3 else "", f"{i:03x}", 1 + i % 2) for i in range(83)]
+    want = {b: 0 for b in blocks}
+    for level in range(3):
+        nodes = {}
+        for b, shard in want.items():
+            nodes.setdefault(shard, []).append(b)
+        for shard, mine in nodes.items():
+            mark = lambda b: hashlib.md5(f"mix-1/{level}|{shard}|{b[0]}|{b[1]}|{b[2]}".encode()).hexdigest()  # noqa: B023, E731
+            for rank, b in enumerate(sorted(mine, key=mark), 1):
+                want[b] = 2 * shard + (0 if 2 * rank <= len(mine) + 1 else 1)
+    got = rows(mixing.split_tree(spark.createDataFrame(blocks, "name string, block string, pass int"), 3))
+    assert {(r["name"], r["block"], r["pass"]): r["shard"] for r in got} == want and len(got) == 83
+    sizes = [list(want.values()).count(s) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 2
+
+
+def test_mix_is_the_same_beyond_the_broadcast_bound(spark, docs, monkeypatch):
+    key = lambda r: (r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"], r["shards"])
+    want = sorted(map(key, rows(mixing.mix_rows(docs))))
+    monkeypatch.setattr(mixing.lookup, "__defaults__", (1,))
+    assert sorted(map(key, rows(mixing.mix_rows(docs)))) == want
+
+
+def test_mixed_rows_come_in_the_order_of_the_mix(spark):
+    docs = spark.createDataFrame([(i, "abc"[i % 3], "some words " * (1 + i % 5)) for i in range(300)], "doc_id long, source string, text string")
+    mixed = rows(mixing.mix(docs).orderBy("mix_shard", "mix_slot"))
+    assert [r["doc_id"] for r in rows(mixing.mixed_rows(docs))] == [r["_row"]["doc_id"] for r in mixed]
+    assert [r["_row"]["doc_id"] for r in mixed] != sorted(r["_row"]["doc_id"] for r in mixed)
 
 
 def test_mix_repeats_rows_and_writes_shards(spark, docs, tmp_path):
