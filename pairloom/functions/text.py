@@ -31,8 +31,10 @@ TOKENIZERS = {
 SIGNATURE_FOLDS = (
     ("thie", "c"), ("thi", "c"), ("gn", "ñ"), ("ng", "ŋ"), ("kh", "x"), ("dio", "j"), ("dj", "j"), ("eu", "ë"), ("ou", "u"),
 )
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case Latin letters whose decomposition is a letter and its marks, and that letter.
+MARKED, PLAIN = map("".join, zip(*(
+    (c, bare[0]) for c in map(chr, range(0xE0, 0x1F00)) if c.islower() and "LATIN" in unicodedata.name(c, "")
+    for bare in [[x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn"]] if len(bare) == 1 and bare[0] != c), strict=True))
 
 
 def _normalizer(form: str):
@@ -107,8 +109,8 @@ def without_diacritics(text: Column) -> Column:
 
 
 def plain_letters(text: Column) -> Column:
-    """``without_diacritics`` for lower-case Latin-1 letters, in the JVM."""
-    return F.translate(text, MARKED, PLAIN)
+    """``without_diacritics`` for lower-case Latin letters and loose marks, in the JVM."""
+    return F.regexp_replace(F.translate(text, MARKED, PLAIN), "\\p{Mn}", "")
 
 
 def tokens(text: Column, kind: str) -> Column:
@@ -141,24 +143,14 @@ def usable_text(text: Column, min_chars: int = 8, min_letters: int = 5, min_toke
 
 def segment_text(text: Column, limit: int = 240) -> Column:
     """Greedy packing of white-space tokens into segments of at most ``limit``
-    characters; a longer token is cut hard and stands alone."""
-    words = F.filter(F.split(collapse(text), " "), lambda w: w != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def close(acc: Column) -> Column:
-        return F.when(acc["open"] == "", acc["done"]).otherwise(F.array_append(acc["done"], acc["open"]))
-
-    def step(acc: Column, w: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.length(w) - 1) / limit).cast("int")), lambda i: F.substring(w, i * limit + 1, F.lit(limit)))
-        fits = F.length(acc["open"]) + F.length(w) + 1 <= limit
-        return (
-            F.when(F.length(w) > limit, F.struct(F.concat(close(acc), cut).alias("done"), F.lit("").alias("open")))
-            .when(acc["open"] == "", F.struct(acc["done"].alias("done"), w.alias("open")))
-            .when(fits, F.struct(acc["done"].alias("done"), F.concat_ws(" ", acc["open"], w).alias("open")))
-            .otherwise(F.struct(close(acc).alias("done"), w.alias("open")))
-        )
-
-    return F.aggregate(words, start, step, close)
+    characters; a longer token is cut hard and stands alone.
+
+    Over single blanks that is one pattern: a token beyond the limit, or the
+    longest stretch within it that ends where a token ends.
+    """
+    packed = F.regexp_extract_all(collapse(text), F.lit(f"(?s)(\\S{{{limit + 1},}}|\\S.{{0,{limit - 1}}}(?= |$))"), F.lit(1))
+    cut = lambda s: F.when(F.length(s) > limit, F.regexp_extract_all(s, F.lit(f"(?s)(.{{1,{limit}}})"), F.lit(1))).otherwise(F.array(s))
+    return F.flatten(F.transform(packed, cut))
 
 
 def ngrams(words: Column, largest: int) -> Column:

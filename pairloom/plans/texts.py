@@ -57,7 +57,11 @@ def tokenizer_counts(spark, sf_dir):
         *[F.size(T.tokens(F.col("text"), k)).cast("long").alias(k) for k in ("vocabulary", "evaluation", "reverse")])
 
 
-@query()
+@query(rf"""
+WITH t AS (SELECT doc_id, {sql_normal('text')} AS t FROM documents),
+p AS (SELECT doc_id, list_transform(regexp_extract_all(t || ' ', '\S{{241,}}|\S.{{0,239}} '), lambda x: trim(x)) AS p FROM t),
+c AS (SELECT doc_id, flatten(list_transform(p, lambda x: CASE WHEN length(x) > 240 THEN list_transform(range(1, length(x) + 1, 240), lambda i: substring(x, i, 240)) ELSE [x] END)) AS s FROM p)
+SELECT doc_id, unnest(range(len(s)))::INTEGER AS segment_index, unnest(s) AS segment FROM c""")
 def segments(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text"), None).alias("text"))
     return docs.select("doc_id", F.posexplode(T.segment_text(F.col("text"), 240)).alias("segment_index", "segment"))
