@@ -11,9 +11,9 @@ roles and texts are escaped with a backslash after their first bracket, and
 backslashes are doubled before, so ``unescape`` gives the text back exactly.
 
 Defined results: null text and null role count as empty; turns are ordered by
-(turn, role, text), nulls first, and repeated rows are turns each; rows
-without a conv_id form one conversation; an empty table gives an empty table.
-A conversation is one training unit and is held in one row.
+(turn, role, text), nulls first, and repeated rows are turns each; a row
+without a conv_id is a conversation of its own; an empty table gives an empty
+table.  A conversation is one training unit and is held in one row.
 """
 
 from __future__ import annotations
@@ -60,7 +60,8 @@ def expand(conversations: DataFrame) -> DataFrame:
         text.alias("text"),
         F.concat(F.lit(OPEN), escape(role), F.lit(CLOSE)).alias("head"), escape(text).alias("body"),
     )
-    whole = conversations.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = conversations.filter("conv_id is not null").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    whole = whole.unionByName(conversations.filter("conv_id is null").select("conv_id", F.array(turn).alias("turns")))
     n = F.size("turns")
     whole = whole.select(
         "conv_id",
@@ -105,11 +106,12 @@ def chat_rows(conversations: DataFrame) -> DataFrame:
         F.when(F.col("trainable"), unescape(F.substring(F.col("formatted"), (F.col("loss_start") + 1).cast("int"), F.col("loss_chars").cast("int")))).alias("reply"),
         "formatted",
     )
-    whole = read.groupBy("conv_id").agg(
-        F.max_by("formatted", "example").alias("longest"),
-        F.array_sort(F.collect_list(F.when(F.col("reply").isNotNull(), F.struct("example", "reply")))).alias("replies"),
-        F.sum("chars").alias("formatted_chars"),
-    )
+    reply = F.when(F.col("reply").isNotNull(), F.struct("example", "reply"))
+    whole = read.filter("conv_id is not null").groupBy("conv_id").agg(
+        F.max_by("formatted", "example").alias("longest"), F.array_sort(F.collect_list(reply)).alias("replies"), F.sum("chars").alias("formatted_chars"))
+    # a row without a conv_id has one example
+    whole = whole.unionByName(read.filter("conv_id is null").select(
+        "conv_id", F.col("formatted").alias("longest"), F.array_compact(F.array(reply)).alias("replies"), F.col("chars").alias("formatted_chars")))
     turns = read_turns(F.col("longest"))
     whole = whole.select("conv_id", turns.alias("turns"), F.array_join(F.transform("replies", lambda r: r["reply"]), "").alias("loss"), "formatted_chars")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")

@@ -6,9 +6,15 @@ or itself as one window if it is shorter.  The automaton runs over word codes:
 each text is scanned once, and an occurrence is known by the index of its last
 word, from which the offsets in the original text follow.
 
-The benchmark travels with the function, so it is bounded: items are read in
-groups of at most ``GROUP_CHARS`` characters, and each group is one more narrow
-pass over the texts that adds to the same result columns; nothing is shuffled.
+Thirteen-word windows share most of their words, so the automaton does not
+hold each of them: it holds every seventh run of seven words of an item.  Any
+window contains one of these runs whole; where one is found, the match is
+extended to both sides over the item's words, and it counts if it is thirteen
+words long.  That finds the same windows with a thirteenth of the nodes.
+
+The benchmark travels with the function.  Items are dealt to groups of at most
+``GROUP_CHARS`` characters, a worker builds each group's automaton once and
+keeps it, and the groups add to the same result columns; nothing is shuffled.
 
 Defined results: null has no words; a text without words is not contaminated;
 items without words have no window; items with a null id mark words but are
@@ -25,10 +31,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches
 
-WINDOW = 13
-GROUP_CHARS = 32 << 20
+#: Words of a window, and of the runs that the automaton holds: WINDOW = 2 * RUN - 1.
+WINDOW, RUN = 13, 7
+GROUP_CHARS = 16 << 20
 #: Bytes that separate words become blanks; all other bytes stay.
 _BLANK = bytes(32 if not (48 <= b <= 57 or 97 <= b <= 122 or b >= 128) else b for b in range(256))
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
@@ -41,27 +48,32 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def build(items: list[tuple[str | None, str | None]]) -> tuple:
-    """(codes of known words, automaton or None, items)."""
+    """(codes of known words, automaton or None, items, their word codes)."""
     import ahocorasick
 
     codes: dict[bytes, int] = {}
-    windows: dict[tuple[int, ...], set[int]] = {}
+    keys: dict[tuple[int, ...], tuple[list[int], list[tuple[int, int]]]] = {}
+    coded = []
     for i, (_, text) in enumerate(items):
-        seq = [codes.setdefault(w, len(codes) + 1) for w in words_of(text)]
-        for at in range(max(1, len(seq) - WINDOW + 1) if seq else 0):
-            windows.setdefault(tuple(seq[at : at + WINDOW]), set()).add(i)
-    if not windows:
-        return codes, None, items
+        seq = tuple(codes.setdefault(w, len(codes) + 1) for w in words_of(text))
+        coded.append(seq)
+        if 0 < len(seq) < WINDOW:
+            keys.setdefault(seq, ([], []))[0].append(i)
+        else:
+            for at in range(0, len(seq) - RUN + 1, RUN):
+                keys.setdefault(seq[at : at + RUN], ([], []))[1].append((i, at))
+    if not keys:
+        return codes, None, items, coded
     automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-    for window, owners in windows.items():
-        automaton.add_word(window, (len(window), tuple(sorted(owners))))
+    for key, (whole, runs) in keys.items():
+        automaton.add_word(key, (len(key), tuple(whole), tuple(runs)))
     automaton.make_automaton()
-    return codes, automaton, items
+    return codes, automaton, items, coded
 
 
 def scan(text: str | None, built: tuple) -> tuple[int, list[tuple[int, int]], list[str]]:
     """(words, hit word ranges merged in order, ids of the items found)."""
-    codes, automaton, items = built
+    codes, automaton, items, coded = built
     words = words_of(text)
     if automaton is None or not words:
         return len(words), [], []
@@ -71,9 +83,26 @@ def scan(text: str | None, built: tuple) -> tuple[int, list[tuple[int, int]], li
         return len(words), [], []
     found: set[int] = set()
     ranges = []
-    for end, (length, owners) in automaton.iter(seq):
-        ranges.append((end - length + 1, end + 1))
-        found.update(owners)
+    reached: dict[tuple[int, int], int] = {}  # (item, shift) -> where its last match ended
+    for end, (length, whole, runs) in automaton.iter(seq):
+        start = end - length + 1
+        if whole:
+            ranges.append((start, end + 1))
+            found.update(whole)
+        for i, at in runs:
+            if start < reached.get((i, start - at), 0):
+                continue
+            item = coded[i]
+            back = 0
+            while back < min(start, at) and seq[start - back - 1] == item[at - back - 1]:
+                back += 1
+            ahead = RUN
+            while start + ahead < len(seq) and at + ahead < len(item) and seq[start + ahead] == item[at + ahead]:
+                ahead += 1
+            reached[i, start - at] = start + ahead
+            if back + ahead >= WINDOW:
+                ranges.append((start - back, start + ahead))
+                found.add(i)
     ranges.sort()
     merged: list[tuple[int, int]] = []
     for a, b in ranges:
@@ -86,7 +115,6 @@ def scan(text: str | None, built: tuple) -> tuple[int, list[tuple[int, int]], li
 
 def _automaton(digest: str, items: list) -> tuple:
     if digest not in _AUTOMATA:
-        _AUTOMATA.clear()
         _AUTOMATA[digest] = build(items)
     return _AUTOMATA[digest]
 
@@ -133,13 +161,15 @@ def _covered(ranges: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", share: int = 20, group_chars: int = GROUP_CHARS) -> DataFrame:
-    """``docs`` plus a struct ``contamination``: n_words, n_hit, items, spans
-    (character offsets of hit runs in the original text), contaminated."""
+    """``docs`` plus a struct ``contamination`` (the first free ``contamination_N`` if
+    ``docs`` has one): n_words, n_hit, items, spans (character offsets of hit
+    runs in the original text), contaminated."""
     small_batches(docs.sparkSession)
-    out, names = docs, []
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(text).alias("_text"))
+    out, names = held, []
     for g, items in enumerate(benchmark_groups(benchmark, group_chars)):
         names.append(f"_scan{g}")
-        out = out.withColumn(names[-1], _scanner(items)(F.col(text)))
+        out = out.withColumn(names[-1], _scanner(items)(F.col("_text")))
     scans = [F.col(n) for n in names]
     if len(scans) == 1:
         hit = F.aggregate(F.zip_with(scans[0]["starts"], scans[0]["ends"], lambda a, b: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
@@ -150,9 +180,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", sha
         ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[s["items"] for s in scans]))))
     spans = F.array_sort(F.flatten(F.array(*[F.zip_with(s["from"], s["to"], lambda a, b: F.struct(a.alias("start"), b.alias("end"))) for s in scans])))
     n = scans[0]["n_words"]
-    return out.withColumn("contamination", F.struct(
+    return out.select("_row.*", F.struct(
         n.alias("n_words"), hit.alias("n_hit"), ids.alias("items"), spans.alias("spans"),
-        ((hit > 0) & (hit * share >= n)).alias("contaminated"))).drop(*names)
+        ((hit > 0) & (hit * share >= n)).alias("contaminated")).alias(free_name(docs, "contamination")))
 
 
 def decontamination_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -166,5 +196,5 @@ def decontamination_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that are not contaminated, with their own columns, whatever their names."""
-    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), "text")
-    return decontaminate(held, benchmark).filter(~F.col("contamination.contaminated")).select("_row.*")
+    held = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "text")
+    return decontaminate(held, benchmark).filter(~F.col("contamination.contaminated")).select("row.*")

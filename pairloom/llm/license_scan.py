@@ -6,20 +6,23 @@ increasing subsequence of their positions is kept, and the gaps between
 anchors are aligned in the same way.  Gaps without anchors take their common
 head and tail.  Coverage is the share of template words that are matched.
 
-A text is looked at only where a template's words stand close together:
-windows somewhat longer than the template that begin with one of its words and
-hold ``NEAR`` of its distinct words.  That is a filter on position lists, so most
-texts cost one set intersection.
+A match lies in a window of the text that begins with one of the template's
+words and is ``STRETCH`` times as long as the template (and three words).
+Windows that cannot reach the coverage are skipped: at most ``(1 - coverage)``
+of the template's places may stay unmatched, so all but that many of its
+distinct words must stand in the window.  That is a filter on position lists
+that loses nothing, so most texts cost one set intersection.
 
 Defined results: a null or empty text has no match; overlapping matches of a
 template keep the better (then the earlier, then the shorter) one, and a
 template whose span lies inside a better-covered longer match is dropped;
 repeated rows match alike; an empty table gives an empty table; extra columns
-are passed by.
+of any name are passed by.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from bisect import bisect_left
 
@@ -27,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 #: Short public license notices, as texts carry them.
 TEMPLATES: dict[str, str] = {
@@ -55,7 +58,7 @@ TEMPLATES: dict[str, str] = {
         "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
     "reserved": "All rights reserved.",
 }
-COVERAGE, NEAR = 0.8, 0.6
+COVERAGE, STRETCH = 0.8, 1.25
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -119,6 +122,11 @@ def windows(positions: list[int], words: list[str], size: int, distinct: int, to
             yield p, min(total, p + size)
 
 
+def _needed(template: list[str], coverage: float) -> int:
+    """Distinct words that a window must hold to reach the coverage."""
+    return max(1, len(set(template)) - (len(template) - math.ceil(coverage * len(template))))
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str] | None = None, coverage: float = COVERAGE):
         self.coverage = coverage
@@ -137,12 +145,12 @@ class Scanner:
         vocabulary = set(words)
         found = []
         for name, template, known in self.templates:
-            need = -(-len(known) * int(NEAR * 100) // 100)
+            need = _needed(template, self.coverage)
             if len(known & vocabulary) < need:
                 continue
             positions = [i for i, w in enumerate(words) if w in known]
             best = []
-            for lo, hi in windows(positions, words, len(template) + len(template) // 4 + 3, need, len(words)):
+            for lo, hi in windows(positions, words, int(STRETCH * len(template)) + 3, need, len(words)):
                 pairs = align(template, words, 0, len(template), lo, hi)
                 if len(pairs) >= self.coverage * len(template):
                     best.append((-len(pairs), pairs[-1][1] - pairs[0][1], pairs[0][1], pairs[-1][1]))
@@ -162,7 +170,7 @@ RESULT = "array<struct<license:string,matched:bigint,words:bigint,coverage:doubl
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """``docs`` plus ``licenses``, the matches with coverage and character offsets."""
+    """``docs`` plus ``licenses`` (or the first free ``licenses_N``), the matches with coverage and character offsets."""
     small_batches(docs.sparkSession)
     kind = pa.list_(pa.struct([("license", pa.string()), ("matched", pa.int64()), ("words", pa.int64()), ("coverage", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -173,7 +181,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", templates: dict[str, str]
             {"license": n, "matched": m, "words": k, "coverage": m / k, "start": a, "end": b} for n, m, k, a, b in scanner.scan(t)
         ] for t in texts.to_pylist()], kind)
 
-    return docs.withColumn("licenses", scanned(F.col(text)))
+    return docs.withColumn(free_name(docs, "licenses"), scanned(F.col(text)))
 
 
 def license_rows(docs: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ Arrow function.  No column but the text enters a score.
 Defined results: a null or empty text, or one without known words, scores the
 fitted leak; repeated rows score alike; without usable labels, or with one
 class only, every text scores the smoothed share of positive labels; empty
-tables give an empty table; extra columns are passed by.
+tables give an empty table; extra columns of any name are passed by.  If an id
+repeats with other texts, the least text is the one that is fitted.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import free_name, small_batches
 
 TRAIN_DOCS, TRAIN_CHARS = 6_000, 32_000_000
 FEATURES, MIN_DOCS, STEPS, L2, LEAK = 3_000, 4, 300, 0.02, 0.02
@@ -149,7 +150,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> l
             labels_of[r["doc_id"]] = int(r["y"])
     spark = docs.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(i,) for i in labels_of], "doc_id long"))
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id").dropDuplicates(["doc_id"])
+    texts = docs.select("doc_id", "text").join(wanted, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     return sorted((r["text"] or "", labels_of[r["doc_id"]]) for r in texts.collect())
 
 
@@ -157,7 +158,7 @@ RESULT = "struct<score:double,sentences:array<struct<start:bigint,end:bigint,sco
 
 
 def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``docs`` plus a struct ``toxicity``: the score, and the offending sentences with offsets."""
+    """``docs`` plus a struct ``toxicity`` (or the first free ``toxicity_N``): the score, and the offending sentences with offsets."""
     small_batches(docs.sparkSession)
     packed = (model.weights, model.bias, model.leak)
     kind = pa.struct([("score", pa.float64()), ("sentences", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])))])
@@ -176,13 +177,14 @@ def score_texts(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 {"start": ends[i - 1] + 1 if i else 0, "end": ends[i] + 1 if i < len(ends) else len(value), "score": p} for i, p in bad]})
         return pa.array(rows, kind)
 
-    return docs.withColumn("toxicity", scored(F.col(text)))
+    return docs.withColumn(free_name(docs, "toxicity"), scored(F.col(text)))
 
 
 def toxicity_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The contract's columns, plus the number of offending sentences."""
+    """The contract's columns, plus the number and the offsets of the offending sentences."""
     model = fit(training_rows(docs, labels))
     out = score_texts(docs.select("doc_id", "text"), model)
     return out.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxicity.score").alias("score"),
-        (F.col("toxicity.score") >= THRESHOLD).cast("int").alias("predicted"), F.size("toxicity.sentences").alias("n_sentences"))
+        (F.col("toxicity.score") >= THRESHOLD).cast("int").alias("predicted"), F.size("toxicity.sentences").alias("n_sentences"),
+        F.array_join(F.transform("toxicity.sentences", lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",").alias("sentence_spans"))
