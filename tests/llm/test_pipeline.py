@@ -32,3 +32,15 @@ def test_pipeline_on_a_small_corpus(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path))
     slots = sorted(r["slot"] for r in out.select("slot").collect())
     assert slots == list(range(len(slots))) and slots
+
+
+def test_pipeline_on_an_empty_table_and_on_nulls(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = " ".join(f"n{i}" for i in range(60))
+    data = [(None, None, None, None, None), (1, None, "en", "a", 0), (2, words, None, None, None), (None, words + " more", "en", "a", 1), (2, words, None, None, None), (3, "", "en", None, 0)]
+    for name, rows, kept in (("none", [], 0), ("nulls", data, 1)):
+        folder = tmp_path / name
+        spark.createDataFrame(rows, schema).write.parquet(str(folder / "documents.parquet"))
+        spark.createDataFrame([], "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+        got = corpus_pipeline.run(spark, str(folder)).collect()
+        assert sorted(r["slot"] for r in got) == list(range(len(got))) and bool(got) == bool(kept)

@@ -164,6 +164,27 @@ def test_pieces_are_cut_where_the_library_cuts(size):
     assert sum(len(model.encode(p, add_special_tokens=False).ids) for p in parts) == len(model.encode(text, add_special_tokens=False).ids)
 
 
+def test_parts_only_where_the_definition_allows():
+    byte_level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    token = {"content": "<|end|>", "lstrip": False, "rstrip": False}
+    assert token_counts.divisible({"pre_tokenizer": byte_level, "added_tokens": [token]})
+    assert token_counts.divisible({"pre_tokenizer": {"type": "Sequence", "pretokenizers": [byte_level]}})
+    for other in ({}, {"pre_tokenizer": {"type": "Metaspace"}}, {"pre_tokenizer": byte_level, "normalizer": {"type": "NFC"}}, {"pre_tokenizer": {**byte_level, "add_prefix_space": True}},
+                  {"pre_tokenizer": byte_level, "added_tokens": [{**token, "content": "a b"}]}, {"pre_tokenizer": byte_level, "added_tokens": [{**token, "lstrip": True}]}):
+        assert not token_counts.divisible(other)
+
+
+def test_texts_without_blanks_are_cut_and_counted_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(token_counts.tokenizer_path("byte_bpe_50k.json"))
+    text = "日本語の文章です。次の文、これは！ж слово ещё一つ（例）" * 40
+    parts = token_counts.pieces(text, 50)
+    assert len(parts) > 10 and "".join(parts) == text
+    assert token_counts.count_tokens([text], "byte_bpe_50k.json") == [len(model.encode(text, add_special_tokens=False).ids)]
+    assert sum(token_counts.count_tokens(parts, "byte_bpe_50k.json")) == token_counts.count_tokens([text], "byte_bpe_50k.json")[0]
+
+
 def test_special_string_in_a_text_counts_as_the_library_does(spark):
     df = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, None)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_tokens"] for r in rows(token_counts.token_count_rows(df))}
@@ -199,6 +220,14 @@ def test_chat_examples_train_one_reply_each(spark):
     assert chat_format.chat_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
+def test_rows_without_a_conversation_stand_alone(spark):
+    data = [(None, 0, "user", "x"), (None, 1, "assistant", "</s>y"), (None, 1, "assistant", "</s>y"), (5, None, "assistant", None), (5, 1, None, "z")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    got = sorted((r["conv_id"] or 0, r["n_turns"], r["loss_chars"]) for r in rows(chat_format.chat_rows(df)))
+    assert got == [(0, 1, 0), (0, 1, 5), (0, 1, 5), (5, 2, 0)]
+    assert [r["formatted"] for r in rows(chat_format.expand(df).filter("conv_id is null and trainable"))] == ["<s>[INST]assistant[/INST]\n<\\/s>y</s>\n"] * 2
+
+
 # -- decontamination ---------------------------------------------------------
 
 
@@ -242,6 +271,30 @@ def test_decontamination_matches_brute_force(spark, group_chars):
             assert text[s["start"]].strip() and text[s["end"] - 1].strip()
 
 
+def test_windows_inside_repetitive_items_are_found_exactly():
+    rng = random.Random(21)
+    items = [(str(i), " ".join(rng.choice("ab") if i % 2 else rng.choice("abc") for _ in range(rng.choice([1, 6, 7, 12, 13, 14, 26, 40])))) for i in range(25)]
+    built = decontaminate.build(items)
+    for _ in range(60):
+        text = " ".join(rng.choice("ab") if rng.random() < 0.9 else rng.choice("abcz") for _ in range(rng.choice([5, 13, 60, 150])))
+        n, ranges, ids = decontaminate.scan(text, built)
+        want = brute_hits(text, items)
+        assert (n, sum(b - a for a, b in ranges), set(ids)) == (want[0], want[1], want[2])
+
+
+def test_a_worker_builds_each_group_once(spark, tmp_path, monkeypatch):
+    items = [(i, " ".join(f"g{i}x{k}" for k in range(30))) for i in range(30)]
+    groups = list(decontaminate.benchmark_groups(spark.createDataFrame(items, "item_id long, text string"), 1000))
+    assert len(groups) >= 3 and sorted(int(i) for g in groups for i, _ in g) == list(range(30))
+    built = []
+    monkeypatch.setattr(decontaminate, "_AUTOMATA", {})
+    monkeypatch.setattr(decontaminate, "build", lambda g: built.append(g) or (None, None, g, []))
+    for _ in range(5):
+        for k, g in enumerate(groups):
+            decontaminate._automaton(str(k), g)
+    assert built == groups
+
+
 def test_decontamination_without_items(spark, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     df = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
@@ -455,6 +508,40 @@ def test_toxicity_learns_from_document_labels_and_locates(spark):
     assert len(spot) == 1 and "vileword" in text[spot[0]["start"] : spot[0]["end"]]
 
 
+def brute_toxicity(text, model):
+    """Noisy-or over sentences, word by word, and the spans of the bad ones."""
+    clean, bad, at = 1.0 - model.leak, [], 0
+    for part in re.split(r"(?<=[.!?\n])", text or ""):
+        known = [sum(model.weights[f] for f in toxicity.features(w) if f in model.weights) for w in re.findall(r"[^\W\d_]+", part.lower()) if any(f in model.weights for f in toxicity.features(w))]
+        if known:
+            p = 1 / (1 + np.exp(-min(max(model.bias + sum(known), -30), 30)))
+            clean *= 1 - p
+            if p >= toxicity.THRESHOLD:
+                bad.append((at, at + len(part)))
+        at += len(part)
+    return min(1.0, max(0.0, 1 - clean)), bad
+
+
+def test_toxicity_scores_whole_texts_as_a_plain_noisy_or_does(spark):
+    rng = random.Random(17)
+    vocabulary = [a + b for a in ("ka", "lo", "mi", "vile", "übel") for b in ("ra", "na", "st", "")]
+    texts = [None, "", "...", "vile", "nothing here"] + ["".join(rng.choice(vocabulary) + rng.choice([" ", " ", ". ", "!\n", "-", "1 "]) for _ in range(rng.choice([3, 60, 5000]))) for _ in range(40)]
+    model = toxicity.Model({"vile": 2.0, "^vile": 1.5, "lo": -0.5, "^übel": 3.0, "kara": 0.25}, -3.0, 0.02)
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").repartition(3)
+    for r in rows(toxicity.score_texts(df, model)):
+        score, bad = brute_toxicity(texts[r["i"]], model)
+        assert r["toxicity"]["score"] == pytest.approx(score, abs=1e-12)
+        assert [(s["start"], s["end"]) for s in r["toxicity"]["sentences"]] == bad
+
+
+def test_toxicity_fit_does_not_hang_on_the_order_of_repeated_ids(spark):
+    data = [(i, f"{'bad' if i % 2 else 'good'} text number {i}.") for i in range(40)] + [(1, "another text"), (2, "zz other")]
+    labels = [(i, i % 2) for i in range(40)] + [(1, 1)]
+    frames = [spark.createDataFrame(d, "doc_id long, text string").repartition(k) for d, k in ((data, 2), (data[::-1], 5))]
+    a, b = (toxicity.training_rows(f, spark.createDataFrame(labels, "doc_id long, toxic int")) for f in frames)
+    assert a == b and ("another text", 1) in a
+
+
 def test_toxicity_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert all(r["predicted"] == 0 for r in rows(toxicity.toxicity_rows(docs, none)))
@@ -491,6 +578,36 @@ def test_license_scan_finds_what_lcs_finds():
             assert m[1] <= lcs([w.lower() for w in re.findall(r"[^\W_]+", templates[m[0]])], tokens)
 
 
+def test_license_prefilter_loses_no_window():
+    """Every window of the text, aligned without any filter, gives the same matches."""
+    rng = random.Random(23)
+    for trial in range(60):
+        template = [rng.choice("abcdefgh") for _ in range(rng.choice([3, 7, 12, 25]))]
+        scanner = license_scan.Scanner({"T": " ".join(template)})
+        text = []
+        for _ in range(4):
+            words = list(template)
+            for _ in range(rng.randrange(1 + len(words) // 4)):
+                k = rng.randrange(len(words))
+                words[k : k + rng.randrange(2)] = [rng.choice("abxyz")] * rng.randrange(2)
+            text += words + [rng.choice("abxyz") for _ in range(rng.randrange(12))]
+        size = int(license_scan.STRETCH * len(template)) + 3
+        best = []
+        for lo, w in enumerate(text):
+            if w in template:
+                pairs = license_scan.align(template, text, 0, len(template), lo, min(len(text), lo + size))
+                if len(pairs) >= license_scan.COVERAGE * len(template):
+                    best.append((-len(pairs), pairs[-1][1] - pairs[0][1], pairs[0][1], pairs[-1][1]))
+        taken = []
+        for missed, _, first, last in sorted(best):
+            if all(last < x or first > y for x, y, _ in taken):
+                taken.append((first, last, -missed))
+        starts = [2 * i for i in range(len(text))]
+        got = [(starts.index(s), starts.index(e - 1), m) for _, m, _, s, e in scanner.scan(" ".join(text))]
+        whole = [t for t in taken if not any(u is not t and u[2] > t[2] and u[0] <= t[0] and t[1] <= u[1] for u in taken)]
+        assert sorted(got) == sorted(whole), trial
+
+
 def test_patience_and_spans(spark):
     seq = [random.Random(4).randrange(50) for _ in range(60)]
     got = license_scan.increasing(seq)
@@ -663,6 +780,11 @@ def test_operators_pass_clashing_columns_by(spark):
         assert made.columns == df.columns
         assert all(r["kept"] == "mine" and r["draws"] == "mine" and r["contamination"] == "mine" for r in rows(made))
     assert decontaminate.keep_clean(df, bench).count() == 5
+    model = toxicity.Model({}, 0.0, 0.5)
+    for made, name in ((decontaminate.decontaminate(df, bench), "contamination_1"), (toxicity.score_texts(df, model), "toxicity_1"), (license_scan.scan_licenses(df), "licenses_1"),
+                       (line_dedup.dedup_lines(df), "removed_1"), (token_counts.with_token_counts(df), "n_tokens_1")):
+        assert made.columns == [*df.columns, name]
+        assert all(r[c] == "mine" for r in rows(made) for c in CLASH.replace(" string", "").split(", "))
     for made in (quality_rules.quality_rows(df), mixing.mix_rows(df), token_counts.token_count_rows(df), decontaminate.decontamination_rows(df, bench),
                  ngram_join.link_rows(df), toxicity.toxicity_rows(df, labels), license_scan.license_rows(df), line_dedup.dedup_rows(df)):
         assert made.count() == 5
