@@ -9,8 +9,9 @@ linked with nothing).  Two documents link when ``100 * intersection >= percent
 2. Routing: a class goes to the shingles of its prefix, the part that any link
    must share under one order of all shingles.  The order puts the corpus's
    frequent shingles last, so shared lines and passages bring nobody together.
-   A shingle's classes fall into runs of sizes that can link, and of the groups
-   with the same classes one is kept.
+   A shingle's classes fall into runs of sizes that can link; a shingle whose
+   counted postings are many (``HOT``) is cut by bands of sizes instead, without
+   a window.  Of the groups with the same classes one is kept.
 3. Inside each routed group stands a signature tree: nodes hold the
    OR-combined shingle bitmaps and the size range of their members.  A dual
    traversal prunes node pairs by the largest possible overlap, by sizes, and
@@ -18,33 +19,41 @@ linked with nothing).  Two documents link when ``100 * intersection >= percent
    candidate clusters.
 4. Each class's whole set travels once, to its cluster, where a second tree
    verifies the open pairs of its leaves exactly.
-5. A group of more than ``TILE`` classes is split into tiles, and each pair of
-   tiles is a task of its own, so no group has to fit into one.  A group
-   answers with at most one edge a member, never with all pairs, and components
-   come from alternating star contractions.
+5. A group of more than ``TILE`` classes is dealt to tiles by size band and
+   hash.  First each tile links its own members; then one class of every
+   component found so far stands for it, and these are linked; at last the
+   pairs of tiles are listed, as one narrow row a tile, and only pairs whose
+   size bands can link and whose members are not all connected already move
+   their rows, one task a pair.  So a group of near copies costs its size, and
+   no group has to fit into one task.  A group answers with at most two edges a
+   member, never with all pairs, and components come from alternating star
+   contractions.
 
 Shingles and sets are 64-bit keys.  For equal keys of different sets among
 n classes the odds are n*n / 2**65.
 
-Defined results: null text is empty; repeated rows get the same answer; rows
-without an id are their own component; an empty table gives an empty table;
-other columns are not read.
+Defined results: null text is empty; repeated rows get the same answer; a row
+without an id gets the smallest id of its component, and null if no row of it
+has one; an empty table gives an empty table; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, salted_left_join, size_checked, small_batches
+from .common import discard, lookup, materialize, salted_left_join, size_checked, small_batches
 
 #: Most classes of a group that one task holds; least bits of a bitmap; leaf size.
 TILE, BITS, LEAF = 512, 512, 8
+#: Postings of a shingle beyond which its classes are grouped without a window.
+HOT = 20_000
 #: Frequent shingles that the order puts last: at most so many, the most frequent.
 HEAVY = 500_000
 #: A shingle is reported by a task if at least so many of its classes have it, and one in SHARE.
@@ -231,11 +240,18 @@ def _postings(n: int, percent: int, heavy: np.ndarray):
 
 
 def _whole_sets(n: int):
+    """Arrow pass: (cls, data), each class once a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            sets = list(shingle_sets(_texts(batch), n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([class_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "data"])
+            fresh = {}
+            for s in shingle_sets(_texts(batch), n):
+                key = class_key(s)
+                if key not in met:
+                    met.add(key)
+                    fresh[key] = s.tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array(list(fresh), pa.int64()), pa.array(list(fresh.values()), pa.binary())], names=["cls", "data"])
 
     return run
 
@@ -385,6 +401,8 @@ def _group_links(percent: int, exact: bool):
                 if (group, ta, tb) != now:
                     close()
                     now, held = (group, ta, tb), []
+                if held and held[-1][0] == key:
+                    continue  # a copy that another task sent
                 data = np.frombuffer(raw[at].as_py(), np.uint64)
                 if exact:
                     held.append((key, tile, len(data), bitmap(data), data))
@@ -399,19 +417,69 @@ def _group_links(percent: int, exact: bool):
     return run
 
 
-def _tiled(members: DataFrame) -> DataFrame:
-    """(grp, cls, members) -> one row for every pair of tiles that a member takes part in."""
-    placed = members.withColumn("tiles", F.ceil(F.col("members") / F.lit(TILE)).cast("int"))
-    placed = placed.withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.expr("sequence(0, tiles - 1)")))
-    return placed.select("grp", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), "cls", "tile")
+def _band(n: Column, percent: int) -> Column:
+    """Size bands: sets of sizes in bands that are not neighbours cannot link."""
+    return F.floor(F.log(n.cast("double")) / math.log(100.0 / percent * 1.0001)).cast("long")
 
 
-def _edges(placed: DataFrame, percent: int, exact: bool) -> DataFrame:
+def _linked_groups(placed: DataFrame, percent: int, exact: bool) -> DataFrame:
     groups = placed.repartition("grp", "tile_a", "tile_b").sortWithinPartitions("grp", "tile_a", "tile_b", "cls")
     return materialize(groups.mapInArrow(_group_links(percent, exact), "a long, b long").distinct())
 
 
+def _edges(members: DataFrame, attach: Callable[[DataFrame], DataFrame], percent: int, exact: bool) -> DataFrame:
+    """Edges that connect what the groups' pairs connect.
+
+    ``members``: grp, cls, n, members (of the group).  ``attach`` adds
+    ``n_shingles`` and ``data`` to rows with a cls.
+    """
+    tiles = F.ceil(F.col("members") / F.lit(TILE)).cast("long")
+    tile = F.when(tiles <= 1, F.lit(0).cast("long")).otherwise(_band(F.col("n"), percent) * (1 << 32) + F.pmod(F.xxhash64("cls"), tiles))
+    dealt = members.withColumn("tile", tile)
+    own = [F.col("tile").alias("tile_a"), F.col("tile").alias("tile_b")]
+    edges = _linked_groups(attach(dealt.select("grp", *own, "cls", "tile")), percent, exact)
+    if not members.filter(F.col("members") > TILE).limit(1).count():
+        return edges
+    big = materialize(dealt.filter(F.col("members") > TILE).select("grp", "cls", "tile", "members"))
+
+    def rooted() -> DataFrame:
+        """``big`` with the root of every class under the edges so far, written."""
+        roots = components(edges).select(F.col("node").alias("cls"), "root")
+        return materialize(salted_left_join(big, roots, "cls", F.col("grp")).withColumn("root", F.coalesce("root", "cls")))
+
+    def pairs_of(table: DataFrame) -> DataFrame:
+        """(grp, tile, tile_a, tile_b) of the pairs of tiles, one row a tile, that may still link."""
+        known = table.groupBy("grp", "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).withColumn("band", F.shiftright("tile", 32))
+        left = known.select("grp", *[F.col(c).alias(f"{c}_a") for c in ("tile", "lo", "hi", "band")])
+        right = known.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("tile", "lo", "hi", "band")])
+        near = F.abs(F.col("band_a") - F.col("band_b")) <= 1
+        one = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
+        found = left.join(right, "grp").filter((F.col("tile_a") < F.col("tile_b")) & near & ~one).select("grp", "tile_a", "tile_b")
+        return found.select("grp", F.explode(F.array("tile_a", "tile_b")).alias("tile"), "tile_a", "tile_b")
+
+    # one class stands for each component, where that saves work
+    table = rooted()
+    rep = table.groupBy("grp", "root").agg(F.min(F.struct("cls", "tile")).alias("r"), F.max("members").alias("members"))
+    few = rep.groupBy("grp").agg(F.count(F.lit(1)).alias("reps"), F.max("members").alias("members")).filter("reps > 1 and reps * 4 <= members").select("grp", "reps")
+    chosen = salted_left_join(rep.select("grp", "r.cls", "r.tile"), few, "grp", F.col("cls")).filter("reps is not null")
+    spread = F.when(F.col("reps") <= TILE, F.lit(0).cast("long")).otherwise(F.col("tile"))
+    chosen = materialize(chosen.select("grp", "cls", spread.alias("tile"), F.col("cls").alias("root")))
+    alone = chosen.select("grp", *own, "cls", "tile").unionByName(
+        salted_left_join(chosen.select("grp", "cls", F.struct("grp", "tile").alias("at")), pairs_of(chosen).groupBy(F.struct("grp", "tile").alias("at")).agg(F.collect_list(F.struct("tile_a", "tile_b")).alias("p")), "at", F.col("cls"))
+        .select("grp", "cls", "at.tile", F.explode("p").alias("p")).select("grp", "p.tile_a", "p.tile_b", "cls", "tile"))
+    if chosen.limit(1).count():
+        edges = materialize(edges.unionByName(_linked_groups(attach(alone), percent, exact)).distinct())
+        table = rooted()
+    # what is left: pairs of tiles that are not connected as a whole
+    left = materialize(pairs_of(table))
+    if left.limit(1).count():
+        listed = left.groupBy(F.struct("grp", "tile").alias("at")).agg(F.collect_list(F.struct("tile_a", "tile_b")).alias("p"))
+        moved = salted_left_join(table.select("grp", "cls", F.struct("grp", "tile").alias("at")), listed, "at", F.col("cls"))
+        moved = moved.select("grp", "cls", "at.tile", F.explode("p").alias("p")).select("grp", "p.tile_a", "p.tile_b", "cls", "tile")
+        edges = materialize(edges.unionByName(_linked_groups(attach(moved), percent, exact)).distinct())
+    return edges
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each component, by alternating large and small stars.
 
@@ -472,6 +540,10 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     signatures = described.filter("cls is not null").select("cls", "n_shingles", F.col("bits").alias("data")).dropDuplicates(["cls"])
 
     postings = materialize(plain.mapInArrow(_postings(words, percent, heavy), "token long, cls long, n int, heavy boolean"))
+    hot = postings.filter("not heavy").groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > HOT).select("token", F.lit(True).alias("hot"))
+    hot = materialize(hot)
+    if hot.limit(1).count():
+        postings = lookup(postings, hot, "token", F.col("cls")).withColumn("heavy", F.col("heavy") | F.coalesce("hot", F.lit(False))).drop("hot")
     # rare shingles: their groups are small, so one exchange by shingle serves all that
     # follows; a group falls into runs of sizes that can link
     rare = postings.filter("not heavy").select("token", "cls", "n").repartition("token").groupBy("token", "cls").agg(F.max("n").alias("n"))
@@ -481,32 +553,40 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     near = Window.partitionBy("token", "run")
     sums = [F.count(F.lit(1)), F.sum(F.xxhash64("cls", F.lit(1)) % (1 << 40)), F.sum(F.xxhash64("cls", F.lit(2)) % (1 << 40))]
     names = ["members", "sum_a", "sum_b"]
-    rare = rare.select(F.xxhash64("token", "run").alias("grp"), "cls", *[c.over(near).alias(n) for c, n in zip(sums, names, strict=True)]).filter("members > 1")
-    # frequent shingles: pre-aggregated, and joined back with salts
-    full = postings.filter("heavy").select(F.col("token").alias("grp"), "cls").distinct()
+    rare = rare.select(F.xxhash64("token", "run").alias("grp"), "cls", "n", *[c.over(near).alias(n) for c, n in zip(sums, names, strict=True)]).filter("members > 1")
+    # frequent shingles: a class goes to its size band and the next one; groups are pre-aggregated, and joined back with salts
+    band = _band(F.col("n"), percent)
+    full = postings.filter("heavy").select("token", "cls", "n", F.explode(F.array(band, band + 1)).alias("band"))
+    full = full.select(F.xxhash64("token", "band", F.lit("band")).alias("grp"), "cls", "n").distinct()
     totals = full.groupBy("grp").agg(*[c.alias(n) for c, n in zip(sums, names, strict=True)])
-    full = salted_left_join(full, totals, "grp", F.col("cls")).filter("members > 1").select("grp", "cls", *names)
+    full = salted_left_join(full, totals, "grp", F.col("cls")).filter("members > 1").select("grp", "cls", "n", *names)
     members = materialize(rare.unionByName(full))
-    discard(postings)
     # of the groups that bring the same classes together, one is enough
     kept = members.groupBy(*names).agg(F.min("grp").alias("grp")).select("grp", F.lit(True).alias("kept"))
-    members = salted_left_join(members, kept, "grp", F.col("cls")).filter("kept").select("grp", "cls", "members")
+    groups = salted_left_join(members, kept, "grp", F.col("cls")).filter("kept").select("grp", "cls", "n", "members")
 
     # candidate clusters from bitmaps alone; each set then travels once, to its cluster
-    placed = _tiled(members).join(signatures, "cls")
-    clusters = components(_edges(placed, percent, exact=False))
-    clusters = clusters.select(F.col("node").alias("cls"), F.col("root").alias("grp")).unionByName(clusters.select(F.col("root").alias("cls"), F.col("root").alias("grp")).distinct())
-    sizes = clusters.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
-    clusters = materialize(salted_left_join(clusters, sizes, "grp", F.col("cls")))
-    wanted = clusters.select("cls").join(classes, "cls").select(F.col("rep").alias("id"))
-    wanted, _ = size_checked(materialize(wanted), 500_000)
-    sets = plain.join(wanted, "id", "left_semi").mapInArrow(_whole_sets(words), "cls long, data binary")
-    links = _edges(_tiled(clusters).join(sets, "cls"), percent, exact=True)
-
-    by_class = classes.select("cls", "rep")
-    ends = links.join(by_class.select(F.col("cls").alias("a"), F.col("rep").alias("x")), "a").join(by_class.select(F.col("cls").alias("b"), F.col("rep").alias("y")), "b")
-    roots = components(ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
-    linked = classes.join(roots, classes["rep"] == roots["node"], "left").select("cls", "docs", F.coalesce("root", "rep").alias("component_id"), F.col("root").isNotNull().alias("_moved"))
+    open_pairs = _edges(groups, lambda placed: placed.join(signatures, "cls"), percent, exact=False)
+    found = components(open_pairs)
+    clusters = found.select(F.col("node").alias("cls"), F.col("root").alias("grp")).unionByName(found.select(F.col("root").alias("cls"), F.col("root").alias("grp")).distinct())
+    counts = clusters.groupBy("grp").agg(F.count(F.lit(1)).alias("members"))
+    clusters = salted_left_join(clusters, counts, "grp", F.col("cls"))
+    clusters = materialize(clusters.join(signatures.select("cls", F.col("n_shingles").cast("int").alias("n")), "cls").select("grp", "cls", "n", "members"))
+    wanted = materialize(clusters.select("cls").join(classes, "cls").select(F.col("rep").alias("id")))
+    some, _ = size_checked(wanted.filter("id is not null"), 500_000)
+    source = plain.join(some, "id", "left_semi")
+    if wanted.filter("id is null").limit(1).count():
+        source = source.unionByName(plain.filter("id is null"))
+    sets = source.mapInArrow(_whole_sets(words), "cls long, data binary")
+    if clusters.filter(F.col("members") > TILE).limit(1).count():
+        sets = materialize(sets)
+    links = _edges(clusters, lambda placed: placed.join(sets, "cls"), percent, exact=True)
+
+    roots = components(links)
+    mine = roots.select(F.col("node").alias("cls"), "root").unionByName(roots.select(F.col("root").alias("cls"), "root").distinct()).join(classes, "cls")
+    least = mine.groupBy("root").agg(F.min("rep").alias("component_id"))
+    moved = salted_left_join(mine.select("cls", "root"), least, "root", F.col("cls")).select("cls", "component_id")
+    linked = classes.join(moved, "cls", "left").select("cls", "docs", F.coalesce("component_id", "rep").alias("component_id"), F.col("component_id").isNotNull().alias("_moved"))
     linked = linked.filter("docs > 1 or _moved").select("cls", "component_id")
     out = salted_left_join(rows, linked, "cls", F.coalesce(F.col("id"), F.lit(0)))
     return out.select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
