@@ -326,9 +326,10 @@ def brute_components(data, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "percent", "tile"), [(3, 90, 1024), (5, 80, 1024), (2, 60, 7)])
-def test_join_matches_brute_force(spark, monkeypatch, n, percent, tile):
+@pytest.mark.parametrize(("n", "percent", "tile", "hot"), [(3, 90, 1024, 20_000), (2, 60, 7, 20_000), (5, 80, 4, 5)])
+def test_join_matches_brute_force(spark, monkeypatch, n, percent, tile, hot):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     rng = random.Random(n)
     bases = [[rng.choice(WORDS) for _ in range(rng.choice([2, 30, 80, 200]))] for _ in range(12)]
     data = []
@@ -376,6 +377,15 @@ def test_components_of_a_chain_and_a_star(spark):
     assert all(got[i] == 0 for i in range(1, 31)) and all(got[i] == 100 for i in range(101, 150))
 
 
+def test_rows_without_an_id_link_too(spark):
+    words = [f"t{i}" for i in range(42)]
+    chain = [" ".join(words[k : k + 40]) for k in (0, 1, 2)]
+    data = [(5, chain[0]), (None, chain[1]), (9, chain[2]), (None, "alone " * 30), (None, None), (3, chain[2])]
+    got = [(r["id"], r["component_id"]) for r in rows(ngram_join.link_documents(spark.createDataFrame(data, "doc_id long, text string"), 1, 94))]
+    key = lambda p: (p[0] or 0, p[1] or 0)
+    assert sorted(got, key=key) == sorted([(5, 3), (None, 3), (9, 3), (3, 3), (None, None), (None, None)], key=key)
+
+
 def test_keep_one_keeps_one_and_all_columns(spark, empty):
     text = " ".join(f"t{i}" for i in range(50))
     data = [(3, text, "x", "s", 1), (1, text + " more", "x", "s", 1), (1, text + " more", "x", "s", 1), (None, text, "x", "s", 1), (9, "other text", "x", "s", 1)]
