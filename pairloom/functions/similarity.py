@@ -23,6 +23,13 @@ def similarity(a: Column, b: Column) -> Column:
 
 def edit_distance(a: list, b: list, near: frozenset = frozenset(), price: float = 1.0) -> float:
     """Levenshtein over any items; substitutions in ``near`` cost ``price``."""
+    first = 0
+    while first < min(len(a), len(b)) and a[first] == b[first]:
+        first += 1
+    last = 0
+    while last < min(len(a), len(b)) - first and a[len(a) - 1 - last] == b[len(b) - 1 - last]:
+        last += 1
+    a, b = a[first : len(a) - last], b[first : len(b) - last]
     row = [float(j) for j in range(len(b) + 1)]
     for i, x in enumerate(a, 1):
         corner, row[0] = row[0], float(i)

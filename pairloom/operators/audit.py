@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import order
 
 
 def require_columns(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,16 +42,21 @@ def require_disjoint(df: DataFrame, key: Column, split: str) -> DataFrame:
 
 
 def leakage(train: DataFrame, held_out: DataFrame, source: str, target: str, form: str | None = "NFC") -> DataFrame:
-    """One row: distinct input, target and pair overlaps; unsafe if inputs or pairs overlap."""
-    def keys(df: DataFrame) -> DataFrame:
-        return df.select(T.pair_key(F.col(source), form).alias("s"), T.pair_key(F.col(target), form).alias("t"))
-
-    a, b = keys(train), keys(held_out)
-    parts = [a.select(*c).distinct().join(b.select(*c).distinct(), c, "left_semi").agg(F.count(F.lit(1)).alias(n))
-             for c, n in ((["s"], "input_overlap"), (["t"], "target_overlap"), (["s", "t"], "pair_overlap"))]
-    named = [p.select(F.lit(n).alias("measure"), F.col(n).alias("value")) for p, n in zip(parts, ("input_overlap", "target_overlap", "pair_overlap"), strict=True)]
-    stacked = named[0].unionByName(named[1]).unionByName(named[2])
-    wide = stacked.groupBy().pivot("measure", ["input_overlap", "target_overlap", "pair_overlap"]).agg(F.first("value"))
+    """One row: distinct input, target and pair overlaps; unsafe if inputs or pairs overlap.
+
+    Every row is normalised once and gives three digests; one aggregate finds
+    those that both sides have.
+    """
+    def keys(df: DataFrame, side: int) -> DataFrame:
+        s, t = T.pair_key(F.col(source), form), T.pair_key(F.col(target), form)
+        made = df.select(F.struct(s.alias("s"), t.alias("t")).alias("k"))
+        each = F.array(*[F.struct(F.lit(n).alias("measure"), order.key_digest(*c).alias("digest")) for n, c in (
+            ("input_overlap", [F.col("k.s")]), ("target_overlap", [F.col("k.t")]), ("pair_overlap", [F.col("k.s"), F.col("k.t")]))])
+        return made.select(F.explode(each).alias("x")).select("x.*", F.lit(side).alias("side"))
+
+    both = keys(train, 1).unionByName(keys(held_out, 2)).groupBy("measure", "digest").agg(F.bit_or("side").alias("sides")).filter("sides = 3")
+    names = ["input_overlap", "target_overlap", "pair_overlap"]
+    wide = both.agg(*[F.count_if(F.col("measure") == n).alias(n) for n in names])
     return wide.withColumn("safe", (F.col("input_overlap") == 0) & (F.col("pair_overlap") == 0))
 
 
@@ -78,8 +84,8 @@ def anti_keys(df: DataFrame, forbidden: DataFrame, keys: list[tuple[Column, str]
     each stays an equi join (an OR of keys would be a nested loop)."""
     out = df
     for column, name in keys:
-        listed = forbidden.select(F.col(name).alias("_k")).filter("_k is not null").distinct()
-        out = out.withColumn("_k", column).join(listed, "_k", "left_anti").drop("_k")
+        listed = forbidden.filter(F.col(name).isNotNull()).select(order.key_digest(F.col(name)).alias("_k")).distinct()
+        out = out.withColumn("_k", F.when(column.isNotNull(), order.key_digest(column))).join(listed, "_k", "left_anti").drop("_k")
     return out
 
 
@@ -87,8 +93,10 @@ def flag_overlaps(df: DataFrame, others: dict[str, tuple[Column, DataFrame]]) ->
     """A boolean a named key table; rows are never lost."""
     out = df
     for name, (column, table) in others.items():
-        keys = table.select(F.col(table.columns[0]).alias("_k")).distinct().withColumn("_in", F.lit(True))
-        out = out.withColumn("_k", column).join(keys, "_k", "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_k", "_in")
+        name_of = table.columns[0]
+        digest = (lambda c: F.when(c.isNotNull(), order.key_digest(c))) if dict(table.dtypes)[name_of] == "string" else (lambda c: c)
+        keys = table.select(digest(F.col(name_of)).alias("_k")).distinct().withColumn("_in", F.lit(True))
+        out = out.withColumn("_k", digest(column)).join(keys, "_k", "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_k", "_in")
     return out
 
 

@@ -172,7 +172,7 @@ def assemble_training(synthetic: DataFrame | None, gold: DataFrame | None, regim
 
 def matched_sets(methods: DataFrame, number: int, size: int, seed: int = 2026) -> DataFrame:
     """The same ``size`` targets for all ``number`` methods: (method, source_text, target_text, key)."""
-    keyed = methods.withColumn("key", T.pair_key(F.col("target_text")))
+    keyed = methods.withColumn("key", F.hex(order.key_digest(T.pair_key(F.col("target_text")))))
     first = order.keep_first(keyed, ["method", "key"], ["source_id"])
     common = order.sample_rows(order.common_keys(first, "key", "method", number), "key", size, seed)
     return first.join(F.broadcast(common) if size <= 200_000 else common, "key")

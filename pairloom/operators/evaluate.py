@@ -8,6 +8,7 @@ shuffled.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,47 +25,70 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, F.lit(0.0)).otherwise(a / b)
 
 
-def ngram_overlap(prediction: Column, reference: Column) -> Column:
-    """array<struct<matched, predicted, expected>>: clipped n-gram counts by order."""
-    kind = pa.list_(pa.struct([("matched", pa.int64()), ("predicted", pa.int64()), ("expected", pa.int64())]))
+def _overlap(p: str, r: str) -> list[dict[str, int]]:
+    """Clipped n-gram counts by order, white space left out."""
+    p, r = "".join(p.split()), "".join(r.split())
+    out = []
+    for k in range(1, ORDERS + 1):
+        made, want = max(0, len(p) - k + 1), max(0, len(r) - k + 1)
+        if p == r:
+            shared = made
+        else:
+            left = Counter(r[i : i + k] for i in range(want))
+            shared = sum(min(n, left[g]) for g, n in Counter(p[i : i + k] for i in range(made)).items() if g in left)
+        out.append({"matched": shared, "predicted": made, "expected": want})
+    return out
 
-    @F.arrow_udf("array<struct<matched:bigint,predicted:bigint,expected:bigint>>")
-    def overlap(left: pa.Array, right: pa.Array) -> pa.Array:
+
+def _edit_set(a: list[str], b: list[str]) -> set[tuple[int, int, str]]:
+    return set() if a == b else {(i, j, " ".join(b[k:m])) for _, i, j, k, m in S.opcodes(a, b)}
+
+
+COUNTS = "struct<word_edits:bigint,ngrams:array<struct<matched:bigint,predicted:bigint,expected:bigint>>,tp:bigint,fp:bigint,fn:bigint>"
+
+
+def compared(prediction: Column, reference: Column, source: Column, p_words: Column, r_words: Column, s_words: Column) -> Column:
+    """All counts that need Python, in one Arrow pass; without a source there are no corrections."""
+    whole = pa.int64()
+    kind = pa.struct([("word_edits", whole), ("ngrams", pa.list_(pa.struct([("matched", whole), ("predicted", whole), ("expected", whole)]))), ("tp", whole), ("fp", whole), ("fn", whole)])
+
+    @F.arrow_udf(COUNTS)
+    def run(p: pa.Array, r: pa.Array, s: pa.Array, pw: pa.Array, rw: pa.Array, sw: pa.Array) -> pa.Array:
         rows = []
-        for p, r in zip(left.to_pylist(), right.to_pylist(), strict=True):
-            p, r = "".join((p or "").split()), "".join((r or "").split())
-            row = []
-            for k in range(1, ORDERS + 1):
-                a, b = Counter(p[i : i + k] for i in range(len(p) - k + 1)), Counter(r[i : i + k] for i in range(len(r) - k + 1))
-                row.append({"matched": (a & b).total(), "predicted": a.total(), "expected": b.total()})
-            rows.append(row)
+        for pt, rt, st, a, b, c in zip(*(x.to_pylist() for x in (p, r, s, pw, rw, sw)), strict=True):
+            gold, made = (_edit_set(c, b), _edit_set(c, a)) if st is not None else (set(), set())
+            hit = len(gold & made)
+            rows.append({"word_edits": 0 if a == b else int(S.edit_distance(a, b)), "ngrams": _overlap(pt, rt), "tp": hit, "fp": len(made) - hit, "fn": len(gold) - hit})
         return pa.array(rows, kind)
 
-    return overlap(prediction, reference)
+    return run(prediction, reference, source, p_words, r_words, s_words)
 
 
 def row_counts(df: DataFrame, source: str | None, prediction: str, reference: str, form: str | None = "NFC") -> DataFrame:
     """``df`` plus everything that corpus scores sum up."""
-    p, r = T.evaluation_text(F.col(prediction), form), T.evaluation_text(F.col(reference), form)
-    out = df.withColumns({"_p": p, "_r": r})
-    pt, rt = T.tokens(F.col("_p"), "evaluation"), T.tokens(F.col("_r"), "evaluation")
+    texts = {"_p": prediction, "_r": reference} | ({} if source is None else {"_s": source})
+    out = df.withColumns({k: T.evaluation_text(F.col(c), form) for k, c in texts.items()})
+    out = out if source is not None else out.withColumn("_s", F.lit(None).cast("string"))
+    out = out.withColumns({f"{k}w": T.tokens(F.col(k), "evaluation") for k in ("_p", "_r", "_s")})
+    out = out.withColumn("_c", compared(*[F.col(c) for c in ("_p", "_r", "_s", "_pw", "_rw", "_sw")]))
     out = out.withColumns({
         "char_edits": F.levenshtein("_p", "_r").cast("long"), "reference_chars": F.length("_r").cast("long"),
-        "word_edits": S.token_distance(pt, rt), "reference_words": F.size(rt).cast("long"),
-        "exact": (F.col("_p") == F.col("_r")).cast("long"), "ngrams": ngram_overlap(F.col("_p"), F.col("_r")),
+        "word_edits": F.col("_c.word_edits"), "reference_words": F.size("_rw").cast("long"),
+        "exact": (F.col("_p") == F.col("_r")).cast("long"), "ngrams": F.col("_c.ngrams"),
     })
     if source is not None:
-        out = out.withColumn("_s", T.evaluation_text(F.col(source), form))
-        st = T.tokens(F.col("_s"), "evaluation")
-        signature = lambda e: F.array_distinct(F.transform(e, lambda x: F.struct(x["a_start"].alias("a"), x["a_end"].alias("b"), x["new"].alias("t"))))
-        out = out.withColumns({"_gold": signature(S.edits(st, rt)), "_made": signature(S.edits(st, pt))})
-        tp = F.size(F.array_intersect("_gold", "_made"))
         same = (F.col("_s") == F.col("_r")).cast("long")
         out = out.withColumns({
-            "tp": tp.cast("long"), "fp": (F.size("_made") - tp).cast("long"), "fn": (F.size("_gold") - tp).cast("long"),
+            "tp": F.col("_c.tp"), "fp": F.col("_c.fp"), "fn": F.col("_c.fn"),
             "unchanged": same, "overcorrected": same * (F.col("_p") != F.col("_r")).cast("long"),
-        }).drop("_s", "_gold", "_made")
-    return out.drop("_p", "_r")
+        })
+    return out.drop("_p", "_r", "_s", "_pw", "_rw", "_sw", "_c")
+
+
+def char_counts(df: DataFrame, prediction: str, reference: str, form: str | None = "NFC") -> DataFrame:
+    """``df`` plus ``char_edits`` and ``reference_chars`` only."""
+    p, r = T.evaluation_text(F.col(prediction), form), T.evaluation_text(F.col(reference), form)
+    return df.withColumns({"char_edits": F.levenshtein(p, r).cast("long"), "reference_chars": F.length(r).cast("long")})
 
 
 def scores(df: DataFrame, prediction: str, reference: str, source: str | None = None, by: list[str] | None = None, form: str | None = "NFC") -> DataFrame:
@@ -114,11 +138,10 @@ def bootstrap_cer(df: DataFrame, prediction: str, reference: str, baseline: str
     """
     from ..sources.shared import cut
 
-    counted = row_counts(df.select(key, prediction, reference), None, prediction, reference).select(key, "char_edits", "reference_chars")
-    counted = counted.withColumn("_e", F.lit(0).cast("long"))
+    base = df.withColumn("_e", F.lit(0).cast("long"))
     if baseline is not None:
-        other = row_counts(df.select(key, F.col(baseline).alias("_b"), reference), None, "_b", reference).select(key, F.col("char_edits").alias("_e"))
-        counted = counted.drop("_e").join(other, key)
+        base = char_counts(df, baseline, reference).withColumnRenamed("char_edits", "_e").drop("reference_chars")
+    counted = char_counts(base, prediction, reference)
     counted = cut(counted.select(F.xxhash64(key).alias("_h"), *[F.coalesce(c, F.lit(0)).alias(c) for c in ("char_edits", "reference_chars", "_e")]))
     n, edits, chars, base = counted.agg(F.count(F.lit(1)), F.sum("char_edits"), F.sum("reference_chars"), F.sum("_e")).first()
     buckets = max(1, min(MAX_BUCKETS, -(-n // bucket_rows)))
@@ -159,9 +182,14 @@ def operation_counts(df: DataFrame, source: Column, target: Column) -> DataFrame
 
 
 def gate(summary: DataFrame, baseline: str, candidate: str, name: str = "condition") -> DataFrame:
-    """One row of comparisons between two summary rows, and whether all hold."""
-    a, b = summary.filter(F.col(name) == baseline), summary.filter(F.col(name) == candidate)
-    pair = a.select(F.struct(*a.columns).alias("a"), F.lit(1).alias("_k")).join(b.select(F.struct(*b.columns).alias("b"), F.lit(1).alias("_k")), "_k")
-    checks = {"lower_cer": F.col("b.cer") < F.col("a.cer"), "lower_wer": F.col("b.wer") < F.col("a.wer"), "higher_chrf": F.col("b.chrf") > F.col("a.chrf")}
-    out = pair.select(*[c.alias(n) for n, c in checks.items()])
-    return out.withColumn("passed", F.col("lower_cer") & F.col("lower_wer") & F.col("higher_chrf"))
+    """One row: does the candidate pass?  Five comparisons with the baseline row.
+
+    It corrects something, corrects better (F1), overcorrects less, has fewer
+    word errors, and not more character errors.
+    """
+    sides = [summary.filter(F.col(name) == which).select(F.struct(*summary.columns).alias(side)) for side, which in (("a", baseline), ("b", candidate))]
+    checks = {
+        "some_corrections": F.col("b.correction_tp") > 0, "higher_correction_f1": F.col("b.correction_f1") > F.col("a.correction_f1"),
+        "lower_overcorrection": F.col("b.overcorrection_rate") < F.col("a.overcorrection_rate"), "cer_not_worse": F.col("b.cer") <= F.col("a.cer"), "lower_wer": F.col("b.wer") < F.col("a.wer")}
+    out = sides[0].withColumn("_k", F.lit(1)).join(sides[1].withColumn("_k", F.lit(1)), "_k").select(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
+    return out.withColumn("passed", reduce(lambda x, y: x & y, [F.col(n) for n in checks]))

@@ -1,8 +1,10 @@
 """Blocked fuzzy joins between token tables.
 
-No blocking here is a cross join: pairs meet on an equal length (exploded to
-the allowed band) or on a shared signature or n-gram, and cheap built-in
-distances with a limit cut the pairs before any Arrow function sees them.
+No blocking here is a cross join: pairs meet on equal segments (of a bounded
+distance, one of the word's ``limit + 1`` segments must stand in the token, near
+its own place), on an equal length where no bound is known, or on a shared
+signature or n-gram, and cheap built-in distances with a limit cut the pairs
+before any Arrow function sees them.
 """
 
 from __future__ import annotations
@@ -15,17 +17,55 @@ from ..functions import text as T
 from . import audit
 
 
-def band_join(tokens: DataFrame, words: DataFrame, band: int = 2, limit: int | None = None) -> DataFrame:
+def _segment_pairs(tokens: DataFrame, words: DataFrame, band: int, limit: Column) -> DataFrame:
+    """(token, word, _a, _b) of the pairs that share a segment.
+
+    ``tokens``: token, _a; ``words``: word, _b; segments are taken of ``_a`` and
+    ``_b``.  ``limit`` is the largest distance of the two, an expression over
+    their lengths ``_n`` (token) and ``_m`` (word).  A word of ``_m`` characters is
+    cut into limit + 1 parts; a pair within the limit shares a part whose places
+    in both differ by at most the limit.
+    """
+    k = limit.cast("int")
+    i = F.col("_i")
+    start, end = F.floor(F.col("_m") * i / (k + 1)).cast("int"), F.floor(F.col("_m") * (i + 1) / (k + 1)).cast("int")
+    lengths = lambda n: F.explode(F.sequence(F.greatest(n - band, F.lit(0)), n + band))
+    w = words.withColumn("_m", F.length("_b")).withColumn("_n", lengths(F.col("_m"))).withColumn("_i", F.explode(F.sequence(F.lit(0), k)))
+    w = w.select("word", "_b", "_m", "_n", "_i", F.substring(F.col("_b"), start + 1, end - start).alias("_part"))
+    t = tokens.withColumn("_n", F.length("_a")).withColumn("_m", lengths(F.col("_n"))).withColumn("_i", F.explode(F.sequence(F.lit(0), k)))
+    shifts = F.sequence(F.greatest(start - k, F.lit(0)), F.least(start + k, F.greatest(F.col("_n") - (end - start), F.lit(0))))
+    at = F.when(F.greatest(start - k, F.lit(0)) <= F.least(start + k, F.greatest(F.col("_n") - (end - start), F.lit(0))), shifts)
+    parts = F.array_distinct(F.transform(at, lambda p: F.substring(F.col("_a"), p + 1, end - start)))
+    t = t.select("token", "_a", "_m", "_n", "_i", F.explode(parts).alias("_part"))
+    return t.join(w, ["_m", "_n", "_i", "_part"]).select("token", "word", "_a", "_b").distinct()
+
+
+def band_join(tokens: DataFrame, words: DataFrame, band: int = 2, limit: int | None = None, ratio: float | None = None) -> DataFrame:
     """(token, word, distance): words whose length differs by at most ``band``.
 
-    ``limit`` is the largest plain distance to keep; the built-in stops early.
+    ``limit`` is the largest plain distance to keep, ``ratio`` the largest share
+    of the longer length; with either, pairs meet on equal segments only, and
+    the built-in distance stops early.  Without, they meet on lengths.
     """
-    near = tokens.select("token").distinct().withColumn("_n", F.explode(F.sequence(F.greatest(F.length("token") - band, F.lit(1)), F.length("token") + band)))
-    vocabulary = words.select("word").distinct().withColumn("_n", F.length("word"))
-    joined = near.join(vocabulary, "_n")
-    distance = F.levenshtein("token", "word") if limit is None else F.levenshtein("token", "word", limit)
-    out = joined.select("token", "word", distance.alias("distance"))
-    return out if limit is None else out.filter("distance >= 0")  # -1 means beyond the limit
+    t, w = tokens.select("token").distinct(), words.select("word").distinct()
+    if limit is None and ratio is None:
+        near = t.withColumn("_n", F.explode(F.sequence(F.greatest(F.length("token") - band, F.lit(1)), F.length("token") + band)))
+        return near.join(w.withColumn("_n", F.length("word")), "_n").select("token", "word", F.levenshtein("token", "word").alias("distance"))
+    most = F.lit(limit) if ratio is None else F.floor(F.greatest("_n", "_m") * F.lit(ratio) + F.lit(1e-9))
+    most = most if limit is None or ratio is None else F.least(most, F.lit(limit))
+    pairs = _segment_pairs(t.withColumn("_a", F.col("token")), w.withColumn("_b", F.col("word")), band, most).select("token", "word")
+    out = pairs.select("token", "word", (F.levenshtein("token", "word") if limit is None else F.levenshtein("token", "word", limit)).alias("distance"))
+    out = out.filter("distance >= 0")  # -1 means beyond the limit
+    return out if ratio is None else out.filter(F.col("distance") / F.greatest(F.length("token"), F.length("word"), F.lit(1)) <= ratio)
+
+
+def folded(text: Column, letters: tuple[str, ...]) -> Column:
+    """The text with every letter of a near pair as the first letter of its chain: plain
+    distances between folded texts are never above the weighted ones."""
+    first: dict[str, str] = {}
+    for a, b in (x.split("=") for x in letters):
+        first[b] = first.get(a, a)
+    return F.translate(text, "".join(first), "".join(first.values()))
 
 
 def best_match(tokens: DataFrame, words: DataFrame, max_ratio: float = 0.34, band: int = 2, price: float = S.REVERSE_PRICE) -> DataFrame:
@@ -38,9 +78,12 @@ def best_match(tokens: DataFrame, words: DataFrame, max_ratio: float = 0.34, ban
     exact = tokens.select("token").distinct().join(vocabulary, F.col("token") == F.col("word"), "left")
     hit = exact.filter("word is not null").select("token", "word", F.lit(0.0).alias("distance"), F.lit("exact").alias("kind"))
     rest = exact.filter("word is null").select("token")
-    pairs = band_join(rest, vocabulary, band).filter(F.col("distance") <= F.greatest(F.length("token"), F.length("word")))
+    most = F.floor(F.greatest("_n", "_m") * F.lit(max_ratio) + F.lit(1e-9))
+    fold = lambda c: folded(F.col(c), S.REVERSE_LETTERS)
+    pairs = _segment_pairs(rest.withColumn("_a", fold("token")), vocabulary.withColumn("_b", fold("word")), band, most)
+    pairs = pairs.filter(F.levenshtein("_a", "_b") / F.greatest(F.length("token"), F.length("word"), F.lit(1)) <= max_ratio)
     priced = pairs.select("token", "word", S.weighted_distance(F.col("token"), F.col("word"), price, S.REVERSE_LETTERS).alias("distance"))
-    priced = priced.filter(F.col("distance") / F.greatest(F.length("token"), F.length("word")) <= max_ratio)
+    priced = priced.filter(F.col("distance") / F.greatest(F.length("token"), F.length("word"), F.lit(1)) <= max_ratio)
     best = F.min_by(F.struct("word", "distance"), F.struct("distance", F.abs(F.length("token") - F.length("word")).alias("gap"), "word"))
     found = priced.groupBy("token").agg(best.alias("_b")).select("token", "_b.word", "_b.distance", F.lit("distance").alias("kind"))
     missed = rest.join(found, "token", "left_anti").select("token", F.lit(None).cast("string").alias("word"), F.lit(None).cast("double").alias("distance"), F.lit("unmatched").alias("kind"))

@@ -13,6 +13,7 @@ from . import order
 
 LABEL = "array<struct<label:string,text:string>>"
 END = "<end>"
+MAX_SYMBOLS = 200_000
 
 
 def label_edits(source: list[str], target: list[str], slots: int = 4) -> list[tuple[str, str]]:
@@ -129,8 +130,14 @@ def mask_spans(tokens: Column, key: Column, seed: int = 2026, share: float = 0.1
 
 
 def encode_characters(text: Column, vocabulary: DataFrame, limit: int, unknown: int, end: int) -> Column:
-    """Codes of a text, cut to ``limit`` with the end code; the vocabulary is a bounded map."""
-    rows = vocabulary.limit(65_536).collect()
+    """Codes of a text, cut to ``limit`` with the end code.
+
+    The vocabulary becomes a map: more than ``MAX_SYMBOLS`` symbols (all of
+    Unicode has fewer characters assigned to text) raise.
+    """
+    rows = vocabulary.limit(MAX_SYMBOLS + 1).collect()
+    if len(rows) > MAX_SYMBOLS:
+        raise ValueError(f"more than {MAX_SYMBOLS} symbols")
     table = F.create_map(*[F.lit(x) for r in rows for x in (r["symbol"], r["code"])])
     symbols = F.slice(F.filter(F.split(text, ""), lambda c: c != ""), 1, limit - 1)
     return F.concat(F.transform(symbols, lambda c: F.coalesce(F.try_element_at(table, c), F.lit(unknown))), F.array(F.lit(end)))

@@ -101,7 +101,10 @@ def ibm1(pairs: DataFrame, key: str, source: Column, target: Column, rounds: int
     The co-occurrence table is pre-aggregated once per pair; each round is one
     normalisation within (pair, target) and one sum.  ``checkpoint`` cuts the
     lineage (default: ``DataFrame.checkpoint``, which survives lost executors).
+    The table meets the cells by broadcast if counted as few.
     """
+    from ..sources.shared import few
+
     checkpoint = checkpoint or (lambda df: df.checkpoint())
     sides = pairs.select(F.col(key).alias("k"), F.concat(F.array(F.lit("")), source).alias("s"), target.alias("t"))
     src = sides.select("k", F.explode("s").alias("src")).groupBy("k", "src").agg(F.count(F.lit(1)).alias("ns"))
@@ -109,7 +112,7 @@ def ibm1(pairs: DataFrame, key: str, source: Column, target: Column, rounds: int
     cells = checkpoint(src.join(tgt, "k"))
     table = cells.select("src", "tgt").distinct().withColumn("p", F.lit(1.0))
     for _ in range(rounds):
-        scored = cells.join(table, ["src", "tgt"]).withColumn("_w", F.col("ns") * F.col("p"))
+        scored = cells.join(few(table, 500_000), ["src", "tgt"]).withColumn("_w", F.col("ns") * F.col("p"))
         norm = scored.groupBy("k", "tgt").agg(F.sum("_w").alias("_z"))
         expected = scored.join(norm, ["k", "tgt"]).groupBy("src", "tgt").agg(F.sum(F.col("nt") * F.col("_w") / F.col("_z")).alias("c"))
         total = expected.groupBy("src").agg(F.sum("c").alias("_c"))

@@ -1,9 +1,10 @@
 """Order-aware deduplication, ordering, sampling and splits.
 
 Every operator takes its order from stored columns, never from row positions.
-Windows are partitioned by the operator's own key, so nothing but a hot key
-itself meets in one task; where only one row a key is wanted, a mergeable
-aggregate is used instead of a window, and hot keys are pre-aggregated.
+Where only one row a key is wanted, a mergeable aggregate is used instead of a
+window, text keys are grouped by their digests, and only the wanted columns
+travel.  Ranks inside groups come from range partitions and one offset a group
+and partition, so a hot group is ranked by many tasks.
 """
 
 from __future__ import annotations
@@ -14,21 +15,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _pick(df: DataFrame, keys: list[str], order: list[str], last: bool) -> DataFrame:
-    row = F.struct(*df.columns)
-    rank = F.struct(*order)
+def key_digest(*columns: Column) -> Column:
+    """128 bits of the columns' values, lengths and nulls included, in place of long keys."""
+    part = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(*map(part, columns))))
+
+
+def _pick(df: DataFrame, keys: list[str], order: list[str], last: bool, keep: list[str] | None) -> DataFrame:
+    row, rank = F.struct(*(keep or df.columns)), F.struct(*order)
     chosen = (F.max_by if last else F.min_by)(row, rank).alias("_row")
-    return df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]).agg(chosen).select("_row.*")
+    kinds = dict(df.dtypes)
+    by = [key_digest(*map(F.col, keys)).alias("_k")] if any(kinds[k] == "string" for k in keys) else [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    return df.groupBy(*by).agg(chosen).select("_row.*")
 
 
-def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """First row of each key in ``order`` (which must be total).  Map-side combined."""
-    return _pick(df, keys, order, last=False)
+def keep_first(df: DataFrame, keys: list[str], order: list[str], keep: list[str] | None = None) -> DataFrame:
+    """First row of each key in ``order`` (which must be total), with the columns ``keep``.  Map-side combined."""
+    return _pick(df, keys, order, False, keep)
 
 
-def keep_last(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def keep_last(df: DataFrame, keys: list[str], order: list[str], keep: list[str] | None = None) -> DataFrame:
     """Latest row of each key: the view of an append-only log."""
-    return _pick(df, keys, order, last=True)
+    return _pick(df, keys, order, True, keep)
 
 
 def union_keep_first(frames: list[DataFrame], keys: list[str], order: list[str]) -> DataFrame:
@@ -37,24 +45,41 @@ def union_keep_first(frames: list[DataFrame], keys: list[str], order: list[str])
     return keep_first(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged), keys, ["_source", *order]).drop("_source")
 
 
+def ranked_within(df: DataFrame, group: Column, order: list[str]) -> DataFrame:
+    """``df`` plus ``_rank``, the place (from 0) of a row inside its group, and
+    ``_first``, the least first order column of the group.
+
+    Rows are range-partitioned by (group, order) and written, which freezes the
+    partitions; offsets are one row a group and partition.
+    """
+    from ..sources.shared import cut
+
+    at = F.col(order[0])
+    parts = cut(df.withColumn("_g", F.coalesce(F.concat(F.lit("="), group.cast("string")), F.lit(""))).repartitionByRange("_g", *order).withColumn("_part", F.spark_partition_id()))
+    per = parts.groupBy("_g", "_part").agg(F.count(F.lit(1)).alias("_n"), F.min(at).alias("_low"))
+    by = Window.partitionBy("_g")
+    before = F.coalesce(F.sum("_n").over(by.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = per.select("_g", "_part", before.alias("_from"), F.min("_low").over(by).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_part", "_g").orderBy(*order)) - 1
+    return parts.withColumn("_in", inside).join(offsets, ["_g", "_part"]).select(*df.columns, (F.col("_from") + F.col("_in")).cast("int").alias("_rank"), "_first")
+
+
 def round_robin(df: DataFrame, group: str, order: str) -> DataFrame:
     """Adds ``turn`` and ``group_order``; sorting by (turn, group_order, order)
     interleaves groups in the order in which they are first seen.  A row
     without a group is a group of its own."""
     own = F.coalesce(F.nullif(F.col(group).cast("string"), F.lit("")), F.concat(F.lit("missing-"), F.col(order).cast("string")))
-    g = Window.partitionBy("_group")
-    return df.withColumn("_group", own).withColumn("turn", F.row_number().over(g.orderBy(order)) - 1).withColumn(
-        "group_order", F.min(order).over(g)).drop("_group")
+    return ranked_within(df, own, [order]).withColumnsRenamed({"_rank": "turn", "_first": "group_order"})
 
 
 def first_seen_codes(df: DataFrame, group: str, order: str) -> DataFrame:
-    """(group, code): groups numbered by first appearance; one row a group."""
-    firsts = df.groupBy(group).agg(F.min(order).alias("_first"))
-    return firsts.select(group, (F.dense_rank().over(Window.orderBy("_first")) - 1).alias("code"))
+    """(group, code): groups numbered by first appearance."""
+    firsts = df.groupBy(group).agg(F.min(order).alias("_seen"))
+    return ranked_within(firsts, F.lit(""), ["_seen"]).select(group, F.col("_rank").alias("code"))
 
 
 def within_group_index(df: DataFrame, group: str, order: list[str], name: str = "segment_index") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    return ranked_within(df, F.col(group), order).drop("_first").withColumnRenamed("_rank", name)
 
 
 def circular_next(df: DataFrame, position: str, start: int, size: int, limit: int = 1) -> DataFrame:

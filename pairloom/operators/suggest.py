@@ -1,7 +1,7 @@
 """Token suggestions from a formal and a foreign lookup, and the reverse mapping of sentences.
 
 All decisions are made on distinct tokens and joined back; candidates come from
-length-band equi joins cut by the built-in distance, and only what is left sees
+segment joins cut by the built-in distance, and only what is left sees
 the weighted distance.
 """
 
@@ -79,9 +79,8 @@ def reverse_candidates(token: Column) -> Column:
 def formal_candidates(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """(token, candidates): the best formal words, array<struct<score, word>> in order."""
     spelled = tokens.select("token", F.explode(_variants(F.col("token"))).alias("v")).select("token", "v.variant", "v.steps")
-    near = fuzzy.band_join(spelled.select(F.col("variant").alias("token")), words, 2)
-    near = near.filter(F.col("distance") / F.greatest(F.length("token"), F.length("word")) <= SHORTLIST)
-    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("distance") / F.greatest(F.length("token"), F.length("word")), "word"))
+    near = fuzzy.band_join(spelled.select(F.col("variant").alias("token")), words, 2, ratio=SHORTLIST)
+    rank = F.row_number().over(Window.partitionBy("token").orderBy(F.col("distance") / F.greatest(F.length("token"), F.length("word"), F.lit(1)), "word"))
     short = near.withColumn("_r", rank).filter(F.col("_r") <= SHORTLIST_LIMIT).select(F.col("token").alias("variant"), "word")
     listed = spelled.join(short, "variant").select("token", "word").distinct()
     priced = listed.join(spelled, "token").withColumn("_d", S.weighted_distance(F.col("variant"), F.col("word")) + STEP_PRICE * F.col("steps"))
@@ -90,8 +89,7 @@ def formal_candidates(tokens: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def nearest_foreign(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    near = fuzzy.band_join(tokens, words, 2).withColumn("score", F.col("distance") / F.greatest(F.length("token"), F.length("word")))
-    near = near.filter(F.col("score") <= min(0.5, MAX_RATIO + 0.12))
+    near = fuzzy.band_join(tokens, words, 2, ratio=min(0.5, MAX_RATIO + 0.12)).withColumn("score", F.col("distance") / F.greatest(F.length("token"), F.length("word"), F.lit(1)))
     best = F.min_by(F.struct("word", "score"), F.struct("score", "word"))
     return near.groupBy("token").agg(best.alias("_b")).select("token", F.col("_b.word").alias("foreign_word"), F.col("_b.score").alias("foreign_score"))
 

@@ -25,7 +25,7 @@ def corpus_funnel(spark, sf_dir):
     docs = docs.withColumn("compact", F.regexp_replace("canonical", "[^\\p{L}\\p{N}]", ""))
     held = table(spark, sf_dir, "benchmark").select(T.canonical_text(F.col("text")).alias("canonical"), T.compact_text(F.col("text")).alias("compact"))
     clean = audit.anti_keys(docs, held, [(F.col("canonical"), "canonical"), (F.col("compact"), "compact")])
-    first = order.keep_first(clean.select("canonical", "doc_id", "lang", "source", F.length("text").alias("n")), ["canonical"], ["doc_id"])
+    first = order.keep_first(clean.withColumn("n", F.length("text")), ["canonical"], ["doc_id"], keep=["lang", "source", "n"])
     return first.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source").alias("documents"), F.sum("n").alias("characters"))
 
 
@@ -41,12 +41,12 @@ def funnel_counts(spark, sf_dir):
 
 @query("SELECT doc_id, source, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def keep_first_text(spark, sf_dir):
-    return order.keep_first(table(spark, sf_dir, "documents"), ["text"], ["doc_id"]).select("doc_id", "source", "n_chars")
+    return order.keep_first(table(spark, sf_dir, "documents"), ["text"], ["doc_id"], keep=["doc_id", "source", "n_chars"])
 
 
 @query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
 def latest_events(spark, sf_dir):
-    return order.keep_last(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+    return order.keep_last(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], keep=["user_id", "event_id", "event_type"])
 
 
 @query("""
@@ -61,7 +61,7 @@ def gold_before_synthetic(spark, sf_dir):
 @query("""
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS turn, min(doc_id) OVER (PARTITION BY source) AS group_order FROM documents""")
 def round_robin(spark, sf_dir):
-    return order.round_robin(table(spark, sf_dir, "documents"), "source", "doc_id").select("doc_id", "turn", "group_order")
+    return order.round_robin(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "turn", "group_order")
 
 
 @query("SELECT source, CAST(dense_rank() OVER (ORDER BY f) - 1 AS INTEGER) AS code FROM (SELECT source, min(doc_id) AS f FROM documents GROUP BY source)")
@@ -71,7 +71,7 @@ def group_codes(spark, sf_dir):
 
 @query("SELECT doc_id, source, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS INTEGER) AS segment_index FROM documents")
 def segment_index(spark, sf_dir):
-    return order.within_group_index(table(spark, sf_dir, "documents"), "source", ["doc_id"]).select("doc_id", "source", "segment_index")
+    return order.within_group_index(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"])
 
 
 @query("SELECT item_id FROM benchmark ORDER BY (item_id - 17 + 40) % 40, item_id LIMIT 5")

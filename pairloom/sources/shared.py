@@ -5,17 +5,25 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def set_checkpoints(spark: SparkSession) -> None:
-    """Use the session's setting; only a session without one gets a folder of its own."""
+    """Use the session's setting; only a local session without one gets a folder of its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
     set_checkpoints(df.sparkSession)
     return df.checkpoint()
+
+
+def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if it was counted and has at most so many rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

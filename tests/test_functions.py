@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import re
 import unicodedata
 
@@ -93,8 +95,21 @@ def test_rules_in_the_jvm_agree(spark):
         assert r["a"] == r["b"]["text"], r["text"]
 
 
-def test_protected_spans_join():
-    assert R.union_spans([(5, 9), (0, 3), (3, 4), (8, 20), (7, 7)], 12) == [(0, 4), (5, 12)]
+def test_protected_stretches_unite():
+    text = "aa AB12.5 cd 7"
+    assert R.protected_parts(text, []) == (f"aa {R.MARK}.{R.MARK} cd {R.MARK}", ["AB12", "5", "7"])
+    assert R.protected_parts(text, [(0, 1), (1, 4), (-3, 1), (13, 99)])[1] == ["aa AB12", "5", "7"]
+    marked, kept = R.protected_parts(f"x{R.MARK}y", [])
+    assert marked.count(R.MARK) == 1 and kept == [R.MARK]
+
+
+def test_rules_with_counts_agree_with_python(spark):
+    rng = random.Random(3)
+    letters = "aàáâäbceéèëiïjgqxñŋnoóuthkdl ACDÀ09.,-__U\u4e00'\n"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(600)] + [None, "", " \n", "ABC", "12,5", "guddi"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", R.informalize(F.col("t")).alias("x")).collect():
+        assert (r["x"]["text"], r["x"]["counts"]) == R.informalize_one(texts[r["i"]])
 
 
 def test_distances(spark):

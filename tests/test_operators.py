@@ -439,3 +439,48 @@ def test_best_candidates_and_readable_alignment(spark):
     assert sorted(rows(generate.best_candidates(df), "start", "target")) == [(0, "a"), (1, "c")]
     al = spark.createDataFrame([(1, 1, "y", ""), (1, 0, "x", "a")], "k long, j int, tgt string, src string")
     assert generate.readable_alignment(al, "k").first()["alignment"] == "x<-a y<--"
+
+
+def test_segment_joins_lose_no_pair(spark):
+    import random
+
+    from pairloom.functions import similarity as S
+    from pairloom.operators import fuzzy
+
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abàñn") for _ in range(rng.randrange(0, 9)))
+    tokens, vocabulary = {word() for _ in range(70)}, {word() for _ in range(70)}
+    t, w = words(spark, *tokens, name="token"), words(spark, *vocabulary, name="word")
+    plain = lambda a, b: S.edit_distance(list(a), list(b))
+    near = [(a, b) for a in tokens for b in vocabulary if abs(len(a) - len(b)) <= 2]
+    for limit, ratio in ((0, None), (1, None), (3, None), (None, 0.34), (None, 0.55), (2, 0.5)):
+        want = {(a, b, plain(a, b)) for a, b in near if (limit is None or plain(a, b) <= limit) and (ratio is None or (max(len(a), len(b)) and plain(a, b) / max(len(a), len(b)) <= ratio))}
+        got = set(rows(fuzzy.band_join(t, w, 2, limit, ratio), "token", "word", "distance"))
+        assert {x for x in got if x[0] or x[1]} == {x for x in want if x[0] or x[1]}, (limit, ratio)
+    weighted = lambda a, b: S.edit_distance(list(a), list(b), S.near_pairs(S.REVERSE_LETTERS), S.REVERSE_PRICE)
+    for r in fuzzy.best_match(t, w).collect():
+        if not r["token"]:
+            continue
+        a = r["token"]
+        found = sorted((weighted(a, b), abs(len(a) - len(b)), b) for b in vocabulary if abs(len(a) - len(b)) <= 2 and weighted(a, b) / max(len(a), len(b)) <= 0.34)
+        assert r["word"] == (a if a in vocabulary else found[0][2] if found else None), r
+
+
+def test_ranks_come_from_range_partitions(spark):
+    data = [(i, "hot" if i % 3 else None if i % 2 else f"g{i}") for i in range(200)]
+    df = spark.createDataFrame(data, "i long, g string").repartition(7)
+    want = {}
+    seen = {}
+    for i, g in data:
+        want[i] = seen.get(g, 0)
+        seen[g] = want[i] + 1
+    assert dict(rows(order.within_group_index(df, "g", ["i"]), "i", "segment_index")) == want
+
+
+def test_gate_has_five_criteria(spark):
+    from pairloom.operators import evaluate
+
+    cols = "condition string, cer double, wer double, correction_f1 double, overcorrection_rate double, correction_tp long"
+    base = ("v1", 0.2, 0.5, 0.1, 0.4, 3)
+    for row, passed in ((("h", 0.2, 0.4, 0.2, 0.3, 1), True), (("h", 0.21, 0.4, 0.2, 0.3, 1), False), (("h", 0.2, 0.5, 0.2, 0.3, 1), False), (("h", 0.1, 0.4, 0.1, 0.3, 1), False), (("h", 0.1, 0.4, 0.2, 0.4, 1), False), (("h", 0.1, 0.4, 0.2, 0.3, 0), False)):
+        assert evaluate.gate(spark.createDataFrame([base, row], cols), "v1", "h").first()["passed"] is passed
