@@ -19,15 +19,15 @@ linked with nothing).  Two documents link when ``100 * intersection >= percent
    candidate clusters.
 4. Each class's whole set travels once, to its cluster, where a second tree
    verifies the open pairs of its leaves exactly.
-5. A group of more than ``TILE`` classes is dealt to tiles by size band and
-   hash.  First each tile links its own members; then one class of every
-   component found so far stands for it, and these are linked; at last the
-   pairs of tiles are listed, as one narrow row a tile, and only pairs whose
-   size bands can link and whose members are not all connected already move
-   their rows, one task a pair.  So a group of near copies costs its size, and
-   no group has to fit into one task.  A group answers with at most two edges a
-   member, never with all pairs, and components come from alternating star
-   contractions.
+5. A group of more than ``TILE`` classes is dealt to tiles.  Up to ``DIRECT``
+   tiles, each pair of tiles is a task of its own.  Beyond, tiles hold size bands,
+   and the work is staged: each tile links its own members; the members that
+   answered for others are linked among themselves; at last the pairs of tiles
+   are listed, as one narrow row a tile, and only pairs whose size bands can
+   link and whose members are not all connected already move their rows.  So a
+   large group of near copies costs its size, and no group has to fit into one
+   task.  A group answers with at most two edges a member, never with all pairs,
+   and components come from alternating star contractions.
 
 Shingles and sets are 64-bit keys.  For equal keys of different sets among
 n classes the odds are n*n / 2**65.
@@ -52,6 +52,8 @@ from .common import discard, lookup, materialize, salted_left_join, size_checked
 
 #: Most classes of a group that one task holds; least bits of a bitmap; leaf size.
 TILE, BITS, LEAF = 512, 512, 8
+#: Tiles of a group up to which all their pairs are compared at once.
+DIRECT = 16
 #: Postings of a shingle beyond which its classes are grouped without a window.
 HOT = 20_000
 #: Frequent shingles that the order puts last: at most so many, the most frequent.
@@ -210,10 +212,15 @@ def _describe(n: int):
 
 
 def _postings(n: int, percent: int, heavy: np.ndarray):
-    """Arrow pass: (token, cls, n_shingles, heavy) for the prefix of every class that the task meets."""
+    """Arrow pass: (token, cls, n, heavy) for the prefix of every class that the task meets.
+
+    At its end the task adds (token, null, times, null) for the rare shingles that
+    it met twice or more, so that frequent ones are known without counting all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[int] = set()
+        seen: list[np.ndarray] = []
         for batch in batches:
             tokens, owners, often, sizes = [], [], [], []
             for s in shingle_sets(_texts(batch), n):
@@ -232,9 +239,16 @@ def _postings(n: int, percent: int, heavy: np.ndarray):
                 owners.append(np.full(len(order), key, np.int64))
                 sizes.append(np.full(len(order), len(s), np.int32))
             if tokens:
+                every, flags = np.concatenate(tokens), np.concatenate(often)
+                seen.append(every[~flags])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(often))],
+                    [pa.array(every.astype(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes)), pa.array(flags)],
                     names=["token", "cls", "n", "heavy"])
+        if seen:
+            keys, times = np.unique(np.concatenate(seen), return_counts=True)
+            keys, times = keys[times > 1], times[times > 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys.astype(np.int64)), pa.nulls(len(keys), pa.int64()), pa.array(times.astype(np.int32)), pa.nulls(len(keys), pa.bool_())], names=["token", "cls", "n", "heavy"])
 
     return run
 
@@ -434,49 +448,51 @@ def _edges(members: DataFrame, attach: Callable[[DataFrame], DataFrame], percent
     ``n_shingles`` and ``data`` to rows with a cls.
     """
     tiles = F.ceil(F.col("members") / F.lit(TILE)).cast("long")
-    tile = F.when(tiles <= 1, F.lit(0).cast("long")).otherwise(_band(F.col("n"), percent) * (1 << 32) + F.pmod(F.xxhash64("cls"), tiles))
-    dealt = members.withColumn("tile", tile)
-    own = [F.col("tile").alias("tile_a"), F.col("tile").alias("tile_b")]
-    edges = _linked_groups(attach(dealt.select("grp", *own, "cls", "tile")), percent, exact)
-    if not members.filter(F.col("members") > TILE).limit(1).count():
+    dealt = members.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("cls"), F.col("tiles")))
+    small = dealt.filter(F.col("tiles") <= DIRECT).withColumn("other", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    small = small.select("grp", F.least("tile", "other").alias("tile_a"), F.greatest("tile", "other").alias("tile_b"), "cls", "tile")
+    edges = _linked_groups(attach(small), percent, exact)
+    if not members.filter(F.col("members") > TILE * DIRECT).limit(1).count():
         return edges
-    big = materialize(dealt.filter(F.col("members") > TILE).select("grp", "cls", "tile", "members"))
+    return materialize(edges.unionByName(_staged_edges(dealt.filter(F.col("tiles") > DIRECT), attach, percent, exact)).distinct())
 
-    def rooted() -> DataFrame:
-        """``big`` with the root of every class under the edges so far, written."""
-        roots = components(edges).select(F.col("node").alias("cls"), "root")
-        return materialize(salted_left_join(big, roots, "cls", F.col("grp")).withColumn("root", F.coalesce("root", "cls")))
+
+def _staged_edges(dealt: DataFrame, attach: Callable[[DataFrame], DataFrame], percent: int, exact: bool) -> DataFrame:
+    """``_edges`` of the largest groups."""
+    big = materialize(dealt.select("grp", "cls", (_band(F.col("n"), percent) * (1 << 32) + F.col("tile")).alias("tile"), "members"))
+    own = [F.col("tile").alias("tile_a"), F.col("tile").alias("tile_b")]
+    edges = _linked_groups(attach(big.select("grp", *own, "cls", "tile")), percent, exact)
 
     def pairs_of(table: DataFrame) -> DataFrame:
-        """(grp, tile, tile_a, tile_b) of the pairs of tiles, one row a tile, that may still link."""
+        """(at: grp and tile, p: its pairs of tiles that may still link), from one row a tile with its least and largest root."""
         known = table.groupBy("grp", "tile").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).withColumn("band", F.shiftright("tile", 32))
         left = known.select("grp", *[F.col(c).alias(f"{c}_a") for c in ("tile", "lo", "hi", "band")])
         right = known.select("grp", *[F.col(c).alias(f"{c}_b") for c in ("tile", "lo", "hi", "band")])
         near = F.abs(F.col("band_a") - F.col("band_b")) <= 1
         one = (F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b"))
-        found = left.join(right, "grp").filter((F.col("tile_a") < F.col("tile_b")) & near & ~one).select("grp", "tile_a", "tile_b")
-        return found.select("grp", F.explode(F.array("tile_a", "tile_b")).alias("tile"), "tile_a", "tile_b")
-
-    # one class stands for each component, where that saves work
-    table = rooted()
-    rep = table.groupBy("grp", "root").agg(F.min(F.struct("cls", "tile")).alias("r"), F.max("members").alias("members"))
-    few = rep.groupBy("grp").agg(F.count(F.lit(1)).alias("reps"), F.max("members").alias("members")).filter("reps > 1 and reps * 4 <= members").select("grp", "reps")
-    chosen = salted_left_join(rep.select("grp", "r.cls", "r.tile"), few, "grp", F.col("cls")).filter("reps is not null")
-    spread = F.when(F.col("reps") <= TILE, F.lit(0).cast("long")).otherwise(F.col("tile"))
-    chosen = materialize(chosen.select("grp", "cls", spread.alias("tile"), F.col("cls").alias("root")))
-    alone = chosen.select("grp", *own, "cls", "tile").unionByName(
-        salted_left_join(chosen.select("grp", "cls", F.struct("grp", "tile").alias("at")), pairs_of(chosen).groupBy(F.struct("grp", "tile").alias("at")).agg(F.collect_list(F.struct("tile_a", "tile_b")).alias("p")), "at", F.col("cls"))
-        .select("grp", "cls", "at.tile", F.explode("p").alias("p")).select("grp", "p.tile_a", "p.tile_b", "cls", "tile"))
-    if chosen.limit(1).count():
-        edges = materialize(edges.unionByName(_linked_groups(attach(alone), percent, exact)).distinct())
-        table = rooted()
+        found = left.join(right, "grp").filter((F.col("tile_a") < F.col("tile_b")) & near & ~one).select("grp", F.struct("tile_a", "tile_b").alias("p"))
+        each = found.select(F.explode(F.array(F.struct("grp", F.col("p.tile_a").alias("tile")), F.struct("grp", F.col("p.tile_b").alias("tile")))).alias("at"), "p")
+        return each.groupBy("at").agg(F.collect_list("p").alias("p"))
+
+    def moved(table: DataFrame, pairs: DataFrame) -> DataFrame:
+        rows = salted_left_join(table.select("cls", F.struct("grp", "tile").alias("at")), pairs, "at", F.col("cls"))
+        return rows.select("cls", "at.*", F.explode("p").alias("p")).select("grp", "p.*", "cls", "tile")
+
+    # a member without an edge to another one answers for those that point at it
+    pointed = edges.select(F.col("a").alias("cls"), F.lit(True).alias("_away")).distinct()
+    heads = salted_left_join(big, pointed, "cls", F.col("grp")).filter("_away is null").drop("_away")
+    few = heads.groupBy("grp").agg(F.count(F.lit(1)).alias("heads"), F.max("members").alias("_all")).filter("heads > 1 and heads * 4 <= _all").select("grp", "heads")
+    heads = salted_left_join(heads, few, "grp", F.col("cls")).filter("heads is not null")
+    heads = materialize(heads.select("grp", "cls", F.when(F.col("heads") <= TILE, F.lit(0).cast("long")).otherwise(F.col("tile")).alias("tile"), F.col("cls").alias("root")))
+    if heads.limit(1).count():
+        placed = heads.select("grp", *own, "cls", "tile").unionByName(moved(heads, pairs_of(heads)))
+        edges = materialize(edges.unionByName(_linked_groups(attach(placed), percent, exact)).distinct())
     # what is left: pairs of tiles that are not connected as a whole
+    roots = components(edges).select(F.col("node").alias("cls"), "root")
+    table = materialize(salted_left_join(big, roots, "cls", F.col("grp")).withColumn("root", F.coalesce("root", "cls")))
     left = materialize(pairs_of(table))
     if left.limit(1).count():
-        listed = left.groupBy(F.struct("grp", "tile").alias("at")).agg(F.collect_list(F.struct("tile_a", "tile_b")).alias("p"))
-        moved = salted_left_join(table.select("grp", "cls", F.struct("grp", "tile").alias("at")), listed, "at", F.col("cls"))
-        moved = moved.select("grp", "cls", "at.tile", F.explode("p").alias("p")).select("grp", "p.tile_a", "p.tile_b", "cls", "tile")
-        edges = materialize(edges.unionByName(_linked_groups(attach(moved), percent, exact)).distinct())
+        edges = edges.unionByName(_linked_groups(attach(moved(table, left)), percent, exact))
     return edges
 
 
@@ -540,8 +556,8 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     signatures = described.filter("cls is not null").select("cls", "n_shingles", F.col("bits").alias("data")).dropDuplicates(["cls"])
 
     postings = materialize(plain.mapInArrow(_postings(words, percent, heavy), "token long, cls long, n int, heavy boolean"))
-    hot = postings.filter("not heavy").groupBy("token").agg(F.count(F.lit(1)).alias("times")).filter(F.col("times") > HOT).select("token", F.lit(True).alias("hot"))
-    hot = materialize(hot)
+    hot = materialize(postings.filter("cls is null").groupBy("token").agg(F.sum("n").alias("times")).filter(F.col("times") > HOT).select("token", F.lit(True).alias("hot")))
+    postings, written = postings.filter("cls is not null"), postings
     if hot.limit(1).count():
         postings = lookup(postings, hot, "token", F.col("cls")).withColumn("heavy", F.col("heavy") | F.coalesce("hot", F.lit(False))).drop("hot")
     # rare shingles: their groups are small, so one exchange by shingle serves all that
@@ -561,6 +577,7 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 80, id_col: s
     totals = full.groupBy("grp").agg(*[c.alias(n) for c, n in zip(sums, names, strict=True)])
     full = salted_left_join(full, totals, "grp", F.col("cls")).filter("members > 1").select("grp", "cls", "n", *names)
     members = materialize(rare.unionByName(full))
+    discard(written)
     # of the groups that bring the same classes together, one is enough
     kept = members.groupBy(*names).agg(F.min("grp").alias("grp")).select("grp", F.lit(True).alias("kept"))
     groups = salted_left_join(members, kept, "grp", F.col("cls")).filter("kept").select("grp", "cls", "n", "members")
