@@ -326,9 +326,10 @@ def brute_components(data, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "percent", "tile", "hot"), [(3, 90, 1024, 20_000), (2, 60, 7, 20_000), (5, 80, 4, 5)])
-def test_join_matches_brute_force(spark, monkeypatch, n, percent, tile, hot):
+@pytest.mark.parametrize(("n", "percent", "tile", "direct", "hot"), [(3, 90, 1024, 16, 20_000), (2, 60, 7, 16, 20_000), (5, 80, 4, 2, 5)])
+def test_join_matches_brute_force(spark, monkeypatch, n, percent, tile, direct, hot):
     monkeypatch.setattr(ngram_join, "TILE", tile)
+    monkeypatch.setattr(ngram_join, "DIRECT", direct)
     monkeypatch.setattr(ngram_join, "HOT", hot)
     rng = random.Random(n)
     bases = [[rng.choice(WORDS) for _ in range(rng.choice([2, 30, 80, 200]))] for _ in range(12)]
