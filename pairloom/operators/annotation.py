@@ -126,15 +126,29 @@ def learn_mappings(evidence: DataFrame, ordinal: str, min_count: int = 1, min_do
     return out.filter((F.col("count") >= min_count) & (F.col("dominance") >= min_dominance))
 
 
-def learn_templates(evidence: DataFrame, min_count: int = 1) -> DataFrame:
-    """Character edits with their neighbours: count over the uses of the same trigger."""
-    steps = evidence.select("pos", F.explode(S.edits(F.col("formal_token"), F.col("informal_token"))).alias("e"), "formal_token")
-    left = F.when(F.col("e.a_start") > 0, F.substring(F.col("formal_token"), F.col("e.a_start"), F.lit(1))).otherwise(F.lit("^"))
-    right = F.when(F.col("e.a_end") < F.length("formal_token"), F.substring(F.col("formal_token"), F.col("e.a_end") + 1, F.lit(1))).otherwise(F.lit("$"))
-    sig = steps.select("pos", F.col("e.op").alias("operation"), F.col("e.old").alias("old"), F.col("e.new").alias("new"), left.alias("left"), right.alias("right"))
-    counted = sig.groupBy("pos", "operation", "old", "new", "left", "right").count()
-    trigger = counted.groupBy("pos", "operation", "old", "left", "right").agg(F.sum("count").alias("trigger_total"))
-    return counted.join(trigger, ["pos", "operation", "old", "left", "right"]).withColumn("confidence", F.col("count") / F.col("trigger_total")).filter(F.col("count") >= min_count)
+def learn_templates(evidence: DataFrame, min_count: int = 1, min_dominance: float = 0.0, allowed: list[str] | None = None) -> DataFrame:
+    """Character edits by tag, error type, operation, both texts, both neighbours and
+    place in the word; confidence is the count over the uses of the same trigger.
+
+    The error type is the pair's first allowed one; pairs without one, phrases
+    and unchanged pairs teach nothing.
+    """
+    from ..functions.errors import ERROR_TYPES, primary_error
+
+    formal, informal = T.lookup_key(F.col("formal_token"), None), T.lookup_key(F.col("informal_token"), None)
+    kind = primary_error(F.col("error_types"), list(allowed or [t for t in ERROR_TYPES if t not in ("identity", "uncertain")]), "")
+    rows = evidence.select("pos", formal.alias("f"), informal.alias("i"), kind.alias("error_type")).filter("f <> i and error_type <> '' and not contains(f, ' ')")
+    steps = rows.select("pos", "error_type", "f", F.explode(S.edits(F.col("f"), F.col("i"))).alias("e"))
+    start, end, size = F.col("e.a_start"), F.col("e.a_end"), F.length("f")
+    left = F.when(start > 0, F.substring(F.col("f"), start, F.lit(1))).otherwise(F.lit("^"))
+    right = F.when(end < size, F.substring(F.col("f"), end + 1, F.lit(1))).otherwise(F.lit("$"))
+    place = F.when(start == 0, "prefix").when(end == size, "suffix").otherwise("internal")
+    sig = steps.select("pos", "error_type", F.col("e.op").alias("operation"), F.col("e.old").alias("old"), F.col("e.new").alias("new"), left.alias("left"), right.alias("right"), place.alias("place"))
+    counted = sig.groupBy(*sig.columns).count()
+    trigger = [c for c in sig.columns if c != "new"]
+    totals = counted.groupBy(*trigger).agg(F.sum("count").alias("trigger_total"))
+    out = counted.join(totals, trigger).withColumn("confidence", F.col("count") / F.col("trigger_total"))
+    return out.filter((F.col("count") >= min_count) & (F.col("confidence") >= min_dominance))
 
 
 def edit_budgets(sentences: DataFrame, evidence: DataFrame, key: str, cap: int = 3) -> DataFrame:

@@ -192,3 +192,12 @@ def foreign_ratio(df: DataFrame, key: str, text: str, words: DataFrame) -> DataF
     each = df.select(key, F.explode_outer(F.split(T.collapse(F.lower(F.regexp_replace(T.blank(F.col(text)), "[^a-zA-ZÀ-ÿ\\s]", ""))), " ")).alias("word"))
     listed = words.select(F.lower("word").alias("word")).distinct().withColumn("_in", F.lit(1))
     return each.join(listed, "word", "left").groupBy(key).agg(F.coalesce(F.sum("_in") / F.count_if(F.col("word") != ""), F.lit(0.0)).alias("ratio"))
+
+
+def filtered_comments(df: DataFrame, key: str, text: str, words: DataFrame, least_words: int = 3, most_foreign: float = 0.5) -> DataFrame:
+    """(key, cleaned, ratio): comments that survive cleaning, in this order: something is
+    left, it has ``least_words`` words, some of them letters, and fewer than
+    ``most_foreign`` of those are foreign."""
+    cleaned = df.select(key, T.clean_comment(F.col(text)).alias("cleaned")).filter((F.col("cleaned") != "") & (F.size(F.split("cleaned", " ")) >= least_words))
+    lettered = cleaned.filter(F.col("cleaned").rlike("[a-zA-ZÀ-ÿ]"))
+    return lettered.join(foreign_ratio(lettered, key, "cleaned", words), key).filter(F.col("ratio") < most_foreign)

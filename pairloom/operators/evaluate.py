@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from . import audit
 
 ORDERS = 6
 
@@ -193,3 +194,32 @@ def gate(summary: DataFrame, baseline: str, candidate: str, name: str = "conditi
         "lower_overcorrection": F.col("b.overcorrection_rate") < F.col("a.overcorrection_rate"), "cer_not_worse": F.col("b.cer") <= F.col("a.cer"), "lower_wer": F.col("b.wer") < F.col("a.wer")}
     out = sides[0].withColumn("_k", F.lit(1)).join(sides[1].withColumn("_k", F.lit(1)), "_k").select(*[F.coalesce(c, F.lit(False)).alias(n) for n, c in checks.items()])
     return out.withColumn("passed", reduce(lambda x, y: x & y, [F.col(n) for n in checks]))
+
+
+def rejoined(predictions: DataFrame, raw: DataFrame, key: str = "source_id", prediction: str = "prediction") -> DataFrame:
+    """``raw`` with each row's prediction, one to one; a row without one raises."""
+    audit.require_unique(raw, [key], "raw rows")
+    audit.require_unique(predictions, [key], "predictions")
+    joined = raw.join(predictions.select(key, prediction), key, "left")
+    if joined.filter(F.col(prediction).isNull()).limit(1).count():
+        raise ValueError("rows without a prediction")
+    return joined
+
+
+def stacked_scores(raw: DataFrame, conditions: dict[str, DataFrame | None], source: str = "source_text", reference: str = "target_text", key: str = "source_id") -> DataFrame:
+    """One row of scores a condition, in one pass: None is the identity, else (key, prediction)."""
+    parts = []
+    for name, predictions in conditions.items():
+        rows = raw.withColumn("prediction", F.col(source)) if predictions is None else rejoined(predictions, raw, key)
+        parts.append(rows.select(F.lit(name).alias("condition"), source, reference, "prediction"))
+    return scores(reduce(lambda a, b: a.unionByName(b), parts), "prediction", reference, source, ["condition"])
+
+
+def corpus_profile(pairs: DataFrame, by: list[str], source: str = "source_text", target: str = "target_text") -> DataFrame:
+    """Per condition: rows, changed rows, mean lengths, their ratio, and mean character and word edits."""
+    changed = T.canonical_text(F.col(source)) != T.canonical_text(F.col(target))
+    counted = row_counts(pairs, None, source, target)
+    return counted.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(changed).alias("changed_rows"), (100.0 * F.count_if(changed) / F.count(F.lit(1))).alias("changed_percent"),
+        F.avg(F.length(source)).alias("source_chars_mean"), F.avg(F.length(target)).alias("target_chars_mean"),
+        (F.sum(F.length(source)) / F.sum(F.length(target))).alias("length_ratio"), F.avg("char_edits").alias("character_edits_mean"), F.avg("word_edits").alias("word_edits_mean"))

@@ -82,28 +82,85 @@ def aligned_pairs(sources: DataFrame, lexicon: DataFrame, source: Column, target
     return pair_rows(made, "aligned", F.col("_m.text"), F.size(spans) + total, kinds, F.col("_m.counts"))
 
 
+#: Prices of longer n-grams.
+SIZE_PENALTY = {1: 1.0, 2: 0.85, 3: 0.70}
+
+
+def train_vectors(pairs: DataFrame, source: Column, target: Column, largest: int = 3, size: int = 150, window: int = 10, min_count: int = 2, epochs: int = 20, seed: int = SEED) -> DataFrame:
+    """(gram, vector) of the n-grams of both sides of every pair, trained together."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.feature import Word2Vec
+
+    grams = pairs.select(F.concat(T.ngrams(source, largest), T.ngrams(target, largest)).alias("grams"))
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=1, inputCol="grams", outputCol="v").fit(grams)
+    return model.getVectors().select(F.col("word").alias("gram"), vector_to_array("vector").alias("vector"))
+
+
+def save_resources(vectors: DataFrame, lexicon: DataFrame, folder: str, config: dict | None = None) -> dict:
+    """Vectors and lexicon with one manifest; refuses to overwrite."""
+    from ..sources import writers
+
+    return writers.write_bundle({"vectors": vectors, "lexicon": lexicon}, folder, config)
+
+
+def load_resources(spark, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(vectors, lexicon) as ``save_resources`` wrote them."""
+    return spark.read.parquet(f"{folder}/vectors"), spark.read.parquet(f"{folder}/lexicon")
+
+
 def embedding_candidates(pairs: DataFrame, vectors: DataFrame, lexicon: DataFrame, source: Column, target: Column, largest: int = 2,
-                         min_similarity: float = 0.5, sigma: float = 0.35) -> DataFrame:
-    """(source_id, score, start, end, target): n-grams of the two sides of a row
-    with near vectors; score = similarity * (1 + alignment) * position * size penalty."""
-    penalty = F.create_map(*[F.lit(x) for x in (1, 1.0, 2, 0.85, 3, 0.70)])
+                         min_similarity: float = 0.70, min_alignment: float = 0.01, sigma: float = 0.35) -> DataFrame:
+    """(source_id, score, start, end, target): n-grams of the two sides of a row with
+    near vectors and aligned words.
+
+    score = similarity * (1 + alignment) * position * size penalty; the position
+    compares the middles of the n-grams, relative to the sides' lengths.
+    """
+    penalty = F.create_map(*[F.lit(x) for p in SIZE_PENALTY.items() for x in p])
 
     def grams(side: Column) -> DataFrame:
         base = pairs.select("source_id", side.alias("w"), F.explode(F.sequence(F.lit(1), F.lit(largest))).alias("size")).filter(F.size("w") >= F.col("size"))
         return base.select("source_id", "size", F.size("w").alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - F.col("size")), lambda i: F.struct(i.alias("at"), F.array_join(F.slice("w", i + 1, F.col("size")), "_").alias("gram")))).alias("g")).select("source_id", "size", "n", "g.at", "g.gram")
 
     v = vectors.select("gram", "vector")
-    a = grams(source).join(v, "gram").select("source_id", "size", F.col("at").alias("i"), F.col("n").alias("n"), F.col("gram").alias("a"), F.col("vector").alias("x"))
-    b = grams(target).join(v, "gram").select("source_id", "size", F.col("at").alias("j"), F.col("n").alias("m"), F.col("gram").alias("b"), F.col("vector").alias("y"))
-    both = a.join(b, ["source_id", "size"]).withColumn("similarity", S.cosine(F.col("x"), F.col("y"))).filter(F.col("similarity") >= min_similarity).drop("x", "y")
-    parts = both.select("source_id", "size", "i", "j", F.explode(F.split("a", "_")).alias("src"), "b").select("source_id", "size", "i", "j", "src", F.explode(F.split("b", "_")).alias("tgt"))
-    aligned = parts.join(lexicon.select("src", "tgt", "p"), ["src", "tgt"], "left").groupBy("source_id", "size", "i", "j", "src").agg(F.max(F.coalesce("p", F.lit(0.0))).alias("p"))
-    aligned = aligned.groupBy("source_id", "size", "i", "j").agg(F.avg("p").alias("alignment"))
+    middle = (F.col("at") + F.col("size") / 2) / F.col("n")
+    a = grams(source).join(v, "gram").select("source_id", "size", F.col("at").alias("i"), middle.alias("s"), F.col("gram").alias("a"), F.col("vector").alias("x"))
+    b = grams(target).join(v, "gram").select("source_id", "size", F.col("at").alias("j"), middle.alias("t"), F.col("gram").alias("b"), F.col("vector").alias("y"))
+    both = a.join(b, ["source_id", "size"]).filter("a <> b").withColumn("similarity", S.cosine(F.col("x"), F.col("y"))).filter(F.col("similarity") >= min_similarity).drop("x", "y")
+    parts = both.select("source_id", "size", "i", "j", F.posexplode(F.split("a", "_")).alias("at", "src"), "b").select("source_id", "size", "i", "j", "at", "src", F.explode(F.split("b", "_")).alias("tgt"))
+    aligned = parts.join(lexicon.select("src", "tgt", "p"), ["src", "tgt"], "left").groupBy("source_id", "size", "i", "j", "at").agg(F.max(F.coalesce("p", F.lit(0.0))).alias("p"))
+    aligned = aligned.groupBy("source_id", "size", "i", "j").agg(F.avg("p").alias("alignment")).filter(F.col("alignment") >= min_alignment)
     scored = both.join(aligned, ["source_id", "size", "i", "j"])
-    score = F.col("similarity") * (1 + F.col("alignment")) * S.position_score(F.col("i"), F.col("n"), F.col("j"), F.col("m"), sigma) * F.element_at(penalty, F.col("size"))
+    gap = F.col("s") - F.col("t")
+    score = F.col("similarity") * (1 + F.col("alignment")) * F.exp(-(gap * gap) / (2 * sigma * sigma)) * F.element_at(penalty, F.col("size"))
     return scored.select("source_id", score.alias("score"), F.col("i").alias("start"), (F.col("i") + F.col("size")).alias("end"), F.replace("b", F.lit("_"), F.lit(" ")).alias("target"))
 
 
+def embedding_pairs(sources: DataFrame, candidates: DataFrame, tokens: Column, most: int = 2) -> DataFrame:
+    """Code-switched pairs: up to ``most`` n-grams change language, the rest is spelled by the rules.
+
+    Best score first, then the longer n-gram, the earlier place and the smaller
+    target; chosen ones neither overlap nor repeat a target.
+    """
+    item = F.struct((-F.col("score")).alias("order"), (F.col("start") - F.col("end")).alias("longer"), "start", "target", "end", "score")
+    per = candidates.groupBy("source_id").agg(F.sort_array(F.collect_list(item)).alias("_c"))
+    kind = "array<struct<order:double,longer:int,start:int,target:string,end:int,score:double>>"
+    made = sources.withColumn("_w", tokens).join(per.withColumn("_c", F.col("_c").cast(kind)), "source_id", "left")
+    made = made.withColumn("_e", F.coalesce(order.greedy_spans(F.col("_c"), most), F.expr(f"cast(array() as {kind})")))
+    # one piece a place: the target where a span starts, nothing inside it, else the word
+    begins = lambda i: F.filter("_e", lambda e: e["start"] == i)
+    inside = lambda i: F.exists("_e", lambda e: (e["start"] < i) & (i < e["end"]))
+    piece = lambda w, i: F.struct(F.when(inside(i), "").otherwise(F.coalesce(F.try_element_at(F.transform(begins(i), lambda e: e["target"]), F.lit(1)), w)).alias("text"), (F.size(begins(i)) > 0).alias("new"))
+    made = made.withColumn("_p", F.filter(F.transform("_w", piece), lambda p: p["text"] != ""))
+    at = lambda i: F.when(i == 0, 0).otherwise(F.length(F.array_join(F.transform(F.slice("_p", F.lit(1), i), lambda p: p["text"]), " ")) + 1)
+    spans = F.filter(F.transform("_p", lambda p, i: F.struct(at(i).cast("int").alias("start"), (at(i) + F.length(p["text"])).cast("int").alias("end"), p["new"].alias("new"))), lambda s: s["new"])
+    kept = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    made = made.withColumn("_m", R.informalize(F.array_join(F.transform("_p", lambda p: p["text"]), " "), kept))
+    total = F.aggregate(F.map_values("_m.counts"), F.lit(0), lambda a, x: a + x)
+    kinds = F.array_compact(F.array(F.when(F.size("_e") > 0, "embedding_code_switch"), F.when(total > 0, "orthographic_rules")))
+    return pair_rows(made, "embedding", F.col("_m.text"), F.size("_e") + total, kinds, F.col("_m.counts"))
+
+
 def external_audit(raw: DataFrame, row: str, formal: str, informal: str, form: str | None = "NFKC") -> DataFrame:
     """External pairs with all rejection reasons; the first of equal pairs stays."""
     f, i = T.collapse(F.col(formal)), T.unwrap(F.col(informal))

@@ -54,6 +54,22 @@ def apply_labels(labels: Column) -> Column:
     return F.filter(F.flatten(parts), lambda t: t != END)
 
 
+def segment_lengths(labels: Column) -> Column:
+    """Items that each label writes: for substitute and expand only, else null, so that
+    the common lengths of kept items do not drown the rest."""
+    return F.transform(labels, lambda x: F.when(x["label"].isin("substitute", "expand"), F.size(F.split(x["text"], "\x1f"))))
+
+
+def label_profile(pairs: DataFrame, source: str, target: str, slots: int = 16) -> DataFrame:
+    """(family, label, count): operations and lengths of the edit labels, boundaries and word labels, in one pass."""
+    named = lambda family, values: F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.struct(F.lit(family).alias("family"), v.cast("string").alias("label")))
+    letters = lambda c: F.filter(F.split(F.col(c), ""), lambda x: x != "")
+    made = pairs.select(edit_labels(letters(source), letters(target), slots).alias("e"), hybrid_labels(F.col(source), F.col(target)).alias("h"))
+    each = made.select(F.explode(F.concat(
+        named("operation", F.transform("e", lambda x: x["label"])), named("length", segment_lengths(F.col("e"))), named("boundary", F.col("h.boundaries")), named("word", F.col("h.word_labels")))).alias("x"))
+    return each.groupBy("x.family", "x.label").agg(F.count(F.lit(1)).alias("count"))
+
+
 def boundary_labels(source: str, target: str) -> tuple[list[str], list[int], list[str]]:
     """Labels of one character alignment: (boundaries, word numbers, word labels).
 

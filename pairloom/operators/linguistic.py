@@ -14,9 +14,9 @@ MAPPING_BONUS, TEMPLATE_BONUS = 1.5, 1.0
 
 
 def apply_template(token: Column, template: Column) -> Column:
-    """The token with its first site of ``template`` (old, new, left, right) changed, or null.
+    """The token with its first site of ``template`` (old, new, left, right, place) changed, or null.
 
-    ``^`` and ``$`` stand for the token's ends.
+    ``^`` and ``$`` stand for the token's ends; ``place`` is prefix, suffix or internal.
     """
 
     @F.arrow_udf("string")
@@ -26,7 +26,8 @@ def apply_template(token: Column, template: Column) -> Column:
             framed, hit = f"^{w}$", None
             for at in range(1, len(framed) - len(t["old"])):
                 end = at + len(t["old"])
-                if framed[at:end] == t["old"] and framed[at - 1] == t["left"] and framed[end] == t["right"]:
+                place = "prefix" if at == 1 else "suffix" if end == len(framed) - 1 else "internal"
+                if framed[at:end] == t["old"] and framed[at - 1] == t["left"] and framed[end] == t["right"] and place == t["place"]:
                     hit = (framed[:at] + t["new"] + framed[end:])[1:-1]
                     break
             out.append(hit if hit != w else None)
@@ -51,7 +52,7 @@ def mapping_candidates(sentences: DataFrame, mappings: DataFrame, longest: int =
 def template_candidates(tagged: DataFrame, templates: DataFrame) -> DataFrame:
     """As above, from tokens with a tag: (source_id, at, token, pos)."""
     hit = tagged.join(templates, "pos")
-    made = hit.withColumn("new", apply_template(F.col("token"), F.struct("old", "new", "left", "right"))).filter("new is not null")
+    made = hit.withColumn("new", apply_template(F.col("token"), F.struct("old", "new", "left", "right", "place"))).filter("new is not null")
     weight = TEMPLATE_BONUS * F.col("confidence") * F.log1p("count")
     return made.select("source_id", F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "new", weight.alias("weight"), F.lit("template").alias("kind"))
 

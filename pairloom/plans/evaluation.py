@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import errors as E
 from ..functions import rules as R
 from ..operators import annotation, evaluate, generate, order, report
 from .registry import registry, table
+from .texts import _sql_rules
 
 QUERIES, SQL, query = registry()
 
@@ -33,10 +35,14 @@ def character_error(spark, sf_dir):
     return evaluate.scores(part, "p", "r", None, ["p_brand"], None).select("p_brand", "rows", "cer", "exact_match")
 
 
-@query("SELECT count(*) AS rows, 0.0 AS cer, 0.0 AS wer, 100.0 AS chrf, 1.0 AS exact_match FROM part")
+@query("""
+SELECT p_size, count(*) AS rows, sum(levenshtein(lower(p_type), lower(p_name))) / sum(length(p_name)) AS cer, 0.0 AS exact_match, count(*) FILTER (WHERE lower(p_type) = lower(p_name)) AS unchanged_reference_rows,
+  0 AS correction_tp, 0 AS correction_fp FROM part GROUP BY p_size""")
 def identity_metrics(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select(F.lower("p_name").alias("r"))
-    return evaluate.scores(part, "r", "r", None, None, None)
+    """The baseline that predicts its source: its errors, no correction, no overcorrection."""
+    part = table(spark, sf_dir, "part").select("p_size", F.lower("p_type").alias("s"), F.lower("p_name").alias("r"))
+    made = evaluate.scores(part, "s", "r", "s", ["p_size"], None)
+    return made.select("p_size", "rows", "cer", "exact_match", "unchanged_reference_rows", "correction_tp", "correction_fp")
 
 
 @query()
@@ -56,7 +62,9 @@ def binary_scores(spark, sf_dir):
     return evaluate.binary_scores(joined, F.col("quality") == 1, F.col("n_chars") >= 1500, ["lang"]).withColumn("f1", F.round("f1", 9))
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT p_partkey AS k, unnest(string_split({_sql_rules('lower(p_name)')}, ' ')) AS s, unnest(string_split(lower(p_name), ' ')) AS r FROM part)
+SELECT CASE WHEN s = r THEN 'keep' ELSE 'substitute' END AS op, count(*) AS count FROM p GROUP BY 1""")
 def operation_counts(spark, sf_dir):
     p = _predictions(spark, sf_dir)
     return evaluate.operation_counts(p, F.split("source", " "), F.split("reference", " "))
@@ -153,7 +161,18 @@ def language_shares(spark, sf_dir):
 def _evidence(spark, sf_dir):
     p = generate.rule_pairs(generate.formal_sources(table(spark, sf_dir, "part"), "p_name", "p_partkey"))
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_row"), F.col("p_brand").alias("pos"))
-    return p.join(part, "source_row").select("source_row", "pos", F.col("formal").alias("formal_token"), F.col("informal").alias("informal_token"), "error_types")
+    pairs = p.join(part, "source_row").select("source_row", "pos", F.arrays_zip(F.split("formal", " ").alias("f"), F.split("informal", " ").alias("i")).alias("z"))
+    words = pairs.select("source_row", "pos", F.explode("z").alias("z")).select("source_row", "pos", F.col("z.f").alias("formal_token"), F.col("z.i").alias("informal_token"))
+    return words.withColumn("error_types", E.error_types(F.col("informal_token"), F.col("formal_token")))
+
+
+_SQL_EVIDENCE = f"SELECT p_brand AS pos, unnest(string_split(p_name, ' ')) AS f, unnest(string_split({_sql_rules('p_name')}, ' ')) AS i FROM part"
+
+
+@query(f"SELECT pos, count(*) AS total, count(*) FILTER (WHERE f <> i) AS changed, count(*) FILTER (WHERE f <> i) / count(*) AS change_rate FROM ({_SQL_EVIDENCE}) GROUP BY pos")
+def change_rates(spark, sf_dir):
+    """``error_profile`` without the error counts, which SQL cannot mirror."""
+    return annotation.error_profile(_evidence(spark, sf_dir)).select("pos", "total", "changed", "change_rate")
 
 
 @query()
@@ -161,7 +180,10 @@ def error_profile(spark, sf_dir):
     return annotation.error_profile(_evidence(spark, sf_dir)).withColumn("errors", F.to_json("errors"))
 
 
-@query()
+@query(f"""
+WITH e AS ({_SQL_EVIDENCE}), t AS (SELECT f, count(*) AS n FROM e GROUP BY f)
+SELECT f AS formal_key, i AS informal_key, count(*) AS count, f AS formal_surface, i AS informal_surface, any_value(t.n) AS formal_total, count(*) / any_value(t.n) AS dominance
+FROM e JOIN t USING (f) WHERE f <> i GROUP BY f, i HAVING count(*) >= 2""")
 def learned_mappings(spark, sf_dir):
     return annotation.learn_mappings(_evidence(spark, sf_dir), "source_row", 2).drop("pos_set", "error_set")
 
@@ -171,18 +193,8 @@ def learned_templates(spark, sf_dir):
     return annotation.learn_templates(_evidence(spark, sf_dir), 2)
 
 
-@query("SELECT p_partkey FROM part WHERE p_partkey % 3 = 0 AND p_partkey % 9 <> 0")
-def missing_runs(spark, sf_dir):
-    from ..operators import labels
-
-    grid = table(spark, sf_dir, "part").filter("p_partkey % 3 = 0").select("p_partkey")
-    runs = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 == 0, "completed").otherwise("failed").alias("status"))
-    return labels.missing_runs(grid, runs, ["p_partkey"])
-
-
 @query("SELECT p_partkey FROM part WHERE p_partkey % 9 <> 0")
-def whole_missing_runs(spark, sf_dir):
-    """``missing_runs`` with all parts as the grid."""
+def missing_runs(spark, sf_dir):
     from ..operators import labels
 
     part = table(spark, sf_dir, "part")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import errors as E
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import annotation, fuzzy, generate, lexicon, linguistic, suggest
@@ -43,26 +44,13 @@ def capitalized_tokens(spark, sf_dir):
     return lexicon.capitalized(table(spark, sf_dir, "documents"), F.col("text"))
 
 
-@query(f"""
-WITH d AS (SELECT doc_id, {sql_alpha('text')} AS w FROM documents WHERE lang = 'es'),
-p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d), t AS (SELECT doc_id, i, w[i] AS token, w FROM p WHERE w[i] IN ('las', 'los', 'de')),
-n AS (SELECT token, unnest(list_concat(w[greatest(i - 2, 1):i - 1], w[i + 1:i + 2])) AS context FROM t),
-c AS (SELECT token, context, count(*) AS count FROM n GROUP BY ALL)
-SELECT token, context, count FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY count DESC, context) AS r FROM c) WHERE r <= 50""")
-def token_contexts(spark, sf_dir):
-    docs = _words(spark, sf_dir).filter("lang = 'es'")
-    targets = spark.createDataFrame([("las",), ("los",), ("de",)], "token string")
-    return lexicon.contexts(docs, F.col("w"), targets, 2, 50, fold=False)
-
-
 @query(f"""
 WITH d AS (SELECT doc_id, {sql_alpha('text')} AS w FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, w FROM d), t AS (SELECT doc_id, i, w[i] AS token, w FROM p WHERE w[i] IN ('las', 'los', 'de')),
 n AS (SELECT token, unnest(list_concat(w[greatest(i - 2, 1):i - 1], w[i + 1:i + 2])) AS context FROM t),
 c AS (SELECT token, context, count(*) AS count FROM n GROUP BY ALL)
 SELECT token, context, count FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY count DESC, context) AS r FROM c) WHERE r <= 50""")
-def whole_token_contexts(spark, sf_dir):
-    """``token_contexts`` over the documents of all languages."""
+def token_contexts(spark, sf_dir):
     targets = spark.createDataFrame([("las",), ("los",), ("de",)], "token string")
     return lexicon.contexts(_words(spark, sf_dir), F.col("w"), targets, 2, 50, fold=False)
 
@@ -232,8 +220,9 @@ def reversed_sentences(spark, sf_dir):
 def evidence_pairs(spark, sf_dir):
     """Learned mappings and templates put into sentences within their budgets."""
     made = generate.rule_pairs(generate.formal_sources(table(spark, sf_dir, "part"), "p_name", "p_partkey"))
-    both = made.select("source_row", F.arrays_zip(F.split("formal", " ").alias("f"), F.split("informal", " ").alias("i")).alias("z"), "error_types").select("source_row", F.explode("z").alias("z"), "error_types")
-    evidence = both.select("source_row", F.col("z.f").alias("formal_token"), F.col("z.i").alias("informal_token"), F.lit("X").alias("pos"), "error_types").filter("formal_token is not null and informal_token is not null")
+    both = made.select("source_row", F.arrays_zip(F.split("formal", " ").alias("f"), F.split("informal", " ").alias("i")).alias("z")).select("source_row", F.explode("z").alias("z"))
+    evidence = both.select("source_row", F.col("z.f").alias("formal_token"), F.col("z.i").alias("informal_token"), F.lit("X").alias("pos")).filter("formal_token is not null and informal_token is not null")
+    evidence = evidence.withColumn("error_types", E.error_types(F.col("informal_token"), F.col("formal_token")))
     sentences = made.select("source_id", "source_row", "formal", F.split("formal", " ").alias("tokens"))
     tagged = sentences.select("source_id", F.posexplode("tokens").alias("at", "token")).withColumn("pos", F.lit("X"))
     found = linguistic.mapping_candidates(sentences, annotation.learn_mappings(evidence, "source_row", 2)).unionByName(

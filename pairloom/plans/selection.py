@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import annotation, audit, corpus, generate, order, report
 from ..sources import writers
 from ..streaming import log
-from .registry import registry, sql_canonical, sql_compact, sql_key, sql_usable, table
+from .registry import registry, sql_canonical, sql_collapse, sql_compact, sql_key, sql_normal, sql_usable, table
 
 QUERIES, SQL, query = registry()
 
@@ -89,18 +89,31 @@ def review_sample(spark, sf_dir):
     return order.sample_per_group(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], "doc_id", 25)
 
 
-@query()
+_SPLITS = """
+WITH RECURSIVE g AS (
+  SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, sha256('2026:' || source), source) AS i, sum(count(*)) OVER () AS total FROM documents GROUP BY source),
+r AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS DOUBLE) AS dev, CAST(0 AS DOUBLE) AS test, CAST(0 AS DOUBLE) AS train, '' AS split UNION ALL
+  SELECT i, dev + CASE WHEN split = 'dev' THEN n ELSE 0 END, test + CASE WHEN split = 'test' THEN n ELSE 0 END, train + CASE WHEN split = 'train' THEN n ELSE 0 END, split
+  FROM (
+    SELECT g.i, g.n, dev, test, train,
+      CASE WHEN d <= t AND d <= a THEN 'dev' WHEN t <= a THEN 'test' ELSE 'train' END AS split
+    FROM (SELECT *, (dev + n) / (total * 0.05) AS d, (test + n) / (total * 0.05) AS t, (train + n) / (total * 0.9) AS a FROM (SELECT g.*, r.dev, r.test, r.train FROM r JOIN g ON g.i = r.i + 1)) g))"""
+
+
+@query(f"{_SPLITS} SELECT doc_id, source, split FROM documents JOIN g USING (source) JOIN r ON r.i = g.i")
 def group_splits(spark, sf_dir):
     """Whole sources to splits, greedily."""
     return order.assign_group_splits(table(spark, sf_dir, "documents"), "source", {"train": 0.9, "dev": 0.05, "test": 0.05}).select("doc_id", "source", "split")
 
 
-@query("SELECT 0 AS crossing, 3 AS splits")
+@query(f"{_SPLITS} SELECT split, count(*) AS rows, count(DISTINCT source) AS sources, 0 AS crossing FROM documents JOIN g USING (source) JOIN r ON r.i = g.i GROUP BY split")
 def split_invariant(spark, sf_dir):
-    """No source crosses splits, and all splits are filled."""
+    """Rows and sources of each split, and the sources that another split has too."""
     split = group_splits(spark, sf_dir)
-    crossing = audit.overlap_groups(split, F.col("source"), "split")
-    return split.agg(F.count_distinct("split").cast("int").alias("splits")).withColumn("crossing", F.lit(crossing.count()).cast("int"))
+    crossing = audit.overlap_groups(split, F.col("source"), "split").select(F.explode("splits").alias("split"), F.lit(1).alias("_c"))
+    sizes = split.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("source").alias("sources"))
+    return sizes.join(crossing.groupBy("split").agg(F.sum("_c").cast("int").alias("crossing")), "split", "left").na.fill(0, ["crossing"])
 
 
 @query("SELECT source, count(*) AS count FROM documents GROUP BY source ORDER BY abs(count(*) - (SELECT count(*) FROM documents) * 0.2), source LIMIT 1")
@@ -117,7 +130,8 @@ def common_targets(spark, sf_dir):
 WITH t AS (SELECT {sql_key('source')} AS s, {sql_key('text')} AS t FROM documents), h AS (SELECT 'src1' AS s, {sql_key('text')} AS t FROM benchmark)
 SELECT (SELECT count(*) FROM (SELECT DISTINCT s FROM t INTERSECT SELECT s FROM h)) AS input_overlap,
   (SELECT count(*) FROM (SELECT DISTINCT t FROM t INTERSECT SELECT t FROM h)) AS target_overlap,
-  (SELECT count(*) FROM (SELECT DISTINCT s, t FROM t INTERSECT SELECT s, t FROM h)) AS pair_overlap, false AS safe""")
+  (SELECT count(*) FROM (SELECT DISTINCT s, t FROM t INTERSECT SELECT s, t FROM h)) AS pair_overlap,
+  NOT EXISTS (SELECT DISTINCT s FROM t INTERSECT SELECT s FROM h) AND NOT EXISTS (SELECT s, t FROM t INTERSECT SELECT s, t FROM h) AS safe""")
 def leakage_audit(spark, sf_dir):
     held = table(spark, sf_dir, "benchmark").select(F.lit("src1").alias("source"), "text")
     return audit.leakage(table(spark, sf_dir, "documents").select("source", "text"), held, "source", "text")
@@ -165,21 +179,30 @@ def split_readiness(spark, sf_dir):
     return out.select("rows", "groups", F.array_contains("problems", "too_few_rows").alias("too_few"))
 
 
-@query("""
-WITH r AS (SELECT doc_id, trim(text) AS formal, trim(CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 5 = 1 THEN '<NON_STANDARD>' || lang || '</NON_STANDARD>' WHEN doc_id % 5 = 2 THEN '<NON_STANDARD>' || text ELSE '' END) AS raw FROM documents)
-SELECT 'duplicate_pair' AS reason, 0 AS count WHERE false
-UNION ALL SELECT 'empty_informal', count(*) FROM r WHERE raw = '' UNION ALL SELECT 'malformed_wrapper', count(*) FROM r WHERE raw LIKE '<NON_STANDARD>%' AND raw NOT LIKE '%</NON_STANDARD>'""")
+@query(rf"""
+WITH r AS (
+  SELECT doc_id, {sql_collapse('text')} AS f, CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 5 = 1 THEN '<NON_STANDARD>' || lang || '</NON_STANDARD>' WHEN doc_id % 5 = 2 THEN '<NON_STANDARD>' || text ELSE '' END AS raw
+  FROM documents),
+w AS (
+  SELECT doc_id, f, {sql_collapse(r"regexp_replace(raw, '(?i)<\s*/?\s*NON_STANDARD\s*>', '', 'g')")} AS i, len(regexp_extract_all(raw, '<NON_STANDARD>')) AS o, len(regexp_extract_all(raw, '</NON_STANDARD>')) AS c FROM r),
+k AS (SELECT *, {sql_key('f')} AS fk, {sql_key('i')} AS ik FROM w), x AS (SELECT *, min(doc_id) OVER (PARTITION BY fk, ik) AS first FROM k),
+e AS (SELECT unnest(list_filter([
+  CASE WHEN f = '' THEN 'empty_formal' END, CASE WHEN i = '' THEN 'empty_informal' END, CASE WHEN NOT (o = 0 AND c = 0 OR o = 1 AND c = 1) OR regexp_matches(i, '<[^>]+>') THEN 'malformed_wrapper' END,
+  CASE WHEN fk <> '' AND fk = ik THEN 'unchanged_normalized' END, CASE WHEN doc_id <> first THEN 'duplicate_pair' END], lambda v: v IS NOT NULL)) AS reason FROM x)
+SELECT reason, count(*) AS count FROM e GROUP BY reason""")
 def rejection_counts(spark, sf_dir):
     raw = F.when(F.col("doc_id") % 5 == 0, F.col("text")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("<NON_STANDARD>"), "lang", F.lit("</NON_STANDARD>"))).when(
         F.col("doc_id") % 5 == 2, F.concat(F.lit("<NON_STANDARD>"), F.col("text"))).otherwise("")
-    audited = generate.external_audit(table(spark, sf_dir, "documents").withColumn("raw", raw), "doc_id", "text", "raw")
-    return generate.reason_counts(audited).filter(F.col("reason").isin("empty_informal", "malformed_wrapper"))
+    return generate.reason_counts(generate.external_audit(table(spark, sf_dir, "documents").withColumn("raw", raw), "doc_id", "text", "raw"))
 
 
-@query("SELECT count(*) AS rows FROM documents")
+@query("""
+SELECT count(*) AS rows, CAST(sum(CAST('0x' || substring(h, 1, 8) AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substring(h, 9, 8) AS BIGINT)) AS VARCHAR) || '-'
+  || CAST(sum(CAST('0x' || substring(h, 17, 8) AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substring(h, 25, 8) AS BIGINT)) AS VARCHAR) AS digest
+FROM (SELECT sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || ',"source":"' || source || '"}') AS h FROM documents)""")
 def table_fingerprint(spark, sf_dir):
-    digest = writers.table_digest(table(spark, sf_dir, "documents"))
-    return spark.createDataFrame([(digest["rows"],)], "rows long")
+    digest = writers.table_digest(table(spark, sf_dir, "documents"), ["doc_id", "lang", "n_chars", "source"])
+    return spark.createDataFrame([(digest["rows"], digest["digest"])], "rows long, digest string")
 
 
 @query("""
@@ -232,17 +255,25 @@ def pretraining_corpus(spark, sf_dir):
     return corpus.build_corpus(*_corpus_parts(spark, sf_dir))
 
 
-@query("SELECT 0 AS repeated, 0 AS crossing, 0 AS leaked, true AS short")
+_SEGMENTS = f"""
+WITH h AS (SELECT {sql_canonical('text')} AS c, {sql_compact('text')} AS k FROM benchmark),
+d AS (SELECT doc_id, source, doc_id % 4 = 0 AS news, {sql_normal('text')} AS t, {sql_canonical('text')} AS c, {sql_compact('text')} AS k FROM documents),
+w AS (SELECT * FROM d WHERE news OR (source <> 'src3' AND {sql_usable('t')} AND c NOT IN (SELECT c FROM h) AND k NOT IN (SELECT k FROM h))),
+p AS (SELECT *, list_transform(regexp_extract_all(t || ' ', '\\S{{241,}}|\\S.{{0,239}} '), lambda x: trim(x)) AS p FROM w),
+f AS (SELECT *, flatten(list_transform(p, lambda x: CASE WHEN length(x) > 240 THEN list_transform(range(1, length(x) + 1, 240), lambda i: substring(x, i, 240)) ELSE [x] END)) AS s FROM p),
+e AS (SELECT doc_id, source, news, unnest(range(len(s))) AS i, unnest(s) AS text FROM f),
+g AS (SELECT *, {sql_canonical('text')} AS c, {sql_compact('text')} AS k FROM e WHERE NOT news OR ({sql_usable('text')})),
+u AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY news DESC, doc_id, i) AS r FROM g WHERE c NOT IN (SELECT c FROM h) AND k NOT IN (SELECT k FROM h))
+SELECT CASE WHEN news THEN 'formal' ELSE 'informal' END AS domain, source AS document_id, count(*) AS rows, count(DISTINCT c) AS texts, CAST(sum(length(text)) AS BIGINT) AS characters, max(length(text)) <= 240 AS short, 1 AS splits
+FROM u WHERE r = 1 GROUP BY 1, 2"""
+
+
+@query(_SEGMENTS)
 def corpus_invariants(spark, sf_dir):
-    """No repeated text, no document in two splits, no held-out text, no long segment."""
-    made = pretraining_corpus(spark, sf_dir)
-    gold = table(spark, sf_dir, "benchmark").select(T.canonical_text(F.col("text")).alias("canonical"))
-    repeated = made.groupBy("canonical").count().filter("count > 1").agg(F.count(F.lit(1)).alias("repeated"))
-    crossing = made.groupBy("domain", "document_id").agg(F.count_distinct("split").alias("n")).filter("n > 1").agg(F.count(F.lit(1)).alias("crossing"))
-    leaked = made.join(gold.distinct(), "canonical", "left_semi").agg(F.count(F.lit(1)).alias("leaked"))
-    short = made.agg((F.max(F.length("text")) <= 240).alias("short"))
-    parts = [x.withColumn("_k", F.lit(1)) for x in (repeated, crossing, leaked, short)]
-    return parts[0].join(parts[1], "_k").join(parts[2], "_k").join(parts[3], "_k").drop("_k")
+    """Each document's segments: rows, distinct texts, characters, no long one, and one split."""
+    return pretraining_corpus(spark, sf_dir).groupBy("domain", "document_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_distinct("canonical").alias("texts"), F.sum(F.length("text")).alias("characters"), (F.max(F.length("text")) <= 240).alias("short"),
+        F.count_distinct("split").cast("int").alias("splits"))
 
 
 @query()

@@ -157,12 +157,15 @@ def edit_scripts(spark, sf_dir):
     return sources.select("source_row", F.explode(S.edits(F.split("formal", " "), F.split("informal", " "))).alias("e")).select("source_row", "e.*")
 
 
-@query("SELECT p_partkey, true AS round_trip FROM part")
+@query(f"""
+WITH p AS (SELECT p_partkey, p_name AS f, {_sql_rules('p_name')} AS i FROM part),
+w AS (SELECT p_partkey, i, list_transform(range(1, len(string_split(f, ' ')) + 1), lambda k: CASE WHEN string_split(f, ' ')[k] = string_split(i, ' ')[k] THEN 'keep' ELSE 'substitute' END) AS l FROM p)
+SELECT p_partkey, i AS restored, array_to_string(list_concat(l, ['keep']), ',') AS labels FROM w""")
 def label_round_trip(spark, sf_dir):
-    """Edit labels applied to nothing but themselves give the target back."""
+    """The labels of a name's way to its informal spelling, and the text that they give back."""
     sources = generate.rule_pairs(generate.formal_sources(table(spark, sf_dir, "part"), "p_name", "p_partkey"))
-    made = sources.select("source_row", F.split("informal", " ").alias("t"), labels.edit_labels(F.split("formal", " "), F.split("informal", " "), 64).alias("l"))
-    return made.select(F.col("source_row").alias("p_partkey"), (F.array_join(labels.apply_labels(F.col("l")), " ") == F.array_join("t", " ")).alias("round_trip"))
+    made = sources.select("source_row", labels.edit_labels(F.split("formal", " "), F.split("informal", " "), 64).alias("l"))
+    return made.select(F.col("source_row").alias("p_partkey"), F.array_join(labels.apply_labels(F.col("l")), " ").alias("restored"), F.array_join(F.transform("l", lambda x: x["label"]), ",").alias("labels"))
 
 
 @query()
@@ -201,9 +204,12 @@ def error_hints(spark, sf_dir):
     return out.select("source_row", F.array_join("types", ",").alias("types"), E.primary_error(F.col("types"), ["identity", "substitution", "insertion"]).alias("primary_type"))
 
 
-@query("SELECT p_partkey, p_type AS sentence FROM part")
+@query("""
+SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN split_part(p_name, ' ', 1) || '|zz yy|last' WHEN 1 THEN '|' || split_part(p_name, ' ', 2) || '|last' ELSE split_part(p_name, ' ', 1) || '|' || split_part(p_name, ' ', 2) || ' zz|last' END AS slots FROM part""")
 def slot_alignment(spark, sf_dir):
-    """A sentence put at another sentence's token places reads back as itself."""
-    part = table(spark, sf_dir, "part")
-    slots = E.align_to_source(F.split("p_name", " "), F.col("p_type"))
-    return part.select("p_partkey", F.array_join(F.filter(slots, lambda s: s != ""), " ").alias("sentence"))
+    """A sentence at the token places of its source: with a word replaced by two, left out, or put in."""
+    first, second = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    k = F.col("p_partkey") % 3
+    sentence = F.when(k == 0, F.concat_ws(" ", first, F.lit("zz yy last"))).when(k == 1, F.concat_ws(" ", second, F.lit("last"))).otherwise(F.concat_ws(" ", first, second, F.lit("zz last")))
+    slots = E.align_to_source(F.array(first, second, F.lit("last")), sentence)
+    return table(spark, sf_dir, "part").select("p_partkey", F.array_join(slots, "|").alias("slots"))

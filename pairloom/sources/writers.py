@@ -52,6 +52,46 @@ def write_dataset(df: DataFrame, folder: str, config: dict | None = None, kind:
     return manifest
 
 
+def write_bundle(tables: dict[str, DataFrame], folder: str, config: dict | None = None, reviews: dict[str, tuple[str, int]] | None = None, overwrite: bool = False) -> dict:
+    """Several tables below one folder and one manifest with the rows and digest of each.
+
+    ``reviews``: table -> (key, rows) of a keyed sample, written as ``table_review``.
+    A failed run leaves no manifest, so what has one is whole.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    mode = "overwrite" if overwrite else "errorifexists"
+    out = {}
+    for name, df in tables.items():
+        df.write.mode(mode).parquet(f"{folder}/{name}")
+        written = spark.read.parquet(f"{folder}/{name}")
+        out[name] = {"columns": df.columns, **table_digest(written)}
+        if name in (reviews or {}):
+            key, n = reviews[name]
+            order.sample_rows(written, key, n).write.mode(mode).parquet(f"{folder}/{name}_review")
+    manifest = {"config": config or {}, "tables": out}
+    write_text(spark, f"{folder}/manifest.json", json.dumps(manifest, indent=2, sort_keys=True, default=str))
+    return manifest
+
+
+def archive(tables: dict[str, DataFrame], folder: str, label: str) -> dict:
+    """Copies of tables before they change, below ``folder/label``, with their digests;
+    an archive that exists is never written over."""
+    return write_bundle(tables, f"{folder}/{label}", {"archive": label})
+
+
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """After a crash between the two renames of ``replace_table``: put the new version,
+    else the old one, at ``path``.  True if there was something to mend."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(hadoop(path)):
+        return False
+    for spare in (f"{path}.new", f"{path}.old"):
+        if fs.exists(hadoop(f"{spare}/_SUCCESS")):
+            return bool(fs.rename(hadoop(spare), hadoop(path)))
+    return False
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 

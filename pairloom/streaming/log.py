@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import order
-from ..sources.writers import replace_table
+from ..sources.writers import recover_table, replace_table
 
 
 def windowed_counts(events: DataFrame, time: str, by: list[str], width: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -21,6 +21,7 @@ def maintain_latest(events: DataFrame, path: str, keys: list[str], rank: list[st
     """
     def merge(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        recover_table(spark, path)
         hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         known = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(path))
         rows = spark.read.parquet(path).unionByName(batch) if known else batch

@@ -101,7 +101,7 @@ def test_whole_neighbours_count_every_character(spark, tmp_path):
 
 def test_contexts_and_grid_leave_no_rows_out(spark, tmp_path):
     docs = spark.createDataFrame([(1, "fr", "vin de table"), (2, "es", "casa de campo")], "doc_id long, lang string, text string")
-    got = {(r["token"], r["context"], r["count"]) for r in query(spark, tmp_path, "whole_token_contexts", documents=docs).collect()}
+    got = {(r["token"], r["context"], r["count"]) for r in query(spark, tmp_path, "token_contexts", documents=docs).collect()}
     assert got == {("de", w, 1) for w in ("vin", "table", "casa", "campo")}
     part = spark.range(1, 20).withColumnRenamed("id", "p_partkey")
-    assert {r[0] for r in query(spark, tmp_path, "whole_missing_runs", part=part).collect()} == set(range(1, 20)) - {9, 18}
+    assert {r[0] for r in query(spark, tmp_path, "missing_runs", part=part).collect()} == set(range(1, 20)) - {9, 18}
