@@ -148,6 +148,8 @@ def build_corpus(comments: DataFrame, news: DataFrame, gold: DataFrame, gold_doc
     ``comments``: row, text, document; ``news``: row, text, document; ``gold``:
     text; ``gold_documents``: document.  News win over comments on equal text.
     """
+    from ..sources.shared import cut
+
     keys = gold.select(T.canonical_text(F.col("text")).alias("canonical")).withColumn("compact", F.regexp_replace("canonical", "[^\\p{L}\\p{N}]", "")).distinct()
     ours = comments.join(gold_documents.select("document").distinct(), "document", "left_anti").withColumn("text", T.normalize_text(F.col("text"))).filter(T.usable_text(F.col("text")))
     ours = ours.withColumn("canonical", T.casefold(F.col("text"))).withColumn("compact", F.regexp_replace("canonical", "[^\\p{L}\\p{N}]", ""))
@@ -156,9 +158,10 @@ def build_corpus(comments: DataFrame, news: DataFrame, gold: DataFrame, gold_doc
         ours = ours.withColumn("selector_score", select_score(F.col("text"), selector)).filter(F.col("selector_score") >= threshold)
     informal = segments(ours, "comment", "informal", "row", "document")
     formal = segments(news.withColumn("text", T.normalize_text(F.col("text"))), "news", "formal", "row", "document").filter(T.usable_text(F.col("text")))
-    both = order.union_keep_first([without_gold(formal, keys), without_gold(informal, keys)], ["canonical"], ["ordinal"])
+    # written once: the splits below read it several times
+    both = cut(order.union_keep_first([without_gold(formal, keys), without_gold(informal, keys)], ["canonical"], ["ordinal"]).drop("compact"))
     parts = [order.assign_group_splits(both.filter(F.col("domain") == d), "document_id", SPLITS, seed) for d in ("formal", "informal")]
-    return parts[0].unionByName(parts[1]).drop("ordinal", "compact")
+    return parts[0].unionByName(parts[1]).drop("ordinal")
 
 
 def assemble_training(synthetic: DataFrame | None, gold: DataFrame | None, regime: str, seed: int = 2026) -> DataFrame:

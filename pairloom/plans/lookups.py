@@ -12,7 +12,7 @@ from ..operators import analyze, corpus, evaluate, generate, labels, lookup
 from ..operators.refresh import FRENCH, NAMES, SEED
 from ..sources import readers, shared, writers
 from .registry import registry, table
-from .texts import _sql_rules
+from .texts import _sql_rules, sql_cleaned
 
 QUERIES, SQL, query = registry()
 
@@ -196,18 +196,14 @@ def label_profiles(spark, sf_dir):
 
 
 @query(rf"""
-WITH c AS (
-  SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(regexp_replace(html,
-    'http\S+|www\S+', '', 'g'), '@[\w-]+', '', 'g'), '\b\d{{1,2}}:\d{{2}}(:\d{{2}})?\b', '', 'g')), '!{{2,}}', '!', 'g'), '\?{{2,}}', '?', 'g'), '[\s\p{{Z}}]+', ' ', 'g')) AS c
-  FROM (SELECT page_id, regexp_replace(html, '[^ -~]', '', 'g') AS html FROM pages)),
-k AS (SELECT * FROM c WHERE c <> '' AND len(string_split(c, ' ')) >= 3 AND regexp_matches(c, '[a-zA-Z]')),
-w AS (SELECT page_id, c, list_filter(string_split(trim(regexp_replace(regexp_replace(c, '[^a-zA-Z\s]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM k),
+WITH c AS (SELECT page_id, {sql_cleaned('html')} AS c FROM pages), k AS (SELECT * FROM c WHERE c <> '' AND len(string_split(c, ' ')) >= 3 AND regexp_matches(c, '[a-zA-ZÀ-ÿ]')),
+w AS (SELECT page_id, c, list_filter(string_split(regexp_replace(c, '[^a-zA-ZÀ-ÿ\s]', '', 'g'), ' '), lambda x: x <> '') AS w FROM k),
 r AS (SELECT page_id, c, len(list_filter(w, lambda x: x IN ('div', 'p', 'the'))) / len(w) AS ratio FROM w)
 SELECT page_id, c AS cleaned, CASE WHEN ratio = 0 THEN 0.0 ELSE ratio END AS ratio FROM r WHERE ratio < 0.05""")
 def filtered_comments(spark, sf_dir):
-    """The comment filters in order, on ASCII letters, as SQL mirrors them; ``whole_comments`` cleans the whole texts."""
-    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("html", "[^ -~]", "").alias("html"))
-    return corpus.filtered_comments(pages, "page_id", "html", spark.createDataFrame([("div",), ("p",), ("the",)], "word string"), most_foreign=0.05)
+    """The comment filters in order."""
+    words = spark.createDataFrame([("div",), ("p",), ("the",)], "word string")
+    return corpus.filtered_comments(table(spark, sf_dir, "pages"), "page_id", "html", words, most_foreign=0.05)
 
 
 _DIGEST = ", ".join(f"CAST(sum(CAST('0x' || substring(h, {1 + 8 * i}, 8) AS BIGINT)) AS VARCHAR) AS w{i}" for i in range(4))

@@ -79,13 +79,13 @@ def test_interval_does_not_hang_on_the_buckets(spark):
 
 def test_whole_comments_keep_letters_and_word_limits(spark, tmp_path):
     pages = spark.createDataFrame([(1, "Été\nÀ Dakar 😀 https://x.y/é @me\tJÀMM!!! ok??"), (2, "naka\nnga\u00a0def"), (3, None)], "page_id long, html string")
-    got = {r["page_id"]: r["cleaned"] for r in query(spark, tmp_path, "whole_comments", pages=pages).collect()}
+    got = {r["page_id"]: r["cleaned"] for r in query(spark, tmp_path, "cleaned_comments", pages=pages).collect()}
     assert got == {1: "été à dakar jàmm! ok?", 2: "naka nga def", 3: ""}
 
 
 def test_whole_neighbours_count_every_character(spark, tmp_path):
     texts = ["jàmm rekk", "jamm\nrekk", "ñaata 😀", "naata"]
-    got = query(spark, tmp_path, "whole_neighbour_similarity", benchmark=spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))
+    got = query(spark, tmp_path, "neighbour_similarity", benchmark=spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))
 
     def distance(a, b):
         row = list(range(len(b) + 1))
