@@ -56,21 +56,33 @@ def units(text: str | None) -> Iterator[tuple[int, int, bytes, int]]:
         at = stop
 
 
+#: Units of one batch that the first pass hands on.
+_FLUSH = 20_000
+
+
 def _unit_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        counts, places, digests = [], [], []
-        for text in batch.column(2).to_pylist():
-            before = len(digests)
-            for start, end, norm, words in units(text):
-                places.append((len(digests) - before, words, start, end))
+        owners, places, digests = [], [], []
+
+        def emit() -> pa.RecordBatch:
+            table = np.array(places, np.int32).reshape(-1, 4)
+            pairs = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            owner = pa.array(owners, pa.int32())
+            made = pa.RecordBatch.from_arrays(
+                [batch.column(0).take(owner), batch.column(1).take(owner), *[pa.array(table[:, k].copy()) for k in range(4)], pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())],
+                names=["id", "hash", "unit", "words", "start", "end", "high", "low"])
+            for held in (owners, places, digests):
+                held.clear()
+            return made
+
+        for row in range(batch.num_rows):
+            for unit, (start, end, norm, words) in enumerate(units(batch.column(2)[row].as_py())):
+                owners.append(row)
+                places.append((unit, words, start, end))
                 digests.append(xxhash.xxh3_128_digest(norm))
-            counts.append(len(digests) - before)
-        table = np.array(places, np.int64).reshape(-1, 4)
-        pairs = np.frombuffer(b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
-        owner = pa.array(np.repeat(np.arange(len(counts)), counts))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(owner), batch.column(1).take(owner), *[pa.array(table[:, k].astype(np.int32)) for k in range(4)], pa.array(pairs[:, 0]), pa.array(pairs[:, 1])],
-            names=["id", "hash", "unit", "words", "start", "end", "high", "low"])
+                if len(digests) >= _FLUSH:
+                    yield emit()
+        yield emit()
 
 
 UNIT_ROW = "id long, hash long, unit int, words int, start int, end int, high long, low long"
@@ -79,24 +91,25 @@ REMOVED = "array<struct<unit:int,start:int,end:int,kept_id:bigint,kept_unit:int>
 
 def _paragraphs(min_words: int):
     """Arrow pass: of every document's repeats, those in runs of ``min_words`` words."""
-    kind = pa.list_(pa.struct([("unit", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("kept_id", pa.int64()), ("kept_unit", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, hashes, kept = [], [], []
-            for id_, hash_, repeats in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                out, held = [], []
-                for r in [*repeats, None]:
-                    if held and (r is None or r["unit"] != held[-1]["unit"] + 1):
-                        out += held if sum(h.pop("words") for h in held) >= min_words else []
-                        held = []
-                    if r is not None:
-                        held.append(r)
-                if out:
-                    ids.append(id_)
-                    hashes.append(hash_)
-                    kept.append(out)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(kept, kind)], names=["id", "hash", "removed"])
+            lists = batch.column(2)
+            repeats = lists.flatten()
+            row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            unit, words = repeats.field("unit").to_numpy(), repeats.field("words").to_numpy()
+            opens = np.ones(len(unit), bool)
+            opens[1:] = (row[1:] != row[:-1]) | (unit[1:] != unit[:-1] + 1)
+            runs = np.cumsum(opens) - 1
+            kept = np.flatnonzero(np.bincount(runs, words)[runs] >= min_words) if len(unit) else np.zeros(0, np.int64)
+            counts = np.bincount(row[kept], minlength=len(lists))
+            docs = np.flatnonzero(counts)
+            chosen = repeats.take(pa.array(kept))
+            names = ["unit", "start", "end", "kept_id", "kept_unit"]
+            found = pa.StructArray.from_arrays([chosen.field(n) for n in names], names=names)
+            ends = np.concatenate([[0], np.cumsum(counts[docs])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(pa.array(docs)), batch.column(1).take(pa.array(docs)), pa.ListArray.from_arrays(pa.array(ends), found)], names=["id", "hash", "removed"])
 
     return run
 
