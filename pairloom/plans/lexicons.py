@@ -9,6 +9,7 @@ from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import annotation, fuzzy, generate, lexicon, linguistic, suggest
 from .registry import registry, sql_alpha, table
+from .texts import _sql_rules
 
 QUERIES, SQL, query = registry()
 
@@ -97,7 +98,16 @@ def lexicon_agreement(spark, sf_dir):
     return lexicon.agreement(full, full.filter("count >= 2"))
 
 
-@query()
+_ROUNDS = "".join(f""",
+z{i} AS (SELECT k, tgt, sum(ns * p) AS z FROM cells JOIN t{i} USING (src, tgt) GROUP BY k, tgt),
+c{i} AS (SELECT src, tgt, sum(nt * ns * p / z) AS c FROM cells JOIN t{i} USING (src, tgt) JOIN z{i} USING (k, tgt) GROUP BY src, tgt),
+t{i + 1} AS (SELECT src, tgt, c / sum(c) OVER (PARTITION BY src) AS p FROM c{i})""" for i in range(5))
+
+
+@query(f"""
+WITH x AS ({_PAIRS}), a AS (SELECT k, src, count(*) AS ns FROM (SELECT k, unnest(list_concat([''], s)) AS src FROM x) GROUP BY ALL), b AS (SELECT k, tgt, count(*) AS nt FROM (SELECT k, unnest(t) AS tgt FROM x) GROUP BY ALL),
+cells AS (SELECT * FROM a JOIN b USING (k)), t0 AS (SELECT DISTINCT src, tgt, 1.0::DOUBLE AS p FROM cells){_ROUNDS}
+SELECT src, tgt, round(p, 8) AS p FROM t5""")
 def ibm1_lexicon(spark, sf_dir):
     from ..sources.shared import cut
 
@@ -155,13 +165,16 @@ def mined_variants(spark, sf_dir):
     return fuzzy.mine_variants(docs, held, formal, french, lexicon.capitalized(docs, F.col("text")).select("token")).drop("candidate_count")
 
 
-@query()
+@query(f"""{_LEXICON}, h AS (SELECT src, tgt, p FROM l WHERE count >= 2),
+j AS (SELECT k, i, s, h.tgt, row_number() OVER (PARTITION BY k ORDER BY h.p DESC, i, h.tgt) AS r FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM p) x JOIN h ON h.src = x.s[i] AND list_contains(x.t, h.tgt)),
+w AS (SELECT p.k, p.s, unnest(range(1, len(p.s) + 1)) AS i, j.i AS place, j.tgt FROM p LEFT JOIN j ON j.k = p.k AND j.r = 1)
+SELECT 'part:' || k AS source_id, k AS source_row, string_agg(CASE WHEN i = place THEN tgt ELSE {_sql_rules('s[i]')} END, ' ' ORDER BY i) AS informal, any_value(array_to_string(s, ' ')) AS formal FROM w GROUP BY k""")
 def aligned_pairs(spark, sf_dir):
     """Code-switched pairs: substitutions within a budget, then the spelling rules."""
     pairs = _pairs(spark, sf_dir)
     sources = pairs.select(F.concat_ws(":", F.lit("part"), "k").alias("source_id"), F.col("k").alias("source_row"), F.array_join("s", " ").alias("formal"), "s", "t")
     lex = lexicon.cooccurrence_lexicon(pairs, F.col("s"), F.col("t"), 2)
-    return generate.aligned_pairs(sources, lex, F.col("s"), F.col("t")).drop("applied_rules")
+    return generate.aligned_pairs(sources, lex, F.col("s"), F.col("t")).select("source_id", "source_row", "informal", "formal")
 
 
 @query(f"""{_LEXICON}, x AS (SELECT k, unnest(range(0, len(s))) AS start, s, t FROM p), j AS (SELECT x.k, x.start, l.p, l.tgt FROM x JOIN l ON l.src = x.s[x.start + 1] AND list_contains(x.t, l.tgt))
