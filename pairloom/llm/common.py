@@ -63,6 +63,23 @@ def without_leftovers(spark: SparkSession):
             spark.conf.set(CLEANUP, before)
 
 
+#: Lists of the tables written inside open ``scratch`` blocks, the innermost last.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch():
+    """Tables that ``materialize`` writes inside are deleted at the end, but for those
+    taken out of the list that the block gives."""
+    held: list[DataFrame] = []
+    _SCRATCH.append(held)
+    try:
+        yield held
+    finally:
+        _SCRATCH.pop()
+        discard(*held)
+
+
 def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Write ``df`` once to the shared folder and return the written table.
 
@@ -79,6 +96,8 @@ def materialize(df: DataFrame, codec: str = "snappy") -> DataFrame:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_to = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 

@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, materialize, salted_left_join, size_checked, small_batches
+from .common import discard, lookup, materialize, salted_left_join, scratch, size_checked, small_batches
 
 #: Most classes of a group that one task holds; least bits of a bitmap; leaf size.
 TILE, BITS, LEAF = 512, 512, 8
@@ -619,7 +619,9 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Rows without an id stay.  The ids that go are broadcast only if counted as few.
     """
-    linked = materialize(link_documents(docs, words, percent))
+    with scratch() as tables:
+        linked = materialize(link_documents(docs, words, percent))
+        tables.pop()  # this one stays
     gone, _ = size_checked(linked.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct())
     out = docs.join(gone, "doc_id", "left_anti")
     repeated = linked.filter("id is not null").groupBy("id").count().filter("count > 1")
