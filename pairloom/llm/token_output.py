@@ -213,12 +213,15 @@ def write_order(docs: DataFrame, folder: str, tokenizer: str = "byte_bpe_50k.tik
     ``shard-N.bin`` has records of a fixed stride, padded with the end token,
     ``shard-N.json`` their number and sha256, ``index/`` the document, place
     and length of every slot, and ``layout.json`` stride, records of a shard and
-    records; the layout is written last, when all shards stand.
+    records; the layout is written last, when all shards stand.  A folder that
+    holds an order, or a part of one, is refused.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = qualified(spark, folder)
     store, path = _store(folder)
+    if any(found.type for found in store.get_file_info([f"{path}/index", f"{path}/layout.json"])):
+        raise FileExistsError(f"{folder} holds an order already")
     store.create_dir(path, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text <> ''")
     rows = materialize(rows.mapInArrow(_encoded(tokenizer, length), "doc_id long, task int, first long, n_seqs long, ids binary"), "zstd")
