@@ -768,6 +768,8 @@ def test_token_output_round_trip(spark, docs, empty, tmp_path):
     assert not [p for p in (tmp_path / "order").iterdir() if p.name.startswith(".shard")]
     again = {(r["slot"], r["doc_id"], r["seq"]) for r in rows(token_output.written_order(docs, length=64, shard_sequences=5, rounds=1))}
     assert again == {(r["slot"], r["doc_id"], r["seq"]) for r in got}
+    with pytest.raises(FileExistsError):
+        token_output.write_order(docs, folder)
     none = token_output.written_order(empty)
     assert none.count() == 0 and list(token_output.read_slots(none.written_to)) == []
 
