@@ -150,12 +150,14 @@ def mine_variants(comments: DataFrame, sentences: DataFrame, formal: DataFrame,
     ``comments`` and ``sentences`` have text; ``formal`` and ``french`` have
     word.  Everything runs on distinct tokens; texts are read twice.
     """
+    from ..sources.shared import cut
     from . import lexicon
 
     words = lambda df: T.tokens(T.unicode_form(df["text"], "NFKC"), "alpha")
     vocabulary = formal.select(T.casefold(F.trim("word")).alias("word")).filter("word <> ''").distinct()
     other = french.select(T.casefold(F.trim("word")).alias("word")).distinct()
     counts = lexicon.term_counts(comments, words(comments))
+    counts = cut(counts)
     biggest = counts.agg(F.max("count")).first()[0] or 1
     oov = counts.join(vocabulary, counts["token"] == vocabulary["word"], "left_anti").filter(F.col("count") >= min_frequency)
     flags = {"_french": (F.col("token"), other)}
@@ -164,12 +166,12 @@ def mine_variants(comments: DataFrame, sentences: DataFrame, formal: DataFrame,
     oov = audit.flag_overlaps(oov, flags)
     oov = oov if protected is not None else oov.withColumn("_entity", F.lit(False))
     oov = oov.withColumn("reason", mining_eligibility(F.col("token"), F.col("_french"), F.col("_entity")))
-    oov = oov.withColumn("frequency_score", F.log1p("count") / F.log1p(F.lit(biggest))).checkpoint()
+    oov = cut(oov.withColumn("frequency_score", F.log1p("count") / F.log1p(F.lit(biggest))))
     eligible = oov.filter("reason = 'eligible'").select("token")
     targets = vocabulary.join(other, "word", "left_anti")
-    pairs = signature_candidates(eligible, targets, pool).checkpoint()
-    left = lexicon.contexts(comments, words(comments), eligible, window, top)
-    right = lexicon.contexts(sentences, words(sentences), pairs.select(F.col("word").alias("token")), window, top)
+    pairs = cut(signature_candidates(eligible, targets, pool))
+    left = cut(lexicon.contexts(comments, words(comments), eligible, window, top))
+    right = cut(lexicon.contexts(sentences, words(sentences), pairs.select(F.col("word").alias("token")), window, top))
     near = lexicon.weighted_jaccard(left, right, "token", "word").withColumnRenamed("similarity", "context_similarity")
     full = pairs.join(near, ["token", "word"], "left").fillna(0.0, ["context_similarity"]).join(oov.select("token", "frequency_score"), "token")
     ranked = rank_candidates(score_candidates(full)).drop("frequency_score").withColumnRenamed("reason", "_verdict")

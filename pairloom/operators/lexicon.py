@@ -100,12 +100,12 @@ def ibm1(pairs: DataFrame, key: str, source: Column, target: Column, rounds: int
 
     The co-occurrence table is pre-aggregated once per pair; each round is one
     normalisation within (pair, target) and one sum.  ``checkpoint`` cuts the
-    lineage (default: ``DataFrame.checkpoint``, which survives lost executors).
+    lineage (default: a written table, which survives lost executors).
     The table meets the cells by broadcast if counted as few.
     """
-    from ..sources.shared import few
+    from ..sources.shared import cut, few
 
-    checkpoint = checkpoint or (lambda df: df.checkpoint())
+    checkpoint = checkpoint or cut
     sides = pairs.select(F.col(key).alias("k"), F.concat(F.array(F.lit("")), source).alias("s"), target.alias("t"))
     src = sides.select("k", F.explode("s").alias("src")).groupBy("k", "src").agg(F.count(F.lit(1)).alias("ns"))
     tgt = sides.select("k", F.explode("t").alias("tgt")).groupBy("k", "tgt").agg(F.count(F.lit(1)).alias("nt"))

@@ -156,9 +156,6 @@ def best_match(spark, sf_dir):
 @query()
 def mined_variants(spark, sf_dir):
     """Frequent out-of-vocabulary tokens with their ranked formal candidates."""
-    from ..sources.shared import set_checkpoints
-
-    set_checkpoints(spark)
     docs, held = table(spark, sf_dir, "documents").select("text"), table(spark, sf_dir, "benchmark").select("text")
     formal = held.select(F.explode(T.tokens(F.col("text"), "alpha")).alias("word")).distinct()
     french = spark.createDataFrame([("les",), ("des",), ("que",)], "word string")
