@@ -108,8 +108,9 @@ def test_rules_with_counts_agree_with_python(spark):
     letters = "aàáâäbceéèëiïjgqxñŋnoóuthkdl ACDÀ09.,-__U\u4e00'\n"
     texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(600)] + [None, "", " \n", "ABC", "12,5", "guddi"]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
-    for r in df.select("i", R.informalize(F.col("t")).alias("x")).collect():
-        assert (r["x"]["text"], r["x"]["counts"]) == R.informalize_one(texts[r["i"]])
+    for r in df.select("i", R.informalize(F.col("t")).alias("x"), R.informalize(F.col("t"), in_jvm=True).alias("y")).collect():
+        want = R.informalize_one(texts[r["i"]])
+        assert (r["x"]["text"], r["x"]["counts"]) == want == (r["y"]["text"], r["y"]["counts"])
 
 
 def test_distances(spark):
