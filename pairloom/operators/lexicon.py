@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
+#: Targets that are looked for inside the rows; more of them meet the tokens by a join alone.
+FEW_TARGETS = 200
+
+
 def term_counts(df: DataFrame, words: Column) -> DataFrame:
     return df.select(F.explode(words).alias("token")).groupBy("token").count()
 
@@ -39,8 +43,13 @@ def contexts(df: DataFrame, words: Column, targets: DataFrame, window: int = 2,
         before = F.when(i > 0, F.slice(w, F.greatest(i + 1 - window, F.lit(1)), F.least(i, F.lit(window)))).otherwise(F.array().cast("array<string>"))
         return F.struct(token.alias("token"), F.concat(before, F.slice(w, i + 2, window)).alias("near"))
 
-    # windows are cut inside the row, so an exploded row does not carry the whole text
-    each = df.select(words.alias("w")).select(F.explode(F.transform("w", around)).alias("x")).select("x.token", "x.near")
+    # windows are cut inside the row, so an exploded row does not carry the whole text;
+    # of a few targets, only their own places give windows
+    named = [r[0] for r in targets.select("token").distinct().limit(FEW_TARGETS + 1).collect()]
+    places = F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    if len(named) <= FEW_TARGETS:
+        places = F.filter(places, lambda x: x["t"].isin(named))
+    each = df.select(words.alias("w")).select(F.explode(F.transform(places, lambda x: around(x["t"], x["i"]))).alias("x")).select("x.token", "x.near")
     hits = each.join(targets.select("token").distinct(), "token", "left_semi").select("token", F.explode("near").alias("context"))
     if fold:
         hits = hits.withColumn("context", T.signature(F.col("context"), None))
