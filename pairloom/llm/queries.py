@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts, token_output, toxicity,
+    chat_format, conversation_repair, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts, token_output, toxicity,
 )
 from .common import table
 
@@ -52,6 +52,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.written_order(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_rows(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_output": op10_token_output,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 
@@ -208,4 +213,47 @@ y AS (
   FROM r LEFT JOIN s4 ON r.size > 0 AND s4.name = r.name AND s4.block = r.block AND (s4.cut IS NULL OR r.key <= s4.cut) GROUP BY r.doc_id)
 SELECT r.doc_id, size, CAST(words AS BIGINT) AS source_size, target, CAST(size * n AS BIGINT) AS taken, shards
 FROM r JOIN y USING (doc_id)""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+o AS (
+  SELECT *, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, length(key) + 1), lambda i: list_concat([CAST(unicode(key[i]) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+    lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END) END), 4294967295) % 20 AS code FROM k),
+m AS (
+  SELECT conv_id, turn, CASE WHEN code = 4 THEN 'user' ELSE role END AS role, CASE code WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE code WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM o),
+x AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, left(role, 1) AS init,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS shown,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS again FROM m),
+f AS (
+  SELECT conv_id, i, turn, role, text, init, CASE WHEN shown = '' THEN 3 WHEN again THEN 2 WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 1 ELSE 0 END AS fault,
+    coalesce(lag(init) OVER (PARTITION BY conv_id ORDER BY i) || init NOT IN ('su', 'ua', 'au'), false) AS odd FROM x),
+cl(f0, g0, c0, a0) AS (VALUES (0, 0, 0, ''), (1, 1, 0, ''), (2, 2, 0, ''), (3, 3, 0, ''), (0, 2, 3, 'I'), (1, 2, 3, 'I'), (3, 2, 3, 'I'), (2, 3, 3, 'I'), (0, 3, 6, 'II'), (1, 3, 6, 'II')),
+ed(f1, g1, c1, a1, needs) AS (VALUES (0, 0, 4, 'D', ''), (1, 1, 4, 'D', ''), (2, 2, 4, 'D', ''), (3, 3, 4, 'D', ''), (0, 1, 0, 'K', 's'), (0, 2, 0, 'K', 'u'), (1, 2, 0, 'K', 'u'), (3, 2, 0, 'K', 'u'),
+  (2, 3, 0, 'K', 'a'), (0, 2, 3, 'R', ''), (1, 2, 3, 'R', ''), (3, 2, 3, 'R', ''), (2, 3, 3, 'R', '')),
+s AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, 0 AS st, '000000000000' AS v FROM k
+  UNION ALL
+  SELECT s.conv_id, f.i, ed.g1, min(printf('%012d', CAST(left(s.v, 12) AS BIGINT) + cl.c0 + ed.c1 + CASE WHEN f.fault = 1 AND ed.a1 <> 'D' THEN 3 ELSE 0 END) || substr(s.v, 13) || cl.a0 || ed.a1)
+  FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1 JOIN cl ON cl.f0 = s.st JOIN ed ON ed.f1 = cl.g0
+  WHERE (ed.a1 = 'D' OR f.fault < 2) AND (ed.needs = '' OR ed.needs = f.init) GROUP BY s.conv_id, f.i, ed.g1),
+l AS (
+  SELECT s.conv_id, min(printf('%012d', CAST(left(v, 12) AS BIGINT) + cl.c0) || substr(v, 13) || cl.a0) AS v
+  FROM s JOIN (SELECT conv_id, max(i) AS i FROM s GROUP BY conv_id) e ON e.conv_id IS NOT DISTINCT FROM s.conv_id AND e.i = s.i JOIN cl ON cl.f0 = s.st WHERE cl.g0 IN (0, 3) GROUP BY s.conv_id),
+a AS (SELECT conv_id, CAST(left(v, 12) AS BIGINT) AS cost, substr(v, 13) AS audit FROM l),
+p AS (SELECT conv_id, audit, unnest(range(1, length(audit) + 1)) AS j FROM a),
+q AS (SELECT conv_id, j, audit[j] AS e, count(*) FILTER (WHERE audit[j] <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS i FROM p),
+r AS (
+  SELECT q.conv_id, q.j, q.e, f.role, f.text, q.e = 'K' AND f.init = 's' AS sys,
+    sum(CASE WHEN q.e = 'K' AND f.init = 's' THEN 0 ELSE 1 END) OVER (PARTITION BY q.conv_id ORDER BY q.j) AS nth
+  FROM q LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM q.conv_id AND f.i = q.i AND q.e <> 'I' WHERE q.e <> 'D'),
+t AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN nth % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS whole FROM r GROUP BY conv_id),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 3) AS blank, count(*) FILTER (WHERE fault = 2) AS duplicate,
+    count(*) FILTER (WHERE fault = 1) AS truncated, count(*) FILTER (WHERE odd) AS illegal FROM f GROUP BY conv_id)
+SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  cost, audit, sha256(coalesce(whole, '')) AS repaired_sha256
+FROM a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM a.conv_id""",
 }
