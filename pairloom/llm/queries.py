@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    chat_format, conversation_repair, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts, token_output, toxicity,
+    chat_format, collocations, conversation_repair, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts, token_output, toxicity,
 )
 from .common import table
 
@@ -52,6 +52,10 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.written_order(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocation_rows(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_rows(table(spark, sf_dir, "conversations"))
 
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_output": op10_token_output,
+    "op11_collocations": op11_collocations,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -213,6 +218,28 @@ y AS (
   FROM r LEFT JOIN s4 ON r.size > 0 AND s4.name = r.name AND s4.block = r.block AND (s4.cut IS NULL OR r.key <= s4.cut) GROUP BY r.doc_id)
 SELECT r.doc_id, size, CAST(words AS BIGINT) AS source_size, target, CAST(size * n AS BIGINT) AS taken, shards
 FROM r JOIN y USING (doc_id)""",
+    "op11_collocations": r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(unnest(pieces), '[\x20\x09]+'), lambda x: x <> '') AS w FROM d),
+g AS (
+  SELECT lang, n, array_to_string(w[i:i + n - 1], ' ') AS phrase
+  FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS n) WHERE len(w) >= n)),
+f AS (SELECT lang, n, phrase, count(*) AS a FROM g GROUP BY lang, n, phrase),
+t AS (SELECT lang, sum(a) AS total FROM f WHERE n = 1 GROUP BY lang),
+c AS (SELECT lang, n, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE n > 1 AND a >= 30),
+k AS (SELECT *, unnest(range(1, n)) AS k FROM c),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, x.a AS l, y.a AS r, CAST((CAST(2000000 AS HUGEINT) * k.a) // (x.a + y.a) AS BIGINT) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.w[1:k.k], ' ') AND x.n = k.k
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.w[k.k + 1:k.n], ' ') AND y.n = k.n - k.k),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS cut FROM s),
+i AS (
+  SELECT lang, sub, max(a) AS longer
+  FROM (SELECT lang, a, n, m, array_to_string(w[i:i + m - 1], ' ') AS sub FROM (SELECT *, unnest(range(1, n - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < n)) GROUP BY lang, sub),
+o AS (
+  SELECT b.lang, b.phrase, b.a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank
+  FROM b LEFT JOIN i ON i.lang = b.lang AND i.sub = b.phrase WHERE cut = 1 AND (longer IS NULL OR 100 * longer < 80 * b.a))
+SELECT o.lang, rank, phrase, a, l, r, CAST(total AS BIGINT) AS n, score FROM o JOIN t ON t.lang = o.lang WHERE rank <= 2000""",
     "op13_conversation_repair": r"""
 WITH RECURSIVE k AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
