@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (
-    chat_format, collocations, conversation_repair, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts, token_output, toxicity,
+    chat_format, collocations, conversation_repair, decontaminate, license_scan, line_dedup, mixing, ngram_join, private_data, quality_rules, token_counts, token_output, toxicity,
 )
 from .common import table
 
@@ -56,6 +56,10 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocation_rows(table(spark, sf_dir, "documents"))
 
 
+def op12_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.private_rows(table(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_rows(table(spark, sf_dir, "conversations"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_token_output": op10_token_output,
     "op11_collocations": op11_collocations,
+    "op12_private_data": op12_private_data,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
