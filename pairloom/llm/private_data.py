@@ -49,17 +49,17 @@ ROUNDS = 3
 RUN_WORDS, RUN_CHARS = 6, 5
 #: Bits of the map of the patterns' contexts: 2 MB whatever the number of patterns.
 MAP_BITS = 24
-#: Counted contexts that a task holds at once.
-HELD = 2_000_000
+#: Words that a task hashes at once (a text more), and counted contexts that it holds.
+WORDS_AT_ONCE, HELD = 200_000, 2_000_000
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile("[0-9]")
 #: Words; what ends with a colon or an equals sign is a label of its own.
-_WORD = re.compile(r"[^\x20\x09-\x0D:=]*[:=]+|[^\x20\x09-\x0D:=]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D:=]+[:=]*|[:=]+")
 _EDGES = "\"'`()[]{}<>,.;:!?=*|"
 
 Span = tuple[int, int]
@@ -124,20 +124,27 @@ def _normal(word: str) -> str:
     return _DIGIT.sub("0", word).lower()
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
-    """64-bit hashes of normalised words; each different word is hashed once."""
+def word_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of normalised words, and which words are plain (no identifiers); each different word is looked at once."""
     if not words:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, bool)
     flat = np.empty(len(words), dtype=object)
     flat[:] = words
     codes, different = pd.factorize(flat)
+    plain = np.array([not _looks_like(w) for w in different])
     normal = np.empty(len(different), dtype=object)
-    normal[:] = [_normal(w) for w in different]
-    return pd.util.hash_array(normal, categorize=False)[codes]
+    normal[:] = [w.lower() if p else _normal(w) for w, p in zip(different, plain)]
+    return pd.util.hash_array(normal, categorize=False)[codes], plain[codes]
+
+
+#: Stand before the first and after the last word; no word has a line end.
+_START, _END = ["\n<"] * 3, ["\n>"] * 2
+
+
+def _framed(words: list[str]) -> list[str]:
+    return _START + words + _END
 
 
-#: Stand for what is before the first and after the last word.
-_START, _END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Families of contexts in the order of their keys: three before, one around, one after.
 FAMILIES = (0, 0, 0, 1, 2)
 
@@ -154,12 +161,9 @@ def _mix(seed: int, *parts: np.ndarray) -> np.ndarray:
 
 
 def context_keys(hashes: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """Keys of the five contexts of slots that reach from word ``first`` to word ``last``; a row a slot."""
-    padded = np.concatenate([np.full(3, _START), hashes, np.full(2, _END)])
-    a, b = first + 3, last + 3
-    keys = [
-        _mix(1, padded[a - 1]), _mix(2, padded[a - 2], padded[a - 1]), _mix(3, padded[a - 3], padded[a - 2], padded[a - 1]),
-        _mix(4, padded[a - 1], padded[b + 1]), _mix(5, padded[b + 1], padded[b + 2])]
+    """Keys of the five contexts of slots that reach from place ``first`` to place ``last`` of framed words; a row a slot."""
+    before, after = [hashes[first - k] for k in (1, 2, 3)], [hashes[last + k] for k in (1, 2)]
+    keys = [_mix(1, before[0]), _mix(2, before[1], before[0]), _mix(3, before[2], before[1], before[0]), _mix(4, before[0], after[0]), _mix(5, after[0], after[1])]
     return np.stack(keys, axis=1).view(np.int64)
 
 
@@ -211,7 +215,7 @@ def _slots(text: str, spans: list[list[Span]]) -> tuple[list[tuple], np.ndarray]
             last.append(b)
     if not found:
         return [], np.zeros((0, len(FAMILIES)), np.int64)
-    return found, context_keys(word_hashes([w.group() for w in words]), np.array(first), np.array(last))
+    return found, context_keys(word_hashes(_framed([w.group() for w in words]))[0], np.array(first) + 3, np.array(last) + 3)
 
 
 _SPANS = "array<struct<kind:int,start:int,end:int>>"
@@ -248,7 +252,16 @@ def plain_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     known = texts.sparkSession.sparkContext.broadcast(_bitmap(patterns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, held, size = known.value, [], 0
+        bits, held, size, words = known.value, [], 0, []
+
+        def count() -> int:
+            hashes, plain = word_hashes(words)
+            at = np.nonzero(plain & np.fromiter((w[0] != "\n" for w in words), bool, len(words)))[0]
+            keys = context_keys(hashes, at, at).ravel()
+            place = keys.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
+            held.append(keys[(bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1])
+            words.clear()
+            return len(held[-1])
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
@@ -258,16 +271,14 @@ def plain_counts(texts: DataFrame, patterns: DataFrame) -> DataFrame:
 
         for batch in batches:
             for body in batch.column("text"):
-                words = _WORD.findall(body.as_py())
-                plain = np.array([i for i, w in enumerate(words) if not _looks_like(w)], dtype=np.int64)
-                keys = context_keys(word_hashes(words), plain, plain).ravel()
-                place = keys.view(np.uint64) & np.uint64((1 << MAP_BITS) - 1)
-                hits = keys[(bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1]
-                held.append(hits)
-                size += len(hits)
+                words += _framed(_WORD.findall(body.as_py()))
+                if len(words) > WORDS_AT_ONCE:
+                    size += count()
                 if size > HELD:
                     yield from flush()
                     size = 0
+        if words:
+            count()
         yield from flush()
 
     counted = texts.select("text").mapInArrow(run, "ctx bigint, plain bigint").groupBy("ctx").agg(F.sum("plain").alias("plain"))
@@ -335,7 +346,10 @@ def _listed(spans) -> object:
 def private_rows(docs: DataFrame) -> DataFrame:
     """The contract's columns, and ``n_added``: spans that the contexts found."""
     found = private_spans(docs.select("doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+
+    def count(k: int):
+        return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
+
     return found.select(
-        "doc_id", *counts, F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.sort_array(F.concat("base", "added"))).alias("spans"),
+        "doc_id", *map(count, range(len(KINDS))), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.sort_array(F.concat("base", "added"))).alias("spans"),
         F.size("added").cast("long").alias("n_added"))
