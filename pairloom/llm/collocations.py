@@ -31,7 +31,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +47,10 @@ SUBSUMED_PERCENT = 80
 BROADCAST_NAMES = 1_000_000
 #: Distinct words that a task holds at once while it counts.
 HELD = 300_000
+#: Pairs that it holds (16 bytes each), and the rows of one batch that it hands on.
+PAIRS_HELD, ROWS_OUT = 3_000_000, 50_000
+#: Words after which a block ends with its text: rows of blocks stay small whatever the batches.
+BLOCK_WORDS = 8_192
 
 #: Piece ends become a word of their own, tabs blanks.
 _BREAK = b"."
@@ -70,9 +74,10 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> Data
         def flush() -> Iterator[pa.RecordBatch]:
             for name, counter in held.items():
                 counter.pop(_BREAK, None)
-                words = list(counter)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * len(words), pa.string()), pa.array(words, pa.binary()).cast(pa.string()), pa.array(counter.values(), pa.int64())], ["lang", "word", "n"])
+                items = iter(counter.items())
+                while some := list(islice(items, ROWS_OUT)):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([name] * len(some), pa.string()), pa.array([w for w, _ in some], pa.binary()).cast(pa.string()), pa.array([n for _, n in some], pa.int64())], ["lang", "word", "n"])
             held.clear()
 
         for batch in batches:
@@ -103,12 +108,14 @@ _BLOCK = "at array<int>, names array<bigint>"
 
 
 def _lang_words(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
-    """The words of a batch's texts, one run a language, a break after each text."""
+    """The words of a batch's texts in runs of one language, a break after each text."""
     runs: dict[str, list[bytes]] = {}
     for name, body in zip(batch.column("lang").to_pylist(), batch.column("text")):
         run = runs.setdefault(name, [])
         run += tokens(body.as_py())
         run.append(_BREAK)
+        if len(run) > BLOCK_WORDS:
+            yield name, runs.pop(name)
     yield from runs.items()
 
 
@@ -199,21 +206,25 @@ def _looked_up(table: tuple[np.ndarray, ...], left: np.ndarray, right: np.ndarra
     return np.where(place >= 0, names[place], -1) if len(names) else np.full(len(left), -1, np.int64)
 
 
-def _distinct(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs, the pair's number of each row, and how often each occurs."""
-    if not len(left):
-        return left, right, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    width = int(right.max()) + 1
-    if int(left.max()) < (1 << 62) // width:
-        packed, inverse, n = np.unique(left * width + right, return_inverse=True, return_counts=True)
-        return packed // width, packed % width, inverse, n
+def _distinct(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in order, and the pair's number of each row."""
     order = np.lexsort((right, left))
+    l, r = left[order], right[order]  # noqa: E741
     new = np.ones(len(order), bool)
-    new[1:] = (left[order][1:] != left[order][:-1]) | (right[order][1:] != right[order][:-1])
-    inverse = np.empty(len(order), np.int64)
-    inverse[order] = np.cumsum(new) - 1
-    first = order[new]
-    return left[first], right[first], inverse, np.bincount(inverse)
+    new[1:] = (l[1:] != l[:-1]) | (r[1:] != r[:-1])
+    numbers = np.empty(len(order), np.int64)
+    numbers[order] = np.cumsum(new) - 1
+    return l[new], r[new], numbers
+
+
+def _counted(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs, and how often each occurs."""
+    width = int(right.max()) + 1 if len(right) else 1
+    if len(left) and int(left.max()) < (1 << 62) // width:
+        packed, n = np.unique(left * width + right, return_counts=True)
+        return packed // width, packed % width, n.astype(np.int64)
+    lefts, rights, numbers = _distinct(left, right)
+    return lefts, rights, np.bincount(numbers, minlength=len(lefts)).astype(np.int64)
 
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
@@ -224,8 +235,9 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             if held:
-                left, right, _, n = _distinct(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
-                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n.astype(np.int64))], ["left", "right", "n"])
+                left, right, n = _counted(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]))
+                for at in range(0, len(left), ROWS_OUT):
+                    yield pa.RecordBatch.from_arrays([pa.array(x[at : at + ROWS_OUT]) for x in (left, right, n)], ["left", "right", "n"])
             held.clear()
 
         for batch in batches:
@@ -233,7 +245,7 @@ def pair_counts(blocks: DataFrame) -> DataFrame:
                 _, left, right = _pairs(np.asarray(at.values), np.asarray(names.values))
                 held.append((left, right))
                 size += len(left)
-                if size > 10 * HELD:
+                if size > PAIRS_HELD:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -260,8 +272,8 @@ def pair_blocks(blocks: DataFrame, pairs: DataFrame, limit: int = BROADCAST_NAME
         for batch in batches:
             for at, names in zip(batch.column("at"), batch.column("names")):
                 starts, left, right = _pairs(np.asarray(at.values), np.asarray(names.values))
-                lefts, rights, codes, _ = _distinct(left, right)
-                yield pa.RecordBatch.from_arrays([pa.array([lefts], pa.list_(pa.int64())), pa.array([rights], pa.list_(pa.int64())), *_block(codes.astype(np.int64), starts)], ["lefts", "rights", "at", "names"])
+                lefts, rights, codes = _distinct(left, right)
+                yield pa.RecordBatch.from_arrays([pa.array([lefts], pa.list_(pa.int64())), pa.array([rights], pa.list_(pa.int64())), *_block(codes, starts)], ["lefts", "rights", "at", "names"])
 
     split_blocks = materialize(blocks.mapInArrow(split, f"lefts array<bigint>, rights array<bigint>, {_BLOCK}").withColumn("block", F.monotonically_increasing_id()))
     asked = split_blocks.select("block", F.posexplode(F.arrays_zip("lefts", "rights")).alias("code", "pair")).select("block", "code", F.col("pair.lefts").alias("left"), F.col("pair.rights").alias("right"))
