@@ -48,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, lookup, materialize, salted_left_join, scratch, size_checked, small_batches
+from .common import discard, free_name, lookup, materialize, salted_left_join, scratch, size_checked, small_batches
 
 #: Most classes of a group that one task holds; least bits of a bitmap; leaf size.
 TILE, BITS, LEAF = 512, 512, 8
@@ -617,16 +617,25 @@ def link_rows(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, the one with the smallest id.
 
-    Rows without an id stay.  The ids that go are broadcast only if counted as few.
+    A document is its id and its text: rows that share an id but not the text are
+    different documents, of which the one with the smaller key stays if they are
+    linked, and rows equal in both are one.  Rows without an id stay.  The keys
+    that go are broadcast only if counted as few.
     """
+    key = free_name(docs, "_key")
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     with scratch() as tables:
-        linked = materialize(link_documents(docs, words, percent))
+        linked = materialize(link_documents(keyed, words, percent, id_col=key).select("id", "component_id"))
         tables.pop()  # this one stays
-    gone, _ = size_checked(linked.filter("id <> component_id").select(F.col("id").alias("doc_id")).distinct())
-    out = docs.join(gone, "doc_id", "left_anti")
-    repeated = linked.filter("id is not null").groupBy("id").count().filter("count > 1")
+    owned = linked.groupBy("id").agg(F.min("component_id").alias("component_id"), F.count(F.lit(1)).alias("times"))
+    owned = materialize(owned.join(keyed.filter("doc_id is not null").select(F.col(key).alias("id"), "doc_id").distinct(), "id"))
+    first = owned.groupBy("component_id").agg(F.min(F.struct("doc_id", "id"))["id"].alias("stays"), F.count(F.lit(1)).alias("members")).filter("members > 1")
+    gone = salted_left_join(owned, first.select("component_id", "stays"), "component_id", F.col("id")).filter("id <> stays")
+    few, _ = size_checked(materialize(gone.select(F.col("id").alias(key))))
+    out = keyed.join(few, key, "left_anti")
+    repeated = owned.filter("times > 1").select(F.col("id").alias(key))
     if repeated.limit(1).count():
-        again, _ = size_checked(repeated.select(F.col("id").alias("doc_id")))
-        once = out.join(again, "doc_id", "left_anti")
-        out = once.unionByName(out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+        again, _ = size_checked(repeated)
+        once = out.join(again, key, "left_anti")
+        out = once.unionByName(out.join(again, key, "left_semi").dropDuplicates([key]))
     return out.select(*docs.columns)

@@ -12,7 +12,7 @@ import pytest
 
 pytest.importorskip("pairloom.llm")
 from pairloom.llm import (  # noqa: E402
-    chat_format, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts, token_output, toxicity,
+    chat_format, common, decontaminate, license_scan, line_dedup, mixing, ngram_join, quality_rules, token_counts, token_output, toxicity,
 )
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -395,6 +395,16 @@ def test_keep_one_keeps_one_and_all_columns(spark, empty):
     assert ngram_join.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_keep_one_loses_no_text_where_ids_clash(spark, monkeypatch, limit):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcd")
+    data = [(1, a), (7, a), (7, b), (9, c), (9, d), (9, d), (12, d + " more")]
+    monkeypatch.setattr(ngram_join, "size_checked", lambda df, rows=200_000: (df, False) if limit == 0 else common.size_checked(df, rows))
+    frame = spark.createDataFrame([(i, t, "key") for i, t in data], "doc_id long, text string, _key string")
+    got = sorted((r["doc_id"], r["text"]) for r in rows(ngram_join.keep_one(frame)))
+    assert got == sorted([(1, a), (7, b), (9, c), (9, d)])
+
+
 # -- mixing ------------------------------------------------------------------
 
 
