@@ -48,7 +48,7 @@ BROADCAST_NAMES = 1_000_000
 #: Distinct words that a task holds at once while it counts.
 HELD = 300_000
 #: Pairs that it holds (16 bytes each), and the rows of one batch that it hands on.
-PAIRS_HELD, ROWS_OUT = 3_000_000, 50_000
+PAIRS_HELD, ROWS_OUT = 1_000_000, 50_000
 #: Words after which a block ends with its text: rows of blocks stay small whatever the batches.
 BLOCK_WORDS = 8_192
 
