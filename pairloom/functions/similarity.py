@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Letter pairs that count as nearly equal, for lookups (price
 #: 0.35) and for the reverse mapping (price 0.3).
-LOOKUP_LETTERS = ("a=à", "a=á", "e=é", "e=è", "e=ë", "i=ï", "o=ó", "u=ú", "n=ñ", "n=ŋ", "c=ç")
-REVERSE_LETTERS = ("a=à", "a=á", "a=â", "a=ä", "e=é", "e=è", "e=ê", "e=ë", "o=ó", "n=ñ", "n=ŋ")
+LOOKUP_LETTERS = (("a", "à"), ("a", "á"), ("e", "é"), ("e", "è"), ("e", "ë"), ("i", "ï"), ("o", "ó"), ("u", "ú"), ("n", "ñ"), ("n", "ŋ"), ("c", "ç"))
+REVERSE_LETTERS = (("a", "à"), ("a", "á"), ("a", "â"), ("a", "ä"), ("e", "é"), ("e", "è"), ("e", "ê"), ("e", "ë"), ("o", "ó"), ("n", "ñ"), ("n", "ŋ"))
 LOOKUP_PRICE, REVERSE_PRICE = 0.35, 0.3
 
 
@@ -39,12 +42,11 @@ def edit_distance(a: list, b: list, near: frozenset = frozenset(), price: float
     return row[-1]
 
 
-def near_pairs(letters: tuple[str, ...]) -> frozenset:
-    pairs = [tuple(x.split("=")) for x in letters]
-    return frozenset(pairs) | frozenset((b, a) for a, b in pairs)
+def near_pairs(letters: tuple[tuple[str, str], ...]) -> frozenset:
+    return frozenset(letters) | frozenset((b, a) for a, b in letters)
 
 
-def weighted_distance(a: Column, b: Column, price: float = LOOKUP_PRICE, letters: tuple[str, ...] = LOOKUP_LETTERS) -> Column:
+def weighted_distance(a: Column, b: Column, price: float = LOOKUP_PRICE, letters: tuple[tuple[str, str], ...] = LOOKUP_LETTERS) -> Column:
     """Edit distance with cheap substitutions between near letters."""
     near = near_pairs(letters)
 
@@ -93,28 +95,54 @@ def edits(a: Column, b: Column) -> Column:
 STEP = "array<struct<op:string,source:string,target:string>>"
 
 
+def _rows(row: np.ndarray, items: np.ndarray, other: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of the distance table below ``row``, one for each of ``items``."""
+    at = np.arange(len(row))
+    for x in items:
+        below = np.empty_like(row)
+        below[0] = row[0] + 1
+        below[1:] = np.minimum(row[1:] + 1, row[:-1] + (other != x))
+        row = np.minimum.accumulate(below - at) + at  # insertions run to the right
+        yield row
+
+
 def backtrace(a: list, b: list) -> list[tuple[str, str | None, str | None]]:
-    """One minimal edit path; ties: substitute, then delete, then insert."""
-    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) + 1):
-        for j in range(len(b) + 1):
-            if i and j:
-                table[i][j] = min(table[i - 1][j - 1] + (a[i - 1] != b[j - 1]), table[i - 1][j] + 1, table[i][j - 1] + 1)
-            else:
-                table[i][j] = i + j
+    """One minimal edit path; ties: substitute, then delete, then insert.
+
+    Only every ``sqrt(n)``-th row of the distance table is kept; the rows between
+    two kept ones are made again, up to the column where the path stands, when
+    the path gets there.  So n by m items take memory for 2 * sqrt(n) rows.
+    """
+    same = 0  # equal ends are always kept
+    while same < min(len(a), len(b)) and a[len(a) - 1 - same] == b[len(b) - 1 - same]:
+        same += 1
+    tail = [("keep", x, x) for x in a[len(a) - same :]]
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    code: dict = {}
+    left, right = (np.array([code.setdefault(x, len(code)) for x in items], dtype=np.int64) for items in (a, b))
+    step = isqrt(len(a)) + 1
+    kept = [np.arange(len(b) + 1)]
+    for i, row in enumerate(_rows(kept[0], left, right), 1):
+        if i % step == 0:
+            kept.append(row)
     out, i, j = [], len(a), len(b)
     while i or j:
-        here = table[i][j]
-        if i and j and here == table[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
-            out.append(("keep" if a[i - 1] == b[j - 1] else "substitute", a[i - 1], b[j - 1]))
-            i, j = i - 1, j - 1
-        elif i and here == table[i - 1][j] + 1:
-            out.append(("delete", a[i - 1], None))
-            i -= 1
-        else:
-            out.append(("insert", None, b[j - 1]))
-            j -= 1
-    return out[::-1]
+        base = max(i - 1, 0) // step * step
+        block = [kept[base // step][: j + 1]]
+        block += [row.tolist() for row in _rows(block[0], left[base:i], right[:j])]
+        block[0] = block[0].tolist()
+        while (i > base or not base) and (i or j):
+            here = block[i - base][j]
+            if i and j and here == block[i - base - 1][j - 1] + (a[i - 1] != b[j - 1]):
+                out.append(("keep" if a[i - 1] == b[j - 1] else "substitute", a[i - 1], b[j - 1]))
+                i, j = i - 1, j - 1
+            elif i and here == block[i - base - 1][j] + 1:
+                out.append(("delete", a[i - 1], None))
+                i -= 1
+            else:
+                out.append(("insert", None, b[j - 1]))
+                j -= 1
+    return out[::-1] + tail
 
 
 def alignment(a: Column, b: Column) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from . import audit
+from . import audit, order, overlap
 
 
 def _segment_pairs(tokens: DataFrame, words: DataFrame, band: int, limit: Column) -> DataFrame:
@@ -59,11 +59,11 @@ def band_join(tokens: DataFrame, words: DataFrame, band: int = 2, limit: int | N
     return out if ratio is None else out.filter(F.col("distance") / F.greatest(F.length("token"), F.length("word"), F.lit(1)) <= ratio)
 
 
-def folded(text: Column, letters: tuple[str, ...]) -> Column:
+def folded(text: Column, letters: tuple[tuple[str, str], ...]) -> Column:
     """The text with every letter of a near pair as the first letter of its chain: plain
     distances between folded texts are never above the weighted ones."""
     first: dict[str, str] = {}
-    for a, b in (x.split("=") for x in letters):
+    for a, b in letters:
         first[b] = first.get(a, a)
     return F.translate(text, "".join(first), "".join(first.values()))
 
@@ -90,21 +90,43 @@ def best_match(tokens: DataFrame, words: DataFrame, max_ratio: float = 0.34, ban
     return hit.unionByName(found).unionByName(missed)
 
 
+def _signed(words: DataFrame, name: str, form: str | None) -> DataFrame:
+    """Distinct words with signature ``_s`` and its n-grams as 64-bit ``elements``."""
+    signed = words.select(name).filter(F.col(name).isNotNull()).distinct().withColumn("_s", T.signature(F.col(name), form))
+    return signed.withColumn("elements", F.transform(T.character_ngrams(F.col("_s")), lambda g: F.xxhash64(g)))
+
+
+def _candidate_lists(tokens: DataFrame, words: DataFrame, pool: int, gap: int) -> DataFrame:
+    """(token, candidates): an array of ``wid``; of signed tokens and of signed words with a dense ``wid``."""
+    best = overlap.top_overlaps(tokens.select("token", "elements"), words.select("wid", "elements", F.length("word").alias("size")), 2 * pool)
+    # the first words of a signature are enough, so a signature's tokens never meet all its words
+    named = order.top_per_group(words.select("_s", "word", "wid"), ["_s"], [F.col("word")], pool)
+    same = tokens.join(named, "_s").groupBy("token").agg(F.sort_array(F.collect_list("wid")).alias("same"))
+    both = tokens.select("token").join(best, "token", "left").join(same, "token", "left")
+    none = F.array().cast("array<int>")
+    near = F.filter("best", lambda b: F.abs(b["size"] - F.length("token")) <= gap)
+    rest = F.array_except(F.coalesce(F.transform(near, lambda b: b["wid"]), none), F.coalesce("same", none))
+    first = F.coalesce("same", none)
+    return both.select("token", F.concat(first, F.slice(rest, F.lit(1), F.greatest(F.lit(pool) - F.size(first), F.lit(0)))).alias("candidates")).filter(F.size("candidates") > 0)
+
+
+def _numbered(words: DataFrame, form: str | None) -> DataFrame:
+    """Signed words with ``wid``, dense in the order of the words."""
+    from ..sources.shared import cut
+
+    return cut(order.ranked_within(_signed(words, "word", form), F.lit(""), ["word"]).withColumnRenamed("_rank", "wid").drop("_first"))
+
+
 def signature_candidates(tokens: DataFrame, words: DataFrame, pool: int = 200, gap: int = 3, form: str | None = "NFKC") -> DataFrame:
     """(token, word): words with the same signature, or sharing most signature
-    n-grams: the ``2 * pool`` best by shared n-grams, of these the length gap, of these ``pool``."""
-    t = tokens.select("token").distinct().withColumn("_s", T.signature(F.col("token"), form))
-    w = words.select("word").distinct().withColumn("_s", T.signature(F.col("word"), form))
-    same = t.join(w, "_s").select("token", "word")
-    tg = t.select("token", F.explode(T.character_ngrams(F.col("_s"))).alias("_g"))
-    wg = w.select("word", F.explode(T.character_ngrams(F.col("_s"))).alias("_g"))
-    shared = tg.join(wg, "_g").groupBy("token", "word").agg(F.count(F.lit(1)).alias("_c"))
-    by = Window.partitionBy("token")
-    shared = shared.withColumn("_r", F.row_number().over(by.orderBy(F.desc("_c"), "word"))).filter(F.col("_r") <= 2 * pool)
-    shared = shared.filter(F.abs(F.length("token") - F.length("word")) <= gap)
-    every = same.withColumn("_r", F.lit(0)).unionByName(shared.select("token", "word", "_r"))
-    once = every.groupBy("token", "word").agg(F.min("_r").alias("_r"))
-    return once.withColumn("_k", F.row_number().over(by.orderBy("_r", "word"))).filter(F.col("_k") <= pool).select("token", "word")
+    n-grams: the ``2 * pool`` best by shared n-grams, of these the length gap, of these ``pool``.
+
+    The best are found in cells of the two tables (``overlap``); pairs that only
+    share an n-gram are never rows.
+    """
+    numbered = _numbered(words, form)
+    lists = _candidate_lists(_signed(tokens, "token", form), numbered, pool, gap)
+    return lists.select("token", F.explode("candidates").alias("wid")).join(numbered.select("wid", "word"), "wid").select("token", "word")
 
 
 #: Weights and thresholds of variant mining.
@@ -122,20 +144,46 @@ def score_candidates(pairs: DataFrame, form: str | None = "NFKC") -> DataFrame:
     return scored.withColumn("score", total)
 
 
+PARTS = ("char_similarity", "rule_similarity", "context_similarity", "frequency_score")
+
+
 def rank_candidates(scored: DataFrame) -> DataFrame:
     """Best word of each token, the margin to the second, and the verdict."""
     two = scored.groupBy("token").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("score", "word", "char_similarity", "rule_similarity", "context_similarity", "frequency_score")), asc=False), 1, 2).alias("_t"),
-        F.count(F.lit(1)).alias("candidate_count"))
+        F.slice(F.sort_array(F.collect_list(F.struct("score", "word", *PARTS)), asc=False), 1, 2).alias("_t"), F.count(F.lit(1)).alias("candidate_count"))
+    return _verdicts(two)
+
+
+def _verdicts(two: DataFrame) -> DataFrame:
+    """As above, from the two best candidates ``_t`` and their number."""
     best, second = F.col("_t")[0], F.coalesce(F.try_element_at("_t", F.lit(2))["score"], F.lit(0.0))
     out = two.select(
         "token", best["word"].alias("word"), best["score"].alias("score"), second.alias("second_score"),
         F.when(F.col("candidate_count") > 1, best["score"] - second).otherwise(best["score"]).alias("margin"),
-        *[best[c].alias(c) for c in ("char_similarity", "rule_similarity", "context_similarity", "frequency_score")], "candidate_count")
+        *[best[c].alias(c) for c in PARTS], "candidate_count")
     return out.withColumn("reason", audit.first_reason(
         ("low_character_similarity", F.col("char_similarity") < MIN_CHAR), ("low_score", F.col("score") < MIN_SCORE), ("ambiguous_margin", F.col("margin") < MIN_MARGIN)))
 
 
+def _two_best(found: DataFrame) -> DataFrame:
+    """(token, _t, candidate_count) of rows token, _s, frequency_score, found: scored where they
+    stand, so only two candidates of a token and word block are shuffled."""
+    def scored(x: Column) -> Column:
+        char, rule = S.similarity(F.col("token"), x["word"]), S.similarity(F.col("_s"), x["form"])
+        total = WEIGHTS["char"] * char + WEIGHTS["rule"] * rule + WEIGHTS["context"] * x["similarity"] + WEIGHTS["frequency"] * F.col("frequency_score")
+        return F.struct(total.alias("score"), x["word"].alias("word"), char.alias("char_similarity"), rule.alias("rule_similarity"), x["similarity"].alias("context_similarity"), F.col("frequency_score"))
+
+    two = found.select("token", F.slice(F.sort_array(F.transform("found", scored), asc=False), 1, 2).alias("_t"), F.size("found").alias("_n"))
+    return two.groupBy("token").agg(
+        F.slice(F.sort_array(F.flatten(F.collect_list("_t")), asc=False), 1, 2).alias("_t"), F.sum("_n").alias("candidate_count"))
+
+
+def _bags(contexts: DataFrame) -> DataFrame:
+    """(token, keys, counts) of bags (token, context, count), sorted by the context's 64-bit key."""
+    bag = contexts.groupBy("token").agg(F.sort_array(F.collect_list(F.struct(F.xxhash64("context").alias("k"), F.col("count").alias("n")))).alias("b"))
+    return bag.select("token", F.transform("b", lambda x: x["k"]).alias("keys"), F.transform("b", lambda x: x["n"]).alias("counts"))
+
+
 def mining_eligibility(token: Column, is_french: Column, is_entity: Column, shortest: int = 3, longest: int = 30) -> Column:
     """First reason that keeps a token out of mining, or ``eligible``."""
     return audit.first_reason(
@@ -168,13 +216,17 @@ def mine_variants(comments: DataFrame, sentences: DataFrame, formal: DataFrame,
     oov = oov.withColumn("reason", mining_eligibility(F.col("token"), F.col("_french"), F.col("_entity")))
     oov = cut(oov.withColumn("frequency_score", F.log1p("count") / F.log1p(F.lit(biggest))))
     eligible = oov.filter("reason = 'eligible'").select("token")
-    targets = vocabulary.join(other, "word", "left_anti")
-    pairs = cut(signature_candidates(eligible, targets, pool))
-    left = cut(lexicon.contexts(comments, words(comments), eligible, window, top))
-    right = cut(lexicon.contexts(sentences, words(sentences), pairs.select(F.col("word").alias("token")), window, top))
-    near = lexicon.weighted_jaccard(left, right, "token", "word").withColumnRenamed("similarity", "context_similarity")
-    full = pairs.join(near, ["token", "word"], "left").fillna(0.0, ["context_similarity"]).join(oov.select("token", "frequency_score"), "token")
-    ranked = rank_candidates(score_candidates(full)).drop("frequency_score").withColumnRenamed("reason", "_verdict")
+    signed = cut(_signed(eligible, "token", "NFKC"))
+    numbered = _numbered(vocabulary.join(other, "word", "left_anti"), "NFKC")
+    lists = cut(_candidate_lists(signed, numbered, pool, 3))
+    left = _bags(lexicon.contexts(comments, words(comments), lists.select("token"), window, top))
+    right = _bags(lexicon.contexts(sentences, words(sentences), numbered.select(F.col("word").alias("token")), window, top))
+    none = F.array().cast("array<bigint>")
+    filled = [F.coalesce(c, none).alias(c) for c in ("keys", "counts")]
+    tokens = cut(lists.join(left, "token", "left").select("token", "candidates", *filled))
+    found = overlap.bag_scores(tokens, cut(numbered.join(right, numbered["word"] == right["token"], "left").select("wid", "word", F.col("_s").alias("form"), *filled)))
+    found = found.join(signed.select("token", "_s"), "token").join(oov.select("token", "frequency_score"), "token")
+    ranked = _verdicts(_two_best(found)).drop("frequency_score").withColumnRenamed("reason", "_verdict")
     out = oov.select("token", F.col("count").alias("frequency"), "frequency_score", "reason").join(ranked, "token", "left")
     reason = F.when(F.col("reason") != "eligible", F.col("reason")).otherwise(F.coalesce("_verdict", F.lit("no_candidate")))
     return out.withColumn("reason", reason).withColumn("status", F.when(F.col("reason") == "accepted", "accepted").otherwise("rejected")).drop("_verdict")

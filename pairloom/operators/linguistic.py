@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -13,27 +12,27 @@ from . import generate, order
 MAPPING_BONUS, TEMPLATE_BONUS = 1.5, 1.0
 
 
-def apply_template(token: Column, template: Column) -> Column:
-    """The token with its first site of ``template`` (old, new, left, right, place) changed, or null.
+#: A template's trigger: what must stand in a token for it to apply.
+TRIGGER = ["pos", "left", "old", "right", "place"]
 
-    ``^`` and ``$`` stand for the token's ends; ``place`` is prefix, suffix or internal.
-    """
 
-    @F.arrow_udf("string")
-    def run(tokens: pa.Array, templates: pa.Array) -> pa.Array:
-        out = []
-        for w, t in zip(tokens.to_pylist(), templates.to_pylist(), strict=True):
-            framed, hit = f"^{w}$", None
-            for at in range(1, len(framed) - len(t["old"])):
-                end = at + len(t["old"])
-                place = "prefix" if at == 1 else "suffix" if end == len(framed) - 1 else "internal"
-                if framed[at:end] == t["old"] and framed[at - 1] == t["left"] and framed[end] == t["right"] and place == t["place"]:
-                    hit = (framed[:at] + t["new"] + framed[end:])[1:-1]
-                    break
-            out.append(hit if hit != w else None)
-        return pa.array(out, pa.string())
+def trigger_sites(words: DataFrame, longest: int) -> DataFrame:
+    """(token, pos, left, old, right, place, site): the first site of every trigger in
+    distinct ``words`` (token, pos); ``longest``: the largest length of ``old``.
 
-    return run(token, template)
+    ``^`` and ``$`` stand for the token's ends, ``site`` counts characters from 1;
+    ``place`` is prefix, suffix or internal.
+    """
+    n = F.length("framed")
+    framed = words.select("token", "pos", F.concat(F.lit("^"), F.col("token"), F.lit("$")).alias("framed"))
+    sized = framed.withColumn("k", F.explode(F.sequence(F.lit(0), F.least(F.lit(longest), n - 2))))
+    at = sized.withColumn("site", F.explode(F.sequence(F.lit(1), n - F.col("k") - 1)))
+    end = F.col("site") + F.col("k")
+    place = F.when(F.col("site") == 1, "prefix").when(end == n - 1, "suffix").otherwise("internal")
+    part = lambda start, size: F.substring(F.col("framed"), start, size)
+    sites = at.select(
+        "token", "pos", part(F.col("site"), F.lit(1)).alias("left"), part(F.col("site") + 1, F.col("k")).alias("old"), part(end + 1, F.lit(1)).alias("right"), place.alias("place"), "site")
+    return sites.groupBy("token", *TRIGGER).agg(F.min("site").alias("site"))
 
 
 def mapping_candidates(sentences: DataFrame, mappings: DataFrame, longest: int = 3) -> DataFrame:
@@ -49,10 +48,24 @@ def mapping_candidates(sentences: DataFrame, mappings: DataFrame, longest: int =
     return hit.select("source_id", "start", (F.col("start") + F.col("k")).alias("end"), F.col("informal_surface").alias("new"), weight.alias("weight"), F.lit("mapping").alias("kind"))
 
 
+def changed_tokens(words: DataFrame, templates: DataFrame) -> DataFrame:
+    """(token, pos, new, confidence, count): distinct ``words`` (token, pos) with the first site of
+    a matching template changed.
+
+    Words and templates meet on the whole trigger (tag, both neighbours, old text,
+    place), so a word meets only templates that apply to it.
+    """
+    longest = templates.agg(F.max(F.length("old"))).first()[0]
+    sites = trigger_sites(words.filter("token is not null").select("token", "pos").distinct(), longest or 0)
+    hit = sites.join(templates.select(*TRIGGER, F.col("new").alias("_new"), "confidence", "count"), TRIGGER)
+    rest = F.substring(F.col("token"), F.col("site") + F.length("old"), F.length("token"))
+    made = F.concat(F.substring(F.col("token"), F.lit(1), F.col("site") - 1), F.col("_new"), rest)
+    return hit.select("token", "pos", made.alias("new"), "confidence", "count").filter("new <> token")
+
+
 def template_candidates(tagged: DataFrame, templates: DataFrame) -> DataFrame:
     """As above, from tokens with a tag: (source_id, at, token, pos)."""
-    hit = tagged.join(templates, "pos")
-    made = hit.withColumn("new", apply_template(F.col("token"), F.struct("old", "new", "left", "right", "place"))).filter("new is not null")
+    made = tagged.join(changed_tokens(tagged, templates), ["token", "pos"])
     weight = TEMPLATE_BONUS * F.col("confidence") * F.log1p("count")
     return made.select("source_id", F.col("at").alias("start"), (F.col("at") + 1).alias("end"), "new", weight.alias("weight"), F.lit("template").alias("kind"))
 

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import errors as E
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import annotation, fuzzy, generate, lexicon, linguistic, suggest
+from ..operators import annotation, fuzzy, generate, lexicon, linguistic, suggest, vectors
 from .registry import registry, sql_alpha, table
-from .texts import _sql_rules
+from .texts import _FOLDED, _sql_rules
 
 QUERIES, SQL, query = registry()
 
@@ -192,6 +192,35 @@ def vector_similarity(spark, sf_dir):
     return a.join(b, ["b", "label"]).select("a", "b", F.round(S.cosine(F.col("x"), F.col("y")), 9).alias("similarity"))
 
 
+@query("""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 9) AS similarity FROM e a JOIN e b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id)
+SELECT * FROM (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS INTEGER) AS rank, similarity FROM p) WHERE rank <= 10""")
+def vector_neighbours(spark, sf_dir):
+    """The ten nearest vectors of every vector whose id is divisible by 50, among all: the exact mode."""
+    e = table(spark, sf_dir, "embeddings")
+    return vectors.neighbours(e.filter("vec_id % 50 = 0"), e, 10, probes=None)
+
+
+@query()
+def vector_search(spark, sf_dir):
+    """As above, from the index; ``found`` says whether the exact mode has the neighbour too."""
+    e = table(spark, sf_dir, "embeddings")
+    found = vectors.neighbours(e.filter("vec_id % 50 = 0"), e, 10)
+    exact = vectors.neighbours(e.filter("vec_id % 50 = 0"), e, 10, probes=None)
+    return found.join(exact.select("query", "id", F.lit(True).alias("found")), ["query", "id"], "left").fillna(False)
+
+
+@query()
+def document_edit_paths(spark, sf_dir):
+    """Steps of the edit path from each document's words to those of the document with the next id."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+").alias("w"))
+    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v")), "doc_id")
+    steps = pairs.select("doc_id", S.alignment(F.col("w"), F.col("v")).alias("s"))
+    count = lambda op: F.size(F.filter("s", lambda x: x["op"] == op)).cast("long").alias(f"n_{op}")
+    return steps.select("doc_id", count("keep"), count("substitute"), count("delete"), count("insert"))
+
+
 @query()
 def token_suggestions(spark, sf_dir):
     """The suggestion ladder over the held-out texts' tokens."""
@@ -228,14 +257,54 @@ def reversed_sentences(spark, sf_dir):
 
 @query()
 def evidence_pairs(spark, sf_dir):
-    """Learned mappings and templates put into sentences within their budgets."""
+    """Learned mappings and templates put into sentences within their budgets; a token's tag is its length class."""
     made = generate.rule_pairs(generate.formal_sources(table(spark, sf_dir, "part"), "p_name", "p_partkey"))
     both = made.select("source_row", F.arrays_zip(F.split("formal", " ").alias("f"), F.split("informal", " ").alias("i")).alias("z")).select("source_row", F.explode("z").alias("z"))
-    evidence = both.select("source_row", F.col("z.f").alias("formal_token"), F.col("z.i").alias("informal_token"), F.lit("X").alias("pos")).filter("formal_token is not null and informal_token is not null")
+    tag = lambda w: F.concat(F.lit("L"), F.least(F.length(w), F.lit(9)).cast("string"))
+    evidence = both.select("source_row", F.col("z.f").alias("formal_token"), F.col("z.i").alias("informal_token")).filter("formal_token is not null and informal_token is not null")
+    evidence = evidence.withColumn("pos", tag(F.col("formal_token")))
     evidence = evidence.withColumn("error_types", E.error_types(F.col("informal_token"), F.col("formal_token")))
     sentences = made.select("source_id", "source_row", "formal", F.split("formal", " ").alias("tokens"))
-    tagged = sentences.select("source_id", F.posexplode("tokens").alias("at", "token")).withColumn("pos", F.lit("X"))
+    tagged = sentences.select("source_id", F.posexplode("tokens").alias("at", "token")).withColumn("pos", tag(F.col("token")))
     found = linguistic.mapping_candidates(sentences, annotation.learn_mappings(evidence, "source_row", 2)).unionByName(
         linguistic.template_candidates(tagged, annotation.learn_templates(evidence, 2)))
     budgets = sentences.select("source_id", F.lit(1).alias("budget"))
     return linguistic.evidence_pairs(sentences, found, budgets).drop("applied_rules")
+
+
+_GRAMS = "CASE WHEN length(signature) <= 1 THEN ['^' || signature || '$'] ELSE list_distinct(list_transform(range(1, length(signature) + 1), lambda i: substring('^' || signature || '$', i, 3))) END"
+
+
+@query(f"""
+WITH a AS (SELECT DISTINCT token, {_FOLDED} AS signature FROM (SELECT unnest({sql_alpha('text')}) AS token FROM benchmark)),
+b AS (SELECT token, {_FOLDED} AS signature FROM (SELECT w AS token FROM (SELECT unnest({sql_alpha('text')}) AS w FROM documents) GROUP BY w HAVING count(*) >= 20)),
+s AS (SELECT x.token, y.token AS word, count(*) AS n FROM (SELECT token, unnest({_GRAMS}) AS g FROM a) x JOIN (SELECT token, unnest({_GRAMS}) AS g FROM b) y ON x.g = y.g GROUP BY x.token, y.token),
+r AS (SELECT token, word, row_number() OVER (PARTITION BY token ORDER BY n DESC, word) AS r FROM s),
+e AS (SELECT token, word, r FROM r WHERE r <= 20 AND abs(length(token) - length(word)) <= 3 UNION ALL SELECT a.token, b.token, 0 FROM a JOIN b ON a.signature = b.signature),
+m AS (SELECT token, word, min(r) AS r FROM e GROUP BY token, word)
+SELECT token, word FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY r, word) AS k FROM m) WHERE k <= 10""")
+def overlap_candidates(spark, sf_dir):
+    """The words of the documents (20 times and more) that share most signature n-grams with each held-out token."""
+    tokens = table(spark, sf_dir, "benchmark").select(F.explode(T.tokens(F.col("text"), "alpha")).alias("token"))
+    words = lexicon.term_counts(_words(spark, sf_dir), F.col("w")).filter("count >= 20").select(F.col("token").alias("word"))
+    return fuzzy.signature_candidates(tokens, words, 10, 3, None)
+
+
+@query(f"""
+WITH p AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS w FROM part),
+g AS (SELECT w, unnest(range(1, length(w) - 1)) AS i FROM p),
+t AS (SELECT DISTINCT 'P' || length(w) % 2 AS pos, w[i] AS l, w[i + 1] AS o, w[i + 2] AS r FROM g),
+d AS (SELECT DISTINCT unnest({sql_alpha('text')}) AS token FROM documents),
+s AS (SELECT token, 'P' || length(token) % 2 AS pos, unnest(range(2, length(token))) AS i FROM d),
+m AS (SELECT s.token, s.pos, t.l, t.o, t.r, min(s.i) AS i FROM s JOIN t ON t.pos = s.pos AND t.l = s.token[s.i - 1] AND t.o = s.token[s.i] AND t.r = s.token[s.i + 1] GROUP BY ALL)
+SELECT token, pos, substring(token, 1, i - 1) || o || o || substring(token, i + 1) AS new FROM m""")
+def template_sites(spark, sf_dir):
+    """The documents' words with a doubled letter wherever part names have the letter between the same neighbours."""
+    tag = lambda w: F.concat(F.lit("P"), (F.length(w) % 2).cast("string"))
+    names = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("w")).distinct()
+    inner = names.filter("length(w) > 2").select("w", F.explode(F.sequence(F.lit(1), F.length("w") - 2)).alias("i"))
+    piece = lambda k: F.substring(F.col("w"), F.col("i") + k, F.lit(1))
+    templates = inner.select(tag(F.col("w")).alias("pos"), piece(0).alias("left"), piece(1).alias("old"), piece(2).alias("right"), F.lit("internal").alias("place")).distinct()
+    templates = templates.select("*", F.concat("old", "old").alias("new"), F.lit(1.0).alias("confidence"), F.lit(1).alias("count"))
+    tokens = _words(spark, sf_dir).select(F.explode("w").alias("token")).distinct().withColumn("pos", tag(F.col("token")))
+    return linguistic.changed_tokens(tokens, templates).select("token", "pos", "new")
