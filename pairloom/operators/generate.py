@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import rules as R
 from ..functions import similarity as S
 from ..functions import text as T
-from . import audit, order
+from . import audit, factors, order
 
 SEED = 2026
 
@@ -86,14 +86,14 @@ def aligned_pairs(sources: DataFrame, lexicon: DataFrame, source: Column, target
 SIZE_PENALTY = {1: 1.0, 2: 0.85, 3: 0.70}
 
 
-def train_vectors(pairs: DataFrame, source: Column, target: Column, largest: int = 3, size: int = 150, window: int = 10, min_count: int = 2, epochs: int = 20, seed: int = SEED) -> DataFrame:
-    """(gram, vector) of the n-grams of both sides of every pair, trained together."""
-    from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.feature import Word2Vec
+def train_vectors(pairs: DataFrame, source: Column, target: Column, largest: int = 3, size: int = 150, window: int = 10, min_count: int = 2, epochs: int = 4, seed: int = SEED) -> DataFrame:
+    """(gram, vector) of the n-grams of both sides of every pair, trained together.
 
-    grams = pairs.select(F.concat(T.ngrams(source, largest), T.ngrams(target, largest)).alias("grams"))
-    model = Word2Vec(vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=1, inputCol="grams", outputCol="v").fit(grams)
-    return model.getVectors().select(F.col("word").alias("gram"), vector_to_array("vector").alias("vector"))
+    Vectors are ``size`` directions of the grams' positive pointwise mutual
+    information within ``window``; ``epochs`` are rounds of the factorisation.
+    """
+    counts = factors.near_counts(pairs, F.concat(T.ngrams(source, largest), T.ngrams(target, largest)), window, min_count)
+    return factors.factor_vectors(factors.positive_information(counts), size, epochs, seed)
 
 
 def save_resources(vectors: DataFrame, lexicon: DataFrame, folder: str, config: dict | None = None) -> dict:

@@ -3,7 +3,8 @@
 Centroids are fitted on a bounded sample (``SAMPLE`` rows); every vector is put
 into the cell of its nearest centroid.  A query visits the ``probes`` cells whose
 centroids are nearest, or all cells (exact mode), and every vector of a visited
-cell is compared.  A large cell is cut into parts, queries into blocks, so a task
+cell is compared.  How many cells are needed is measured: as many as hold ``aim``
+of the neighbours that sampled queries have inside the sample.  A large cell is cut into parts, queries into blocks, so a task
 compares at most ``PART`` vectors with ``QUERIES`` queries at a time; what leaves
 it are the best k of each query.
 
@@ -38,12 +39,25 @@ def _usable(vectors: DataFrame, vector: str) -> DataFrame:
     return vectors.filter(F.col(vector).isNotNull() & whole)
 
 
-def fit_centroids(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cells: int = 64, rounds: int = 10, sample: int = SAMPLE) -> np.ndarray:
-    """Unit centroids by spherical k-means on the ``sample`` rows with the smallest keyed hashes."""
+def probes_needed(x: np.ndarray, centroids: np.ndarray, k: int, aim: float, asked: int = 200) -> int:
+    """Cells to visit so that ``aim`` of the ``k`` nearest rows of the first ``asked`` rows of ``x`` are met."""
+    queries = x[:asked]
+    like = queries @ x.T
+    like[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
+    near = np.argsort(-like, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+    cell = np.argmax(x @ centroids.T, axis=1)
+    ranks = np.argsort(np.argsort(-(queries @ centroids.T), axis=1, kind="stable"), axis=1)
+    visits = np.sort(np.take_along_axis(ranks, cell[near], axis=1).ravel())
+    return int(visits[max(int(np.ceil(aim * len(visits))) - 1, 0)]) + 1 if len(visits) else len(centroids)
+
+
+def fit_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cells: int = 64, rounds: int = 10, sample: int = SAMPLE, k: int = 10, aim: float = 0.95) -> tuple[np.ndarray, int]:
+    """Unit centroids by spherical k-means on the ``sample`` rows with the smallest keyed
+    hashes, and the number of cells to visit."""
     rows = order.sample_rows(_usable(vectors, vector).select(key, vector), key, sample).select(key, vector).orderBy(key).toArrow()  # at most ``sample``
     x = _matrix(rows[vector])
     if not len(x):
-        return np.zeros((0, 0))
+        return np.zeros((0, 0)), 0
     chosen = [0]  # far apart: each next start is the row least like all before
     like = x @ x[0]
     while len(chosen) < min(cells, len(x)):
@@ -56,7 +70,7 @@ def fit_centroids(vectors: DataFrame, key: str = "vec_id", vector: str = "embedd
         np.add.at(sums, nearest, x)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         centroids = np.where(norms > 0, sums / np.maximum(norms, 1e-30), centroids)
-    return centroids
+    return centroids, probes_needed(x, centroids, k, aim)
 
 
 def nearest_cells(vector: Column, centroids: np.ndarray, n: int) -> Column:
@@ -92,12 +106,13 @@ def _compared(k: int):
     return work
 
 
-def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", cells: int = 64, probes: int | None = 8) -> DataFrame:
+def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding", cells: int = 64, aim: float | None = 0.95) -> DataFrame:
     """(query, id, rank, similarity): the ``k`` nearest vectors of each query, itself left out.
 
-    ``probes=None`` visits all cells: the exact mode.
+    ``aim``: the part of the neighbours to meet, as measured on the sample; None visits
+    all cells, the exact mode.
     """
-    centroids = fit_centroids(vectors, key, vector, cells)
+    centroids, probes = fit_index(vectors, key, vector, cells, k=k, aim=1.0 if aim is None else aim)
     schema = "query bigint, id bigint, rank int, similarity double"
     if not len(centroids):
         return queries.sparkSession.createDataFrame([], schema)
@@ -107,7 +122,7 @@ def neighbours(queries: DataFrame, vectors: DataFrame, k: int = 10, key: str = "
     parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     placed = placed.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int")).drop("parts")
     asked = _usable(queries, vector).select(F.col(key).cast("long").alias("_q"), F.col(vector).alias("_v"))
-    visits = asked.withColumn("cell", F.explode(nearest_cells(F.col("_v"), centroids, len(centroids) if probes is None else probes)))
+    visits = asked.withColumn("cell", F.explode(nearest_cells(F.col("_v"), centroids, len(centroids) if aim is None else probes)))
     visits = visits.join(F.broadcast(parts), "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     found = visits.groupBy("cell", "part").cogroup(placed.groupBy("cell", "part")).applyInArrow(_compared(k), "_q bigint, best array<struct<less:double,id:bigint>>")
     best = found.groupBy("_q").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import errors as E
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import annotation, fuzzy, generate, lexicon, linguistic, suggest, vectors
+from ..operators import annotation, factors, fuzzy, generate, lexicon, linguistic, suggest, vectors
 from .registry import registry, sql_alpha, table
 from .texts import _FOLDED, _sql_rules
 
@@ -192,6 +192,19 @@ def vector_similarity(spark, sf_dir):
     return a.join(b, ["b", "label"]).select("a", "b", F.round(S.cosine(F.col("x"), F.col("y")), 9).alias("similarity"))
 
 
+@query(f"""{_PAIRS.replace("SELECT", "WITH p AS (SELECT", 1)}),
+g AS (SELECT list_concat(s, t) AS g FROM p), f AS (SELECT w FROM (SELECT unnest(g) AS w FROM g) GROUP BY w HAVING count(*) >= 5),
+o AS (SELECT g, unnest(range(1, len(g) + 1)) AS i FROM g), j AS (SELECT g, i, unnest(range(i + 1, least(i + 3, len(g)) + 1)) AS j FROM o),
+n AS (SELECT a, b, count(*) AS n FROM (SELECT g[i] AS a, g[j] AS b FROM j UNION ALL SELECT g[j], g[i] FROM j) WHERE a IN (SELECT w FROM f) AND b IN (SELECT w FROM f) GROUP BY a, b),
+s AS (SELECT a, sum(n) AS total FROM n GROUP BY a)
+SELECT n.a, n.b, round(x, 9) AS x FROM (SELECT n.a, n.b, ln(n.n * (SELECT sum(total) FROM s) / (sa.total * sb.total)) AS x FROM n JOIN s sa ON sa.a = n.a JOIN s sb ON sb.a = n.b) n WHERE x > 0""")
+def gram_information(spark, sf_dir):
+    """Positive pointwise mutual information of words within three places in names and types of parts."""
+    grams = F.concat("s", "t")
+    cells = factors.positive_information(factors.near_counts(_pairs(spark, sf_dir), grams, 3, 5))
+    return cells.select("a", "b", F.round("x", 9).alias("x"))
+
+
 @query("""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 p AS (SELECT a.vec_id AS query, b.vec_id AS id, round(list_cosine_similarity(a.v, b.v), 9) AS similarity FROM e a JOIN e b ON a.vec_id % 50 = 0 AND b.vec_id <> a.vec_id)
@@ -199,7 +212,7 @@ SELECT * FROM (SELECT query, id, CAST(row_number() OVER (PARTITION BY query ORDE
 def vector_neighbours(spark, sf_dir):
     """The ten nearest vectors of every vector whose id is divisible by 50, among all: the exact mode."""
     e = table(spark, sf_dir, "embeddings")
-    return vectors.neighbours(e.filter("vec_id % 50 = 0"), e, 10, probes=None)
+    return vectors.neighbours(e.filter("vec_id % 50 = 0"), e, 10, aim=None)
 
 
 @query()
@@ -207,7 +220,7 @@ def vector_search(spark, sf_dir):
     """As above, from the index; ``found`` says whether the exact mode has the neighbour too."""
     e = table(spark, sf_dir, "embeddings")
     found = vectors.neighbours(e.filter("vec_id % 50 = 0"), e, 10)
-    exact = vectors.neighbours(e.filter("vec_id % 50 = 0"), e, 10, probes=None)
+    exact = vectors.neighbours(e.filter("vec_id % 50 = 0"), e, 10, aim=None)
     return found.join(exact.select("query", "id", F.lit(True).alias("found")), ["query", "id"], "left").fillna(False)
 
 

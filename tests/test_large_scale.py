@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from pairloom.functions import similarity as S
 from pairloom.functions import text as T
-from pairloom.operators import fuzzy, lexicon, linguistic, overlap, vectors
+from pairloom.operators import factors, fuzzy, generate, lexicon, linguistic, overlap, vectors
 
 
 # -- top-k overlaps ----------------------------------------------------------
@@ -195,7 +195,7 @@ def test_exact_neighbours_equal_brute_force(points, monkeypatch, part):
     x, frame = points
     monkeypatch.setattr(vectors, "PART", part)
     got = {}
-    for r in vectors.neighbours(frame.filter("vec_id % 50 = 0"), frame, 7, cells=8, probes=None).collect():
+    for r in vectors.neighbours(frame.filter("vec_id % 50 = 0"), frame, 7, cells=8, aim=None).collect():
         got.setdefault(r.query, []).append((r.rank, r.id))
     expected = exact_neighbours(x, range(0, 601, 50), 7)
     assert {q: [i for _, i in sorted(v)] for q, v in got.items()} == expected
@@ -204,6 +204,59 @@ def test_exact_neighbours_equal_brute_force(points, monkeypatch, part):
 def test_index_reaches_its_recall(points):
     x, frame = points
     queries = frame.filter("vec_id % 50 = 0")
-    exact = vectors.neighbours(queries, frame, 10, cells=12, probes=None)
-    assert vectors.recall(vectors.neighbours(queries, frame, 10, cells=12, probes=3), exact) >= 0.9
+    exact = vectors.neighbours(queries, frame, 10, cells=12, aim=None)
+    assert vectors.recall(vectors.neighbours(queries, frame, 10, cells=12), exact) >= 0.9
     assert vectors.neighbours(queries, frame.limit(0), 10).count() == 0
+
+
+# -- vectors by factorisation ------------------------------------------------
+
+
+def brute_information(lists, window, least):
+    from collections import Counter
+
+    total = Counter(w for g in lists for w in g)
+    n = Counter()
+    for g in lists:
+        for i, a in enumerate(g):
+            for j in range(max(i - window, 0), min(i + window + 1, len(g))):
+                if i != j and total[a] >= least and total[g[j]] >= least:
+                    n[a, g[j]] += 1
+    words = sorted({a for a, _ in n})
+    m = np.zeros((len(words), len(words)))
+    sums = Counter()
+    for (a, _), c in n.items():
+        sums[a] += c
+    for (a, b), c in n.items():
+        m[words.index(a), words.index(b)] = max(0.0, np.log(c * sum(sums.values()) / (sums[a] * sums[b])))
+    return words, m
+
+
+def test_vectors_span_the_information_matrix(spark):
+    rng = random.Random(8)
+    data = [(i, [rng.choice("abcdefg") + rng.choice("x ").strip() for _ in range(rng.randrange(1, 9))]) for i in range(80)] + [(99, [])]
+    frame = spark.createDataFrame(data, "k long, s array<string>").repartition(3)
+    words, m = brute_information([g for _, g in data], 2, 3)
+    cells = factors.positive_information(factors.near_counts(frame, F.col("s"), 2, 3))
+    got = np.zeros_like(m)
+    for r in cells.collect():
+        got[words.index(r.a), words.index(r.b)] = r.x
+    assert np.allclose(got, m)
+    # with as many directions as words the rows keep all their cosines
+    full = {r.gram: np.array(r.vector) for r in factors.factor_vectors(cells, len(words) + 2, 2, 1).collect()}
+    kept = [i for i, w in enumerate(words) if m[i].any()]
+    v = np.array([full[words[i]] for i in kept])
+    cos = lambda x: (x @ x.T) / np.outer(np.linalg.norm(x, axis=1), np.linalg.norm(x, axis=1))
+    assert np.allclose(cos(v), cos(m[kept]), atol=1e-6)
+    # with fewer, nearly all that the directions of the largest eigenvalues hold
+    most = np.sqrt(np.sort(np.linalg.eigvalsh(m) ** 2)[::-1][:3].sum())
+    part = [r.vector for r in factors.factor_vectors(cells, 3, 6, 1).collect()]
+    assert 0.95 * most <= np.linalg.norm(part) <= most * (1 + 1e-9)
+
+
+def test_trained_vectors_agree_on_reruns(spark):
+    pairs = spark.createDataFrame([(i, ["man", "xam", "ñu"], ["moi", "savoir", "nous"][: 1 + i % 3]) for i in range(9)], "k long, s array<string>, t array<string>")
+    one, two = ({r.gram: r.vector for r in generate.train_vectors(p, F.col("s"), F.col("t"), 2, size=4, epochs=2).collect()} for p in (pairs, pairs.repartition(4)))
+    assert one.keys() == two.keys() and "man_xam" in one
+    assert all(np.allclose(one[g], two[g], atol=1e-6) or np.allclose(np.abs(one[g]), np.abs(two[g]), atol=1e-6) for g in one)
+    assert generate.train_vectors(pairs.limit(0), F.col("s"), F.col("t"), 2, size=4).count() == 0
