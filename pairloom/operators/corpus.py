@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from . import audit, evaluate, order
+from . import audit, order
 
 #: The selector's feature and model settings.
 SIZES, MIN_DOCS, MAX_FEATURES, STRENGTH, THRESHOLD = (3, 4, 5), 2, 60_000, 2.0, 0.80
@@ -109,22 +109,12 @@ def select_score(text: Column, selector: Selector) -> Column:
     return run(text)
 
 
-def selector_audit(labelled: DataFrame, group: str = "document_id", max_groups: int = 50) -> DataFrame:
-    """Leave-one-group-out precision, recall and F1 at the threshold."""
-    groups = [r[0] for r in labelled.select(group).distinct().orderBy(group).limit(max_groups + 1).collect()]
-    if len(groups) > max_groups:
-        raise ValueError(f"more than {max_groups} groups to hold out")
-    parts = []
-    for g in groups:
-        try:
-            model = fit_selector(labelled.filter(F.col(group) != g))
-        except ValueError:
-            continue
-        parts.append(labelled.filter(F.col(group) == g).select(F.col("label").cast("boolean").alias("truth"), select_score(F.col("text"), model).alias("score")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return evaluate.binary_scores(out, F.col("truth"), F.col("score") >= THRESHOLD)
+def selector_audit(labelled: DataFrame, group: str = "document_id", rows: int = 6_000, characters: int = 8_000_000) -> DataFrame:
+    """Leave-one-group-out precision, recall and F1 at the threshold: all folds in one job (``folds``),
+    fitted on a sample of at most ``rows`` distinct labelled texts and ``characters``, scored on all."""
+    from .folds import audit_scores
+
+    return audit_scores(labelled, group, rows, characters)
 
 
 def segments(df: DataFrame, prefix: str, domain: str, row: str, document: str, limit: int = 240) -> DataFrame:

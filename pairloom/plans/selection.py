@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import annotation, audit, corpus, generate, order, report
+from ..operators import annotation, audit, corpus, folds, generate, order, report
 from ..sources import writers
 from ..streaming import log
 from .registry import registry, sql_canonical, sql_collapse, sql_compact, sql_key, sql_normal, sql_usable, table
@@ -276,12 +276,29 @@ def corpus_invariants(spark, sf_dir):
         F.count_distinct("split").cast("int").alias("splits"))
 
 
+def _labelled(spark, sf_dir, label):
+    docs = table(spark, sf_dir, "documents")
+    return docs.join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col(label).alias("label"), "source")
+
+
 @query()
 def selector_scores(spark, sf_dir):
-    """A content selector fitted on labelled texts, scoring all texts."""
-    docs = table(spark, sf_dir, "documents")
-    labelled = docs.join(table(spark, sf_dir, "labels"), "doc_id").select("text", F.col("toxic").alias("label"))
-    return docs.select("doc_id", F.round(corpus.select_score(F.col("text"), corpus.fit_selector(labelled)), 4).alias("score"))
+    """A content selector fitted on a bounded sample of labelled texts, scoring all texts."""
+    model = folds.fit_sampled(_labelled(spark, sf_dir, "toxic"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(corpus.select_score(F.col("text"), model), 4).alias("score"))
+
+
+@query()
+def selector_audit(spark, sf_dir):
+    """Precision, recall and F1 of the selector, every source scored by a model of the others."""
+    return corpus.selector_audit(_labelled(spark, sf_dir, "quality"), "source")
+
+
+@query()
+def selected_corpus(spark, sf_dir):
+    """The pretraining corpus of the comments that the selector takes."""
+    model = folds.fit_sampled(_labelled(spark, sf_dir, "quality"))
+    return corpus.build_corpus(*_corpus_parts(spark, sf_dir), selector=model)
 
 
 @query("SELECT lang AS method, text AS target_text FROM (SELECT lang, text, row_number() OVER (PARTITION BY lang, text ORDER BY doc_id) AS r FROM documents) WHERE r = 1 AND text IN (SELECT text FROM documents GROUP BY text HAVING count(DISTINCT lang) = 2)")
