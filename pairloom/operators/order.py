@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -148,22 +150,86 @@ def greedy_group_splits(groups: list[tuple[str, int]], fractions: dict[str, floa
     return out
 
 
-def assign_group_splits(df: DataFrame, group: str, fractions: dict[str, float], seed: int = 2026, mode: str = "ratio", max_groups: int = 1_000_000) -> DataFrame:
-    """``df`` plus ``split``; a group never crosses splits.
+class _Run:
+    """Greedy splits inside a run of groups of one size, without a step a group.
 
-    The greedy runs over group sizes in the driver (their number is checked);
-    the assignment is joined back, broadcast only while it is small.
+    A split's j-th group (from 1) of the run has a key that never falls with j,
+    and the greedy takes the least key first (ties by place of the split), so it
+    merges the splits' keys.  What stands before a key can be counted directly.
     """
-    sizes = df.groupBy(group).count()
-    number = sizes.count()
+
+    def __init__(self, want: list[float], mode: str):
+        self.want, self.ratio = want, mode == "ratio"
+
+    def key(self, k, j, n, have):
+        if self.ratio:
+            return (have[k] + j * n) / self.want[k]
+        return -((self.want[k] - (have[k] + (j - 1) * n)) / self.want[k])
+
+    def place(self, k, j, n, have):
+        """The rank in the run of the j-th group of split k."""
+        mine = self.key(k, j, n, have)
+        out = j - 1
+        for other in range(len(self.want)):
+            if other != k:
+                near = mine * self.want[other] - have[other] + (0 if self.ratio else self.want[other] + n)
+                # the division is near; the four keys around it decide
+                count = np.floor(near / n).astype(np.int64) - 2
+                theirs = [self.key(other, count + d, n, have) for d in (1, 2, 3, 4)]
+                out = out + np.maximum(count + sum(((t < mine) | ((t == mine) & (other < k))).astype(np.int64) for t in theirs), 0)
+        return out
+
+    def taken(self, k, rank, n, have):
+        """How many of the first ``rank`` groups go to split k."""
+        low, high = np.zeros_like(rank), rank.copy()
+        while (low < high).any():
+            mid = (low + high + 1) // 2
+            fits = self.place(k, np.maximum(mid, 1), n, have) < rank
+            low, high = np.where(fits & (low < high), mid, low), np.where(fits | (low >= high), high, mid - 1)
+        return low
+
+    def split_of(self, rank, n, have):
+        out = np.zeros(len(rank), np.int64)
+        for k in range(len(self.want)):
+            out[self.place(k, self.taken(k, rank, n, have) + 1, n, have) == rank] = k
+        return out
+
+
+def assign_group_splits(df: DataFrame, group: str, fractions: dict[str, float], seed: int = 2026, mode: str = "ratio", steps: int = 4_096) -> DataFrame:
+    """``df`` plus ``split``; a group never crosses splits, and null is a group.
+
+    The result is that of ``greedy_group_splits``, largest groups first, but the
+    driver sees a row a distinct size only (at most the square root of twice the
+    rows); the groups of a size are ranked and find their splits in the tasks.
+    Runs of more than ``steps`` groups are counted instead of walked.
+    """
+    if not all(f > 0 for f in fractions.values()):
+        raise ValueError("fractions must be positive")
+    spark, names = df.sparkSession, sorted(fractions) if mode == "ratio" else list(fractions)
+    sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    found = sorted(((r["_n"], r["_m"]) for r in sizes.groupBy("_n").agg(F.count(F.lit(1)).alias("_m")).collect()), reverse=True)
+    number, total = sum(m for _, m in found), sum(n * m for n, m in found)
     if number < len(fractions):
         raise ValueError(f"{number} groups cannot fill {len(fractions)} splits")
-    if number > max_groups:
-        raise ValueError(f"{number} groups; raise max_groups to split them in the driver")
-    ordered = sizes.orderBy(F.desc("count"), hash_rank(seed, F.col(group)), group).collect()
-    chosen = greedy_group_splits([(r[group], r["count"]) for r in ordered], fractions, mode)
-    table = df.sparkSession.createDataFrame(list(chosen.items()), f"{group} {dict(df.dtypes)[group]}, split string")
-    return df.join(F.broadcast(table) if number <= 200_000 else table, group)
+    run = _Run([total * fractions[k] for k in names], mode)
+    have, states = [0] * len(names), []
+    for n, m in found:
+        states.append((n, list(have)))
+        if m <= steps:
+            for _ in range(m):
+                have[min(range(len(names)), key=lambda k: (run.key(k, 1, n, have), k))] += n
+        else:
+            have = [h + n * int(run.taken(k, np.array([m]), n, [np.array([h]) for h in states[-1][1]])[0]) for k, h in enumerate(have)]
+
+    @F.arrow_udf("string")
+    def split_of(rank: pa.Array, n: pa.Array, have: pa.Array) -> pa.Array:
+        held = have.flatten().to_numpy().reshape(-1, len(names)).T
+        return pa.array([names[k] for k in run.split_of(rank.to_numpy().astype(np.int64), n.to_numpy(), held)], pa.string())
+
+    ranked = ranked_within(sizes.withColumn("_h", hash_rank(seed, F.col(group))), F.col("_n"), ["_h", group])
+    placed = ranked.join(F.broadcast(spark.createDataFrame(states, "_n long, _have array<long>")), "_n")
+    table = placed.select(F.col(group).alias("_group"), split_of("_rank", "_n", "_have").alias("split"))
+    return df.join(F.broadcast(table) if number <= 200_000 else table, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
 
 
 def hold_out_group(df: DataFrame, group: str, fraction: float = 0.2) -> DataFrame:
