@@ -7,10 +7,10 @@ Roles of the driver tables: ``documents`` are comments or news (group: source),
 
 from __future__ import annotations
 
-from . import evaluation, lexicons, lookups, selection, texts
+from . import evaluation, files, lexicons, lookups, selection, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for _module in (texts, selection, lexicons, evaluation, lookups):
+for _module in (texts, selection, lexicons, evaluation, lookups, files):
     QUERIES.update(_module.QUERIES)
     SQL.update(_module.SQL)

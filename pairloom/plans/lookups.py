@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 
 from pyspark.sql import functions as F
 
@@ -213,8 +212,7 @@ _DIGEST = ", ".join(f"CAST(sum(CAST('0x' || substring(h, {1 + 8 * i}, 8) AS BIGI
 UNION ALL SELECT 'toxic', count(*), {_DIGEST.replace(' AS w0', '').replace(' AS w1', '').replace(' AS w2', '').replace(' AS w3', '')} FROM (SELECT sha256('{{"doc_id":' || doc_id || '}}') AS h FROM labels WHERE toxic = 1)""")
 def written_bundle(spark, sf_dir):
     """Two tables written with one manifest, and the manifest read back."""
-    shared.set_checkpoints(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/bundle-{uuid.uuid4().hex}"
+    folder = shared.scratch(spark, "bundle")
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     writers.archive({"labels": rows, "toxic": rows.filter("toxic = 1").select("doc_id")}, folder, "before")
     manifest = readers.read_manifest(spark, f"{folder}/before/manifest.json")
@@ -225,8 +223,7 @@ def written_bundle(spark, sf_dir):
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE lang IN ('en', 'fr')")
 def read_splits(spark, sf_dir):
     """Splits written as CSV and read back behind their manifest, ids and groups checked."""
-    shared.set_checkpoints(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/splits-{uuid.uuid4().hex}"
+    folder = shared.scratch(spark, "splits")
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
     for name in ("en", "fr"):
         docs.filter(F.col("lang") == name).write.option("header", True).csv(f"{folder}/{name}.csv")

@@ -41,6 +41,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's path in the checkpoint folder; what is written there goes when the session ends."""
+    set_checkpoints(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # only a path that exists can be marked for deletion
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def few(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """``df`` marked for broadcast if it was counted and has at most so many rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
