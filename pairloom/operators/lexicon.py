@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,28 +109,71 @@ def agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.withColumn("rate", F.when(F.col("shared") == 0, F.lit(0.0)).otherwise(F.col("equal") / F.col("shared")))
 
 
-def ibm1(pairs: DataFrame, key: str, source: Column, target: Column, rounds: int = 5, checkpoint=None) -> DataFrame:
-    """IBM model 1 by EM on tables: (src, tgt, p).
+#: Cells of a block, which one task holds, and of a slot, into which a frequent target word is split.
+BLOCK, SLOT = 250_000, 50_000
+
+
+def _expected(cells: pa.Table, table: pa.Table | None) -> pa.Table:
+    """A block's expected counts (block, src, tgt, c) under its part of the translation table (None: uniform)."""
+    coded = {c: cells.column(c).combine_chunks().dictionary_encode() for c in ("k", "src", "tgt")}
+    at = {c: x.indices.to_numpy().astype(np.int64) for c, x in coded.items()}
+    width = len(coded["tgt"].dictionary)
+    kinds, kind = np.unique(at["src"] * width + at["tgt"], return_inverse=True)
+    _, sums = np.unique(at["k"] * width + at["tgt"], return_inverse=True)
+    p = np.ones(len(kinds))
+    if table is not None:
+        mine = [pc.index_in(table.column(c), value_set=coded[c].dictionary).to_numpy().astype(np.int64) for c in ("src", "tgt")]
+        p[np.searchsorted(kinds, mine[0] * width + mine[1])] = table.column("p").to_numpy()
+    weight = cells.column("ns").to_numpy() * p[kind]
+    norm = np.bincount(sums, weight)
+    counts = np.bincount(kind, cells.column("nt").to_numpy() * weight / norm[sums], len(kinds))
+    block = pa.array(np.full(len(kinds), cells.column("block")[0].as_py()), pa.int64())
+    return pa.table({"block": block, "src": coded["src"].dictionary.take(pa.array(kinds // width)), "tgt": coded["tgt"].dictionary.take(pa.array(kinds % width)), "c": counts})
 
-    The co-occurrence table is pre-aggregated once per pair; each round is one
-    normalisation within (pair, target) and one sum.  ``checkpoint`` cuts the
-    lineage (default: a written table, which survives lost executors).
-    The table meets the cells by broadcast if counted as few.
+
+def _first(cells: pa.Table) -> pa.Table:
+    return _expected(cells, None)
+
+
+def ibm1(pairs: DataFrame, key: str, source: Column, target: Column, rounds: int = 5, checkpoint=None) -> DataFrame:
+    """IBM model 1 by EM in blocks: (src, tgt, p); null words are left out.
+
+    The co-occurrence cells are written once, bucketed by blocks of target words,
+    and are never shuffled again: a pair's norm for a target word needs that word's
+    cells only.  A frequent word is split by pairs into slots, so the counts of
+    (src, tgt) are summed in two levels, first in the blocks.  A round shuffles a row
+    for each (src, tgt) of a block, however often the two meet.  ``checkpoint`` cuts
+    the lineage (default: a written table, which survives lost executors).
     """
-    from ..sources.shared import cut, few
+    from ..sources.shared import cut, few, scratch
 
-    checkpoint = checkpoint or cut
+    checkpoint, spark = checkpoint or cut, pairs.sparkSession
     sides = pairs.select(F.col(key).alias("k"), F.concat(F.array(F.lit("")), source).alias("s"), target.alias("t"))
-    src = sides.select("k", F.explode("s").alias("src")).groupBy("k", "src").agg(F.count(F.lit(1)).alias("ns"))
-    tgt = sides.select("k", F.explode("t").alias("tgt")).groupBy("k", "tgt").agg(F.count(F.lit(1)).alias("nt"))
-    cells = checkpoint(src.join(tgt, "k"))
-    table = cells.select("src", "tgt").distinct().withColumn("p", F.lit(1.0))
-    for _ in range(rounds):
-        scored = cells.join(few(table, 500_000), ["src", "tgt"]).withColumn("_w", F.col("ns") * F.col("p"))
-        norm = scored.groupBy("k", "tgt").agg(F.sum("_w").alias("_z"))
-        expected = scored.join(norm, ["k", "tgt"]).groupBy("src", "tgt").agg(F.sum(F.col("nt") * F.col("_w") / F.col("_z")).alias("c"))
-        total = expected.groupBy("src").agg(F.sum("c").alias("_c"))
-        table = checkpoint(expected.join(total, "src").select("src", "tgt", (F.col("c") / F.col("_c")).alias("p")))
+    src = sides.select("k", F.explode("s").alias("src")).filter("src is not null").groupBy("k", "src").agg(F.count(F.lit(1)).alias("ns"))
+    tgt = sides.select("k", F.explode("t").alias("tgt")).filter("tgt is not null").groupBy("k", "tgt").agg(F.count(F.lit(1)).alias("nt"))
+    # cells of a target word, counted before they are made
+    widths = tgt.join(src.groupBy("k").agg(F.count(F.lit(1)).alias("n")), "k").groupBy("tgt").agg(F.sum("n").alias("n"))
+    widths = checkpoint(widths)
+    total = widths.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    blocks = min(max(1, -(-total // BLOCK)), 100_000)
+    # at most total / SLOT words are split
+    slots = widths.filter(F.col("n") > SLOT).select("tgt", F.ceil(F.col("n") / SLOT).alias("slots"))
+    placed = tgt.join(few(slots), "tgt", "left").withColumn("slot", F.pmod(F.xxhash64("k"), F.coalesce("slots", F.lit(1))))
+    cells = src.join(placed, "k").select("k", "src", "ns", "tgt", "nt", F.pmod(F.xxhash64("tgt", "slot"), F.lit(blocks)).alias("block"))
+    name = f"cells_{uuid.uuid4().hex}"
+    cells.repartition(blocks, "block").write.option("path", f"{scratch(spark, 'cells')}/blocks").bucketBy(blocks, "block").saveAsTable(name)
+    schema = "block long, src string, tgt string, c double"
+    try:
+        counts = checkpoint(spark.table(name).groupBy("block").applyInArrow(_first, schema))
+        for i in range(rounds):
+            summed = counts.groupBy("src", "tgt").agg(F.sum("c").alias("c"))
+            totals = summed.groupBy("src").agg(F.sum("c").alias("_c"))
+            table = checkpoint(summed.join(few(totals), "src").select("src", "tgt", (F.col("c") / F.col("_c")).alias("p")))
+            if i + 1 < rounds:
+                mine = counts.select("block", "src", "tgt").join(few(table, 500_000), ["src", "tgt"])
+                counts = checkpoint(spark.table(name).groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_expected, schema))
+    finally:
+        spark.sql(f"DROP TABLE {name}")
     return table
 
 
