@@ -168,9 +168,9 @@ def ibm1(pairs: DataFrame, key: str, source: Column, target: Column, rounds: int
         for i in range(rounds):
             summed = counts.groupBy("src", "tgt").agg(F.sum("c").alias("c"))
             totals = summed.groupBy("src").agg(F.sum("c").alias("_c"))
-            table = checkpoint(summed.join(few(totals), "src").select("src", "tgt", (F.col("c") / F.col("_c")).alias("p")))
+            table = checkpoint(summed.join(totals, "src").select("src", "tgt", (F.col("c") / F.col("_c")).alias("p")))
             if i + 1 < rounds:
-                mine = counts.select("block", "src", "tgt").join(few(table, 500_000), ["src", "tgt"])
+                mine = counts.select("block", "src", "tgt").join(table, ["src", "tgt"])
                 counts = checkpoint(spark.table(name).groupBy("block").cogroup(mine.groupBy("block")).applyInArrow(_expected, schema))
     finally:
         spark.sql(f"DROP TABLE {name}")
