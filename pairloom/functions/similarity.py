@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from math import isqrt
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -95,54 +95,92 @@ def edits(a: Column, b: Column) -> Column:
 STEP = "array<struct<op:string,source:string,target:string>>"
 
 
-def _rows(row: np.ndarray, items: np.ndarray, other: np.ndarray) -> Iterator[np.ndarray]:
-    """The rows of the distance table below ``row``, one for each of ``items``."""
-    at = np.arange(len(row))
+def _columns(vp: int, vn: int, items: list, places: dict, full: int) -> Iterator[tuple[int, int, int]]:
+    """The columns of the distance table after the one given, a bit a row: where the diagonal
+    step is free, and where the step down costs +1 and -1 (Hyyrö's form of Myers' recurrence)."""
     for x in items:
-        below = np.empty_like(row)
-        below[0] = row[0] + 1
-        below[1:] = np.minimum(row[1:] + 1, row[:-1] + (other != x))
-        row = np.minimum.accumulate(below - at) + at  # insertions run to the right
-        yield row
+        same = places.get(x, 0) & full
+        free = ((((same & vp) + vp) ^ vp) | same | vn) & full
+        right = (vn | (full ^ (free | vp))) << 1 | 1
+        vp, vn = ((free & vp) << 1 | (full ^ ((free | right) & full))) & full, right & free
+        yield free, vp, vn
 
 
-def backtrace(a: list, b: list) -> list[tuple[str, str | None, str | None]]:
-    """One minimal edit path; ties: substitute, then delete, then insert.
+#: Bits of a distance table that are held at once.
+TABLE_BITS = 1 << 23
+
 
-    Only every ``sqrt(n)``-th row of the distance table is kept; the rows between
-    two kept ones are made again, up to the column where the path stands, when
-    the path gets there.  So n by m items take memory for 2 * sqrt(n) rows.
+def operations(a: list, b: list) -> str:
+    """One minimal edit path, a letter a step (keep, substitute, delete, insert); ties: substitute, then delete, then insert.
+
+    A column of the distance table is two whole numbers, a bit a row.  Of a large
+    table only every ``sqrt(m)``-th column is kept; those between two kept ones are
+    made again, down to the row where the path stands, when the path gets there.
     """
     same = 0  # equal ends are always kept
     while same < min(len(a), len(b)) and a[len(a) - 1 - same] == b[len(b) - 1 - same]:
         same += 1
-    tail = [("keep", x, x) for x in a[len(a) - same :]]
-    a, b = a[: len(a) - same], b[: len(b) - same]
-    code: dict = {}
-    left, right = (np.array([code.setdefault(x, len(code)) for x in items], dtype=np.int64) for items in (a, b))
-    step = isqrt(len(a)) + 1
-    kept = [np.arange(len(b) + 1)]
-    for i, row in enumerate(_rows(kept[0], left, right), 1):
-        if i % step == 0:
-            kept.append(row)
-    out, i, j = [], len(a), len(b)
-    while i or j:
-        base = max(i - 1, 0) // step * step
-        block = [kept[base // step][: j + 1]]
-        block += [row.tolist() for row in _rows(block[0], left[base:i], right[:j])]
-        block[0] = block[0].tolist()
-        while (i > base or not base) and (i or j):
-            here = block[i - base][j]
-            if i and j and here == block[i - base - 1][j - 1] + (a[i - 1] != b[j - 1]):
-                out.append(("keep" if a[i - 1] == b[j - 1] else "substitute", a[i - 1], b[j - 1]))
+    i, j = len(a) - same, len(b) - same
+    rows: dict = {}
+    for k, x in enumerate(a[:i]):
+        rows.setdefault(x, []).append(k)
+    places = {}
+    for x in rows.keys() & set(b[:j]):
+        mask = bytearray(i // 8 + 1)
+        for k in rows[x]:
+            mask[k >> 3] |= 1 << (k & 7)
+        places[x] = int.from_bytes(mask, "little")
+    full = (1 << i) - 1
+    step = max(j, 1) if i * j <= TABLE_BITS else isqrt(j) + 1
+    kept = [(full, 0)]
+    for k, (_, vp, vn) in enumerate(_columns(full, 0, b[: max(j - 1, 0) // step * step], places, full), 1):
+        if k % step == 0:
+            kept.append((vp, vn))
+    out = ["k" * same]
+    while i and j:
+        base = (j - 1) // step * step
+        low = (1 << i) - 1
+        vp, vn = kept[base // step]
+        block = [(free, down) for free, down, _ in _columns(vp & low, vn & low, b[base:j], places, low)]
+        while i and j > base:
+            if a[i - 1] == b[j - 1]:
+                out.append("k")
+                i, j = i - 1, j - 1
+                continue
+            free, down = block[j - base - 1]
+            if not free >> (i - 1) & 1:
+                out.append("s")
                 i, j = i - 1, j - 1
-            elif i and here == block[i - base - 1][j] + 1:
-                out.append(("delete", a[i - 1], None))
+            elif down >> (i - 1) & 1:
+                out.append("d")
                 i -= 1
             else:
-                out.append(("insert", None, b[j - 1]))
+                out.append("i")
                 j -= 1
-    return out[::-1] + tail
+    out.append("d" * i or "i" * j)
+    return "".join(reversed(out))
+
+
+_NAMES = {"k": "keep", "s": "substitute", "d": "delete", "i": "insert"}
+
+
+def backtrace(a: list, b: list) -> list[tuple[str, str | None, str | None]]:
+    """The steps of ``operations`` with their items."""
+    left, right = iter(a), iter(b)
+    return [(_NAMES[op], None if op == "i" else next(left), None if op == "d" else next(right)) for op in operations(a, b)]
+
+
+def edit_counts(a: Column, b: Column, separator: str) -> Column:
+    """struct<keep, substitute, delete, insert>: how many of each the edit path has between the parts of two texts."""
+    kind = pa.struct([(n, pa.int64()) for n in _NAMES.values()])
+    cut = re.compile(separator)
+
+    @F.arrow_udf("struct<keep:long,substitute:long,delete:long,insert:long>")
+    def counts(left: pa.Array, right: pa.Array) -> pa.Array:
+        paths = (operations(*(cut.split(v.as_py() or "") for v in pair)) for pair in zip(left, right, strict=True))
+        return pa.array([{name: path.count(letter) for letter, name in _NAMES.items()} for path in paths], kind)
+
+    return counts(a, b)
 
 
 def alignment(a: Column, b: Column) -> Column:

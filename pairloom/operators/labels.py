@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,10 +21,13 @@ MAX_SYMBOLS = 200_000
 def label_edits(source: list[str], target: list[str], slots: int = 4) -> list[tuple[str, str]]:
     """One label a source item and one for the end: keep, delete, substitute, or
     expand (inserted items go with the position before which they stand)."""
+    return _labels(backtrace(source, target), slots)
+
+
+def _labels(path: list, slots: int) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     waiting: list[str] = []
-    steps = [*backtrace(source, target), ("keep", END, END)]
-    for op, _, t in steps:
+    for op, _, t in [*path, ("keep", END, END)]:
         if op == "insert":
             waiting.append(t)
             if len(waiting) >= slots:
@@ -61,13 +66,31 @@ def segment_lengths(labels: Column) -> Column:
 
 
 def label_profile(pairs: DataFrame, source: str, target: str, slots: int = 16) -> DataFrame:
-    """(family, label, count): operations and lengths of the edit labels, boundaries and word labels, in one pass."""
-    named = lambda family, values: F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.struct(F.lit(family).alias("family"), v.cast("string").alias("label")))
-    letters = lambda c: F.filter(F.split(F.col(c), ""), lambda x: x != "")
-    made = pairs.select(edit_labels(letters(source), letters(target), slots).alias("e"), hybrid_labels(F.col(source), F.col(target)).alias("h"))
-    each = made.select(F.explode(F.concat(
-        named("operation", F.transform("e", lambda x: x["label"])), named("length", segment_lengths(F.col("e"))), named("boundary", F.col("h.boundaries")), named("word", F.col("h.word_labels")))).alias("x"))
-    return each.groupBy("x.family", "x.label").agg(F.count(F.lit(1)).alias("count"))
+    """(family, label, count): operations and lengths of the edit labels, boundaries and word labels.
+
+    A path is made once for each distinct pair, serves all four families, and only
+    counts leave a task.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for x, y, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = x or "", y or ""
+                path = backtrace(list(x), list(y))
+                marks, _, words = _boundaries(x, path)
+                for family, labels in (("boundary", marks), ("word", words)):
+                    for label in labels:
+                        found[family, label] += n
+                for label, text in _labels(path, slots):
+                    found["operation", label] += n
+                    if label in ("substitute", "expand"):
+                        found["length", str(text.count("\x1f") + 1)] += n
+        yield pa.RecordBatch.from_arrays([pa.array([k[i] for k in found], pa.string()) for i in (0, 1)] + [pa.array(list(found.values()), pa.int64())], names=["family", "label", "count"])
+
+    each = pairs.groupBy(F.col(source).alias("s"), F.col(target).alias("t")).agg(F.count(F.lit(1)).alias("n"))
+    # a given number of parts, as short pairs would be gathered in a few tasks
+    spread = each.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.mapInArrow(count, "family string, label string, count long").groupBy("family", "label").agg(F.sum("count").alias("count"))
 
 
 def boundary_labels(source: str, target: str) -> tuple[list[str], list[int], list[str]]:
@@ -77,14 +100,16 @@ def boundary_labels(source: str, target: str) -> tuple[list[str], list[int], lis
     blank inserted before it.  A word is edited if any of its characters is
     changed, or one is inserted into or after it.
     """
+    return _boundaries(source, backtrace(list(source), list(target)))
+
+
+def _boundaries(source: str, path: list) -> tuple[list[str], list[int], list[str]]:
     pieces: list[list[str]] = [[] for _ in range(len(source) + 1)]
-    words, inside = [], False
+    words, inside, last = [], False, -1
     for c in source:
-        if c == " ":
-            words.append(-1)
-        else:
-            words.append(max(words, default=-1) + 1 if not inside else words[-1])
+        last += c != " " and not inside
         inside = c != " "
+        words.append(last if inside else -1)
     edited: set[int] = set()
 
     def touch(at: int) -> None:
@@ -94,7 +119,7 @@ def boundary_labels(source: str, target: str) -> tuple[list[str], list[int], lis
                 return
 
     at = 0
-    for op, s, t in backtrace(list(source), list(target)):
+    for op, s, t in path:
         if op == "insert":
             pieces[at].append(t)
             if t != " ":
@@ -108,7 +133,7 @@ def boundary_labels(source: str, target: str) -> tuple[list[str], list[int], lis
     marks = [
         ("keep" if " " in p else "delete") if c == " " else ("insert_before" if p[:1] == [" "] else "none")
         for c, p in zip(source, pieces, strict=False)]
-    return marks, words, ["edit" if w in edited else "keep" for w in range(max(words, default=-1) + 1)]
+    return marks, words, ["edit" if w in edited else "keep" for w in range(last + 1)]
 
 
 def hybrid_labels(source: Column, target: Column) -> Column:
