@@ -227,11 +227,12 @@ def vector_search(spark, sf_dir):
 @query()
 def document_edit_paths(spark, sf_dir):
     """Steps of the edit path from each document's words to those of the document with the next id."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.split(F.coalesce("text", F.lit("")), "[ \\t-\\r]+").alias("w"))
-    pairs = docs.join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v")), "doc_id")
-    steps = pairs.select("doc_id", S.alignment(F.col("w"), F.col("v")).alias("s"))
-    count = lambda op: F.size(F.filter("s", lambda x: x["op"] == op)).cast("long").alias(f"n_{op}")
-    return steps.select("doc_id", count("keep"), count("substitute"), count("delete"), count("insert"))
+    # a given number of parts: the work is in the paths, not in the bytes that would be gathered
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("w"))
+    pairs = docs.repartition(tasks, "doc_id").join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("w").alias("v")).repartition(tasks, "doc_id"), "doc_id")
+    steps = pairs.select("doc_id", S.edit_counts(F.col("w"), F.col("v"), "[ \\t-\\r]+").alias("s"))
+    return steps.select("doc_id", *(F.col(f"s.{op}").alias(f"n_{op}") for op in ("keep", "substitute", "delete", "insert")))
 
 
 @query()
