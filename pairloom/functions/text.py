@@ -8,6 +8,7 @@ that is known to be normalised, which keeps the whole expression in the JVM.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pyarrow as pa
@@ -63,13 +64,41 @@ def casefold(text: Column) -> Column:
     return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
 
 
+_BARE = re.compile(ZERO_WIDTH)
+_CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x84\x86-\x9f]")
+
+
+def normal_of(text: str | None, form: str) -> str:
+    """``normalize_text`` of one text; without control characters, Python's white space is Java's."""
+    text = text or ""
+    if not text.isascii():
+        text = _BARE.sub("", unicodedata.normalize(form, text))
+    return " ".join(_CONTROL.sub("", text).split())
+
+
+def _normal(form: str):
+    @F.arrow_udf("string")
+    def normal(values: pa.Array) -> pa.Array:
+        return pa.array([normal_of(v, form) for v in values.to_pylist()], pa.string())
+
+    return normal
+
+
 def normalize_text(text: Column, form: str | None = "NFC") -> Column:
-    """Normal form, no zero-width or control characters, single blanks."""
-    out = F.regexp_replace(unicode_form(blank(text), form), ZERO_WIDTH, "")
+    """Normal form, no zero-width or control characters, single blanks: one pass in Python,
+    which the form needs anyhow, or the same in the JVM."""
+    if form is not None:
+        return _normal(form)(text)
+    out = F.regexp_replace(blank(text), ZERO_WIDTH, "")
     out = F.regexp_replace(out, "(?U)\\s", " ")
     return collapse(F.regexp_replace(out, "\\p{Cc}", ""))
 
 
+def normalized_once(text: Column) -> Column:
+    """``normalize_text`` that Spark evaluates once a row, however many expressions and filters use it."""
+    return _normal("NFC").asNondeterministic()(text)
+
+
 def canonical_text(text: Column, form: str | None = "NFC") -> Column:
     return casefold(normalize_text(text, form))
 
@@ -129,26 +158,28 @@ def clean_comment(text: Column) -> Column:
 
 
 def without_urls(text: Column) -> Column:
-    return F.trim(F.regexp_replace(blank(text), URL, ""))
+    some = F.contains(blank(text), F.lit("://")) | F.contains(F.lower(blank(text)), F.lit("www."))
+    return F.trim(F.when(some, F.regexp_replace(blank(text), URL, "")).otherwise(blank(text)))
 
 
 def usable_text(text: Column, min_chars: int = 8, min_letters: int = 5, min_tokens: int = 2) -> Column:
+    """Enough characters, letters and tokens besides links; the patterns stop at the last one needed."""
     bare = without_urls(text)
     return (
         (F.length(bare) >= min_chars)
-        & (F.length(F.regexp_replace(bare, "\\P{L}", "")) >= min_letters)
-        & (F.regexp_count(bare, F.lit("(?U)\\S+")) >= min_tokens)
+        & bare.rlike(f"(?:\\p{{L}}\\P{{L}}*+){{{min_letters}}}")
+        & bare.rlike(f"(?U)\\S++(?:\\s++\\S++){{{min_tokens - 1}}}")
     )
 
 
-def segment_text(text: Column, limit: int = 240) -> Column:
+def segment_text(text: Column, limit: int = 240, collapsed: bool = False) -> Column:
     """Greedy packing of white-space tokens into segments of at most ``limit``
     characters; a longer token is cut hard and stands alone.
 
     Over single blanks that is one pattern: a token beyond the limit, or the
-    longest stretch within it that ends where a token ends.
+    longest stretch within it that ends where a token ends.  ``collapsed``: the blanks are single.
     """
-    packed = F.regexp_extract_all(collapse(text), F.lit(f"(?s)(\\S{{{limit + 1},}}|\\S.{{0,{limit - 1}}}(?= |$))"), F.lit(1))
+    packed = F.regexp_extract_all(text if collapsed else collapse(text), F.lit(f"(?s)(\\S{{{limit + 1},}}|\\S.{{0,{limit - 1}}}(?= |$))"), F.lit(1))
     cut = lambda s: F.when(F.length(s) > limit, F.regexp_extract_all(s, F.lit(f"(?s)(.{{1,{limit}}})"), F.lit(1))).otherwise(F.array(s))
     return F.flatten(F.transform(packed, cut))
 

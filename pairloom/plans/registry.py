@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import small_batches
+
 
 def registry() -> tuple[dict, dict, Callable]:
     queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,7 @@ def registry() -> tuple[dict, dict, Callable]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -16,7 +16,9 @@ QUERIES, SQL, query = registry()
 
 @query(f"SELECT doc_id, {sql_normal('text')} AS normal, {sql_canonical('text')} AS canonical, {sql_compact('text')} AS compact FROM documents")
 def normalized_text(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.normalize_text(F.col("text")).alias("normal"), T.canonical_text(F.col("text")).alias("canonical"), T.compact_text(F.col("text")).alias("compact"))
+    normal = table(spark, sf_dir, "documents").select("doc_id", T.normalized_once(F.col("text")).alias("normal"))
+    canonical = normal.select("doc_id", "normal", T.casefold(F.col("normal")).alias("canonical"))
+    return canonical.select("doc_id", "normal", "canonical", F.regexp_replace("canonical", "[^\\p{L}\\p{N}]+", "").alias("compact"))
 
 
 @query(f"SELECT item_id, {sql_key('text')} AS pair_key, {sql_collapse('nfc_normalize(text)')} AS evaluation FROM benchmark")

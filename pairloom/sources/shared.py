@@ -20,6 +20,18 @@ def set_checkpoints(spark: SparkSession) -> None:
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="shared-"))
 
 
+#: Rows in one Arrow batch, and in one batch of the Parquet reader: texts may reach
+#: hundreds of KB, so that the defaults (10,000 and 4,096 rows) would grow with them.
+ARROW_ROWS, READER_ROWS = 256, 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the rows of Arrow and Parquet batches, for the rest of the session."""
+    for key, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
+        if not 0 < int(spark.conf.get(key)) <= rows:
+            spark.conf.set(key, str(rows))
+
+
 #: Spark's switch for the removal of a query's shuffle files as soon as the query ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

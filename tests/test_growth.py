@@ -6,7 +6,8 @@ import time
 from pyspark.sql import functions as F
 
 from pairloom.functions import similarity as S
-from pairloom.operators import labels
+from pairloom.operators import corpus, labels
+from pairloom.plans import lexicons, texts
 
 
 def plan(df):
@@ -35,3 +36,35 @@ def test_edit_paths_of_long_texts(spark):
     df = spark.createDataFrame([("a b d", "a c d e"), (None, "x"), ("", None)], "a string, b string")
     got = [tuple(r["c"]) for r in df.select(S.edit_counts(F.col("a"), F.col("b"), " +").alias("c")).collect()]
     assert got == [(2, 1, 0, 1), (0, 1, 0, 0), (1, 0, 0, 0)]
+
+
+def test_edit_paths_are_spread_by_number(spark, tmp_path):
+    spark.createDataFrame([(1, "a b"), (2, "a c d")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    made = lexicons.document_edit_paths(spark, str(tmp_path))
+    assert "REPARTITION_BY_NUM" in plan(made)
+    assert [tuple(r) for r in made.collect()] == [(1, 1, 1, 0, 1)]
+
+
+def test_texts_travel_in_small_batches_and_are_normalised_once(spark, tmp_path):
+    spark.createDataFrame([(1, "Cafe\u0301  \u200bA\x01b"), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    made = texts.normalized_text(spark, str(tmp_path))
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 256
+    assert plan(made).split("== Initial")[0].count("ArrowEvalPython") == 1 and plan(made).count("normal(text") <= 2
+    assert sorted(map(tuple, made.collect())) == [(1, "Café Ab", "café ab", "caféab"), (2, "", "", "")]
+
+
+def test_corpus_texts_are_normalised_once(spark):
+    rows = spark.createDataFrame([(1, "Some  words\there www.x.yz", "d1"), (2, "x", "d2"), (3, "other words there", "d3"), (4, "more words again", "d4")], "row long, text string, document string")
+    made = rows.withColumn("text", corpus.T.normalized_once(F.col("text"))).filter(corpus.T.usable_text(F.col("text"))).withColumn("canonical", corpus.T.casefold(F.col("text")))
+    assert plan(made).count("ArrowEvalPython") == 1
+    assert [r["canonical"] for r in made.orderBy("row").collect()] == ["some words here www.x.yz", "other words there", "more words again"]
+
+
+def test_many_texts_are_scored_as_each(spark):
+    grams = corpus.word_grams("waaw rekk merci bien ab")
+    model = corpus.Selector({g: 1 + i / 7 for i, g in enumerate(dict.fromkeys(grams))}, {g: (-1) ** i * i / 5 for i, g in enumerate(dict.fromkeys(grams))}, 0.25)
+    given = ["waaw waaw merci", None, "", "unknown", "Bien REKK ab\nab ab"]
+    assert abs(model.probabilities(given) - [model.probability(t) for t in given]).max() < 1e-12
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
+    assert [r["s"] for r in df.select(corpus.select_score(F.col("t"), model).alias("s"), "i").orderBy("i").collect()] == list(model.probabilities(given))
