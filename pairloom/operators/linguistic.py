@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.shared import few
 from . import generate, order
 
 #: Preference of whole mappings over templates.
@@ -16,12 +17,13 @@ MAPPING_BONUS, TEMPLATE_BONUS = 1.5, 1.0
 TRIGGER = ["pos", "left", "old", "right", "place"]
 
 
-def trigger_sites(words: DataFrame, longest: int) -> DataFrame:
+def trigger_sites(words: DataFrame, longest: int, triggers: DataFrame | None = None) -> DataFrame:
     """(token, pos, left, old, right, place, site): the first site of every trigger in
     distinct ``words`` (token, pos); ``longest``: the largest length of ``old``.
 
     ``^`` and ``$`` stand for the token's ends, ``site`` counts characters from 1;
-    ``place`` is prefix, suffix or internal.
+    ``place`` is prefix, suffix or internal.  ``triggers``: those that are wanted, so
+    that no other site is grouped.
     """
     n = F.length("framed")
     framed = words.select("token", "pos", F.concat(F.lit("^"), F.col("token"), F.lit("$")).alias("framed"))
@@ -32,6 +34,8 @@ def trigger_sites(words: DataFrame, longest: int) -> DataFrame:
     part = lambda start, size: F.substring(F.col("framed"), start, size)
     sites = at.select(
         "token", "pos", part(F.col("site"), F.lit(1)).alias("left"), part(F.col("site") + 1, F.col("k")).alias("old"), part(end + 1, F.lit(1)).alias("right"), place.alias("place"), "site")
+    if triggers is not None:
+        sites = sites.join(few(triggers.select(*TRIGGER).distinct()), TRIGGER, "left_semi")
     return sites.groupBy("token", *TRIGGER).agg(F.min("site").alias("site"))
 
 
@@ -56,7 +60,7 @@ def changed_tokens(words: DataFrame, templates: DataFrame) -> DataFrame:
     place), so a word meets only templates that apply to it.
     """
     longest = templates.agg(F.max(F.length("old"))).first()[0]
-    sites = trigger_sites(words.filter("token is not null").select("token", "pos").distinct(), longest or 0)
+    sites = trigger_sites(words.filter("token is not null").select("token", "pos").distinct(), longest or 0, templates)
     hit = sites.join(templates.select(*TRIGGER, F.col("new").alias("_new"), "confidence", "count"), TRIGGER)
     rest = F.substring(F.col("token"), F.col("site") + F.length("old"), F.length("token"))
     made = F.concat(F.substring(F.col("token"), F.lit(1), F.col("site") - 1), F.col("_new"), rest)

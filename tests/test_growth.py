@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from pairloom.functions import similarity as S
-from pairloom.operators import corpus, labels
+from pairloom.operators import annotation, corpus, generate, labels, linguistic
 from pairloom.plans import lexicons, texts
 
 
@@ -68,3 +68,22 @@ def test_many_texts_are_scored_as_each(spark):
     assert abs(model.probabilities(given) - [model.probability(t) for t in given]).max() < 1e-12
     df = spark.createDataFrame([(i, t) for i, t in enumerate(given)], "i int, t string")
     assert [r["s"] for r in df.select(corpus.select_score(F.col("t"), model).alias("s"), "i").orderBy("i").collect()] == list(model.probabilities(given))
+
+
+def test_rules_and_error_types_run_once_a_distinct_text(spark):
+    sources = spark.createDataFrame([("a", 1, "xar bu"), ("b", 2, "xar bu")], "source_id string, source_row long, formal string")
+    made = generate.rule_pairs(sources)
+    assert "REPARTITION_BY_NUM" in plan(made)
+    assert made.select("informal").distinct().count() == 1 and made.count() == 2
+    evidence = spark.createDataFrame([("xar", "khar"), ("xar", "khar"), (None, "a"), ("a", None)], "formal_token string, informal_token string")
+    found = annotation.with_error_types(evidence).filter("size(error_types) > 0")
+    # the filter stays above the distinct
+    assert plan(found).count("+- ArrowEvalPython") == 1 and "REPARTITION_BY_NUM" in plan(found)
+    assert sorted(map(str, (r["formal_token"] for r in found.collect()))) == ["None", "a", "xar", "xar"]
+
+
+def test_only_wanted_triggers_are_grouped(spark):
+    words = spark.createDataFrame([("abab", "X"), ("xyz", "X")], "token string, pos string")
+    templates = spark.createDataFrame([("X", "a", "b", "a", "internal")], "pos string, left string, old string, right string, place string")
+    got = linguistic.trigger_sites(words, 1, templates).collect()
+    assert [(r["token"], r["site"]) for r in got] == [("abab", 2)]
