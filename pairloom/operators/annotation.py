@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from . import audit, order
+from . import audit, generate, order
 
 #: Closed vocabularies of the annotation schema.
 STATUSES = ("keep", "discard_false_positive", "discard_uninteresting", "skip_uncertain")
@@ -115,6 +115,17 @@ def error_profile(evidence: DataFrame) -> DataFrame:
     return base.join(errors, "pos", "left").withColumn("change_rate", F.col("changed") / F.col("total"))
 
 
+def with_error_types(evidence: DataFrame) -> DataFrame:
+    """``evidence`` plus ``error_types``, found once for each distinct pair of its two sides."""
+    from ..functions import errors as E
+    from ..sources.shared import few
+
+    sides = ["formal_token", "informal_token"]
+    pairs = generate.spread(evidence.select(*sides).distinct()).withColumn("error_types", E.error_types_once(F.col("informal_token"), F.col("formal_token")))
+    same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in sides]
+    return evidence.alias("_l").join(few(pairs, 20_000).alias("_r"), same).select("_l.*", "_r.error_types")
+
+
 def learn_mappings(evidence: DataFrame, ordinal: str, min_count: int = 1, min_dominance: float = 0.0) -> DataFrame:
     """Formal -> informal mappings with counts, dominance among the formal's uses, and sets of tags."""
     keyed = evidence.withColumns({"formal_key": T.lookup_key(F.col("formal_token"), None), "informal_key": T.lookup_key(F.col("informal_token"), None)})
@@ -138,14 +149,17 @@ def learn_templates(evidence: DataFrame, min_count: int = 1, min_dominance: floa
     formal, informal = T.lookup_key(F.col("formal_token"), None), T.lookup_key(F.col("informal_token"), None)
     kind = primary_error(F.col("error_types"), list(allowed or [t for t in ERROR_TYPES if t not in ("identity", "uncertain")]), "")
     rows = evidence.select("pos", formal.alias("f"), informal.alias("i"), kind.alias("error_type")).filter("f <> i and error_type <> '' and not contains(f, ' ')")
-    steps = rows.select("pos", "error_type", "f", F.explode(S.edits(F.col("f"), F.col("i"))).alias("e"))
+    # equal evidence has equal edits
+    rows = generate.spread(rows.groupBy("pos", "f", "i", "error_type").agg(F.count(F.lit(1)).alias("n")))
+    steps = rows.select("pos", "error_type", "f", "n", F.explode(S.edits(F.col("f"), F.col("i"))).alias("e"))
     start, end, size = F.col("e.a_start"), F.col("e.a_end"), F.length("f")
     left = F.when(start > 0, F.substring(F.col("f"), start, F.lit(1))).otherwise(F.lit("^"))
     right = F.when(end < size, F.substring(F.col("f"), end + 1, F.lit(1))).otherwise(F.lit("$"))
     place = F.when(start == 0, "prefix").when(end == size, "suffix").otherwise("internal")
-    sig = steps.select("pos", "error_type", F.col("e.op").alias("operation"), F.col("e.old").alias("old"), F.col("e.new").alias("new"), left.alias("left"), right.alias("right"), place.alias("place"))
-    counted = sig.groupBy(*sig.columns).count()
-    trigger = [c for c in sig.columns if c != "new"]
+    sig = steps.select("pos", "error_type", F.col("e.op").alias("operation"), F.col("e.old").alias("old"), F.col("e.new").alias("new"), left.alias("left"), right.alias("right"), place.alias("place"), "n")
+    columns = [c for c in sig.columns if c != "n"]
+    counted = sig.groupBy(*columns).agg(F.sum("n").alias("count"))
+    trigger = [c for c in columns if c != "new"]
     totals = counted.groupBy(*trigger).agg(F.sum("count").alias("trigger_total"))
     out = counted.join(totals, trigger).withColumn("confidence", F.col("count") / F.col("trigger_total"))
     return out.filter((F.col("count") >= min_count) & (F.col("confidence") >= min_dominance))

@@ -32,9 +32,24 @@ def identity_pairs(sources: DataFrame) -> DataFrame:
     return pair_rows(sources, "identity", F.col("formal"), F.lit(0), F.array().cast("array<string>"), F.coalesce(none, F.expr("cast(map() as map<string,int>)")))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in a given number of tasks, as rows of few bytes would be gathered in a few."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def rule_pairs(sources: DataFrame, spans: Column | None = None) -> DataFrame:
-    """Spelling rules with per-rule counts; protected stretches stay."""
-    made = sources.withColumn("_m", R.informalize(F.col("formal"), spans))
+    """Spelling rules with per-rule counts; protected stretches stay.
+
+    Without spans a text's result depends on the text alone, so each distinct one
+    is spelled once, in as many tasks as a shuffle has.
+    """
+    from ..sources.shared import few
+
+    if spans is None:
+        texts = spread(sources.select("formal").distinct())
+        made = sources.join(few(texts.withColumn("_m", R.informalize(F.col("formal"), None)), 20_000), "formal")
+    else:
+        made = sources.withColumn("_m", R.informalize(F.col("formal"), spans))
     counts = F.col("_m.counts")
     total = F.aggregate(F.map_values(counts), F.lit(0), lambda a, x: a + x)
     return pair_rows(made, "rules", F.col("_m.text"), total, F.array_sort(F.map_keys(counts)), counts)

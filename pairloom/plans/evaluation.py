@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import errors as E
 from ..functions import rules as R
 from ..operators import annotation, evaluate, generate, order, report
 from .registry import registry, table
@@ -163,7 +162,7 @@ def _evidence(spark, sf_dir):
     part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("source_row"), F.col("p_brand").alias("pos"))
     pairs = p.join(part, "source_row").select("source_row", "pos", F.arrays_zip(F.split("formal", " ").alias("f"), F.split("informal", " ").alias("i")).alias("z"))
     words = pairs.select("source_row", "pos", F.explode("z").alias("z")).select("source_row", "pos", F.col("z.f").alias("formal_token"), F.col("z.i").alias("informal_token"))
-    return words.withColumn("error_types", E.error_types(F.col("informal_token"), F.col("formal_token")))
+    return annotation.with_error_types(words)
 
 
 _SQL_EVIDENCE = f"SELECT p_brand AS pos, unnest(string_split(p_name, ' ')) AS f, unnest(string_split({_sql_rules('p_name')}, ' ')) AS i FROM part"

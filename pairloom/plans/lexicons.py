@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import errors as E
 from ..functions import similarity as S
 from ..functions import text as T
 from ..operators import annotation, factors, fuzzy, generate, lexicon, linguistic, suggest, vectors
@@ -277,7 +276,7 @@ def evidence_pairs(spark, sf_dir):
     tag = lambda w: F.concat(F.lit("L"), F.least(F.length(w), F.lit(9)).cast("string"))
     evidence = both.select("source_row", F.col("z.f").alias("formal_token"), F.col("z.i").alias("informal_token")).filter("formal_token is not null and informal_token is not null")
     evidence = evidence.withColumn("pos", tag(F.col("formal_token")))
-    evidence = evidence.withColumn("error_types", E.error_types(F.col("informal_token"), F.col("formal_token")))
+    evidence = annotation.with_error_types(evidence)
     sentences = made.select("source_id", "source_row", "formal", F.split("formal", " ").alias("tokens"))
     tagged = sentences.select("source_id", F.posexplode("tokens").alias("at", "token")).withColumn("pos", tag(F.col("token")))
     found = linguistic.mapping_candidates(sentences, annotation.learn_mappings(evidence, "source_row", 2)).unionByName(
