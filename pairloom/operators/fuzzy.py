@@ -98,14 +98,15 @@ def _signed(words: DataFrame, name: str, form: str | None) -> DataFrame:
 
 def _candidate_lists(tokens: DataFrame, words: DataFrame, pool: int, gap: int) -> DataFrame:
     """(token, candidates): an array of ``wid``; of signed tokens and of signed words with a dense ``wid``."""
-    best = overlap.top_overlaps(tokens.select("token", "elements"), words.select("wid", "elements", F.length("word").alias("size")), 2 * pool)
+    best = overlap.top_overlaps(tokens.select("token", "elements", F.length("token").alias("size")), words.select("wid", "elements", F.length("word").alias("size")), 2 * pool, gap)
+    # no more are wanted, whatever the signature has; cut before the joins shuffle them
+    best = best.select("token", F.slice("near", 1, pool).alias("near"))
     # the first words of a signature are enough, so a signature's tokens never meet all its words
     named = order.top_per_group(words.select("_s", "word", "wid"), ["_s"], [F.col("word")], pool)
     same = tokens.join(named, "_s").groupBy("token").agg(F.sort_array(F.collect_list("wid")).alias("same"))
     both = tokens.select("token").join(best, "token", "left").join(same, "token", "left")
     none = F.array().cast("array<int>")
-    near = F.filter("best", lambda b: F.abs(b["size"] - F.length("token")) <= gap)
-    rest = F.array_except(F.coalesce(F.transform(near, lambda b: b["wid"]), none), F.coalesce("same", none))
+    rest = F.array_except(F.coalesce("near", none), F.coalesce("same", none))
     first = F.coalesce("same", none)
     return both.select("token", F.concat(first, F.slice(rest, F.lit(1), F.greatest(F.lit(pool) - F.size(first), F.lit(0)))).alias("candidates")).filter(F.size("candidates") > 0)
 
@@ -215,17 +216,17 @@ def mine_variants(comments: DataFrame, sentences: DataFrame, formal: DataFrame,
     oov = oov if protected is not None else oov.withColumn("_entity", F.lit(False))
     oov = oov.withColumn("reason", mining_eligibility(F.col("token"), F.col("_french"), F.col("_entity")))
     oov = cut(oov.withColumn("frequency_score", F.log1p("count") / F.log1p(F.lit(biggest))))
-    eligible = oov.filter("reason = 'eligible'").select("token")
-    signed = cut(_signed(eligible, "token", "NFKC"))
+    signed = cut(_signed(oov.filter("reason = 'eligible'").select("token"), "token", "NFKC"))
     numbered = _numbered(vocabulary.join(other, "word", "left_anti"), "NFKC")
     lists = cut(_candidate_lists(signed, numbered, pool, 3))
-    left = _bags(lexicon.contexts(comments, words(comments), lists.select("token"), window, top))
+    tasks = lexicon.near_tasks(oov.filter("reason = 'eligible'"), window)
+    left = _bags(lexicon.contexts(comments, words(comments), lists.select("token"), window, top, tasks=tasks))
     right = _bags(lexicon.contexts(sentences, words(sentences), numbered.select(F.col("word").alias("token")), window, top))
     none = F.array().cast("array<bigint>")
     filled = [F.coalesce(c, none).alias(c) for c in ("keys", "counts")]
-    tokens = cut(lists.join(left, "token", "left").select("token", "candidates", *filled))
-    found = overlap.bag_scores(tokens, cut(numbered.join(right, numbered["word"] == right["token"], "left").select("wid", "word", F.col("_s").alias("form"), *filled)))
-    found = found.join(signed.select("token", "_s"), "token").join(oov.select("token", "frequency_score"), "token")
+    tokens = lists.join(left, "token", "left").join(signed.select("token", "_s"), "token").join(oov.select("token", "frequency_score"), "token")
+    tokens = cut(tokens.select("token", "_s", "frequency_score", "candidates", *filled))
+    found = overlap.bag_scores(tokens, cut(numbered.join(right, numbered["word"] == right["token"], "left").select("wid", "word", F.col("_s").alias("form"), *filled)), ("_s", "frequency_score"))
     ranked = _verdicts(_two_best(found)).drop("frequency_score").withColumnRenamed("reason", "_verdict")
     out = oov.select("token", F.col("count").alias("frequency"), "frequency_score", "reason").join(ranked, "token", "left")
     reason = F.when(F.col("reason") != "eligible", F.col("reason")).otherwise(F.coalesce("_verdict", F.lit("no_candidate")))

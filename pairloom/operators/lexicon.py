@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-#: Targets that are looked for inside the rows; more of them meet the tokens by a join alone.
+#: Targets that are looked for inside the rows; more of them by a bit map, then by a join.
 FEW_TARGETS = 200
+#: Bits of the map that stands for more of them; words of texts whose neighbours are counted together, rows
+#: taken at a time, and neighbours summed in one task.
+LISTED_BITS, NEAR_WORDS, NEAR_ROWS, NEAR_PAIRS = 1 << 26, 1 << 20, 64, 1_000_000
 
 
 def term_counts(df: DataFrame, words: Column) -> DataFrame:
@@ -37,28 +41,95 @@ def capitalized(df: DataFrame, text: Column, min_count: int = 3, min_ratio: floa
     return counted.filter((F.col("total") >= min_count) & (F.col("capitals") / F.col("total") >= min_ratio))
 
 
-def contexts(df: DataFrame, words: Column, targets: DataFrame, window: int = 2, top: int = 50, fold: bool = True) -> DataFrame:
+def _listed(targets: DataFrame) -> np.ndarray:
+    """A bit map of the targets' hashes; its size does not depend on their number."""
+    place = T.token_hash(F.col("token")).bitwiseAND(F.lit(LISTED_BITS - 1)) + 1
+    found = targets.filter("token is not null").groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    out = np.zeros(LISTED_BITS // 8, np.uint8)
+    for b, bits in found.collect():
+        out[(b - 1) * len(bits) : b * len(bits)] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _near_words(words: pa.Array, listed: np.ndarray, window: int) -> pa.RecordBatch:
+    """(token, near, n): the neighbours of each word whose bit is set, and how often each is one."""
+    sizes = np.diff(np.asarray(words.offsets))
+    coded = words.flatten().dictionary_encode()
+    codes, names = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    place = np.array([zlib.crc32(w.encode()) & (LISTED_BITS - 1) for w in names.to_pylist()], np.int64)
+    at = np.nonzero((listed[place >> 3] >> (place & 7).astype(np.uint8) & 1)[codes])[0] if len(codes) else np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    pairs = [np.zeros(0, np.int64)]
+    for shift in (*range(-window, 0), *range(1, window + 1)):
+        mine = at[(at + shift >= 0) & (at + shift < len(row))]
+        mine = mine[row[mine] == row[mine + shift]]
+        pairs.append(codes[mine] * len(names) + codes[mine + shift])
+    pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+    token, near = np.divmod(pair, max(len(names), 1))
+    starts = np.nonzero(np.diff(token, prepend=-1))[0]
+    cuts = pa.array(np.append(starts, len(token)), pa.int32())
+    joined = pc.binary_join(pa.ListArray.from_arrays(cuts, names.take(pa.array(near))), "\n")
+    return pa.record_batch([names.take(pa.array(token[starts])), joined, pa.ListArray.from_arrays(cuts, pa.array(n, pa.int32()))], ["token", "near", "n"])
+
+
+def _grouped_near(df: DataFrame, words: Column, targets: DataFrame, window: int) -> DataFrame:
+    """(token, near, n) of the texts: a row a token and ``NEAR_WORDS`` words of the texts, for the
+    targets and a few other tokens whose bits are theirs."""
+    shared = df.sparkSession.sparkContext.broadcast(_listed(targets))
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            lists = batch.column(0).drop_null()
+            for i in range(0, len(lists), NEAR_ROWS):
+                part = pa.concat_arrays([lists[i : i + NEAR_ROWS]])
+                held.append(part)
+                size += len(part.flatten())
+                if size >= NEAR_WORDS:
+                    yield _near_words(pa.concat_arrays(held), shared.value, window)
+                    held, size = [], 0
+        if held:
+            yield _near_words(pa.concat_arrays(held), shared.value, window)
+
+    return df.select(words.alias("w")).mapInArrow(run, "token string, near string, n array<int>")
+
+
+def near_tasks(counted: DataFrame, window: int = 2) -> int:
+    """Partitions in which the neighbours of tokens (with ``count``) are summed without spilling."""
+    n = counted.agg(F.sum("count")).first()[0] or 0
+    return max(int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * window * n // NEAR_PAIRS))
+
+
+def contexts(df: DataFrame, words: Column, targets: DataFrame, window: int = 2, top: int = 50, fold: bool = True, tasks: int | None = None) -> DataFrame:
     """(token, context, count): neighbours within ``window`` of the target tokens.
 
-    Neighbours are taken by slicing inside the row, so no self join is made.
+    Neighbours are taken inside the row, so no self join is made; of many targets
+    they are counted where the texts stand, and only rows of targets are shuffled,
+    once and by token, to ``tasks`` partitions (``near_tasks``).  Words hold no line breaks.
     """
-    w = F.col("w")
-
-    def around(token: Column, i: Column) -> Column:
-        before = F.when(i > 0, F.slice(w, F.greatest(i + 1 - window, F.lit(1)), F.least(i, F.lit(window)))).otherwise(F.array().cast("array<string>"))
-        return F.struct(token.alias("token"), F.concat(before, F.slice(w, i + 2, window)).alias("near"))
-
-    # windows are cut inside the row, so an exploded row does not carry the whole text;
-    # of a few targets, only their own places give windows
-    named = [r[0] for r in targets.select("token").distinct().limit(FEW_TARGETS + 1).collect()]
-    places = F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i")))
+    wanted = targets.select("token").distinct()
+    named = [r[0] for r in wanted.limit(FEW_TARGETS + 1).collect()]
     if len(named) <= FEW_TARGETS:
-        places = F.filter(places, lambda x: x["t"].isin(named))
-    each = df.select(words.alias("w")).select(F.explode(F.transform(places, lambda x: around(x["t"], x["i"]))).alias("x")).select("x.token", "x.near")
-    hits = each.join(targets.select("token").distinct(), "token", "left_semi").select("token", F.explode("near").alias("context"))
+        # windows are cut inside the row, so an exploded row does not carry the whole text
+        w = F.col("w")
+
+        def around(token: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.slice(w, F.greatest(i + 1 - window, F.lit(1)), F.least(i, F.lit(window)))).otherwise(F.array().cast("array<string>"))
+            return F.struct(token.alias("token"), F.concat(before, F.slice(w, i + 2, window)).alias("near"))
+
+        places = F.filter(F.transform("w", lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: x["t"].isin(named))
+        each = df.select(words.alias("w")).select(F.explode(F.transform(places, lambda x: around(x["t"], x["i"]))).alias("x")).select("x.token", "x.near")
+        hits = each.select("token", F.explode("near").alias("context")).withColumn("n", F.lit(1))
+    else:
+        grouped = _grouped_near(df, words, wanted, window)
+        # both sides are dealt alike, else the number of tasks is lost; a semi join would be
+        # moved below the repartition and shuffle the texts' side twice
+        dealt = lambda x: x.repartition(tasks, "token") if tasks else x.repartition("token")
+        grouped = dealt(grouped).join(dealt(targets.select("token")).distinct(), "token")
+        hits = grouped.select("token", F.split("near", "\n").alias("context"), "n").select("token", F.inline(F.arrays_zip("context", "n")))
     if fold:
         hits = hits.withColumn("context", T.signature(F.col("context"), None))
-    counted = hits.groupBy("token", "context").count()
+    counted = hits.groupBy("token", "context").agg(F.sum("n").alias("count"))
     ranked = counted.withColumn("_r", F.row_number().over(Window.partitionBy("token").orderBy(F.desc("count"), "context")))
     return ranked.filter(F.col("_r") <= top).drop("_r")
 

@@ -87,12 +87,17 @@ def cells(tokens: DataFrame, words: DataFrame, blocks: tuple[int, int], work: Ca
     return t.groupBy("tb", "wb").cogroup(w.groupBy("tb", "wb")).applyInArrow(lambda a, b: work(a, b), schema)
 
 
-def top_overlaps(tokens: DataFrame, words: DataFrame, k: int) -> DataFrame:
-    """(token, best): the ``k`` words that share most elements, as an array of
-    (less, wid, size), ``less`` being minus the number shared; ties by ``wid``.
+def _texts(table: pa.Table, names: tuple[str, ...]) -> dict[str, pa.ChunkedArray]:
+    return {c: table[c].cast(pa.string()) if pa.types.is_large_string(table[c].type) else table[c] for c in names}
 
-    ``tokens``: token, elements (array<bigint>, distinct); ``words``: wid (dense
-    from 0, in the order of ties), elements, size.
+
+def top_overlaps(tokens: DataFrame, words: DataFrame, k: int, gap: int) -> DataFrame:
+    """(token, near): of the ``k`` words that share most elements (ties by ``wid``), the
+    ``wid`` of those whose size differs by at most ``gap``, best first.
+
+    ``tokens``: token, elements (array<bigint>, distinct), size; ``words``: wid
+    (dense from 0, in the order of ties), elements, size.  Between the cells a word
+    is one number: minus the elements shared, its wid, and a bit for the gap.
     """
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("wid")
@@ -106,24 +111,27 @@ def top_overlaps(tokens: DataFrame, words: DataFrame, k: int) -> DataFrame:
         asked, bounds = _lists(left["elements"])
         place = np.minimum(np.searchsorted(names, asked), max(len(names) - 1, 0))
         known = names[place] == asked if len(names) else np.zeros(len(asked), bool)
+        near = left["size"].to_numpy()
         out = []
         for i in range(left.num_rows):
             mine = place[bounds[i] : bounds[i + 1]][known[bounds[i] : bounds[i + 1]]]
             best, shared = best_overlaps([owner[starts[j] : ends[j]] for j in mine], right.num_rows, k)
-            out.append([{"less": -s, "wid": w, "size": n} for s, w, n in zip(shared.tolist(), wid[best].tolist(), size[best].tolist())])
-        kind = pa.list_(pa.struct([("less", pa.int32()), ("wid", pa.int32()), ("size", pa.int32())]))
-        return pa.table({"token": left["token"].cast(pa.string()), "best": pa.array(out, kind)})
+            out.append(shared * -(1 << 33) + wid[best].astype(np.int64) * 2 + (np.abs(size[best] - near[i]) <= gap))
+        cuts = np.concatenate([[0], np.cumsum([len(x) for x in out])])
+        best = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *out]), pa.int64()))
+        return pa.table(_texts(left, ("token",)) | {"best": best})
 
     blocks = _blocks(tokens, words)
-    found = cells(tokens, words, blocks, work, "token string, best array<struct<less:int,wid:int,size:int>>")
-    if blocks[1] == 1:
-        return found
-    # at most k of each word block meet
-    return found.groupBy("token").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    found = cells(tokens, words, blocks, work, "token string, best array<bigint>")
+    if blocks[1] > 1:
+        # at most k of each word block meet
+        found = found.groupBy("token").agg(F.slice(F.sort_array(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    fits = F.filter("best", lambda b: b.bitwiseAND(F.lit(1)) == 1)
+    return found.select("token", F.transform(fits, lambda b: F.shiftright(b, 1).bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("near"))
 
 
-def bag_scores(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """(token, found): for each candidate of a token an array of (word, form, similarity), the
+def bag_scores(tokens: DataFrame, words: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """(token, carried columns, found): for each candidate of a token an array of (word, form, similarity), the
     weighted Jaccard of their bags; a row for each token and word block with candidates.
 
     ``tokens``: token, candidates (array of wid), keys and counts (the bag, sorted
@@ -135,11 +143,11 @@ def bag_scores(tokens: DataFrame, words: DataFrame) -> DataFrame:
         keys, offsets = _lists(right["keys"])
         counts, _ = _lists(right["counts"])
         totals = np.add.reduceat(np.append(counts, 0), offsets[:-1]) * (np.diff(offsets) > 0) if right.num_rows else np.zeros(0)
-        names, forms = right["word"].to_pylist(), right["form"].to_pylist()
+        names, forms = (c.combine_chunks() for c in _texts(right, ("word", "form")).values())
         own_keys, bounds = _lists(left["keys"])
         own_counts, _ = _lists(left["counts"])
         wanted, cuts = _lists(left["candidates"])
-        out = []
+        places, similarities = [], []
         for i in range(left.num_rows):
             mine = wanted[cuts[i] : cuts[i + 1]]
             mine = mine[mine // WORD_BLOCK == wid[0] // WORD_BLOCK] if len(wid) else mine[:0]
@@ -152,9 +160,13 @@ def bag_scores(tokens: DataFrame, words: DataFrame) -> DataFrame:
                 p = np.minimum(np.searchsorted(k, keys[at]), len(k) - 1)
                 least = np.bincount(np.repeat(np.arange(len(c)), length), np.where(k[p] == keys[at], np.minimum(n[p], counts[at]), 0), len(c))
             similarity = least / np.maximum(n.sum() + totals[c] - least, 1)
-            out.append([{"word": names[j], "form": forms[j], "similarity": float(s)} for j, s in zip(c.tolist(), similarity.tolist())])
-        kind = pa.list_(pa.struct([("word", pa.string()), ("form", pa.string()), ("similarity", pa.float64())]))
-        return pa.table({"token": left["token"].cast(pa.string()), "found": pa.array(out, kind)})
-
+            places.append(c)
+            similarities.append(similarity)
+        cuts, at = np.concatenate([[0], np.cumsum([len(c) for c in places])]), pa.array(np.concatenate([np.zeros(0, np.int64), *places]))
+        parts = [names.take(at), forms.take(at), pa.array(np.concatenate([np.zeros(0), *similarities]))]
+        found = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.StructArray.from_arrays(parts, ["word", "form", "similarity"]))
+        return pa.table(_texts(left, ("token", *carried)) | {"found": found})
+
+    kept = "".join(f"{c} {kind}, " for c, kind in tokens.select("token", *carried).dtypes)
     needed = F.array_distinct(F.transform("candidates", lambda w: F.floor(w / WORD_BLOCK).cast("int")))
-    return cells(tokens, words, _blocks(tokens, words), work, "token string, found array<struct<word:string,form:string,similarity:double>>", needed)
+    return cells(tokens, words, _blocks(tokens, words), work, kept + "found array<struct<word:string,form:string,similarity:double>>", needed)

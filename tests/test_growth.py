@@ -6,7 +6,7 @@ import time
 from pyspark.sql import functions as F
 
 from pairloom.functions import similarity as S
-from pairloom.operators import annotation, corpus, generate, labels, linguistic
+from pairloom.operators import annotation, corpus, fuzzy, generate, labels, lexicon, linguistic, overlap
 from pairloom.plans import lexicons, texts
 
 
@@ -87,3 +87,50 @@ def test_only_wanted_triggers_are_grouped(spark):
     templates = spark.createDataFrame([("X", "a", "b", "a", "internal")], "pos string, left string, old string, right string, place string")
     got = linguistic.trigger_sites(words, 1, templates).collect()
     assert [(r["token"], r["site"]) for r in got] == [("abab", 2)]
+
+
+def test_neighbours_of_many_targets_are_counted_where_the_texts_stand(spark, monkeypatch):
+    monkeypatch.setattr(lexicon, "FEW_TARGETS", 1)
+    monkeypatch.setattr(lexicon, "NEAR_WORDS", 40)
+    rng = random.Random(3)
+    names = [f"w{i}" for i in range(12)] + ["ééa", "khaa"]
+    texts = [[rng.choice(names) for _ in range(rng.randrange(9))] for _ in range(60)] + [["w1", "w2"] * 500]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "w array<string>").repartition(3)
+    targets = spark.createDataFrame([(t,) for t in ("w1", "w2", "ééa", "w1", "absent", None)], "token string")
+    want = {}
+    for t in texts:
+        for i, w in enumerate(t):
+            for c in t[max(i - 2, 0) : i] + t[i + 1 : i + 3] if w in ("w1", "w2", "ééa") else ():
+                want[w, c] = want.get((w, c), 0) + 1
+    for tasks in (None, 5):
+        made = lexicon.contexts(df, F.col("w"), targets, 2, 100, fold=False, tasks=tasks)
+        assert {(r["token"], r["context"]): r["count"] for r in made.collect()} == want
+    # one shuffle of the texts' side, also where the targets are not broadcast: what stands below it is counted already
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = plan(lexicon.contexts(df, F.col("w"), targets, 2, 100, fold=False, tasks=5)).splitlines()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    counted = next(i for i, x in enumerate(lines) if "MapInArrow" in x)
+    dealt = [x for x in lines[:counted] if "Exchange" in x]
+    assert len(dealt) == 1 and ", 5), REPARTITION_BY_NUM" in dealt[0]
+    top = {(r["token"], r["context"]): r["count"] for r in lexicon.contexts(df, F.col("w"), targets, 2, 3, fold=False).collect()}
+    ranked = {w: sorted((-n, c) for (x, c), n in want.items() if x == w)[:3] for w in ("w1", "w2", "ééa")}
+    assert top == {(w, c): -n for w, best in ranked.items() for n, c in best}
+    rows = lexicon._grouped_near(df.coalesce(1), F.col("w"), targets.filter("token = 'w1'"), 2)
+    assert rows.filter("token = 'w1'").count() < sum("w1" in t for t in texts) and "w2" not in {r["token"] for r in rows.collect()}
+    assert lexicon.near_tasks(spark.createDataFrame([("a", 3_000_000), ("b", 5)], "token string, count long"), 2) == 13
+
+
+def test_mining_shuffles_candidates_as_numbers(spark):
+    tokens = spark.createDataFrame([("abcd", [1, 2, 3], 4), ("x", [9], 1)], "token string, elements array<bigint>, size int")
+    words = spark.createDataFrame([(0, [1, 2, 3], 9), (1, [1, 2], 5), (2, [3], 4), (3, [1, 3], 1)], "wid int, elements array<bigint>, size int")
+    made = overlap.top_overlaps(tokens, words, 3, 3)
+    assert dict(made.dtypes)["near"] == "array<int>"
+    assert {r["token"]: r["near"] for r in made.collect()} == {"abcd": [1, 3], "x": []}
+    bags = spark.createDataFrame([("a", "s", 0.5, [0, 1], [7], [2]), ("b", "t", 0.1, [1], [], [])], "token string, _s string, frequency_score double, candidates array<int>, keys array<bigint>, counts array<bigint>")
+    named = spark.createDataFrame([(0, "u", "u", [7, 8], [1, 1]), (1, "v", "w", [], [])], "wid int, word string, form string, keys array<bigint>, counts array<bigint>")
+    got = {r["token"]: r for r in overlap.bag_scores(bags, named, ("_s", "frequency_score")).collect()}
+    assert [tuple(x) for x in got["a"]["found"]] == [("u", "u", 1 / 3), ("v", "w", 0.0)] and (got["a"]["_s"], got["b"]["frequency_score"]) == ("s", 0.1)
+    # scores need nothing that is not in the row, so the candidates are not shuffled
+    assert "Join" not in plan(fuzzy._two_best(overlap.bag_scores(bags, named, ("_s", "frequency_score"))))
