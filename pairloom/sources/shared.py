@@ -23,13 +23,17 @@ def set_checkpoints(spark: SparkSession) -> None:
 #: Rows in one Arrow batch, and in one batch of the Parquet reader: texts may reach
 #: hundreds of KB, so that the defaults (10,000 and 4,096 rows) would grow with them.
 ARROW_ROWS, READER_ROWS = 256, 512
+#: Bytes after which an Arrow batch ends before its rows are reached, unless the session names its own.
+ARROW_BYTES, BYTES_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of Arrow and Parquet batches, for the rest of the session."""
+    """Bound the rows of Arrow and Parquet batches and the bytes of Arrow's, for the rest of the session."""
     for key, rows in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", READER_ROWS)):
         if not 0 < int(spark.conf.get(key)) <= rows:
             spark.conf.set(key, str(rows))
+    if spark.conf.get(BYTES_KEY, None) is None:
+        spark.conf.set(BYTES_KEY, str(ARROW_BYTES))
 
 
 #: Spark's switch for the removal of a query's shuffle files as soon as the query ends.

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from pairloom.functions import similarity as S
@@ -134,3 +135,19 @@ def test_mining_shuffles_candidates_as_numbers(spark):
     assert [tuple(x) for x in got["a"]["found"]] == [("u", "u", 1 / 3), ("v", "w", 0.0)] and (got["a"]["_s"], got["b"]["frequency_score"]) == ("s", 0.1)
     # scores need nothing that is not in the row, so the candidates are not shuffled
     assert "Join" not in plan(fuzzy._two_best(overlap.bag_scores(bags, named, ("_s", "frequency_score"))))
+
+
+def test_batches_of_long_texts_are_bounded_in_bytes(spark, tmp_path):
+    from pairloom.plans import selection
+
+    made = spark.range(200).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "fr").otherwise("es").alias("lang"), F.concat(F.repeat(F.lit("é"), 50_000), F.floor(F.col("id") / 2).cast("string")).alias("text"))
+    made.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    assert selection.matched_sets(spark, str(tmp_path)).count() == 200
+
+    @F.arrow_udf("long")
+    def size(texts: pa.Array) -> pa.Array:
+        return pa.array([sum(len(x.as_buffer()) for x in texts)] * len(texts), pa.int64())
+
+    # 20 MB of text, which 256 rows alone would take at once
+    held = spark.read.parquet(f"{tmp_path}/documents.parquet").select(size("text").alias("n")).agg(F.max("n"), F.count("n")).first()
+    assert held[0] <= 5 << 20 and held[1] == 200
