@@ -283,8 +283,8 @@ def _labelled(spark, sf_dir, label):
 
 @query()
 def selector_scores(spark, sf_dir):
-    """A content selector fitted on a bounded sample of labelled texts, scoring all texts."""
-    model = folds.fit_sampled(_labelled(spark, sf_dir, "toxic"))
+    """A content selector fitted on all labelled texts, scoring all texts."""
+    model = folds.fit_whole(_labelled(spark, sf_dir, "toxic"))
     return table(spark, sf_dir, "documents").select("doc_id", F.round(corpus.select_score(F.col("text"), model), 4).alias("score"))
 
 
